@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import functions as F
+
 from pyspark.sql import DataFrame
 
 from ridepulse.operators.scd import current as scd_current
@@ -19,8 +21,9 @@ from ridepulse.schemas import DIM_COLUMNS, DIM_KEYS, FACT_COLUMNS
 
 
 def gold_base(obt: DataFrame) -> DataFrame:
-    """S7 (batch): one row per ride of the enriched table."""
-    return dedup_rides(obt)
+    """S7 (batch): one row per ride of the enriched table (rides without an id
+    cannot be keyed and are left out of gold)."""
+    return dedup_rides(obt.where("ride_id IS NOT NULL"))
 
 
 def fact(base: DataFrame) -> DataFrame:
@@ -77,6 +80,21 @@ class Star:
     dim_payment: DataFrame
     dim_booking: DataFrame
     dim_location: DataFrame
+    base: DataFrame | None = None
+
+    def fact_with_booking(self, fact_cols: list[str], booking_cols: list[str]) -> DataFrame:
+        """``fact LEFT JOIN dim_booking USING (ride_id)`` restricted to the columns given.
+
+        When both tables are projections of one gold base (same key set, one
+        row per ride), the join is the identity on that base and is skipped:
+        one scan, no shuffle.
+        """
+        cols = list(dict.fromkeys(["ride_id"] + fact_cols + booking_cols))
+        if self.base is not None:
+            return self.base.select(*cols)
+        f = self.fact.select(*dict.fromkeys(["ride_id"] + fact_cols))
+        b = self.dim_booking.select(*dict.fromkeys(["ride_id"] + booking_cols))
+        return f.join(b, "ride_id", "left").select(*cols)
 
     def location(self, mode: str = "current") -> DataFrame:
         """The location dimension for star joins on ``pickup_city_id`` alone.
@@ -93,8 +111,9 @@ class Star:
         raise ValueError(f"unknown location mode {mode!r}")
 
 
-def build_star(obt: DataFrame) -> Star:
-    base = gold_base(obt)
+def build_star(obt: DataFrame, already_unique: bool = False) -> Star:
+    """The star from the OBT (or from a gold base that is already one row per ride)."""
+    base = obt if already_unique else gold_base(obt)
     return Star(
         fact=fact(base),
         dim_passenger=dim_passenger(base),
@@ -103,4 +122,5 @@ def build_star(obt: DataFrame) -> Star:
         dim_payment=dim_payment(base),
         dim_booking=dim_booking(base),
         dim_location=dim_location(base),
+        base=base,
     )

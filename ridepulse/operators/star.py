@@ -48,9 +48,8 @@ def _div(num, den, scale: float = 100.0):
 
 def kpis(star: Star) -> DataFrame:
     """Q1: platform KPIs; averages skip NULLs, cancellation % over all rides."""
-    f = star.fact.select("ride_id", "total_fare", "surge_multiplier", "rating", "distance_miles")
-    b = star.dim_booking.select("ride_id", "ride_status_id")
-    j = f.join(b, "ride_id", "left")
+    j = star.fact_with_booking(["total_fare", "surge_multiplier", "rating", "distance_miles"],
+                               ["ride_status_id"])
     return j.agg(
         F.count(F.lit(1)).alias("total_rides"),
         (_hsum("total_fare") / F.lit(100.0)).alias("total_revenue"),
@@ -74,12 +73,10 @@ def live_feed(star: Star, limit: int = 10, location_mode: str = "current") -> Da
     rows pick up passenger, driver, vehicle and city through broadcast
     semi-filtered dimensions.  Ties on booking time break on ``ride_id``.
     """
-    f = star.fact.select("ride_id", "passenger_id", "driver_id", "vehicle_id", "pickup_city_id",
-                         "total_fare", "distance_miles", "duration_minutes",
-                         "surge_multiplier", "rating")
-    b = star.dim_booking.select("ride_id", "booking_timestamp")
-    top = (f.join(b, "ride_id", "left")
-           .orderBy(F.col("booking_timestamp").desc_nulls_last(), F.col("ride_id").asc_nulls_last())
+    fb = star.fact_with_booking(["passenger_id", "driver_id", "vehicle_id", "pickup_city_id",
+                                 "total_fare", "distance_miles", "duration_minutes",
+                                 "surge_multiplier", "rating"], ["booking_timestamp"])
+    top = (fb.orderBy(F.col("booking_timestamp").desc_nulls_last(), F.col("ride_id").asc_nulls_last())
            .limit(limit))
     p = semi_filter(star.dim_passenger.select("passenger_id", "passenger_name"), top, "passenger_id")
     d = semi_filter(star.dim_driver.select("driver_id", "driver_name", "driver_rating"), top, "driver_id")
@@ -189,10 +186,10 @@ def revenue_by_region(star: Star, cities: DataFrame, join_on: str = "id",
 
 def pickup_locations(star: Star, limit: int = 200) -> DataFrame:
     """Q9: valid pickup coordinates with address and fare, ``limit`` rows by ride id."""
-    b = star.dim_booking.select("ride_id", "pickup_latitude", "pickup_longitude", "pickup_address") \
+    j = star.fact_with_booking(["total_fare"], ["pickup_latitude", "pickup_longitude",
+                                                "pickup_address"]) \
         .where(F.col("pickup_latitude").isNotNull() & F.col("pickup_longitude").isNotNull()
                & F.col("pickup_latitude").between(-90, 90)
                & F.col("pickup_longitude").between(-180, 180))
-    j = star.fact.select("ride_id", "total_fare").join(b, "ride_id", "inner")
     return (j.orderBy("ride_id").limit(limit)
             .select("pickup_latitude", "pickup_longitude", "pickup_address", "total_fare"))
