@@ -142,3 +142,213 @@ WHERE b.pickup_latitude IS NOT NULL AND b.pickup_longitude IS NOT NULL
 ORDER BY f.ride_id LIMIT 200"""))
 def q9(spark, sf_dir):
     return Q.pickup_locations(lake(spark, sf_dir).star, 200)
+
+
+# ---------------------------------------------------------------- A1-A11 (curated)
+
+from ridepulse.operators import curated as A  # noqa: E402
+from ridepulse.operators import forecast as FC  # noqa: E402
+from ridepulse.plans.oracle import D, _lit  # noqa: E402
+
+_F0, _S1 = "COALESCE(f.total_fare, 0)", "COALESCE(f.surge_multiplier, 1)"
+_CITY_MEASURES = (f"COUNT(*) AS total_rides, {SUM2(_F0)} AS total_revenue, "
+                  f"{RND(AVG2(_F0))} AS avg_fare, {RND(AVG2(_S1))} AS avg_surge, "
+                  f"{RND(AVG2('f.rating'))} AS avg_rating")
+
+
+@register("A1_revenue_by_city", _q(f"""
+SELECT l.pickup_city AS city, {_CITY_MEASURES}
+FROM fact f LEFT JOIN loc_cur l ON f.pickup_city_id = l.pickup_city_id
+WHERE lower(l.pickup_city) = lower('nation_3') GROUP BY l.pickup_city"""))
+def a1(spark, sf_dir):
+    return A.revenue_by_city(lake(spark, sf_dir).star, "nation_3")
+
+
+@register("A2_top_cities_by_revenue", _q(f"""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY total_revenue DESC, city ASC) AS BIGINT) AS rank, t.*
+FROM (SELECT l.pickup_city AS city, {_CITY_MEASURES}
+  FROM fact f LEFT JOIN loc_cur l ON f.pickup_city_id = l.pickup_city_id
+  WHERE l.pickup_city IS NOT NULL GROUP BY l.pickup_city
+  ORDER BY total_revenue DESC, city ASC LIMIT 10) t"""))
+def a2(spark, sf_dir):
+    return A.top_cities_by_revenue(lake(spark, sf_dir).star, 10)
+
+
+@register("A3_surge_patterns", _q(f"""
+SELECT CAST(hour(b.booking_timestamp) AS BIGINT) AS booking_hour, COUNT(*) AS total_rides,
+  {RND(AVG2(_S1))} AS avg_surge, {RND(f'MAX({_S1})')} AS peak_surge,
+  {SUM2(_F0)} AS total_revenue
+FROM fact f LEFT JOIN dim_booking b ON f.ride_id = b.ride_id
+WHERE b.booking_timestamp IS NOT NULL AND hour(b.booking_timestamp) BETWEEN 4 AND 20
+GROUP BY 1"""))
+def a3(spark, sf_dir):
+    """Hours given reversed (20, 4): the guard swaps them to 4..20."""
+    return A.surge_patterns(lake(spark, sf_dir).star, 20, 4)
+
+
+@register("A4_city_surge_comparison", _q(f"""
+SELECT l.pickup_city AS city, COUNT(*) AS total_rides, {RND(AVG2(_S1))} AS avg_surge,
+  {RND(f'MAX({_S1})')} AS peak_surge, {SUM2(_F0)} AS total_revenue
+FROM fact f LEFT JOIN loc_cur l ON f.pickup_city_id = l.pickup_city_id
+WHERE lower(l.pickup_city) IN ('nation_1', 'nation_2', 'nation_7 metro')
+GROUP BY l.pickup_city"""))
+def a4(spark, sf_dir):
+    return A.city_surge_comparison(lake(spark, sf_dir).star,
+                                   "NATION_1, nation_2,Nation_1, NATION_7 METRO")
+
+
+@register("A5_demand_by_city", _q(f"""
+SELECT l.pickup_city AS city, COUNT(*) AS total_rides,
+  {CNT_IF('b.ride_status_id = 2')} AS cancelled_rides,
+  {CNT_IF('b.ride_status_id != 2 OR b.ride_status_id IS NULL')} AS non_cancelled_rides,
+  {PCT(CNT_IF('b.ride_status_id = 2'), 'COUNT(*)')} AS cancellation_rate,
+  {RND(AVG2(_S1))} AS avg_surge
+FROM fact f LEFT JOIN loc_cur l ON f.pickup_city_id = l.pickup_city_id
+LEFT JOIN dim_booking b ON f.ride_id = b.ride_id
+WHERE lower(l.pickup_city) = lower('NATION_3') GROUP BY l.pickup_city"""))
+def a5(spark, sf_dir):
+    return A.demand_by_city(lake(spark, sf_dir).star, "NATION_3")
+
+
+@register("A6_kpi_dashboard", _q(f"""
+SELECT COUNT(*) AS total_rides, {SUM2(_F0)} AS total_revenue, {RND(AVG2(_F0))} AS avg_fare,
+  {RND(AVG2(_S1))} AS avg_surge, {RND(AVG2('f.rating'))} AS avg_rating,
+  {RND(AVG2('f.distance_miles'))} AS avg_distance,
+  {PCT(CNT_IF('b.ride_status_id = 2'), 'COUNT(*)')} AS cancellation_rate
+FROM fact f LEFT JOIN dim_booking b ON f.ride_id = b.ride_id"""))
+def a6(spark, sf_dir):
+    return A.kpi_dashboard(lake(spark, sf_dir).star)
+
+
+_OF0, _OS1 = "COALESCE(total_fare, 0)", "COALESCE(surge_multiplier, 1)"
+
+
+@register("A7a_silver_city_overview", _q(f"""
+SELECT pickup_city AS city, state, region, COUNT(*) AS total_rides, {SUM2(_OF0)} AS total_revenue,
+  {RND(AVG2('COALESCE(distance_miles, 0)'))} AS avg_distance_miles,
+  {RND('CAST(SUM(COALESCE(duration_minutes, 0)) AS DOUBLE) / COUNT(COALESCE(duration_minutes, 0))')}
+    AS avg_duration_minutes,
+  {RND(AVG2(_OS1))} AS avg_surge, {RND(AVG2('rating'))} AS avg_rating,
+  {RND(AVG2('driver_rating'))} AS avg_driver_rating
+FROM obt WHERE lower(pickup_city) = 'nation_3' GROUP BY pickup_city, state, region"""))
+def a7a(spark, sf_dir):
+    """Both cities named NATION_3 are returned (one row per city, state, region)."""
+    return A.silver_city_overview(lake(spark, sf_dir).obt, "NATION_3")
+
+
+@register("A7b_silver_vehicle_mix", _q(f"""
+SELECT vehicle_type, COUNT(*) AS rides, {RND(AVG2(_OF0))} AS avg_fare, {RND(AVG2(_OS1))} AS avg_surge
+FROM obt WHERE lower(pickup_city) = 'nation_3' AND vehicle_type IS NOT NULL
+GROUP BY vehicle_type ORDER BY rides DESC, vehicle_type ASC LIMIT 8"""))
+def a7b(spark, sf_dir):
+    return A.silver_vehicle_mix(lake(spark, sf_dir).obt, "NATION_3")
+
+
+@register("A7c_silver_payment_mix", _q("""
+SELECT payment_method, COUNT(*) AS rides
+FROM obt WHERE lower(pickup_city) = 'nation_3' AND payment_method IS NOT NULL
+GROUP BY payment_method ORDER BY rides DESC, payment_method ASC LIMIT 8"""))
+def a7c(spark, sf_dir):
+    return A.silver_payment_mix(lake(spark, sf_dir).obt, "NATION_3")
+
+
+@register("A7d_silver_status_mix", _q("""
+SELECT COALESCE(ride_status, 'Unknown') AS ride_status,
+  COALESCE(cancellation_reason, 'None') AS cancellation_reason, COUNT(*) AS rides
+FROM obt WHERE lower(pickup_city) = 'nation_3'
+GROUP BY 1, 2 ORDER BY rides DESC, ride_status ASC, cancellation_reason ASC LIMIT 8"""))
+def a7d(spark, sf_dir):
+    return A.silver_status_mix(lake(spark, sf_dir).obt, "NATION_3")
+
+
+@register("A8_recent_signals", _q(f"""
+SELECT booking_timestamp, pickup_city, state, region, vehicle_type, ride_status,
+  cancellation_reason, {RND(_OF0)} AS total_fare, {RND('COALESCE(distance_miles, 0)')} AS distance_miles,
+  duration_minutes, {RND(_OS1)} AS surge_multiplier, rating
+FROM obt WHERE booking_timestamp IS NOT NULL
+ORDER BY booking_timestamp DESC, ride_id ASC LIMIT 10"""))
+def a8(spark, sf_dir):
+    return A.recent_signals(lake(spark, sf_dir).obt, 10)
+
+
+# Trailing-window operators: at test density 6 hours hold almost nothing, so the
+# registered forms use a fixed as-of time and a 90-day window.
+AS_OF, WINDOW_H, HORIZON = "2001-07-01 00:00:00", 2160, 3
+
+_WIN = (f"booking_timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL {WINDOW_H} HOUR "
+        f"AND booking_timestamp < TIMESTAMP '{AS_OF}'")
+_FEATURES = (f"COUNT(*) AS rides_last_6h, {RND(f'COUNT(*) / {D(WINDOW_H)}')} AS avg_rides_per_hour, "
+             f"{RND(AVG2(_OS1))} AS avg_surge_last_6h, {RND(f'MAX({_OS1})')} AS peak_surge_last_6h, "
+             f"{PCT(CNT_IF('ride_status_id = 2'), 'GREATEST(COUNT(*), 1)')} AS cancellation_rate_last_6h")
+
+
+def _demand_sql(src: str, city_cols: str) -> str:
+    per_hour = "COALESCE(avg_rides_per_hour, 0)"
+    return (f"SELECT {city_cols}, CAST({HORIZON} AS BIGINT) AS horizon_hours, rides_last_6h, "
+            f"avg_rides_per_hour, avg_surge_last_6h, cancellation_rate_last_6h, "
+            f"{RND(f'{per_hour} * {D(HORIZON)}', 1)} AS predicted_rides, "
+            f"CASE WHEN {per_hour} = 0 THEN 'low' ELSE 'medium' END AS confidence FROM {src}")
+
+
+def _pressure_sql(src: str, city_cols: str) -> str:
+    a = f"CASE WHEN avg_surge_last_6h IS NULL OR avg_surge_last_6h = 0 THEN {D(1)} ELSE avg_surge_last_6h END"
+    p = f"CASE WHEN peak_surge_last_6h IS NULL OR peak_surge_last_6h = 0 THEN ({a}) ELSE peak_surge_last_6h END"
+    c = (f"CASE WHEN cancellation_rate_last_6h IS NULL OR cancellation_rate_last_6h = 0 THEN {D(0)} "
+         f"ELSE cancellation_rate_last_6h END")
+    score = RND(f"(({a}) - {D(1)}) * {D(55)} + (({p}) - {D(1)}) * {D(25)} + ({c}) * {D(0.2)}", 1)
+    return (f"SELECT {city_cols}, rides_last_6h, avg_surge_last_6h, peak_surge_last_6h, "
+            f"cancellation_rate_last_6h, pressure_score, CASE WHEN pressure_score >= 45 THEN 'high' "
+            f"WHEN pressure_score >= 20 THEN 'medium' ELSE 'low' END AS pressure_band "
+            f"FROM (SELECT *, {score} AS pressure_score FROM {src})")
+
+
+_ONE = f"(SELECT {_FEATURES} FROM obt WHERE lower(pickup_city) = 'nation_5' AND {_WIN})"
+_ALL = (f"(SELECT c.city_id, c.city, COALESCE(w.rides_last_6h, 0) AS rides_last_6h, "
+        f"COALESCE(w.avg_rides_per_hour, {D(0)}) AS avg_rides_per_hour, w.avg_surge_last_6h, "
+        f"w.peak_surge_last_6h, COALESCE(w.cancellation_rate_last_6h, {D(0)}) AS cancellation_rate_last_6h "
+        f"FROM cur_cities c LEFT JOIN (SELECT pickup_city_id, {_FEATURES} FROM obt "
+        f"WHERE {_WIN} AND pickup_city_id IS NOT NULL GROUP BY pickup_city_id) w "
+        f"ON c.city_id = w.pickup_city_id)")
+
+
+@register("A9_predict_city_demand", _q(_demand_sql(_ONE, "'NATION_5' AS city")))
+def a9(spark, sf_dir):
+    return FC.predict_city_demand(lake(spark, sf_dir).obt, "NATION_5", HORIZON, AS_OF, WINDOW_H)
+
+
+@register("A9b_predict_demand_all_cities", _q(_demand_sql(_ALL, "city_id, city")))
+def a9b(spark, sf_dir):
+    lh = lake(spark, sf_dir)
+    return FC.predict_demand_all_cities(lh.obt, lh.cities, HORIZON, AS_OF, WINDOW_H)
+
+
+@register("A10_predict_surge_pressure", _q(_pressure_sql(_ONE, "'NATION_5' AS city")))
+def a10(spark, sf_dir):
+    return FC.predict_surge_pressure(lake(spark, sf_dir).obt, "NATION_5", AS_OF, WINDOW_H)
+
+
+@register("A10b_predict_pressure_all_cities", _q(_pressure_sql(_ALL, "city_id, city")))
+def a10b(spark, sf_dir):
+    lh = lake(spark, sf_dir)
+    return FC.predict_pressure_all_cities(lh.obt, lh.cities, AS_OF, WINDOW_H)
+
+
+def _a11_sql() -> str:
+    arch = ", ".join(f"({_lit(c)}, {_lit(a)})" for c, a in A.ARCHETYPES)
+    sig = ", ".join(f"({_lit(c)}, {_lit(' | '.join(s))})" for c, s in A.SIGNALS)
+    return _q(f"""
+SELECT c.city, c.state, c.region,
+  COALESCE(a.market_archetype, COALESCE(c.region, 'general') || ' regional market') AS market_archetype,
+  COALESCE(s.sig, COALESCE(c.region, 'regional') || ' demand patterns | local event and commute sensitivity')
+    AS context_signals
+FROM cur_cities c
+LEFT JOIN (VALUES {arch}) AS a(a_city, market_archetype) ON lower(c.city) = a.a_city
+LEFT JOIN (VALUES {sig}) AS s(s_city, sig) ON c.city = s.s_city""")
+
+
+@register("A11_market_context", _a11_sql())
+def a11(spark, sf_dir):
+    """Every current city's context; the signal list is shown joined by ' | '."""
+    from pyspark.sql import functions as F
+    out = A.market_context_all(spark, lake(spark, sf_dir).cities)
+    return out.withColumn("context_signals", F.array_join("context_signals", " | "))
