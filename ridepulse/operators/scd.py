@@ -120,20 +120,25 @@ def current(dim: DataFrame) -> DataFrame:
 
 
 def as_of_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-               ts: str, how: str = "left") -> DataFrame:
+               ts: str, how: str = "left", dim_is_small: bool = True) -> DataFrame:
     """Join each fact to the dimension version valid at ``facts[ts]``.
 
     ``start <= ts < end`` (open end = current); the first version also covers
     earlier times.  An equi-join on the key with a range filter: no range or
-    nested-loop join is needed.
+    nested-loop join is needed.  A small dimension (the location history is
+    cities x versions) is broadcast after a size check.
     """
+    from ridepulse.functions.joins import small_lookup
     w = Window.partitionBy(dim_key).orderBy(START_AT)
-    d = dim.withColumn("__first", F.row_number().over(w) == 1)
+    d = dim.withColumn("__first", F.row_number().over(w) == 1) \
+        .withColumnRenamed(dim_key, "__dk")
+    d = small_lookup(d) if dim_is_small else d
     t = F.col(ts)
-    cond = ((facts[fact_key] == d[dim_key])
-            & (d[END_AT].isNull() | (t < d[END_AT]))
-            & (d["__first"] | (t >= d[START_AT])))
-    return facts.join(d, cond, how).drop("__first")
+    cond = ((F.col(fact_key) == F.col("__dk"))
+            & (F.col(END_AT).isNull() | (t < F.col(END_AT)))
+            & (F.col("__first") | (t >= F.col(START_AT))))
+    out = facts.join(d, cond, how).drop("__first")
+    return out.withColumnRenamed("__dk", dim_key) if dim_key != fact_key else out.drop("__dk")
 
 
 def first_seen(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -94,6 +94,7 @@ def _by_city(star: Star, location_mode: str) -> DataFrame:
     pre = _partial(star.fact, "pickup_city_id", {
         "n": F.count(F.lit(1)),
         "fare_h": _hsum("total_fare"),
+        "fare_n": _nn("total_fare"),
         "fare0_h": F.sum(_h(F.coalesce("total_fare", F.lit(0.0)))),
         "surge1_h": F.sum(_h(F.coalesce("surge_multiplier", F.lit(1.0)))),
         "surge1_max": F.max(F.coalesce("surge_multiplier", F.lit(1.0))),

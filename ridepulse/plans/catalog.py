@@ -352,3 +352,344 @@ def a11(spark, sf_dir):
     from pyspark.sql import functions as F
     out = A.market_context_all(spark, lake(spark, sf_dir).cities)
     return out.withColumn("context_signals", F.array_join("context_signals", " | "))
+
+
+# ---------------------------------------------------------------- P1-P9 (shaping)
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ridepulse.operators import shaping as P  # noqa: E402
+
+
+def _dashboard_slices(lh: Lakehouse):
+    st = lh.star
+    slices = {
+        "kpis": Q.kpis(st),
+        "rides_by_city": Q.rides_by_city(st),
+        "rides_by_vehicle_type": Q.rides_by_vehicle_type(st),
+        "rides_by_payment_method": Q.rides_by_payment(st),
+        "surge_distribution": Q.surge_distribution(st),
+        "revenue_by_region": Q.revenue_by_region(st, lh.maps["map_cities"]),
+        "top_drivers": Q.top_drivers(st, 10),
+        "recent_rides": Q.live_feed(st, 15),
+    }
+    orders = {
+        "rides_by_city": [F.col("total_rides").desc(), F.col("city").asc_nulls_first()],
+        "rides_by_vehicle_type": [F.col("total_rides").desc(), F.col("vehicle_type").asc_nulls_first()],
+        "rides_by_payment_method": [F.col("total_rides").desc(), F.col("payment_method").asc_nulls_first()],
+        "surge_distribution": [F.col("surge_bucket").asc()],
+        "revenue_by_region": [F.col("total_revenue").desc(), F.col("region").asc()],
+        "top_drivers": [F.col("total_rides").desc(), F.col("driver_name").asc()],
+        "recent_rides": [F.col("booking_timestamp").desc(), F.col("ride_id").asc()],
+    }
+    return slices, orders
+
+
+@register("P1_dashboard_snapshot", None)
+def p1(spark, sf_dir):
+    """Bounded (slice, pos, json) snapshot; JSON text is engine-specific, so rows-only."""
+    return P.snapshot(*_dashboard_slices(lake(spark, sf_dir)))
+
+
+_ALLOWED = ", ".join(P.ALLOWED_RIDE_COLUMNS)
+
+
+@register("P2_sanitized_recent_rides", _q(f"SELECT {_ALLOWED} FROM ({_FEED_SQL.format(loc='loc_cur', limit=15)})"))
+def p2(spark, sf_dir):
+    return P.sanitize(Q.live_feed(lake(spark, sf_dir).star, 15))
+
+
+_ISO = ("CASE WHEN epoch_us(booking_timestamp) % 1000000 = 0 "
+        "THEN strftime(booking_timestamp, '%Y-%m-%dT%H:%M:%S') "
+        "ELSE strftime(booking_timestamp, '%Y-%m-%dT%H:%M:%S.%f') END")
+
+
+@register("P3_clean_values", _q(f"""
+SELECT {_ISO} AS booking_timestamp, pickup_city, state, region, vehicle_type, ride_status,
+  cancellation_reason, {RND(_OF0)} AS total_fare, {RND('COALESCE(distance_miles, 0)')} AS distance_miles,
+  duration_minutes, {RND(_OS1)} AS surge_multiplier, rating
+FROM obt WHERE booking_timestamp IS NOT NULL
+ORDER BY obt.booking_timestamp DESC, ride_id ASC LIMIT 10"""))
+def p3(spark, sf_dir):
+    return P.clean_values(A.recent_signals(lake(spark, sf_dir).obt, 10))
+
+
+def _fmt_sql(x: str, pattern: str, n: int | None) -> str:
+    v = RND(x, n) if n is not None else x
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE printf('{pattern}', {v}) END"
+
+
+@register("P4_formatted_feed", _q(f"""
+SELECT strftime(booking_timestamp, '%m/%d %H:%M') AS "Time", passenger_name AS "Passenger",
+  driver_name AS "Driver", {_fmt_sql('driver_rating', '%.2f', 2)} AS "Driver Rating",
+  vehicle_type AS "Vehicle", pickup_city AS "City", {_fmt_sql('total_fare', '$%.2f', 2)} AS "Fare",
+  {_fmt_sql('distance_miles', '%.1fmi', 1)} AS "Dist",
+  {_fmt_sql('duration_minutes', '%dmin', None)} AS "Min",
+  {_fmt_sql('surge_multiplier', '%.2fx', 2)} AS "Surge", {_fmt_sql('rating', '%.2f', 2)} AS "Rating"
+FROM ({_FEED_SQL.format(loc='loc_cur', limit=15)})"""))
+def p4(spark, sf_dir):
+    return P.format_feed(Q.live_feed(lake(spark, sf_dir).star, 15))
+
+
+_DRIVERS10 = f"""
+SELECT d.driver_name, {RND(AVG2('d.driver_rating'))} AS driver_rating, COUNT(*) AS total_rides,
+  {SUM2('COALESCE(f.total_fare, 0)')} AS total_revenue,
+  {RND(f"SUM({H('COALESCE(f.tip_amount, 0)')}) / COUNT(*) / CAST(100 AS DOUBLE)")} AS avg_tip
+FROM fact f LEFT JOIN dim_driver d ON f.driver_id = d.driver_id
+WHERE d.driver_name IS NOT NULL
+GROUP BY d.driver_name ORDER BY total_rides DESC, d.driver_name ASC LIMIT 10"""
+
+
+@register("P5_driver_leaderboard", _q(f"""
+SELECT '#' || CAST(ROW_NUMBER() OVER (ORDER BY total_rides DESC, driver_name ASC) AS VARCHAR) AS "Rank",
+  driver_name AS "Driver", driver_rating AS "Rating", total_rides AS "Rides",
+  total_revenue AS "Revenue ($)", avg_tip AS "Avg Tip ($)"
+FROM ({_DRIVERS10})"""))
+def p5(spark, sf_dir):
+    return P.leaderboard(Q.top_drivers(lake(spark, sf_dir).star, 10))
+
+
+def _compact_sql(x: str) -> str:
+    v = f"TRY_CAST({x} AS DOUBLE)"
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {v} IS NULL THEN CAST({x} AS VARCHAR) "
+            f"WHEN ABS({v}) >= 1000000 THEN printf('%.1fM', {RND(f'{v} / {D(1000000)}', 1)}) "
+            f"WHEN ABS({v}) >= 1000 THEN printf('%.1fK', {RND(f'{v} / {D(1000)}', 1)}) "
+            f"WHEN {v} = FLOOR({v}) THEN printf('%d', CAST({v} AS BIGINT)) "
+            f"ELSE printf('%.1f', {RND(v, 1)}) END")
+
+
+@register("P6_compact_numbers", _q(f"""
+SELECT city, {_compact_sql('total_rides')} AS total_rides, {_compact_sql('total_revenue')} AS total_revenue,
+  {_compact_sql('avg_fare')} AS avg_fare
+FROM (SELECT l.pickup_city AS city, COUNT(*) AS total_rides, {SUM2('f.total_fare')} AS total_revenue,
+  {RND(AVG2('f.total_fare'))} AS avg_fare
+  FROM fact f LEFT JOIN loc_cur l ON f.pickup_city_id = l.pickup_city_id GROUP BY l.pickup_city)"""))
+def p6(spark, sf_dir):
+    """Per-city rides, revenue and average fare as compact display text."""
+    st = lake(spark, sf_dir).star
+    g = Q._by_city(st, "current").groupBy(F.col("pickup_city").alias("city")).agg(
+        F.sum("n").alias("total_rides"), (F.sum("fare_h") / F.lit(100.0)).alias("total_revenue"),
+        Q.rnd(F.sum("fare_h") / F.sum("fare_n") / F.lit(100.0)).alias("avg_fare"))
+    return g.select("city", *[P.compact_number(F.col(c)).alias(c)
+                              for c in ["total_rides", "total_revenue", "avg_fare"]])
+
+
+@register("P7_kpi_cards", _q(f"""
+SELECT CAST(TRUNC(COALESCE(CAST(total_rides AS DOUBLE), 0)) AS BIGINT) AS total_rides,
+  CAST(TRUNC(COALESCE(total_revenue, 0)) AS BIGINT) AS total_revenue,
+  COALESCE(avg_fare, {D(0)}) AS avg_fare, COALESCE(avg_surge, {D(0)}) AS avg_surge,
+  COALESCE(avg_rating, {D(0)}) AS avg_rating, COALESCE(avg_distance, {D(0)}) AS avg_distance,
+  COALESCE(cancellation_rate, {D(0)}) AS cancellation_rate
+FROM (SELECT COUNT(*) AS total_rides, {SUM2('f.total_fare')} AS total_revenue,
+  {RND(AVG2('f.total_fare'))} AS avg_fare, {RND(AVG2('f.surge_multiplier'))} AS avg_surge,
+  {RND(AVG2('f.rating'))} AS avg_rating, {RND(AVG2('f.distance_miles'))} AS avg_distance,
+  {PCT(CNT_IF('b.ride_status_id = 2'), 'COUNT(*)')} AS cancellation_rate
+  FROM fact f LEFT JOIN dim_booking b ON f.ride_id = b.ride_id)"""))
+def p7(spark, sf_dir):
+    return P.kpi_cards(Q.kpis(lake(spark, sf_dir).star))
+
+
+@register("P8_vehicle_type_share", _q(f"""
+SELECT vehicle_type, total_rides, avg_fare, total_rides / SUM(total_rides) OVER () AS share
+FROM (SELECT v.vehicle_type, COUNT(*) AS total_rides, {RND(AVG2('f.total_fare'))} AS avg_fare
+  FROM fact f LEFT JOIN dim_vehicle v ON f.vehicle_id = v.vehicle_id GROUP BY v.vehicle_type)"""))
+def p8(spark, sf_dir):
+    return P.with_share(Q.rides_by_vehicle_type(lake(spark, sf_dir).star), "total_rides")
+
+
+@register("P9_pickup_density", _q(f"""
+SELECT FLOOR(b.pickup_latitude / {D(0.25)}) * {D(0.25)} AS cell_lat,
+  FLOOR(b.pickup_longitude / {D(0.25)}) * {D(0.25)} AS cell_lon,
+  COUNT(*) AS rides, {SUM2('COALESCE(f.total_fare, 0)')} AS total_revenue
+FROM fact f LEFT JOIN dim_booking b ON f.ride_id = b.ride_id
+WHERE b.pickup_latitude IS NOT NULL AND b.pickup_longitude IS NOT NULL
+  AND b.pickup_latitude BETWEEN -90 AND 90 AND b.pickup_longitude BETWEEN -180 AND 180
+GROUP BY 1, 2"""))
+def p9(spark, sf_dir):
+    st = lake(spark, sf_dir).star
+    return P.pickup_density(st.fact_with_booking(["total_fare"], ["pickup_latitude", "pickup_longitude"]))
+
+
+# ---------------------------------------------------------------- G1-G7 (quality)
+
+from ridepulse.operators import quality as G  # noqa: E402
+
+
+def _summary_sql(src: str, rules: dict[str, tuple[str, str]]) -> str:
+    parts = [f"SELECT '{n}' AS rule, CAST(COALESCE(SUM(CASE WHEN {c} THEN 1 ELSE 0 END), 0) AS BIGINT) AS checked, "
+             f"CAST(COALESCE(SUM(CASE WHEN ({c}) AND ({b}) THEN 1 ELSE 0 END), 0) AS BIGINT) AS violations "
+             f"FROM {src}" for n, (c, b) in rules.items()]
+    return "\nUNION ALL ".join(parts)
+
+
+def _off(a: str, e: str) -> str:
+    return f"ABS({H(a)} - {H(e)}) > 1"
+
+
+def _nn_sql(*cols: str) -> str:
+    return " AND ".join(f"{c} IS NOT NULL" for c in cols)
+
+
+_FARE_RULES = {
+    "base_fare": (_nn_sql("base_fare", "base_rate"), _off("base_fare", "base_rate")),
+    "distance_fare": (_nn_sql("distance_fare", "distance_miles", "per_mile"),
+                      _off("distance_fare", RND("distance_miles * per_mile"))),
+    "time_fare": (_nn_sql("time_fare", "duration_minutes", "per_minute"),
+                  _off("time_fare", RND("CAST(duration_minutes AS DOUBLE) * per_minute"))),
+    "subtotal": (_nn_sql("subtotal", "base_fare", "distance_fare", "time_fare", "surge_multiplier"),
+                 _off("subtotal", RND("(base_fare + distance_fare + time_fare) * surge_multiplier"))),
+    "total_fare": (_nn_sql("total_fare", "subtotal"),
+                   _off("total_fare", RND(f"subtotal + COALESCE(tip_amount, {D(0)})"))),
+}
+
+
+@register("G1_fare_audit", _q(_summary_sql("obt", _FARE_RULES)))
+def g1(spark, sf_dir):
+    return G.fare_audit(lake(spark, sf_dir).obt)
+
+
+_BOXES = (f"(SELECT DISTINCT city_id, {D(20)} + CAST(city_id AS DOUBLE) AS lat_min, "
+          f"{D(20)} + CAST(city_id AS DOUBLE) + {D(0.5)} AS lat_max, "
+          f"{D(-100)} - CAST(city_id AS DOUBLE) AS lon_min, "
+          f"{D(-100)} - CAST(city_id AS DOUBLE) + {D(0.5)} AS lon_max FROM map_cities)")
+
+
+def _in_box_sql(lat, lon, p):
+    return f"({lat} BETWEEN {p}.lat_min AND {p}.lat_max AND {lon} BETWEEN {p}.lon_min AND {p}.lon_max)"
+
+
+_COORD_RULES = {
+    "pickup_in_city_box": ("pb.city_id IS NOT NULL",
+                           f"o.pickup_latitude IS NULL OR o.pickup_longitude IS NULL OR NOT "
+                           f"{_in_box_sql('o.pickup_latitude', 'o.pickup_longitude', 'pb')}"),
+    "dropoff_in_city_box": ("db.city_id IS NOT NULL",
+                            f"o.dropoff_latitude IS NULL OR o.dropoff_longitude IS NULL OR NOT "
+                            f"{_in_box_sql('o.dropoff_latitude', 'o.dropoff_longitude', 'db')}"),
+    "pickup_valid_range": ("TRUE", "o.pickup_latitude IS NULL OR o.pickup_longitude IS NULL OR "
+                                   "NOT o.pickup_latitude BETWEEN -90 AND 90 OR "
+                                   "NOT o.pickup_longitude BETWEEN -180 AND 180"),
+}
+_WITH_BOXES = (f"(obt o LEFT JOIN {_BOXES} pb ON o.pickup_city_id = pb.city_id "
+               f"LEFT JOIN {_BOXES} db ON o.dropoff_city_id = db.city_id)")
+
+
+@register("G2_coordinate_check", _q(_summary_sql(_WITH_BOXES, _COORD_RULES)))
+def g2(spark, sf_dir):
+    lh = lake(spark, sf_dir)
+    return G.coordinate_check(lh.obt, G.boxes_by_rule(lh.maps["map_cities"]))
+
+
+@register("G2b_locate_pickup_city", _q(f"""
+SELECT o.pickup_city_id, b.city_id AS located_city_id, COUNT(*) AS rides
+FROM obt o LEFT JOIN {_BOXES} b
+  ON o.pickup_latitude BETWEEN b.lat_min AND b.lat_max AND o.pickup_longitude BETWEEN b.lon_min AND b.lon_max
+GROUP BY 1, 2"""))
+def g2b(spark, sf_dir):
+    """Reverse lookup point -> city for every ride, counted per (claimed, located) city."""
+    lh = lake(spark, sf_dir)
+    located = G.locate_city(lh.obt.select("pickup_city_id", "pickup_latitude", "pickup_longitude"),
+                            G.boxes_by_rule(lh.maps["map_cities"]))
+    return located.groupBy("pickup_city_id", "located_city_id").agg(F.count(F.lit(1)).alias("rides"))
+
+
+_PICK, _DROP = "TRY_CAST(pickup_timestamp AS TIMESTAMP)", "TRY_CAST(dropoff_timestamp AS TIMESTAMP)"
+_TIME_RULES = {
+    "booking_1_to_5_min_before_pickup": (
+        f"booking_timestamp IS NOT NULL AND {_PICK} IS NOT NULL",
+        f"date_diff('second', booking_timestamp, {_PICK}) < 60 OR "
+        f"date_diff('second', booking_timestamp, {_PICK}) > 300"),
+    "dropoff_is_pickup_plus_duration": (
+        f"{_PICK} IS NOT NULL AND {_DROP} IS NOT NULL AND duration_minutes IS NOT NULL",
+        f"date_diff('second', {_PICK}, {_DROP}) != duration_minutes * 60"),
+    "duration_at_least_4_min": ("duration_minutes IS NOT NULL", "duration_minutes < 4"),
+    "timestamps_parse": ("pickup_timestamp IS NOT NULL OR dropoff_timestamp IS NOT NULL",
+                         f"(pickup_timestamp IS NOT NULL AND {_PICK} IS NULL) OR "
+                         f"(dropoff_timestamp IS NOT NULL AND {_DROP} IS NULL)"),
+}
+
+
+@register("G3_time_order_check", _q(_summary_sql("obt", _TIME_RULES)))
+def g3(spark, sf_dir):
+    return G.time_order_check(lake(spark, sf_dir).obt)
+
+
+_STATUS_RULES = {
+    "status_known": ("TRUE", "ride_status_id IS NULL OR ride_status_id NOT IN (1, 2)"),
+    "cancelled_has_reason_1_to_3": ("ride_status_id = 2", "cancellation_reason_id IS NULL OR "
+                                                          "cancellation_reason_id NOT IN (1, 2, 3)"),
+    "cancelled_has_no_rating": ("ride_status_id = 2", "rating IS NOT NULL"),
+    "completed_has_reason_4": ("ride_status_id = 1", "cancellation_reason_id IS NULL OR "
+                                                     "cancellation_reason_id != 4"),
+    "completed_has_rating": ("ride_status_id = 1", "rating IS NULL"),
+}
+
+
+@register("G4_status_check", _q(_summary_sql("obt", _STATUS_RULES)))
+def g4(spark, sf_dir):
+    return G.status_check(lake(spark, sf_dir).obt)
+
+
+def _keys_sql() -> str:
+    joins, rules = [], {}
+    for i, (col, name, key) in enumerate(G.FOREIGN_KEYS):
+        joins.append(f"LEFT JOIN (SELECT DISTINCT {key} AS k{i} FROM {name}) m{i} ON o.{col} = m{i}.k{i}")
+        rules[col] = (f"o.{col} IS NOT NULL", f"m{i}.k{i} IS NULL")
+    return _q(_summary_sql("(obt o " + " ".join(joins) + ")", rules))
+
+
+@register("G5_key_integrity", _keys_sql())
+def g5(spark, sf_dir):
+    lh = lake(spark, sf_dir)
+    return G.key_integrity(lh.obt, lh.maps)
+
+
+def _share_sql() -> str:
+    obs = " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, CAST({d} AS BIGINT) AS category_id, COUNT(*) AS observed_rides "
+        f"FROM obt GROUP BY 2" for d in G.EXPECTED_WEIGHTS)
+    vals = ", ".join(f"('{d}', {i}, {float(w)})" for d, ws in G.EXPECTED_WEIGHTS.items() for i, w in ws)
+    return _q(f"""
+SELECT COALESCE(o.dimension, e.dimension) AS dimension, COALESCE(o.category_id, e.category_id) AS category_id,
+  COALESCE(o.observed_rides, 0) AS observed_rides, COALESCE(o.observed_share, {D(0)}) AS observed_share,
+  COALESCE(e.expected_share, {D(0)}) AS expected_share,
+  COALESCE(o.observed_share, {D(0)}) - COALESCE(e.expected_share, {D(0)}) AS drift
+FROM (SELECT *, observed_rides / SUM(observed_rides) OVER (PARTITION BY dimension) AS observed_share
+      FROM ({obs})) o
+FULL OUTER JOIN (SELECT dimension, CAST(category_id AS BIGINT) AS category_id,
+      CAST(weight AS DOUBLE) / SUM(CAST(weight AS DOUBLE)) OVER (PARTITION BY dimension) AS expected_share
+      FROM (VALUES {vals}) AS t(dimension, category_id, weight)) e
+  ON o.dimension = e.dimension AND o.category_id = e.category_id""")
+
+
+@register("G6_share_drift", _share_sql())
+def g6(spark, sf_dir):
+    return G.share_drift(spark, lake(spark, sf_dir).obt)
+
+
+def _bands_sql() -> str:
+    sel = []
+    for m, (edges, _) in G.BANDS.items():
+        last = len(edges) - 2
+        whens = " ".join(
+            f"WHEN {m} >= {D(edges[i])} AND {m} {'<=' if i == last else '<'} {D(edges[i + 1])} THEN {i}"
+            for i in range(len(edges) - 1))
+        sel.append(f"SELECT '{m}' AS measure, CASE WHEN {m} IS NULL THEN NULL {whens} ELSE -1 END AS band FROM obt")
+    vals = []
+    for m, (edges, ws) in G.BANDS.items():
+        tot = float(sum(ws))
+        vals += [f"('{m}', {i}, {float(edges[i])}, {float(edges[i + 1])}, {w / tot!r})" for i, w in enumerate(ws)]
+    return _q(f"""
+SELECT COALESCE(o.measure, e.measure) AS measure, CAST(COALESCE(o.band, e.band) AS BIGINT) AS band,
+  CAST(e.band_lo AS DOUBLE) AS band_lo, CAST(e.band_hi AS DOUBLE) AS band_hi,
+  COALESCE(o.observed_rides, 0) AS observed_rides, COALESCE(o.observed_share, {D(0)}) AS observed_share,
+  COALESCE(CAST(e.expected_share AS DOUBLE), {D(0)}) AS expected_share
+FROM (SELECT measure, band, COUNT(*) AS observed_rides,
+        COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY measure) AS observed_share
+      FROM ({' UNION ALL '.join(sel)}) WHERE band IS NOT NULL GROUP BY measure, band) o
+FULL OUTER JOIN (VALUES {', '.join(vals)}) AS e(measure, band, band_lo, band_hi, expected_share)
+  ON o.measure = e.measure AND o.band = e.band""")
+
+
+@register("G7_band_histograms", _bands_sql())
+def g7(spark, sf_dir):
+    return G.band_histograms(spark, lake(spark, sf_dir).obt)
