@@ -693,3 +693,148 @@ FULL OUTER JOIN (VALUES {', '.join(vals)}) AS e(measure, band, band_lo, band_hi,
 @register("G7_band_histograms", _bands_sql())
 def g7(spark, sf_dir):
     return G.band_histograms(spark, lake(spark, sf_dir).obt)
+
+
+# ---------------------------------------------------------------- T1-T13, S8 (pipeline)
+
+from ridepulse.operators import scd as SCD  # noqa: E402
+from ridepulse.operators import silver as SV  # noqa: E402
+from ridepulse.schemas import DIM_COLUMNS, FACT_COLUMNS, RIDE_COLUMNS  # noqa: E402
+from ridepulse.sources import events as EV  # noqa: E402
+from ridepulse.sources.binding import read_table, rides_from_tables  # noqa: E402
+
+_RIDES = ", ".join(RIDE_COLUMNS)
+
+
+@register("T1_parse_event_props", """
+SELECT event_type, COUNT(*) AS events,
+  CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k,
+  COUNT(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS parsed
+FROM events GROUP BY event_type""")
+def t1_props(spark, sf_dir):
+    """T1 on the events table: JSON text column -> typed struct field."""
+    ev = read_table(spark, sf_dir, "events")
+    k = F.from_json("props", "k BIGINT").getField("k")
+    return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"),
+                                        F.sum(k).alias("sum_k"), F.count(k).alias("parsed"))
+
+
+@register("T1_ride_json_roundtrip", _q(f"SELECT {_RIDES} FROM rides"))
+def t1_rides(spark, sf_dir):
+    """S8 payload -> S2/T1/T2/T3: every ride through its JSON event and back."""
+    events = EV.ride_events(rides_from_tables(spark, sf_dir)).withColumnRenamed("value", "rides")
+    return SV.normalise_ts(SV.parse_rides(events))
+
+
+def _three_sources(spark, sf_dir):
+    """Bulk, live and archive sources that overlap on purpose.
+
+    Every ride is in at least one source: key digits 0-5 bulk, 4-8 live, 8-9
+    archive, so rides ending in 4, 5 or 8 arrive twice.  Bulk keeps its
+    booking time as text (normalised by T3), live arrives as JSON events.
+    """
+    rides = rides_from_tables(spark, sf_dir)
+    digit = F.col("ride_id").cast("long") % 10
+    bulk = rides.where(digit.between(0, 5)) \
+        .withColumn("booking_timestamp", F.date_format("booking_timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
+    live = SV.parse_rides(EV.ride_events(rides.where(digit.between(4, 8)))
+                          .withColumnRenamed("value", "rides"))
+    archive = rides.where(digit.between(8, 9))
+    return bulk, live, archive
+
+
+_THREE_SQL = " UNION ALL ".join(
+    f"SELECT {_RIDES} FROM rides WHERE CAST(ride_id AS BIGINT) % 10 BETWEEN {a} AND {b}"
+    for a, b in [(0, 5), (4, 8), (8, 9)])
+
+
+@register("T4_stg_append_three_sources", _q(_THREE_SQL))
+def t4(spark, sf_dir):
+    """Literal append of the three sources (duplicates kept)."""
+    return SV.build_stg(*_three_sources(spark, sf_dir), dedup=False)
+
+
+@register("T5_stg_dedup", _q(f"SELECT {_RIDES} FROM rides"))
+def t5(spark, sf_dir):
+    """The same three sources with the promised dedup by ride_id."""
+    return SV.build_stg(*_three_sources(spark, sf_dir), dedup=True)
+
+
+@register("T6_silver_obt", _q("SELECT * FROM obt"))
+def t6(spark, sf_dir):
+    return lake(spark, sf_dir).obt
+
+
+_GOLD_SQL = {
+    "T9a_dim_passenger": "dim_passenger", "T9b_dim_driver": "dim_driver",
+    "T9c_dim_vehicle": "dim_vehicle", "T9d_dim_payment": "dim_payment",
+    "T9e_dim_booking": "dim_booking", "T9f_dim_location_scd2": "dim_location",
+    "T9g_fact": "fact",
+}
+
+
+def _gold_query(table: str):
+    def run(spark, sf_dir):
+        return getattr(lake(spark, sf_dir).star, table)
+    return run
+
+
+for _qid, _tbl in _GOLD_SQL.items():
+    register(_qid, _q(f"SELECT * FROM {_tbl}"))(_gold_query(_tbl))
+
+
+_DRIVER_SEQ = ["driver_id", "driver_name", "driver_rating", "booking_timestamp"]
+
+
+@register("T11_scd1_latest_driver", _q("""
+SELECT driver_id, driver_name, driver_rating, booking_timestamp FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY driver_id ORDER BY booking_timestamp DESC NULLS LAST,
+    driver_name ASC NULLS FIRST, driver_rating ASC NULLS FIRST, booking_timestamp ASC NULLS FIRST) AS rn
+  FROM obt WHERE driver_id IS NOT NULL) WHERE rn = 1"""))
+def t11(spark, sf_dir):
+    """SCD-1 with ``sequence_by=booking_timestamp``: a driver's latest row wins."""
+    upd = lake(spark, sf_dir).obt.select(*_DRIVER_SEQ)
+    return SCD.scd1(None, upd, ["driver_id"], "booking_timestamp")
+
+
+@register("T11_scd1_two_batches", REGISTRY["T11_scd1_latest_driver"][1])
+def t11b(spark, sf_dir):
+    """The same upsert applied in two batches (before / from 1998): same table."""
+    upd = lake(spark, sf_dir).obt.select(*_DRIVER_SEQ)
+    cut = F.lit("1998-01-01 00:00:00").cast("timestamp")
+    first = SCD.scd1(None, upd.where(F.col("booking_timestamp") < cut), ["driver_id"], "booking_timestamp")
+    return SCD.scd1(first, upd.where(F.col("booking_timestamp") >= cut), ["driver_id"], "booking_timestamp")
+
+
+@register("T12_scd2_late_versions", _q("SELECT * FROM dim_location"))
+def t12(spark, sf_dir):
+    """SCD-2 where the newer city versions arrive first and the older ones late."""
+    obt = lake(spark, sf_dir).obt
+    loc = obt.select(*DIM_COLUMNS["dim_location"]).where("pickup_city_id IS NOT NULL")
+    cut = F.lit("1998-01-01 00:00:00").cast("timestamp")
+    first = SCD.scd2(None, loc.where(F.col("city_updated_at") >= cut), ["pickup_city_id"], "city_updated_at")
+    return SCD.scd2(first, loc.where(F.col("city_updated_at") < cut), ["pickup_city_id"], "city_updated_at")
+
+
+@register("T13_as_of_location", _q("""
+SELECT f.pickup_city_id, l.pickup_city, COUNT(*) AS rides
+FROM fact f LEFT JOIN dim_booking b ON f.ride_id = b.ride_id
+LEFT JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY pickup_city_id ORDER BY __START_AT) = 1 AS first_v
+           FROM dim_location) l
+  ON f.pickup_city_id = l.pickup_city_id
+ AND (l.__END_AT IS NULL OR b.booking_timestamp < l.__END_AT)
+ AND (l.first_v OR b.booking_timestamp >= l.__START_AT)
+GROUP BY 1, 2"""))
+def t13(spark, sf_dir):
+    """Rides per city *as named when booked* (temporal join to the SCD-2 history)."""
+    st = lake(spark, sf_dir).star
+    fb = st.fact_with_booking(["pickup_city_id"], ["booking_timestamp"])
+    j = SCD.as_of_join(fb, st.dim_location.select("pickup_city_id", "pickup_city", "__START_AT", "__END_AT"),
+                       "pickup_city_id", "pickup_city_id", "booking_timestamp")
+    return j.groupBy("pickup_city_id", "pickup_city").agg(F.count(F.lit(1)).alias("rides"))
+
+
+@register("S8_ride_events", None)
+def s8(spark, sf_dir):
+    """Every ride as a (key, JSON value) event, ready for a Kafka or file sink."""
+    return EV.ride_events(lake(spark, sf_dir).stg)
