@@ -64,6 +64,13 @@ class Lake:
             fs.delete(p, False)
         fs.rename(tmp, p)
 
+    def list_dirs(self, path: str) -> list[str]:
+        """Names of the sub-directories of ``path`` (empty when it does not exist)."""
+        if not self.exists(path):
+            return []
+        fs, p = self._fs(path)
+        return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+
     def manifest(self, layer: str, table: str) -> dict | None:
         txt = self.read_text(posixpath.join(self.path(layer, table), MANIFEST))
         return json.loads(txt) if txt else None
@@ -97,10 +104,11 @@ class Lake:
             return self.spark.read.parquet(posixpath.join(base, "append"))
         if m["kind"] == "table":
             return self.spark.read.parquet(posixpath.join(base, m["version"]))
-        # keyed upsert table: the current version directory of every bucket
-        paths = [posixpath.join(base, v, f"b={b}") for b, v in sorted(m["buckets"].items(),
-                                                                     key=lambda kv: int(kv[0]))]
+        # keyed upsert table: every live part of every bucket
+        from ridepulse.streaming.upsert import BUCKET, _schema
+        paths = [posixpath.join(base, v, f"{BUCKET}={b}") for b, parts in sorted(m["buckets"].items())
+                 for v in parts]
+        schema = _schema(m["schema"]) if "schema" in m else None
         if not paths:
-            return self.spark.createDataFrame([], self.spark.read.parquet(
-                posixpath.join(base, "_schema")).schema)
-        return self.spark.read.parquet(*paths)
+            return self.spark.createDataFrame([], schema) if schema else None
+        return self.spark.read.schema(schema).parquet(*paths) if schema else self.spark.read.parquet(*paths)

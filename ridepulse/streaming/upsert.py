@@ -1,0 +1,163 @@
+"""Keyed upsert tables for ``foreachBatch`` sinks (T11/T12 on streams).
+
+Plain Parquet has no MERGE, so a keyed gold table is stored as hash buckets
+(``pmod(xxhash64(keys), buckets)``), each bucket a list of immutable part
+directories, and a small manifest naming the live parts plus the last batch
+applied per streaming query.  A micro-batch:
+
+1. returns at once if its ``batch_id`` is already recorded for the query
+   (replay after a crash between publish and checkpoint commit);
+2. resolves duplicates inside the batch (first-per-key rule);
+3. finds which of its keys already exist, reading only the key columns of
+   the buckets the batch touches, joined to the (rate-limited, size-checked)
+   batch keys;
+4. appends brand-new keys as a new part of their bucket; rewrites a bucket
+   only when stored rows must change (SCD-1 with a real ``sequence_by``) or
+   when the bucket has too many parts (compaction);
+5. publishes the new manifest by atomic rename.
+
+With ``sequence_by`` equal to the key (the pipeline's dimensions) and for
+SCD-2 (versions are only added, ``__END_AT`` is derived on read) existing keys
+never change, so those tables only ever append.  Files are never modified in
+place, so readers always see a complete version.
+
+With a MERGE-capable table format, ``DataFrame.mergeInto`` replaces steps 3-5.
+"""
+
+from __future__ import annotations
+
+import json
+import posixpath
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ridepulse.functions.joins import small_lookup
+from ridepulse.operators.scd import _TAG, scd1, with_end_at
+from ridepulse.schemas import END_AT, START_AT
+from ridepulse.sources.lake import MANIFEST, Lake
+
+BUCKET = "rp_bucket"
+
+
+class KeyedTable:
+    def __init__(self, lake: Lake, layer: str, name: str, keys: list[str], scd: int = 1,
+                 sequence_by: str | None = None, tiebreak: list[str] | None = None,
+                 buckets: int = 16, max_parts: int = 32, batch_key_bound: int = 1_000_000):
+        if scd == 2 and not sequence_by:
+            raise ValueError("SCD-2 needs sequence_by")
+        self.lake, self.layer, self.name = lake, layer, name
+        self.keys, self.scd, self.sequence_by = list(keys), scd, sequence_by
+        self.tiebreak = tiebreak
+        self.buckets, self.max_parts, self.batch_key_bound = buckets, max_parts, batch_key_bound
+
+    # -- storage -----------------------------------------------------------------
+    @property
+    def base(self) -> str:
+        return self.lake.path(self.layer, self.name)
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.lake.spark
+
+    def manifest(self) -> dict:
+        return self.lake.manifest(self.layer, self.name) or {"kind": "keyed", "buckets": {}, "done": {}}
+
+    def _publish(self, m: dict) -> None:
+        self.lake.write_text_atomic(posixpath.join(self.base, MANIFEST), json.dumps(m, sort_keys=True))
+
+    def _paths(self, m: dict, buckets=None) -> list[str]:
+        sel = m["buckets"] if buckets is None else {str(b): m["buckets"][str(b)]
+                                                    for b in buckets if str(b) in m["buckets"]}
+        return [posixpath.join(self.base, v, f"{BUCKET}={b}") for b, parts in sorted(sel.items())
+                for v in parts]
+
+    def stored(self, buckets=None) -> DataFrame | None:
+        """Stored rows (of some buckets), or None when there are none."""
+        m = self.manifest()
+        paths = self._paths(m, buckets)
+        if not paths:
+            return None
+        return self.spark.read.schema(_schema(m["schema"])).parquet(*paths)
+
+    def read(self) -> DataFrame | None:
+        """The table as readers see it (SCD-2: with ``__START_AT``/``__END_AT``)."""
+        df = self.stored()
+        if df is None or self.scd == 1:
+            return df
+        return with_end_at(df, self.keys, self.sequence_by)
+
+    # -- one micro-batch -----------------------------------------------------------
+    def _bucket(self) -> F.Column:
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
+
+    def _resolve(self, current: DataFrame | None, updates: DataFrame) -> DataFrame:
+        """Merge ``updates`` into ``current`` rows by the table's SCD rule (no end dates)."""
+        if self.scd == 1:
+            return scd1(current, updates, self.keys, self.sequence_by, self.tiebreak)
+        ks = self.keys + [self.sequence_by]
+        values = [c for c in updates.columns if c not in ks]
+        new = updates.withColumn(_TAG, F.lit(1))
+        both = new if current is None else current.select(*updates.columns) \
+            .withColumn(_TAG, F.lit(0)).unionByName(new)
+        pick = both.where(F.col(self.sequence_by).isNotNull()).groupBy(*ks).agg(
+            F.min(F.struct(F.struct(F.col(_TAG), *[F.col(c) for c in values]).alias("o"),
+                           F.struct(*[F.col(c) for c in values]).alias("v"))).alias("__w"))
+        return pick.select(*ks, *[F.col(f"__w.v.{c}").alias(c) for c in values]) \
+            .select(*updates.columns)
+
+    def apply(self, updates: DataFrame, batch_id: int, query_id: str) -> str:
+        m = self.manifest()
+        if m["done"].get(query_id, -1) >= batch_id:
+            return "skipped"
+        updates = updates.drop(START_AT, END_AT)
+        for k in self.keys:
+            updates = updates.where(F.col(k).isNotNull())
+        batch = self._resolve(None, updates).withColumn(BUCKET, self._bucket()).persist()
+        try:
+            touched = sorted(r[0] for r in batch.select(BUCKET).distinct().collect())
+            if touched:
+                self._write(m, batch, touched, batch_id)
+            m["done"][query_id] = batch_id
+            self._publish(m)
+            return "applied"
+        finally:
+            batch.unpersist()
+
+    def _write(self, m: dict, batch: DataFrame, touched: list[int], batch_id: int) -> None:
+        match_cols = self.keys + ([self.sequence_by] if self.scd == 2 else [])
+        if "schema" not in m:
+            m["schema"] = batch.drop(BUCKET).schema.json()
+        old = self.stored(touched)
+        rewrite = {b for b in touched if len(m["buckets"].get(str(b), [])) >= self.max_parts}
+        if old is None:
+            inserts = batch
+        else:
+            keys = small_lookup(batch.select(*match_cols).distinct(), self.batch_key_bound)
+            matched = old.select(*match_cols).join(keys, match_cols, "left_semi")
+            inserts = batch.join(matched, match_cols, "left_anti")
+            if self.scd == 1 and self.sequence_by and self.sequence_by not in self.keys:
+                changed = batch.join(matched, match_cols, "left_semi")
+                rewrite |= {r[0] for r in changed.select(BUCKET).distinct().collect()}
+        parts = [inserts.where(~F.col(BUCKET).isin(*rewrite)) if rewrite else inserts]
+        if rewrite:
+            stored = self.stored(sorted(rewrite))
+            upd = batch.where(F.col(BUCKET).isin(*rewrite)).drop(BUCKET)
+            parts.append(self._resolve(stored, upd).withColumn(BUCKET, self._bucket()))
+        out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        version = f"v={batch_id}-{uuid.uuid4().hex[:8]}"
+        out.write.partitionBy(BUCKET).parquet(posixpath.join(self.base, version))
+        for name in self.lake.list_dirs(posixpath.join(self.base, version)):
+            if not name.startswith(f"{BUCKET}="):
+                continue
+            b = name.split("=", 1)[1]
+            if int(b) in rewrite:
+                m["buckets"][b] = [version]
+            else:
+                m["buckets"].setdefault(b, []).append(version)
+
+
+def _schema(js: str):
+    from pyspark.sql.types import StructType
+    return StructType.fromJson(json.loads(js))
