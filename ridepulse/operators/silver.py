@@ -38,12 +38,17 @@ def normalise_ts(df: DataFrame, column: str = "booking_timestamp") -> DataFrame:
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Select the 43 ride columns in order with their declared types."""
+    """Select the 43 ride columns in order with their declared types.
+
+    Values that do not convert become NULL (``try_cast``), so one bad row
+    never fails a job under ANSI mode.
+    """
     cols = []
     for name in RIDE_COLUMNS:
         t = RIDES[name].dataType
         if name in df.columns:
-            cols.append(F.col(name).cast(t).alias(name))
+            same = df.schema[name].dataType == t
+            cols.append((F.col(name) if same else F.col(name).try_cast(t)).alias(name))
         else:
             cols.append(F.lit(None).cast(t).alias(name))
     return df.select(*cols)
