@@ -16,14 +16,32 @@ from pyspark.sql import functions as F
 LOOKUP_ROW_BOUND = 100_000
 
 
+# Planner estimates at or below this size count as proven small without a job.
+STATS_BYTE_BOUND = 1 << 20
+
+
+def _estimated_bytes(df: DataFrame) -> int | None:
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # estimates unavailable (e.g. streaming plans)
+        return None
+
+
 def small_lookup(df: DataFrame, max_rows: int = LOOKUP_ROW_BOUND) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows.
+    """Mark ``df`` for broadcast if it is proven small, else leave the join to the planner.
 
-    Frames built from local rows are already on the driver and pass at once.
-    Otherwise the check runs a tiny job (``limit(max_rows + 1).count()``) that reads at
-    most ``max_rows + 1`` rows, so it stays cheap even when the answer is no.
+    Proofs, cheapest first: frames built from local rows are already on the
+    driver; a planner size estimate of at most 1 MiB (file sizes of tiny
+    lookup tables); otherwise a row count capped at ``max_rows + 1``
+    (``limit(max_rows + 1).count()``), which stays cheap even when the answer
+    is no.
     """
-    if df.isLocal() or df.limit(max_rows + 1).count() <= max_rows:
+    if df.isLocal():
+        return F.broadcast(df)
+    est = _estimated_bytes(df)
+    if est is not None and est <= STATS_BYTE_BOUND:
+        return F.broadcast(df)
+    if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
 

@@ -91,11 +91,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str] | None = None
             src = src.where(F.col(k).isNotNull())
     if not values:
         return src.select(*keys).distinct()
-    agg = src.groupBy(*keys).agg(
-        F.min(F.struct(_ordered_struct(order).alias("o"), _ordered_struct(values).alias("v")))
-        .alias("__first"))
-    return agg.select(*keys, *[F.col(f"__first.v.{c}").alias(c) for c in values]) \
-        .select(*df.columns)
+    if list(order) == values:  # order by the values themselves: one struct is enough
+        agg = src.groupBy(*keys).agg(F.min(_ordered_struct(values)).alias("__first"))
+        picked = [F.col(f"__first.{c}").alias(c) for c in values]
+    else:
+        agg = src.groupBy(*keys).agg(
+            F.min(F.struct(_ordered_struct(order).alias("o"), _ordered_struct(values).alias("v")))
+            .alias("__first"))
+        picked = [F.col(f"__first.v.{c}").alias(c) for c in values]
+    return agg.select(*keys, *picked).select(*df.columns)
 
 
 def dedup_rides(df: DataFrame) -> DataFrame:

@@ -82,7 +82,11 @@ class Lakehouse:
         stg = lake.read("silver", "stg_rides")
         lake.write_overwrite(build_obt(stg, self.maps), "silver", "silver_obt")
         obt = lake.read("silver", "silver_obt")
-        lake.write_overwrite(gold_base(obt), "gold", "gold_base")
+        # With a deduplicated stg the OBT is already one row per ride (its lookups are
+        # unique per key and the temporal city join matches one version), so the gold
+        # base needs no second shuffle of the widest table; literal mode keys it here.
+        base_df = obt.where("ride_id IS NOT NULL") if self.dedup else gold_base(obt)
+        lake.write_overwrite(base_df, "gold", "gold_base")
         base = lake.read("gold", "gold_base")
         star = build_star(base, already_unique=True)
         for name in GOLD:

@@ -20,6 +20,9 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Local runs on small files: let AQE keep more, smaller post-shuffle partitions so
+    # CPU-heavy stages (JSON parsing) use every core.  Cluster sessions keep their own.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
 }
 
 
@@ -35,15 +38,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a fresh scratch folder is
-    created and recorded in the session, so later calls agree.
+    ``spark.checkpoint.dir`` is a static setting, so it is only read here.
+    When it is absent (local tests) a scratch folder is created once per
+    application and registered with ``setCheckpointDir``.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="ridepulse-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    if d:
+        return d
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = tempfile.mkdtemp(prefix="ridepulse-ckpt-")
+        spark.sparkContext.setCheckpointDir(_SCRATCH[app])
+    return _SCRATCH[app]

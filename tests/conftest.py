@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from ridepulse.schemas import RIDE_COLUMNS, RIDES  # noqa: E402
-from ridepulse.session import local_session  # noqa: E402
+from ridepulse.session import checkpoint_dir, local_session  # noqa: E402
 from ridepulse.sources.lookups import builtin_map, single_version_cities  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
@@ -17,8 +17,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(4, shuffle_partitions=8, app="ridepulse-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ridepulse-test-ckpt-"))
+    checkpoint_dir(s)
     yield s
 
 
