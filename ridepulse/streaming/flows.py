@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,12 +123,17 @@ def gold_batch(lake: Lake, tables: dict[str, KeyedTable], flow: str = "gold"):
         base = first_per_key(batch.where(F.col("ride_id").isNotNull()), ["ride_id"],
                              drop_null_keys=False).persist()
         try:
-            tables["fact"].apply(base.select(*FACT_COLUMNS), batch_id, qid)
+            work = {"fact": base.select(*FACT_COLUMNS)}
             for name in ["dim_passenger", "dim_driver", "dim_vehicle", "dim_payment", "dim_booking"]:
-                tables[name].apply(base.select(*DIM_COLUMNS[name]), batch_id, qid)
-            loc = base.select(*DIM_COLUMNS["dim_location"]).where(
+                work[name] = base.select(*DIM_COLUMNS[name])
+            work["dim_location"] = base.select(*DIM_COLUMNS["dim_location"]).where(
                 F.col("pickup_city_id").isNotNull() & F.col("city_updated_at").isNotNull())
-            tables["dim_location"].apply(loc, batch_id, qid)
+            # The seven tables are independent (one writer each): submit their jobs
+            # concurrently so small upserts share the cluster instead of queueing.
+            with ThreadPoolExecutor(max_workers=len(work)) as pool:
+                futures = [pool.submit(tables[n].apply, df, batch_id, qid) for n, df in work.items()]
+                for f in futures:
+                    f.result()
         finally:
             base.unpersist()
     return run
@@ -151,24 +157,26 @@ def read_star(lake: Lake, buckets: int = 16) -> Star:
 
 
 def run_update(spark: SparkSession, lake: Lake, maps: dict[str, DataFrame], raw_events: DataFrame | None,
-               bulk: DataFrame | None = None, dedup: bool = True, buckets: int = 16,
-               max_files_per_trigger: int | None = None) -> Star:
+               bulk: DataFrame | None = None, dedup: bool = True, buckets: int = 16) -> Star:
     """One triggered pipeline update: archive -> stg -> obt -> gold, each to completion.
 
     ``raw_events`` is a stream of JSON text (column ``rides``, e.g.
-    ``kafka_rides`` or ``raw_event_files``); ``bulk`` a stream of ride rows.
+    ``kafka_rides`` or ``raw_event_files``, rate-limited there); ``bulk`` a
+    stream of ride rows.
     """
     sources = []
     if raw_events is not None:
         archive_flow(raw_events, lake).awaitTermination()
         sources.append(parsed_events(raw_events))
         if lake.exists(_sink_path(lake, ARCHIVE)):
-            sources.append(read_appended(spark, lake, ARCHIVE, max_files_per_trigger))
+            sources.append(read_appended(spark, lake, ARCHIVE))
     if bulk is not None:
         sources.append(bulk)
+    # The rate limit belongs to ingestion (the raw source); internal layers take
+    # whatever the previous flow committed.
     stg_flow(sources, lake, dedup).awaitTermination()
-    obt_flow(read_appended(spark, lake, STG, max_files_per_trigger), maps, lake).awaitTermination()
-    gold_flow(read_appended(spark, lake, OBT, max_files_per_trigger), lake, buckets).awaitTermination()
+    obt_flow(read_appended(spark, lake, STG), maps, lake).awaitTermination()
+    gold_flow(read_appended(spark, lake, OBT), lake, buckets).awaitTermination()
     return read_star(lake, buckets)
 
 
