@@ -131,7 +131,8 @@ def gold_batch(lake: Lake, tables: dict[str, KeyedTable], flow: str = "gold"):
             # The seven tables are independent (one writer each): submit their jobs
             # concurrently so small upserts share the cluster instead of queueing.
             with ThreadPoolExecutor(max_workers=len(work)) as pool:
-                futures = [pool.submit(tables[n].apply, df, batch_id, qid) for n, df in work.items()]
+                futures = [pool.submit(tables[n].apply, df, batch_id, qid, n in ("fact", "dim_booking"))
+                           for n, df in work.items()]
                 for f in futures:
                     f.result()
         finally:

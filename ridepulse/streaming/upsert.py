@@ -107,14 +107,17 @@ class KeyedTable:
         return pick.select(*ks, *[F.col(f"__w.v.{c}").alias(c) for c in values]) \
             .select(*updates.columns)
 
-    def apply(self, updates: DataFrame, batch_id: int, query_id: str) -> str:
+    def apply(self, updates: DataFrame, batch_id: int, query_id: str, unique: bool = False) -> str:
+        """Upsert one micro-batch.  ``unique=True`` promises one row per key already
+        (the within-batch resolution, one aggregate, is then skipped)."""
         m = self.manifest()
         if m["done"].get(query_id, -1) >= batch_id:
             return "skipped"
         updates = updates.drop(START_AT, END_AT)
         for k in self.keys:
             updates = updates.where(F.col(k).isNotNull())
-        batch = self._resolve(None, updates).withColumn(BUCKET, self._bucket()).persist()
+        resolved = updates if unique else self._resolve(None, updates)
+        batch = resolved.withColumn(BUCKET, self._bucket()).persist()
         try:
             touched = sorted(r[0] for r in batch.select(BUCKET).distinct().collect())
             if touched:
