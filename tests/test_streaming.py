@@ -85,3 +85,54 @@ def test_compaction_keeps_content(spark, tmpdir_fresh):
     m = t.manifest()
     assert all(len(parts) <= 2 for parts in m["buckets"].values())
     assert sorted(r.k for r in t.read().collect()) == ["k0", "k1", "k2", "k3"]
+
+
+def test_watermark_on_stateless_enrichment_drops_nothing(spark, tmpdir_fresh):
+    """A 3-minute event-time watermark before the stateless lookups keeps
+    late (30-day-old) rides; only stateful steps would drop them."""
+    import json
+    import os
+    from datetime import datetime, timedelta
+
+    from ridepulse.operators.silver import build_obt, with_event_time
+    from ridepulse.sources.events import RAW_RIDES
+    from tests.conftest import small_maps
+    d = os.path.join(tmpdir_fresh, "in")
+    os.makedirs(d)
+    now = datetime(2024, 2, 1, 12)
+    for i, age in enumerate([timedelta(0), timedelta(days=30), timedelta(minutes=1)]):
+        with open(os.path.join(d, f"f{i}.json"), "w") as f:
+            f.write(json.dumps({"ride_id": f"r{i}", "pickup_city_id": 1,
+                                "booking_timestamp": (now - age).isoformat()}) + "\n")
+    stream = spark.readStream.schema(RAW_RIDES).option("maxFilesPerTrigger", 1).json(d)
+    stream = stream.withColumn("booking_timestamp", F.col("booking_timestamp").cast("timestamp"))
+    obt = build_obt(with_event_time(stream, "3 minutes"), small_maps(spark))
+    q = (obt.writeStream.format("memory").queryName("wm_obt").trigger(availableNow=True)
+         .option("checkpointLocation", os.path.join(tmpdir_fresh, "ck")).start())
+    q.awaitTermination()
+    assert sorted(r.ride_id for r in spark.table("wm_obt").collect()) == ["r0", "r1", "r2"]
+
+
+def test_run_update_with_bulk_stream(spark, tmpdir_fresh):
+    """S5 through the pipeline: bulk files + live events overlapping on one ride."""
+    import json
+    import os
+
+    from ridepulse.sources.events import bulk_source
+    from tests.conftest import small_maps
+    bulk_dir, ev_dir = os.path.join(tmpdir_fresh, "bulk"), os.path.join(tmpdir_fresh, "ev")
+    os.makedirs(bulk_dir)
+    os.makedirs(ev_dir)
+    with open(os.path.join(bulk_dir, "b.json"), "w") as f:
+        json.dump([{"ride_id": "a", "pickup_city_id": 1, "booking_timestamp": "2024-01-01T00:00:00",
+                    "passenger_id": "p", "total_fare": 10.0},
+                   {"ride_id": "b", "pickup_city_id": 2, "booking_timestamp": "2024-01-01T01:00:00",
+                    "passenger_id": "p", "total_fare": 5.0}], f)
+    with open(os.path.join(ev_dir, "e.txt"), "w") as f:
+        f.write(json.dumps({"ride_id": "b", "pickup_city_id": 2, "passenger_id": "p",
+                            "booking_timestamp": "2024-01-01T01:00:00", "total_fare": 5.0}) + "\n")
+    lake = Lake(spark, os.path.join(tmpdir_fresh, "lake"))
+    star = flows.run_update(spark, lake, small_maps(spark), raw_event_files(spark, ev_dir),
+                            bulk=bulk_source(spark, bulk_dir))
+    assert sorted(r.ride_id for r in star.fact.collect()) == ["a", "b"]
+    assert star.dim_passenger.count() == 1
