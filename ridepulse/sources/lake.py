@@ -60,9 +60,14 @@ class Lake:
             out.write(bytearray(text.encode("utf-8")))
         finally:
             out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(tmp, p)
+        # Replace in one step (atomic on HDFS and local file systems); a crash leaves
+        # either the old or the new manifest, never none.
+        ctx = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            p.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        gateway = self.spark.sparkContext._gateway
+        opts = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        ctx.rename(tmp, p, opts)
 
     def list_dirs(self, path: str) -> list[str]:
         """Names of the sub-directories of ``path`` (empty when it does not exist)."""
