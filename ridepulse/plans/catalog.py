@@ -701,7 +701,7 @@ from ridepulse.operators import scd as SCD  # noqa: E402
 from ridepulse.operators import silver as SV  # noqa: E402
 from ridepulse.schemas import DIM_COLUMNS, FACT_COLUMNS, RIDE_COLUMNS  # noqa: E402
 from ridepulse.sources import events as EV  # noqa: E402
-from ridepulse.sources.binding import read_table, rides_from_tables  # noqa: E402
+from ridepulse.sources.binding import read_table  # noqa: E402
 
 _RIDES = ", ".join(RIDE_COLUMNS)
 
@@ -721,8 +721,9 @@ def t1_props(spark, sf_dir):
 
 @register("T1_ride_json_roundtrip", _q(f"SELECT {_RIDES} FROM rides"))
 def t1_rides(spark, sf_dir):
-    """S8 payload -> S2/T1/T2/T3: every ride through its JSON event and back."""
-    events = EV.ride_events(rides_from_tables(spark, sf_dir)).withColumnRenamed("value", "rides")
+    """S8 payload -> S2/T1/T2/T3: every ride of the staging table through its JSON
+    event and back."""
+    events = EV.ride_events(lake(spark, sf_dir).stg).withColumnRenamed("value", "rides")
     return SV.normalise_ts(SV.parse_rides(events))
 
 
@@ -733,7 +734,7 @@ def _three_sources(spark, sf_dir):
     archive, so rides ending in 4, 5 or 8 arrive twice.  Bulk keeps its
     booking time as text (normalised by T3), live arrives as JSON events.
     """
-    rides = rides_from_tables(spark, sf_dir)
+    rides = lake(spark, sf_dir).stg  # the written ride table (one row per order)
     digit = F.col("ride_id").cast("long") % 10
     bulk = rides.where(digit.between(0, 5)) \
         .withColumn("booking_timestamp", F.date_format("booking_timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
