@@ -22,7 +22,8 @@ STATS_BYTE_BOUND = 1 << 20
 
 def _estimated_bytes(df: DataFrame) -> int | None:
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        # the analyzed plan is already computed; its estimate needs no optimizer run
+        return int(df._jdf.queryExecution().analyzed().stats().sizeInBytes().toString())
     except Exception:  # estimates unavailable (e.g. streaming plans)
         return None
 

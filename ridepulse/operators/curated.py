@@ -53,8 +53,9 @@ def _city_measures() -> list[Column]:
 
 def _cities_matching(star: Star, names: list[str], location_mode: str) -> DataFrame:
     lowered = [n.lower() for n in names]
-    loc = star.location(location_mode).select("pickup_city_id", "pickup_city")
-    return small_lookup(loc.where(F.lower("pickup_city").isin(*lowered)))
+    # a filter of a proven-small lookup is itself proven small
+    loc = star.location_lookup(location_mode).select("pickup_city_id", "pickup_city")
+    return F.broadcast(loc.where(F.lower("pickup_city").isin(*lowered)))
 
 
 def revenue_by_city(star: Star, city: str, location_mode: str = "current") -> DataFrame:

@@ -8,9 +8,7 @@ dimension is SCD-2 on ``city_updated_at``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import functions as F
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -81,6 +79,15 @@ class Star:
     dim_booking: DataFrame
     dim_location: DataFrame
     base: DataFrame | None = None
+    _lookups: dict = field(default_factory=dict, repr=False)
+
+    def location_lookup(self, mode: str = "current") -> DataFrame:
+        """The location dimension marked for broadcast, size-checked once per star."""
+        key = f"location:{mode}"
+        if key not in self._lookups:
+            from ridepulse.functions.joins import small_lookup
+            self._lookups[key] = small_lookup(self.location(mode))
+        return self._lookups[key]
 
     def fact_with_booking(self, fact_cols: list[str], booking_cols: list[str]) -> DataFrame:
         """``fact LEFT JOIN dim_booking USING (ride_id)`` restricted to the columns given.

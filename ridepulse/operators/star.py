@@ -81,7 +81,7 @@ def live_feed(star: Star, limit: int = 10, location_mode: str = "current") -> Da
     p = semi_filter(star.dim_passenger.select("passenger_id", "passenger_name"), top, "passenger_id")
     d = semi_filter(star.dim_driver.select("driver_id", "driver_name", "driver_rating"), top, "driver_id")
     v = semi_filter(star.dim_vehicle.select("vehicle_id", "vehicle_type"), top, "vehicle_id")
-    loc = small_lookup(star.location(location_mode).select("pickup_city_id", "pickup_city"))
+    loc = star.location_lookup(location_mode).select("pickup_city_id", "pickup_city")
     out = (top.join(F.broadcast(p), "passenger_id", "left")
            .join(F.broadcast(d), "driver_id", "left")
            .join(F.broadcast(v), "vehicle_id", "left")
@@ -101,8 +101,7 @@ def _by_city(star: Star, location_mode: str) -> DataFrame:
         "rating_h": _hsum("rating"),
         "rating_n": _nn("rating"),
     })
-    loc = small_lookup(star.location(location_mode))
-    return pre.join(loc, "pickup_city_id", "left")
+    return pre.join(star.location_lookup(location_mode), "pickup_city_id", "left")
 
 
 def rides_by_city(star: Star, limit: int = 10, location_mode: str = "current") -> DataFrame:
