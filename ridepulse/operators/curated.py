@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridepulse.functions.joins import literal_lookup, small_lookup
+from ridepulse.functions.joins import literal_lookup
 from ridepulse.functions.numeric import avg_long, count_if, hundredths, pct, rnd
 from ridepulse.functions.params import (
     validate_city,

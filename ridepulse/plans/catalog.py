@@ -699,7 +699,7 @@ def g7(spark, sf_dir):
 
 from ridepulse.operators import scd as SCD  # noqa: E402
 from ridepulse.operators import silver as SV  # noqa: E402
-from ridepulse.schemas import DIM_COLUMNS, FACT_COLUMNS, RIDE_COLUMNS  # noqa: E402
+from ridepulse.schemas import DIM_COLUMNS, RIDE_COLUMNS  # noqa: E402
 from ridepulse.sources import events as EV  # noqa: E402
 from ridepulse.sources.binding import read_table  # noqa: E402
 
