@@ -31,7 +31,6 @@ from ridepulse.operators.silver import (
     build_obt,
     conform,
     dedup_rides_stream,
-    first_per_key,
     normalise_ts,
     parse_rides,
 )
@@ -117,11 +116,16 @@ def _query_id(lake: Lake, flow: str) -> str:
 
 
 def gold_batch(lake: Lake, tables: dict[str, KeyedTable], flow: str = "gold"):
-    """The ``foreachBatch`` function of the gold flow (S7 tap + T9-T12)."""
+    """The ``foreachBatch`` function of the gold flow (S7 tap + T9-T12).
+
+    Fact and booking resolve repeated rides independently with the same
+    deterministic rule, so identical copies give identical rows in both.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
         qid = _query_id(lake, flow)
-        base = first_per_key(batch.where(F.col("ride_id").isNotNull()), ["ride_id"],
-                             drop_null_keys=False).persist()
+        # Each keyed table resolves repeated keys of the batch on its own (narrow)
+        # projection, so the wide batch is only filtered and cached here.
+        base = batch.where(F.col("ride_id").isNotNull()).persist()
         try:
             work = {"fact": base.select(*FACT_COLUMNS)}
             for name in ["dim_passenger", "dim_driver", "dim_vehicle", "dim_payment", "dim_booking"]:
@@ -131,8 +135,7 @@ def gold_batch(lake: Lake, tables: dict[str, KeyedTable], flow: str = "gold"):
             # The seven tables are independent (one writer each): submit their jobs
             # concurrently so small upserts share the cluster instead of queueing.
             with ThreadPoolExecutor(max_workers=len(work)) as pool:
-                futures = [pool.submit(tables[n].apply, df, batch_id, qid, n in ("fact", "dim_booking"))
-                           for n, df in work.items()]
+                futures = [pool.submit(tables[n].apply, df, batch_id, qid) for n, df in work.items()]
                 for f in futures:
                     f.result()
         finally:

@@ -150,7 +150,9 @@ class KeyedTable:
             parts.append(self._resolve(stored, upd).withColumn(BUCKET, self._bucket()))
         out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         version = f"v={batch_id}-{uuid.uuid4().hex[:8]}"
-        out.write.partitionBy(BUCKET).parquet(posixpath.join(self.base, version))
+        # cluster by bucket first: one task (one file) per bucket instead of every task
+        # writing a small file into every bucket
+        out.repartition(BUCKET).write.partitionBy(BUCKET).parquet(posixpath.join(self.base, version))
         for name in self.lake.list_dirs(posixpath.join(self.base, version)):
             if not name.startswith(f"{BUCKET}="):
                 continue
