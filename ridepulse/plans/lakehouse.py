@@ -86,21 +86,20 @@ class Lakehouse:
         obt = lake.read("silver", "silver_obt")
         # With a deduplicated stg the OBT is already one row per ride (its lookups are
         # unique per key and the temporal city join matches one version), so the gold
-        # base needs no second shuffle of the widest table; literal mode keys it here.
-        base_df = obt.where("ride_id IS NOT NULL") if self.dedup else gold_base(obt)
-        lake.write_overwrite(base_df, "gold", "gold_base")
-        base = lake.read("gold", "gold_base")
+        # base *is* the OBT: no second shuffle and no copy of the widest table.  In
+        # literal mode (dedup=False) the base is keyed here and written.
+        if self.dedup:
+            base = obt.where("ride_id IS NOT NULL")
+        else:
+            lake.write_overwrite(gold_base(obt), "gold", "gold_base")
+            base = lake.read("gold", "gold_base")
         star = build_star(base, already_unique=True)
         for name in GOLD:
             lake.write_overwrite(getattr(star, name), "gold", name)
         versions = star.dim_location.drop("__START_AT", "__END_AT")
         lake.write_overwrite(versions, "gold", "dim_location_versions")
-        out = Lakehouse(self.spark, self.sources, self.maps, self.dedup, dict(self.tables))
-        for layer, name in [("silver", "stg_rides"), ("silver", "silver_obt"),
-                            ("gold", "gold_base"), ("gold", "dim_location_versions")] + \
-                [("gold", g) for g in GOLD]:
-            out.tables[name] = lake.read(layer, name)
-        return out
+        return _attach(Lakehouse(self.spark, self.sources, self.maps, self.dedup, dict(self.tables)),
+                       lake)
 
 
 _MEMO: dict[tuple, Lakehouse] = {}
@@ -125,16 +124,22 @@ def _fingerprint(lake: Lake, sf_dir: str, dedup: bool) -> str:
     return h.hexdigest()[:20]
 
 
-def _read_built(spark: SparkSession, sf_dir: str, dedup: bool, root: str) -> Lakehouse:
-    lake = Lake(spark, root)
-    out = Lakehouse.from_tables(spark, sf_dir, dedup)
+def _attach(out: Lakehouse, lake: Lake) -> Lakehouse:
+    """Point a lakehouse's tables at the files of a built lake."""
     for layer, name in [("silver", "stg_rides"), ("silver", "silver_obt"),
-                        ("gold", "gold_base"), ("gold", "dim_location_versions")] + \
-            [("gold", g) for g in GOLD]:
+                        ("gold", "dim_location_versions")] + [("gold", g) for g in GOLD]:
         out.tables[name] = lake.read(layer, name)
+    if lake.manifest("gold", "gold_base") is not None:
+        out.tables["gold_base"] = lake.read("gold", "gold_base")
+    else:  # deduplicated build: the OBT is the gold base
+        out.tables["gold_base"] = out.tables["silver_obt"].where("ride_id IS NOT NULL")
     return out
 
 
+def _read_built(spark: SparkSession, sf_dir: str, dedup: bool, root: str) -> Lakehouse:
+    return _attach(Lakehouse.from_tables(spark, sf_dir, dedup), Lake(spark, root))
+
+
 def materialized(spark: SparkSession, sf_dir: str, dedup: bool = True, reuse: bool = True) -> Lakehouse:
     """The lakehouse of ``sf_dir``, built once and then read by every registered query.
 
