@@ -117,3 +117,39 @@ class Lake:
         if not paths:
             return self.spark.createDataFrame([], schema) if schema else None
         return self.spark.read.schema(schema).parquet(*paths) if schema else self.spark.read.parquet(*paths)
+
+    # -- housekeeping -------------------------------------------------------------
+    def live_versions(self, layer: str, table: str) -> set[str]:
+        """Version directories the current manifest references."""
+        m = self.manifest(layer, table)
+        if m is None:
+            return set()
+        if m["kind"] == "table":
+            return {m["version"]}
+        return {v for parts in m["buckets"].values() for v in parts}
+
+    def vacuum(self, layer: str, table: str, retain_hours: float = 168.0,
+               dry_run: bool = True) -> list[str]:
+        """Version directories no longer referenced and older than ``retain_hours``.
+
+        A superseded version may still be read by a query that planned before
+        the manifest moved on, hence the retention.  With ``dry_run=False`` the
+        listed directories are deleted; the live version is never touched.
+        """
+        import time
+        base = self.path(layer, table)
+        live = self.live_versions(layer, table)
+        if not live:
+            return []
+        fs, p = self._fs(base)
+        cutoff_ms = (time.time() - retain_hours * 3600.0) * 1000.0
+        out = []
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if st.isDirectory() and name.startswith("v=") and name not in live \
+                    and st.getModificationTime() < cutoff_ms:
+                out.append(name)
+                if not dry_run:
+                    fs.delete(st.getPath(), True)
+        return sorted(out)
+

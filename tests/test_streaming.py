@@ -136,3 +136,14 @@ def test_run_update_with_bulk_stream(spark, tmpdir_fresh):
                             bulk=bulk_source(spark, bulk_dir))
     assert sorted(r.ride_id for r in star.fact.collect()) == ["a", "b"]
     assert star.dim_passenger.count() == 1
+
+
+def test_vacuum_lists_only_superseded_versions(spark, tmpdir_fresh):
+    lake = Lake(spark, f"{tmpdir_fresh}/lake")
+    df = spark.createDataFrame([(1,)], "x int")
+    first = lake.write_overwrite(df, "gold", "t")
+    second = lake.write_overwrite(df, "gold", "t")
+    assert lake.live_versions("gold", "t") == {second}
+    assert lake.vacuum("gold", "t", retain_hours=0.0) == [first]  # dry run: nothing deleted
+    assert lake.vacuum("gold", "t", retain_hours=1.0) == []  # still inside the retention
+    assert lake.read("gold", "t").count() == 1
