@@ -111,9 +111,14 @@ def _by_city(star: Star, location_mode: str) -> DataFrame:
     return pre.join(star.location_lookup(location_mode), "pickup_city_id", "left")
 
 
-def rides_by_city(star: Star, limit: int = 10, location_mode: str = "current") -> DataFrame:
-    """Q3: rides and revenue per pickup city name; top ``limit`` by rides."""
-    g = _by_city(star, location_mode).groupBy(F.col("pickup_city").alias("city")).agg(
+def rides_by_city(star: Star, limit: int = 10, location_mode: str = "current",
+                  by_city: DataFrame | None = None) -> DataFrame:
+    """Q3: rides and revenue per pickup city name; top ``limit`` by rides.
+
+    ``by_city`` lets several reports share one per-city pre-aggregation.
+    """
+    pre = by_city if by_city is not None else _by_city(star, location_mode)
+    g = pre.groupBy(F.col("pickup_city").alias("city")).agg(
         F.sum("n").alias("total_rides"),
         (F.sum("fare_h") / F.lit(100.0)).alias("total_revenue"))
     return g.orderBy(F.col("total_rides").desc(), F.col("city").asc_nulls_first()).limit(limit)
@@ -166,7 +171,7 @@ def top_drivers(star: Star, limit: int = 5) -> DataFrame:
 
 
 def revenue_by_region(star: Star, cities: DataFrame, join_on: str = "id",
-                      location_mode: str = "current") -> DataFrame:
+                      location_mode: str = "current", by_city: DataFrame | None = None) -> DataFrame:
     """Q8: rides and revenue per region, NULL region dropped.
 
     ``join_on="id"`` (default) resolves the region by city id;
@@ -174,7 +179,7 @@ def revenue_by_region(star: Star, cities: DataFrame, join_on: str = "id",
     literal behaviour: a name shared by two cities counts their rides in
     both regions).  ``cities`` is the current city map.
     """
-    g = _by_city(star, location_mode)
+    g = by_city if by_city is not None else _by_city(star, location_mode)
     mc = small_lookup(current_cities(cities) if "updated_at" in cities.columns else cities)
     if join_on == "id":
         j = g.join(mc.select(F.col("city_id").alias("pickup_city_id"), "region")

@@ -363,13 +363,14 @@ from ridepulse.operators import shaping as P  # noqa: E402
 
 def _dashboard_slices(lh: Lakehouse):
     st = lh.star
+    by_city = Q._by_city(st, "current")  # one per-city pre-aggregation for two slices
     slices = {
         "kpis": Q.kpis(st),
-        "rides_by_city": Q.rides_by_city(st),
+        "rides_by_city": Q.rides_by_city(st, by_city=by_city),
         "rides_by_vehicle_type": Q.rides_by_vehicle_type(st),
         "rides_by_payment_method": Q.rides_by_payment(st),
         "surge_distribution": Q.surge_distribution(st),
-        "revenue_by_region": Q.revenue_by_region(st, lh.maps["map_cities"]),
+        "revenue_by_region": Q.revenue_by_region(st, lh.maps["map_cities"], by_city=by_city),
         "top_drivers": Q.top_drivers(st, 10),
         "recent_rides": Q.live_feed(st, 15),
     }
