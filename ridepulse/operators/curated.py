@@ -265,7 +265,11 @@ def market_context_all(spark, cities: DataFrame) -> DataFrame:
 
 
 def market_context(spark, cities: DataFrame, city: str) -> DataFrame:
-    """Lookup context of one city (first match by case-insensitive name)."""
+    """Lookup context of one city name (case-insensitive).
+
+    Every city with that name is returned (both Portlands), not just the first
+    one in file order; an unknown name gives an empty DataFrame.
+    """
     city = validate_city(city)
     return market_context_all(spark, cities).where(
         F.lower("city") == F.lit(city.lower()))

@@ -238,3 +238,14 @@ def test_formatting(spark):
     vals = spark.createDataFrame([(1_234_567.0,), (3_400.0,), (12.0,), (2.25,)], "v double")
     got = [r[0] for r in vals.select(P.compact_number(F.col("v"))).collect()]
     assert got == ["1.2M", "3.4K", "12", "2.3"]
+
+
+def test_market_context_archetypes_and_defaults(spark):
+    cities = single_version_cities(spark, CITY_ROWS)
+    ny = A.market_context(spark, cities, "new york").first()
+    assert ny.market_archetype == "dense urban commuter market" and len(ny.context_signals) == 3
+    portland = A.market_context(spark, cities, "Portland").collect()
+    assert {r.state for r in portland} == {"ME", "OR"}
+    assert {r.market_archetype for r in portland} == {"Northeast regional market", "West regional market"}
+    assert portland[0].context_signals[1] == "local event and commute sensitivity"
+    assert A.market_context(spark, cities, "Atlantis").count() == 0
