@@ -249,3 +249,26 @@ def test_market_context_archetypes_and_defaults(spark):
     assert {r.market_archetype for r in portland} == {"Northeast regional market", "West regional market"}
     assert portland[0].context_signals[1] == "local event and commute sensitivity"
     assert A.market_context(spark, cities, "Atlantis").count() == 0
+
+
+def test_materialize_literal_mode_keys_gold_but_not_silver(spark, tmpdir_fresh):
+    from ridepulse.plans.lakehouse import Lakehouse
+    from ridepulse.sources.lake import Lake
+    rows = [ride(ride_id="a"), ride(ride_id="b")]
+    live, archive = rides_df(spark, rows), rides_df(spark, rows[:1])
+    lit = Lakehouse(spark, [live, archive], small_maps(spark), dedup=False) \
+        .materialize(Lake(spark, f"{tmpdir_fresh}/lit"))
+    assert lit.stg.count() == 3 and lit.obt.count() == 3      # silver keeps the copy (D1 literal)
+    assert lit.star.fact.count() == 2                          # gold is keyed by ride_id
+    assert Q.kpis(lit.star).first().total_rides == 2
+    dd = Lakehouse(spark, [live, archive], small_maps(spark)).materialize(Lake(spark, f"{tmpdir_fresh}/dd"))
+    assert dd.stg.count() == 2 and dd.star.fact.count() == 2
+
+
+def test_build_fingerprint_is_stable_and_setting_sensitive(spark, tmpdir_fresh):
+    from ridepulse.plans.lakehouse import _fingerprint
+    from ridepulse.sources.lake import Lake
+    from tests.conftest import SF_SMALL
+    lake = Lake(spark, tmpdir_fresh)
+    a, b = _fingerprint(lake, SF_SMALL, True), _fingerprint(lake, SF_SMALL + "/", True)
+    assert a == b and a != _fingerprint(lake, SF_SMALL, False)
