@@ -127,3 +127,15 @@ def test_builtin_lookups_sizes(spark):
                                                         "map_cancellation_reasons"]}
     assert sizes == {"map_vehicle_types": 5, "map_vehicle_makes": 7, "map_payment_methods": 4,
                      "map_ride_statuses": 2, "map_cancellation_reasons": 4}
+
+
+def test_join_elimination_and_single_fact_scan(spark):
+    q1 = REGISTRY["Q1_kpis"][0](spark, SF_SMALL)
+    q1.write.format("noop").mode("overwrite").save()
+    p = _plan(q1)
+    assert "Join" not in p and p.count("FileScan parquet") == 1  # fact x booking skipped
+    feed = REGISTRY["Q2_live_feed"][0](spark, SF_SMALL)
+    feed.write.format("noop").mode("overwrite").save()
+    # the top-k is checkpointed once; the plan reads it plus each dimension once
+    assert "booking_timestamp" not in " ".join(
+        s for s in _plan(feed).split("\n") if "FileScan parquet" in s)
