@@ -1,8 +1,8 @@
 """SparkSession settings for tests, the bench and local runs.
 
 On a cluster, use the cluster's session; the library never creates one.
-``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the session and only
-falls back to a scratch folder when it is unset (local tests).
+``checkpoint_dir`` reads the shared folder from the session and makes a scratch
+folder only in local mode, when none is set.
 """
 
 from __future__ import annotations
@@ -42,17 +42,22 @@ _SCRATCH: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
 
-    ``spark.checkpoint.dir`` is a static setting, so it is only read here.
-    When it is absent (local tests) a scratch folder is created once per
-    application and registered with ``setCheckpointDir``.
+    When neither is set, a session in local mode (tests, the bench) gets a
+    scratch folder, once per application.  A cluster session without one is an
+    error: executors and driver share no local folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
-    app = spark.sparkContext.applicationId
-    if app not in _SCRATCH:
-        _SCRATCH[app] = tempfile.mkdtemp(prefix="ridepulse-ckpt-")
-        spark.sparkContext.setCheckpointDir(_SCRATCH[app])
-    return _SCRATCH[app]
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if sc.applicationId not in _SCRATCH:
+        _SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="ridepulse-ckpt-")
+        sc.setCheckpointDir(_SCRATCH[sc.applicationId])
+    return _SCRATCH[sc.applicationId]
