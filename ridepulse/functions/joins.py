@@ -34,8 +34,8 @@ def small_lookup(df: DataFrame, max_rows: int = LOOKUP_ROW_BOUND) -> DataFrame:
     Proofs, cheapest first: frames built from local rows are already on the
     driver; a planner size estimate of at most 1 MiB (file sizes of tiny
     lookup tables); otherwise a row count capped at ``max_rows + 1``
-    (``limit(max_rows + 1).count()``), which stays cheap even when the answer
-    is no.
+    (``limit(max_rows + 1).count()``): of a table that reads few rows, of an aggregate
+    that runs it once, here.
     """
     if df.isLocal():
         return F.broadcast(df)
@@ -50,13 +50,3 @@ def small_lookup(df: DataFrame, max_rows: int = LOOKUP_ROW_BOUND) -> DataFrame:
 def literal_lookup(df: DataFrame) -> DataFrame:
     """Broadcast a lookup built from literal rows (size known at build time)."""
     return F.broadcast(df)
-
-
-def semi_filter(big: DataFrame, keys: DataFrame, on) -> DataFrame:
-    """Rows of ``big`` whose key is in the (small, bounded) ``keys`` frame.
-
-    Used to shrink a ride-sized dimension to the handful of rows a top-k
-    result needs before joining, so the dimension is scanned once and never
-    shuffled.
-    """
-    return big.join(F.broadcast(keys.select(on).distinct()), on, "left_semi")

@@ -1,13 +1,12 @@
 """Exact, order-independent numeric helpers (all built-in Column expressions).
 
-Ride measures (fares, surge, distance, ratings) are two-decimal quantities.
-Aggregating them as doubles makes the last bits depend on summation order,
-i.e. on partitioning.  We aggregate them in integer hundredths instead: a
-``LongType`` sum is exact, stays inside whole-stage codegen, combines
-map-side, and gives the same answer on 8 or 8,000 partitions.
-
-Rounding is half-up, written as ``floor(x * 10^n + 0.5) / 10^n`` so that it
-is the same expression in Spark and in the SQL oracle.
+Aggregating doubles makes the last bits depend on summation order, i.e. on
+partitioning.  Measures are summed as integer millionths instead: a ``LongType``
+sum is exact, stays inside whole-stage codegen, combines map-side, and gives the
+same answer on 8 or 8,000 partitions.  Results are rounded once, after the
+aggregate.  Six decimals are kept per value, and a sum may reach 9.2e12.
+
+Rounding is half-up, ``floor(x * 10^n + 0.5) / 10^n``.
 """
 
 from __future__ import annotations
@@ -26,19 +25,28 @@ def rnd(c, n: int = 2) -> Column:
     return F.floor(col(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+#: Millionths in one.
+MICRO = 1_000_000.0
+
+
+def micros(c) -> Column:
+    """A measure as a long number of millionths."""
+    return F.floor(col(c) * F.lit(MICRO) + F.lit(0.5))
+
+
 def hundredths(c) -> Column:
-    """A two-decimal double as an exact long number of hundredths."""
+    """A two-decimal amount as a long number of hundredths (for comparing amounts in cents)."""
     return F.floor(col(c) * F.lit(100.0) + F.lit(0.5))
 
 
 def sum2(c) -> Column:
-    """SUM of a two-decimal measure, exact; NULL when every input is NULL."""
-    return F.sum(hundredths(c)) / F.lit(100.0)
+    """SUM of a measure, exact; NULL when every input is NULL."""
+    return F.sum(micros(c)) / F.lit(MICRO)
 
 
 def avg2(c) -> Column:
-    """AVG of a two-decimal measure (NULLs skipped), before rounding."""
-    return F.sum(hundredths(c)) / F.count(col(c)) / F.lit(100.0)
+    """AVG of a measure (NULLs skipped), before rounding."""
+    return sum2(c) / F.count(col(c))
 
 
 def avg_long(c) -> Column:

@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ridepulse.functions.dates import newest
 from ridepulse.functions.joins import literal_lookup
-from ridepulse.functions.numeric import avg_long, count_if, hundredths, pct, rnd
+from ridepulse.functions.numeric import MICRO, avg2, avg_long, count_if, pct, rnd, sum2
 from ridepulse.functions.params import (
     validate_city,
     validate_city_list,
@@ -29,10 +30,6 @@ from ridepulse.operators.gold import Star
 from ridepulse.operators.star import _by_city
 
 
-def _avg2(c: Column) -> Column:
-    return F.sum(hundredths(c)) / F.count(c) / F.lit(100.0)
-
-
 def _fare0() -> Column:
     return F.coalesce(F.col("total_fare"), F.lit(0.0))
 
@@ -44,18 +41,18 @@ def _surge1() -> Column:
 def _city_measures() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("total_rides"),
-        (F.sum(hundredths(_fare0())) / F.lit(100.0)).alias("total_revenue"),
-        rnd(_avg2(_fare0())).alias("avg_fare"),
-        rnd(_avg2(_surge1())).alias("avg_surge"),
-        rnd(_avg2(F.col("rating"))).alias("avg_rating"),
+        sum2(_fare0()).alias("total_revenue"),
+        rnd(avg2(_fare0())).alias("avg_fare"),
+        rnd(avg2(_surge1())).alias("avg_surge"),
+        rnd(avg2(F.col("rating"))).alias("avg_rating"),
     ]
 
 
 def _cities_matching(star: Star, names: list[str], location_mode: str) -> DataFrame:
     lowered = [n.lower() for n in names]
-    # a filter of a proven-small lookup is itself proven small
+    # the lookup is marked for broadcast only if it is proven small
     loc = star.location_lookup(location_mode).select("pickup_city_id", "pickup_city")
-    return F.broadcast(loc.where(F.lower("pickup_city").isin(*lowered)))
+    return loc.where(F.lower("pickup_city").isin(*lowered))
 
 
 def revenue_by_city(star: Star, city: str, location_mode: str = "current") -> DataFrame:
@@ -76,10 +73,10 @@ def top_cities_by_revenue(star: Star, limit: int = 10, location_mode: str = "cur
     g = (_by_city(star, location_mode).where(F.col("pickup_city").isNotNull())
          .groupBy(F.col("pickup_city").alias("city")).agg(
              F.sum("n").alias("total_rides"),
-             (F.sum("fare0_h") / F.lit(100.0)).alias("total_revenue"),
-             rnd(F.sum("fare0_h") / F.sum("n") / F.lit(100.0)).alias("avg_fare"),
-             rnd(F.sum("surge1_h") / F.sum("n") / F.lit(100.0)).alias("avg_surge"),
-             rnd(F.sum("rating_h") / F.sum("rating_n") / F.lit(100.0)).alias("avg_rating")))
+             (F.sum("fare0_h") / F.lit(MICRO)).alias("total_revenue"),
+             rnd(F.sum("fare0_h") / F.lit(MICRO) / F.sum("n")).alias("avg_fare"),
+             rnd(F.sum("surge1_h") / F.lit(MICRO) / F.sum("n")).alias("avg_surge"),
+             rnd(F.sum("rating_h") / F.lit(MICRO) / F.sum("rating_n")).alias("avg_rating")))
     order = [F.col("total_revenue").desc(), F.col("city").asc()]
     top = g.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")) \
@@ -94,9 +91,9 @@ def surge_patterns(star: Star, hour_start: int = 0, hour_end: int = 23) -> DataF
     return (fb.where(F.col("booking_timestamp").isNotNull() & hour.between(h0, h1))
             .groupBy(hour.alias("booking_hour")).agg(
                 F.count(F.lit(1)).alias("total_rides"),
-                rnd(_avg2(_surge1())).alias("avg_surge"),
+                rnd(avg2(_surge1())).alias("avg_surge"),
                 rnd(F.max(_surge1())).alias("peak_surge"),
-                (F.sum(hundredths(_fare0())) / F.lit(100.0)).alias("total_revenue"))
+                sum2(_fare0()).alias("total_revenue"))
             .orderBy("booking_hour"))
 
 
@@ -106,9 +103,9 @@ def city_surge_comparison(star: Star, cities: str, location_mode: str = "current
     j = star.fact.join(_cities_matching(star, names, location_mode), "pickup_city_id", "inner")
     return (j.groupBy(F.col("pickup_city").alias("city")).agg(
         F.count(F.lit(1)).alias("total_rides"),
-        rnd(_avg2(_surge1())).alias("avg_surge"),
+        rnd(avg2(_surge1())).alias("avg_surge"),
         rnd(F.max(_surge1())).alias("peak_surge"),
-        (F.sum(hundredths(_fare0())) / F.lit(100.0)).alias("total_revenue"))
+        sum2(_fare0()).alias("total_revenue"))
         .orderBy(F.col("avg_surge").desc(), F.col("city").asc()))
 
 
@@ -123,7 +120,7 @@ def demand_by_city(star: Star, city: str, location_mode: str = "current") -> Dat
         count_if(st == 2).alias("cancelled_rides"),
         count_if((st != 2) | st.isNull()).alias("non_cancelled_rides"),
         pct(count_if(st == 2), F.count(F.lit(1))).alias("cancellation_rate"),
-        rnd(_avg2(_surge1())).alias("avg_surge"))
+        rnd(avg2(_surge1())).alias("avg_surge"))
 
 
 def kpi_dashboard(star: Star) -> DataFrame:
@@ -132,56 +129,65 @@ def kpi_dashboard(star: Star) -> DataFrame:
                                 ["ride_status_id"])
     return fb.agg(
         F.count(F.lit(1)).alias("total_rides"),
-        (F.sum(hundredths(_fare0())) / F.lit(100.0)).alias("total_revenue"),
-        rnd(_avg2(_fare0())).alias("avg_fare"),
-        rnd(_avg2(_surge1())).alias("avg_surge"),
-        rnd(_avg2(F.col("rating"))).alias("avg_rating"),
-        rnd(_avg2(F.col("distance_miles"))).alias("avg_distance"),
+        sum2(_fare0()).alias("total_revenue"),
+        rnd(avg2(_fare0())).alias("avg_fare"),
+        rnd(avg2(_surge1())).alias("avg_surge"),
+        rnd(avg2(F.col("rating"))).alias("avg_rating"),
+        rnd(avg2(F.col("distance_miles"))).alias("avg_distance"),
         pct(count_if(F.col("ride_status_id") == 2), F.count(F.lit(1))).alias("cancellation_rate"))
 
 
 # ---------------------------------------------------------------- silver (OBT)
 
-def _obt_city(obt: DataFrame, city: str) -> DataFrame:
-    return obt.where(F.lower("pickup_city") == F.lit(validate_city(city).lower()))
+def rides_of_city(obt: DataFrame, city: str, cities: DataFrame | None = None) -> DataFrame:
+    """Rides picked up in a city by (case-insensitive) name.
+
+    With the city map, the name is resolved to ids first (every version of the map counts),
+    and the ids reach the Parquet scan; a comparison with ``lower(name)`` alone cannot.
+    """
+    name = validate_city(city).lower()
+    if cities is not None:
+        ids = [r[0] for r in cities.where(F.lower("city") == F.lit(name)).select("city_id").distinct().collect()]
+        obt = obt.where(F.col("pickup_city_id").isin(*ids)) if ids else obt.where(F.lit(False))
+    return obt.where(F.lower("pickup_city") == F.lit(name))
 
 
-def silver_city_overview(obt: DataFrame, city: str) -> DataFrame:
+def silver_city_overview(obt: DataFrame, city: str, cities: DataFrame | None = None) -> DataFrame:
     """Per (city, state, region) of the matching name; every group is returned."""
-    return _obt_city(obt, city).groupBy(
+    return rides_of_city(obt, city, cities).groupBy(
         F.col("pickup_city").alias("city"), "state", "region").agg(
         F.count(F.lit(1)).alias("total_rides"),
-        (F.sum(hundredths(_fare0())) / F.lit(100.0)).alias("total_revenue"),
-        rnd(_avg2(F.coalesce(F.col("distance_miles"), F.lit(0.0)))).alias("avg_distance_miles"),
+        sum2(_fare0()).alias("total_revenue"),
+        rnd(avg2(F.coalesce(F.col("distance_miles"), F.lit(0.0)))).alias("avg_distance_miles"),
         rnd(avg_long(F.coalesce(F.col("duration_minutes"), F.lit(0).cast("long"))))
         .alias("avg_duration_minutes"),
-        rnd(_avg2(_surge1())).alias("avg_surge"),
-        rnd(_avg2(F.col("rating"))).alias("avg_rating"),
-        rnd(_avg2(F.col("driver_rating"))).alias("avg_driver_rating"))
+        rnd(avg2(_surge1())).alias("avg_surge"),
+        rnd(avg2(F.col("rating"))).alias("avg_rating"),
+        rnd(avg2(F.col("driver_rating"))).alias("avg_driver_rating"))
 
 
-def silver_vehicle_mix(obt: DataFrame, city: str, limit: int = 8) -> DataFrame:
+def silver_vehicle_mix(obt: DataFrame, city: str, limit: int = 8, cities: DataFrame | None = None) -> DataFrame:
     """Vehicle types of a city: rides, average fare and surge; top 8 by rides."""
-    return (_obt_city(obt, city).where(F.col("vehicle_type").isNotNull())
+    return (rides_of_city(obt, city, cities).where(F.col("vehicle_type").isNotNull())
             .groupBy("vehicle_type").agg(
                 F.count(F.lit(1)).alias("rides"),
-                rnd(_avg2(_fare0())).alias("avg_fare"),
-                rnd(_avg2(_surge1())).alias("avg_surge"))
+                rnd(avg2(_fare0())).alias("avg_fare"),
+                rnd(avg2(_surge1())).alias("avg_surge"))
             .orderBy(F.col("rides").desc(), F.col("vehicle_type").asc()).limit(limit))
 
 
-def silver_payment_mix(obt: DataFrame, city: str, limit: int = 8) -> DataFrame:
+def silver_payment_mix(obt: DataFrame, city: str, limit: int = 8, cities: DataFrame | None = None) -> DataFrame:
     """Payment methods of a city, top 8 by rides."""
-    return (_obt_city(obt, city).where(F.col("payment_method").isNotNull())
+    return (rides_of_city(obt, city, cities).where(F.col("payment_method").isNotNull())
             .groupBy("payment_method").agg(F.count(F.lit(1)).alias("rides"))
             .orderBy(F.col("rides").desc(), F.col("payment_method").asc()).limit(limit))
 
 
-def silver_status_mix(obt: DataFrame, city: str, limit: int = 8) -> DataFrame:
+def silver_status_mix(obt: DataFrame, city: str, limit: int = 8, cities: DataFrame | None = None) -> DataFrame:
     """A7d: status x cancellation reason of a city (NULLs as 'Unknown' / 'None'), top 8."""
     st = F.coalesce(F.col("ride_status"), F.lit("Unknown"))
     rs = F.coalesce(F.col("cancellation_reason"), F.lit("None"))
-    return (_obt_city(obt, city).groupBy(st.alias("ride_status"), rs.alias("cancellation_reason"))
+    return (rides_of_city(obt, city, cities).groupBy(st.alias("ride_status"), rs.alias("cancellation_reason"))
             .agg(F.count(F.lit(1)).alias("rides"))
             .orderBy(F.col("rides").desc(), F.col("ride_status").asc(),
                      F.col("cancellation_reason").asc()).limit(limit))
@@ -195,7 +201,7 @@ SIGNAL_COLUMNS = ["booking_timestamp", "pickup_city", "state", "region", "vehicl
 def recent_signals(obt: DataFrame, limit: int = 10) -> DataFrame:
     """Newest rides as 12 PII-free columns (ties on time break on ride id)."""
     limit = validate_limit(limit)
-    top = (obt.where(F.col("booking_timestamp").isNotNull())
+    top = (newest(obt, limit).where(F.col("booking_timestamp").isNotNull())
            .orderBy(F.col("booking_timestamp").desc(), F.col("ride_id").asc()).limit(limit))
     return top.select(
         "booking_timestamp", "pickup_city", "state", "region", "vehicle_type", "ride_status",

@@ -3,8 +3,8 @@
 Both come in a one-city form (the tool) and an all-cities form (A9b/A10b):
 one job that aggregates the window once per city and left-joins the result
 to the city map, so cities without rides still get a row.  ``as_of``
-defaults to ``current_timestamp()``; the window is ``[as_of - window_hours,
-as_of)``.  Feature column names keep the 6-hour wording of the tool.
+defaults to ``current_timestamp()``; the window is ``[as_of - window_hours, as_of)``,
+open at the end when ``as_of`` is not given.  Feature column names keep the 6-hour wording of the tool.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridepulse.functions.joins import small_lookup
-from ridepulse.functions.numeric import count_if, hundredths, pct, rnd
+from ridepulse.functions.numeric import avg2, count_if, pct, rnd
+from ridepulse.functions.dates import booked_from, booked_until
 from ridepulse.functions.params import validate_city, validate_horizon
+from ridepulse.operators.curated import rides_of_city
 
 # Pressure score weights and band limits.
 SURGE_WEIGHT, PEAK_WEIGHT, CANCEL_WEIGHT = 55.0, 25.0, 0.2
@@ -26,9 +28,12 @@ def _as_of(as_of) -> Column:
 
 
 def _window(obt: DataFrame, as_of, window_hours: int) -> DataFrame:
+    """Rides booked in the window; without ``as_of`` there is no upper bound (a clock that runs
+    ahead of the cluster's does not lose a ride)."""
     end = _as_of(as_of)
     start = end - F.make_dt_interval(F.lit(0), F.lit(int(window_hours)), F.lit(0), F.lit(0))
-    return obt.where((F.col("booking_timestamp") >= start) & (F.col("booking_timestamp") < end))
+    out = booked_from(obt, start).where(F.col("booking_timestamp") >= start)
+    return out if as_of is None else booked_until(out, end).where(F.col("booking_timestamp") < end)
 
 
 def _surge1() -> Column:
@@ -40,7 +45,7 @@ def _features(window_hours: int) -> list[Column]:
     return [
         n.alias("rides_last_6h"),
         rnd(n / F.lit(float(window_hours))).alias("avg_rides_per_hour"),
-        rnd(F.sum(hundredths(_surge1())) / F.count(_surge1()) / F.lit(100.0)).alias("avg_surge_last_6h"),
+        rnd(avg2(_surge1())).alias("avg_surge_last_6h"),
         rnd(F.max(_surge1())).alias("peak_surge_last_6h"),
         pct(count_if(F.col("ride_status_id") == 2), F.greatest(n, F.lit(1))).alias("cancellation_rate_last_6h"),
     ]
@@ -69,25 +74,26 @@ def _pressure(df: DataFrame) -> DataFrame:
                         .otherwise(F.lit("low"))))
 
 
-def _one_city(obt: DataFrame, city: str, as_of, window_hours: int) -> DataFrame:
-    w = _window(obt, as_of, window_hours).where(F.lower("pickup_city") == F.lit(city.lower()))
+def _one_city(obt: DataFrame, city: str, as_of, window_hours: int, cities: DataFrame | None) -> DataFrame:
+    w = rides_of_city(_window(obt, as_of, window_hours), city, cities)
     return w.agg(*_features(window_hours)).withColumn("city", F.lit(city))
 
 
 def predict_city_demand(obt: DataFrame, city: str, horizon_hours: int = 1, as_of=None,
-                        window_hours: int = 6) -> DataFrame:
+                        window_hours: int = 6, cities: DataFrame | None = None) -> DataFrame:
     """Trailing rides per hour x horizon; confidence low when the rate is 0."""
     city, h = validate_city(city), validate_horizon(horizon_hours)
-    out = _demand(_one_city(obt, city, as_of, window_hours), h)
+    out = _demand(_one_city(obt, city, as_of, window_hours, cities), h)
     return out.select("city", "horizon_hours", "rides_last_6h", "avg_rides_per_hour",
                       "avg_surge_last_6h", "cancellation_rate_last_6h", "predicted_rides",
                       "confidence")
 
 
-def predict_surge_pressure(obt: DataFrame, city: str, as_of=None, window_hours: int = 6) -> DataFrame:
+def predict_surge_pressure(obt: DataFrame, city: str, as_of=None, window_hours: int = 6,
+                           cities: DataFrame | None = None) -> DataFrame:
     """A10: weighted score of surge, peak surge and cancellations, banded."""
     city = validate_city(city)
-    out = _pressure(_one_city(obt, city, as_of, window_hours))
+    out = _pressure(_one_city(obt, city, as_of, window_hours, cities))
     return out.select("city", "rides_last_6h", "avg_surge_last_6h", "peak_surge_last_6h",
                       "cancellation_rate_last_6h", "pressure_score", "pressure_band")
 

@@ -12,16 +12,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from ridepulse.functions.dates import newest
 from ridepulse.operators.scd import current as scd_current
 from ridepulse.operators.scd import scd2
-from ridepulse.operators.silver import dedup_rides, first_per_key
+from ridepulse.operators.silver import first_per_key
 from ridepulse.schemas import DIM_COLUMNS, DIM_KEYS, FACT_COLUMNS
 
 
 def gold_base(obt: DataFrame) -> DataFrame:
     """S7 (batch): one row per ride of the enriched table (rides without an id
     cannot be keyed and are left out of gold)."""
-    return dedup_rides(obt.where("ride_id IS NOT NULL"))
+    return first_per_key(obt, ["ride_id"], near_unique=True)
 
 
 def fact(base: DataFrame) -> DataFrame:
@@ -89,16 +90,18 @@ class Star:
             self._lookups[key] = small_lookup(self.location(mode))
         return self._lookups[key]
 
-    def fact_with_booking(self, fact_cols: list[str], booking_cols: list[str]) -> DataFrame:
+    def fact_with_booking(self, fact_cols: list[str], booking_cols: list[str],
+                          newest_rows: int | None = None) -> DataFrame:
         """``fact LEFT JOIN dim_booking USING (ride_id)`` restricted to the columns given.
 
         When both tables are projections of one gold base (same key set, one
         row per ride), the join is the identity on that base and is skipped:
-        one scan, no shuffle.
+        one scan, no shuffle.  ``newest_rows`` asks for no more than the newest months that
+        hold so many rides.
         """
         cols = list(dict.fromkeys(["ride_id"] + fact_cols + booking_cols))
         if self.base is not None:
-            return self.base.select(*cols)
+            return (newest(self.base, newest_rows) if newest_rows else self.base).select(*cols)
         f = self.fact.select(*dict.fromkeys(["ride_id"] + fact_cols))
         b = self.dim_booking.select(*dict.fromkeys(["ride_id"] + booking_cols))
         return f.join(b, "ride_id", "left").select(*cols)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DateType, DecimalType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
-from ridepulse.functions.numeric import hundredths, rnd
+from ridepulse.functions.numeric import rnd, sum2
 
 # Columns a recent-ride row may carry into an assistant context.
 ALLOWED_RIDE_COLUMNS = ["booking_timestamp", "vehicle_type", "pickup_city", "total_fare",
@@ -67,6 +67,7 @@ def _fmt(c: Column, pattern: str, n: int | None) -> Column:
     return F.when(c.isNull(), F.lit("-")).otherwise(F.format_string(pattern, v))
 
 
+# Display labels of the feed.
 FEED_RENAMES = {"booking_timestamp": "Time", "passenger_name": "Passenger", "driver_name": "Driver",
                 "driver_rating": "Driver Rating", "vehicle_type": "Vehicle", "pickup_city": "City",
                 "distance_miles": "Dist", "duration_minutes": "Min", "surge_multiplier": "Surge",
@@ -153,32 +154,48 @@ def pickup_density(star_or_rides: DataFrame, cell_deg: float = 0.25) -> DataFram
             .groupBy((F.floor(lat / cell) * cell).alias("cell_lat"),
                      (F.floor(lon / cell) * cell).alias("cell_lon"))
             .agg(F.count(F.lit(1)).alias("rides"),
-                 (F.sum(hundredths(F.coalesce(F.col("total_fare"), F.lit(0.0)))) / F.lit(100.0))
-                 .alias("total_revenue")))
+                 sum2(F.coalesce(F.col("total_fare"), F.lit(0.0))).alias("total_revenue")))
 
 
-def snapshot(slices: dict[str, DataFrame], orders: dict[str, list[Column]]) -> DataFrame:
-    """Bounded dashboard snapshot as a long table ``(slice, pos, json)``.
-
-    Each slice is cut to its bound (``SNAPSHOT_LIMITS``) in its own order,
-    stripped of name columns (all slices, not only recent rides), recent rides
-    additionally allow-listed, values cleaned (P3) and serialised with
-    ``to_json``.
-    """
-    parts = []
+def _bounded(slices: dict[str, DataFrame], orders: dict[str, list[Column]]):
+    """(name, rows with ``__pos``) of every slice: cut to its bound in its own order, then ranked,
+    stripped of name columns (all slices, not only recent rides), values cleaned (P3)."""
     for name, df in slices.items():
         order = orders.get(name) or [F.lit(1)]
-        ranked = df.withColumn("__pos", F.row_number().over(Window.orderBy(*order)))
-        ranked = ranked.where(F.col("__pos") <= SNAPSHOT_LIMITS[name])
-        d = drop_names(ranked)
+        cut = df.orderBy(*order).limit(SNAPSHOT_LIMITS[name])
+        d = drop_names(cut.withColumn("__pos", F.row_number().over(Window.orderBy(*order)).cast("long")))
         if name == "recent_rides":
             d = sanitize(d, ALLOWED_RIDE_COLUMNS + ["__pos"])
-        d = clean_values(d)
-        cols = [c for c in d.columns if c != "__pos"]
-        parts.append(d.select(
-            F.lit(name).alias("slice"), F.col("__pos").cast("long").alias("pos"),
-            F.to_json(F.struct(*[F.col(c) for c in cols])).alias("json")))
+        yield name, clean_values(d)
+
+
+def _stacked(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def snapshot(slices: dict[str, DataFrame], orders: dict[str, list[Column]]) -> DataFrame:
+    """Bounded dashboard snapshot ``(slice, pos, json)``, one JSON object per row of a slice."""
+    return _stacked([d.select(F.lit(name).alias("slice"), F.col("__pos").alias("pos"),
+                              F.to_json(F.struct(*[F.col(c) for c in d.columns if c != "__pos"])).alias("json"))
+                     for name, d in _bounded(slices, orders)])
+
+
+def snapshot_fields(slices: dict[str, DataFrame], orders: dict[str, list[Column]]) -> DataFrame:
+    """P1 in long form ``(slice, pos, field, number, text)``: numbers as double, everything else as text."""
+    parts = []
+    for name, d in _bounded(slices, orders):
+        cells = []
+        for f in d.schema.fields:
+            if f.name == "__pos":
+                continue
+            numeric = f.dataType.typeName() in ("long", "integer", "double", "float", "short", "byte")
+            value = F.col(f.name)
+            cells.append(F.struct(F.lit(f.name).alias("field"),
+                                  (value if numeric else F.lit(None)).cast("double").alias("number"),
+                                  (F.lit(None) if numeric else value).cast("string").alias("text")))
+        parts.append(d.select(F.lit(name).alias("slice"), F.col("__pos").alias("pos"), F.explode(F.array(*cells)).alias("c"))
+                     .select("slice", "pos", "c.*"))
+    return _stacked(parts)

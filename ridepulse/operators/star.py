@@ -7,11 +7,9 @@ vehicle) or tiny (payment, location).  Grouped queries therefore
 **aggregate the fact on its foreign key first** (partial aggregation
 map-side, one shuffle of at most one row per key per task) and join the
 dimension to that small result, then re-aggregate by the dimension's
-label.  Counts and sums of hundredths are exact integers, so the
-two-level aggregate equals the row-level one bit for bit.  Top-k queries
-pick the k rows first and only then fetch their dimension attributes through
-a broadcast semi-join filter, so no ride-sized dimension is ever shuffled
-for them.
+label.  Counts and sums of millionths are exact integers, so the
+two-level aggregate equals the row-level one bit for bit.  The live feed picks its rows
+first and then reads their dimension rows by id, so no ride-sized dimension is shuffled.
 """
 
 from __future__ import annotations
@@ -19,20 +17,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridepulse.functions.joins import semi_filter, small_lookup
-from ridepulse.functions.numeric import count_if, hundredths, pct, rnd
+from ridepulse.functions.joins import small_lookup
+from ridepulse.functions.numeric import MICRO, count_if, micros, pct, rnd
+from ridepulse.functions.params import validate_limit
 from ridepulse.operators.gold import Star
-from ridepulse.session import checkpoint_dir
 from ridepulse.sources.lookups import current_cities
 
 
+def _measures() -> dict:
+    """Measures that every report of the dashboard snapshot is made of."""
+    fare0 = F.coalesce("total_fare", F.lit(0.0))
+    surge1 = F.coalesce("surge_multiplier", F.lit(1.0))
+    return {
+        "n": F.count(F.lit(1)), "fare_h": _hsum("total_fare"), "fare_n": _nn("total_fare"), "fare0_h": F.sum(_h(fare0)),
+        "tip0_h": F.sum(_h(F.coalesce("tip_amount", F.lit(0.0)))), "surge_h": _hsum("surge_multiplier"),
+        "surge_n": _nn("surge_multiplier"), "surge1_h": F.sum(_h(surge1)), "surge1_max": F.max(surge1),
+        "rating_h": _hsum("rating"), "rating_n": _nn("rating"), "miles_h": _hsum("distance_miles"),
+        "miles_n": _nn("distance_miles"), "cancelled": count_if(F.col("ride_status_id") == 2)}
+
+
+SUMMARY_KEYS = ["pickup_city_id", "payment_method_id", "surge_bucket", "vehicle_id", "driver_id"]
+
+
+def summaries(star: Star) -> DataFrame:
+    """All measures over all rides and per city, payment method, surge bucket, vehicle and driver, in one scan.
+
+    ``by`` names the key of a row's group (NULL: all rides).
+    """
+    fb = star.fact_with_booking(["pickup_city_id", "payment_method_id", "vehicle_id", "driver_id", "total_fare", "tip_amount",
+                                 "surge_multiplier", "rating", "distance_miles"], ["ride_status_id"])
+    fb = fb.withColumn("surge_bucket", rnd("surge_multiplier", 1))
+    by = F.lit(None).cast("string")
+    for k in SUMMARY_KEYS:
+        by = F.when(F.grouping(k) == 0, F.lit(k)).otherwise(by)
+    return fb.groupingSets([[]] + [[F.col(k)] for k in SUMMARY_KEYS], *[F.col(k) for k in SUMMARY_KEYS]).agg(
+        by.alias("by"), *[c.alias(n) for n, c in _measures().items()])
+
+
 def _partial(fact: DataFrame, key: str, measures: dict) -> DataFrame:
     """Fact aggregated on ``key``: ``measures`` maps name -> aggregate Column."""
     return fact.groupBy(key).agg(*[c.alias(n) for n, c in measures.items()])
 
 
 def _h(c):
-    return hundredths(c)
+    return micros(c)
 
 
 def _hsum(c):
@@ -43,23 +71,27 @@ def _nn(c):
     return F.count(F.col(c) if isinstance(c, str) else c)
 
 
-def _div(num, den, scale: float = 100.0):
-    return num / den / F.lit(scale)
+def _div(num, den):
+    return num / F.lit(MICRO) / den
+
 
+def _mean(total: str, n: str):
+    return _div(F.col(total), F.nullif(F.col(n), F.lit(0)))
 
-def kpis(star: Star) -> DataFrame:
-    """Q1: platform KPIs; averages skip NULLs, cancellation % over all rides."""
-    j = star.fact_with_booking(["total_fare", "surge_multiplier", "rating", "distance_miles"],
-                               ["ride_status_id"])
-    return j.agg(
-        F.count(F.lit(1)).alias("total_rides"),
-        (_hsum("total_fare") / F.lit(100.0)).alias("total_revenue"),
-        rnd(_div(_hsum("total_fare"), _nn("total_fare"))).alias("avg_fare"),
-        rnd(_div(_hsum("surge_multiplier"), _nn("surge_multiplier"))).alias("avg_surge"),
-        rnd(_div(_hsum("rating"), _nn("rating"))).alias("avg_rating"),
-        rnd(_div(_hsum("distance_miles"), _nn("distance_miles"))).alias("avg_distance"),
-        pct(count_if(F.col("ride_status_id") == 2), F.count(F.lit(1))).alias("cancellation_rate"),
-    )
+
+def kpis(star: Star, pre: DataFrame | None = None) -> DataFrame:
+    """Q1: platform KPIs; averages skip NULLs, cancellation % over all rides.
+
+    ``pre`` (here and below): the rows of ``summaries`` for this report.
+    """
+    if pre is None:
+        fb = star.fact_with_booking(["total_fare", "tip_amount", "surge_multiplier", "rating", "distance_miles"], ["ride_status_id"])
+        pre = fb.agg(*[c.alias(n) for n, c in _measures().items()])
+    return pre.select(
+        F.col("n").alias("total_rides"), (F.col("fare_h") / F.lit(MICRO)).alias("total_revenue"),
+        rnd(_mean("fare_h", "fare_n")).alias("avg_fare"), rnd(_mean("surge_h", "surge_n")).alias("avg_surge"),
+        rnd(_mean("rating_h", "rating_n")).alias("avg_rating"), rnd(_mean("miles_h", "miles_n")).alias("avg_distance"),
+        pct(F.col("cancelled"), F.nullif(F.col("n"), F.lit(0))).alias("cancellation_rate"))
 
 
 FEED_COLUMNS = ["ride_id", "booking_timestamp", "passenger_name", "driver_name",
@@ -68,32 +100,29 @@ FEED_COLUMNS = ["ride_id", "booking_timestamp", "passenger_name", "driver_name",
 
 
 def live_feed(star: Star, limit: int = 10, location_mode: str = "current") -> DataFrame:
-    """Q2: newest rides with names and labels (12 columns).
+    """Q2: newest rides with names and labels (12 columns), newest first, ties by ``ride_id``.
 
-    Top-k on fact x booking first (``TakeOrderedAndProject``, computed once
-    and checkpointed), then the k rows pick up passenger, driver, vehicle and
-    city through broadcast semi-filtered dimensions.  Ties on booking time
-    break on ``ride_id``.
+    The top-k of fact x booking reads only the newest months.  It runs when this is called,
+    and its at most ``MAX_LIMIT`` rows become literal rows: their ids then reach the scans of
+    the ride-sized dimensions as literals, and no dimension is shuffled.
     """
+    limit = validate_limit(limit)
     fb = star.fact_with_booking(["passenger_id", "driver_id", "vehicle_id", "pickup_city_id",
                                  "total_fare", "distance_miles", "duration_minutes",
-                                 "surge_multiplier", "rating"], ["booking_timestamp"])
-    top = (fb.orderBy(F.col("booking_timestamp").desc_nulls_last(), F.col("ride_id").asc_nulls_last())
-           .limit(limit))
-    # The k rows feed four branches (output + three key sets).  Checkpointing them
-    # into the shared checkpoint folder computes the top-k once: one scan of the
-    # fact instead of four.
-    checkpoint_dir(top.sparkSession)
-    top = top.checkpoint(eager=True)
-    p = semi_filter(star.dim_passenger.select("passenger_id", "passenger_name"), top, "passenger_id")
-    d = semi_filter(star.dim_driver.select("driver_id", "driver_name", "driver_rating"), top, "driver_id")
-    v = semi_filter(star.dim_vehicle.select("vehicle_id", "vehicle_type"), top, "vehicle_id")
-    loc = star.location_lookup(location_mode).select("pickup_city_id", "pickup_city")
-    out = (top.join(F.broadcast(p), "passenger_id", "left")
-           .join(F.broadcast(d), "driver_id", "left")
-           .join(F.broadcast(v), "vehicle_id", "left")
-           .join(loc, "pickup_city_id", "left"))
-    return out.select(*FEED_COLUMNS)
+                                 "surge_multiplier", "rating"], ["booking_timestamp"], newest_rows=limit)
+    rows = (fb.orderBy(F.col("booking_timestamp").desc_nulls_last(), F.col("ride_id").asc_nulls_last())
+            .limit(limit).collect())
+    top = fb.sparkSession.createDataFrame(rows, fb.schema)
+
+    def wanted(dim: DataFrame, key: str, *columns: str) -> DataFrame:
+        ids = sorted({r[key] for r in rows if r[key] is not None})
+        return F.broadcast(dim.where(F.col(key).isin(*ids)).select(key, *columns))  # one row per id
+
+    out = (top.join(wanted(star.dim_passenger, "passenger_id", "passenger_name"), "passenger_id", "left")
+           .join(wanted(star.dim_driver, "driver_id", "driver_name", "driver_rating"), "driver_id", "left")
+           .join(wanted(star.dim_vehicle, "vehicle_id", "vehicle_type"), "vehicle_id", "left")
+           .join(star.location_lookup(location_mode).select("pickup_city_id", "pickup_city"), "pickup_city_id", "left"))
+    return out.select(*FEED_COLUMNS).orderBy(F.col("booking_timestamp").desc_nulls_last(), F.col("ride_id").asc_nulls_last())
 
 
 def _by_city(star: Star, location_mode: str) -> DataFrame:
@@ -120,13 +149,13 @@ def rides_by_city(star: Star, limit: int = 10, location_mode: str = "current",
     pre = by_city if by_city is not None else _by_city(star, location_mode)
     g = pre.groupBy(F.col("pickup_city").alias("city")).agg(
         F.sum("n").alias("total_rides"),
-        (F.sum("fare_h") / F.lit(100.0)).alias("total_revenue"))
+        (F.sum("fare_h") / F.lit(MICRO)).alias("total_revenue"))
     return g.orderBy(F.col("total_rides").desc(), F.col("city").asc_nulls_first()).limit(limit)
 
 
-def rides_by_vehicle_type(star: Star) -> DataFrame:
+def rides_by_vehicle_type(star: Star, pre: DataFrame | None = None) -> DataFrame:
     """Q4: rides and average fare per vehicle type (NULL type is a group)."""
-    pre = _partial(star.fact, "vehicle_id", {
+    pre = pre if pre is not None else _partial(star.fact, "vehicle_id", {
         "n": F.count(F.lit(1)), "fare_h": _hsum("total_fare"), "fare_n": _nn("total_fare")})
     j = pre.join(star.dim_vehicle.select("vehicle_id", "vehicle_type"), "vehicle_id", "left")
     return (j.groupBy("vehicle_type").agg(
@@ -135,26 +164,26 @@ def rides_by_vehicle_type(star: Star) -> DataFrame:
         .orderBy(F.col("total_rides").desc(), F.col("vehicle_type").asc_nulls_first()))
 
 
-def rides_by_payment(star: Star) -> DataFrame:
+def rides_by_payment(star: Star, pre: DataFrame | None = None) -> DataFrame:
     """Q5: rides per payment method."""
-    pre = _partial(star.fact, "payment_method_id", {"n": F.count(F.lit(1))})
+    pre = pre if pre is not None else _partial(star.fact, "payment_method_id", {"n": F.count(F.lit(1))})
     pm = small_lookup(star.dim_payment.select("payment_method_id", "payment_method"))
     j = pre.join(pm, "payment_method_id", "left")
     return (j.groupBy("payment_method").agg(F.sum("n").alias("total_rides"))
             .orderBy(F.col("total_rides").desc(), F.col("payment_method").asc_nulls_first()))
 
 
-def surge_distribution(star: Star) -> DataFrame:
+def surge_distribution(star: Star, pre: DataFrame | None = None) -> DataFrame:
     """Q6: ride count per surge bucket (one decimal), NULL surge dropped."""
-    return (star.fact.where(F.col("surge_multiplier").isNotNull())
-            .groupBy(rnd("surge_multiplier", 1).alias("surge_bucket"))
-            .agg(F.count(F.lit(1)).alias("ride_count"))
-            .orderBy("surge_bucket"))
+    if pre is None:
+        pre = _partial(star.fact.withColumn("surge_bucket", rnd("surge_multiplier", 1)), "surge_bucket", {"n": F.count(F.lit(1))})
+    return (pre.where(F.col("surge_bucket").isNotNull())
+            .select("surge_bucket", F.col("n").alias("ride_count")).orderBy("surge_bucket"))
 
 
-def top_drivers(star: Star, limit: int = 5) -> DataFrame:
+def top_drivers(star: Star, limit: int = 5, pre: DataFrame | None = None) -> DataFrame:
     """Q7: leaderboard by driver *name* (homonyms merge), NULL names dropped."""
-    pre = _partial(star.fact, "driver_id", {
+    pre = pre if pre is not None else _partial(star.fact, "driver_id", {
         "n": F.count(F.lit(1)),
         "fare0_h": F.sum(_h(F.coalesce("total_fare", F.lit(0.0)))),
         "tip0_h": F.sum(_h(F.coalesce("tip_amount", F.lit(0.0))))})
@@ -165,7 +194,7 @@ def top_drivers(star: Star, limit: int = 5) -> DataFrame:
         rnd(_div(F.sum(_h("driver_rating") * F.col("n")),
                  F.sum(F.when(F.col("driver_rating").isNotNull(), F.col("n"))))).alias("driver_rating"),
         F.sum("n").alias("total_rides"),
-        (F.sum("fare0_h") / F.lit(100.0)).alias("total_revenue"),
+        (F.sum("fare0_h") / F.lit(MICRO)).alias("total_revenue"),
         rnd(_div(F.sum("tip0_h"), F.sum("n"))).alias("avg_tip"))
     return g.orderBy(F.col("total_rides").desc(), F.col("driver_name").asc()).limit(limit)
 
@@ -192,7 +221,7 @@ def revenue_by_region(star: Star, cities: DataFrame, join_on: str = "id",
     return (j.where(F.col("mc_region").isNotNull())
             .groupBy(F.col("mc_region").alias("region"))
             .agg(F.sum("n").alias("total_rides"),
-                 (F.sum("fare0_h") / F.lit(100.0)).alias("total_revenue"))
+                 (F.sum("fare0_h") / F.lit(MICRO)).alias("total_revenue"))
             .orderBy(F.col("total_revenue").desc(), F.col("region").asc()))
 
 
