@@ -20,52 +20,66 @@ the middle of the history without rewriting its neighbours.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridepulse.operators.silver import first_per_key
+from ridepulse.operators.silver import _smallest, first_per_key
 from ridepulse.schemas import END_AT, START_AT
 
 _TAG = "__src"
 
 
-def _sortable_desc(c: Column, dtype: str) -> Column:
-    """A column that sorts ascending in the *descending* order of ``c`` (NULLs last)."""
-    if dtype in ("timestamp", "timestamp_ntz"):
-        v = F.unix_micros(c.cast("timestamp"))
-    elif dtype == "date":
-        v = F.unix_date(c)
-    elif dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
-        v = c
-    else:
+#: Types that can order versions.
+_ORDERED = ("timestamp", "timestamp_ntz", "date", "tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _check_order(df: DataFrame, sequence_by: str) -> None:
+    dtype = df.schema[sequence_by].dataType.simpleString()
+    if dtype not in _ORDERED and not dtype.startswith("decimal"):
         raise TypeError(f"sequence_by of type {dtype} cannot order versions; use a numeric or timestamp column")
-    return F.struct(v.isNull().alias("n"), (-v).alias("v"))
 
 
 def scd1(current: DataFrame | None, updates: DataFrame, keys: list[str],
          sequence_by: str | None = None, tiebreak: list[str] | None = None) -> DataFrame:
     """Type-1 upsert of ``updates`` into ``current``; returns the new table.
 
-    One hash aggregate of ``min(struct(order, row))`` per key: partial
-    aggregation runs before the shuffle, so a hot key costs one row per input
-    task, not a giant sort.
+    With a real sequence column the largest value per key comes from a hash aggregate
+    (combined map-side, so a hot key costs one row per input task); rows that do not have
+    it are left out by an equi-join on key and value, and only the ties are sorted.
     """
     values = [c for c in updates.columns if c not in keys]
     tiebreak = tiebreak if tiebreak is not None else values
-    same_as_key = sequence_by is None or sequence_by in keys
     new = updates.withColumn(_TAG, F.lit(1))
     both = new if current is None else current.select(*updates.columns) \
         .withColumn(_TAG, F.lit(0)).unionByName(new)
-    order = []
-    if not same_as_key:
-        order.append(_sortable_desc(F.col(sequence_by), updates.schema[sequence_by].dataType.simpleString()))
-    order.append(F.col(_TAG))
-    order += [F.col(c) for c in tiebreak]
-    pick = both.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).agg(
-        F.min(F.struct(F.struct(*order).alias("o"), F.struct(*values).alias("v"))).alias("__w"))
-    return pick.select(*keys, *[F.col(f"__w.v.{c}").alias(c) for c in values]) \
-        .select(*updates.columns)
+    both = both.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    if sequence_by is not None and sequence_by not in keys:
+        _check_order(updates, sequence_by)
+        last = both.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max(sequence_by).alias("__last"))
+        on = F.col(sequence_by).eqNullSafe(F.col("__last"))
+        for i, k in enumerate(keys):
+            on = on & (F.col(k) == F.col(f"__k{i}"))
+        both = both.join(last, on, "left_semi")
+    elif current is None and tiebreak == values:  # every row of a key ties: combine equal rows first
+        return first_per_key(updates, keys)
+    order = [F.col(c).asc_nulls_first() for c in [_TAG, *tiebreak]]
+    return _smallest(both, keys, order).select(*updates.columns)
+
+
+def scd2_versions(current: DataFrame | None, updates: DataFrame, keys: list[str], sequence_by: str) -> DataFrame:
+    """One row per distinct ``(keys, sequence_by)``; a stored version wins a tie (no end dates)."""
+    other = [c for c in updates.columns if c not in keys and c != sequence_by]
+    both = updates.withColumn(_TAG, F.lit(1))
+    if current is not None:
+        stored = current.drop(END_AT)
+        if START_AT in stored.columns and sequence_by not in stored.columns:
+            stored = stored.withColumnRenamed(START_AT, sequence_by)
+        both = stored.select(*updates.columns).withColumn(_TAG, F.lit(0)).unionByName(both)
+    # equal rows are combined map-side (a city has millions of rides and a few versions)
+    both = both.where(F.col(sequence_by).isNotNull()).distinct()
+    order = [F.col(c).asc_nulls_first() for c in [_TAG, *other]]
+    return _smallest(both, [*keys, sequence_by], order).select(*updates.columns)
 
 
 def scd2(current: DataFrame | None, updates: DataFrame, keys: list[str],
@@ -77,21 +91,7 @@ def scd2(current: DataFrame | None, updates: DataFrame, keys: list[str],
     dropped (count them with ``scd2_rejects``).  ``track`` optionally merges
     consecutive versions whose tracked columns are all equal.
     """
-    values = [c for c in updates.columns if c not in keys]
-    stored = None
-    if current is not None:
-        stored = current.drop(END_AT)
-        if START_AT in stored.columns and sequence_by not in stored.columns:
-            stored = stored.withColumnRenamed(START_AT, sequence_by)
-        stored = stored.select(*updates.columns).withColumn(_TAG, F.lit(0))
-    new = updates.withColumn(_TAG, F.lit(1))
-    both = new if stored is None else stored.unionByName(new)
-    both = both.where(F.col(sequence_by).isNotNull())
-    other = [c for c in values if c != sequence_by]
-    pick = both.groupBy(*keys, sequence_by).agg(
-        F.min(F.struct(F.struct(F.col(_TAG), *[F.col(c) for c in other]).alias("o"),
-                       F.struct(*[F.col(c) for c in other]).alias("v"))).alias("__w"))
-    versions = pick.select(*keys, sequence_by, *[F.col(f"__w.v.{c}").alias(c) for c in other])
+    versions = scd2_versions(current, updates, keys, sequence_by)
     if track:
         w = Window.partitionBy(*keys).orderBy(sequence_by)
         prev = F.struct(*[F.lag(c).over(w) for c in track])
@@ -139,8 +139,3 @@ def as_of_join(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
             & (F.col("__first") | (t >= F.col(START_AT))))
     out = facts.join(d, cond, how).drop("__first")
     return out.withColumnRenamed("__dk", dim_key) if dim_key != fact_key else out.drop("__dk")
-
-
-def first_seen(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The first-seen row per key (deterministic batch form)."""
-    return first_per_key(df, keys)

@@ -6,21 +6,21 @@ frames alike (``dedup_rides`` has a separate streaming form).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridepulse.functions.joins import small_lookup
 from ridepulse.schemas import OBT_LOOKUP_COLUMNS, RIDE_COLUMNS, RIDES
 
 
-def parse_rides(df: DataFrame, payload: str = "rides", keep: list[str] | None = None) -> DataFrame:
-    """T1 + T2: JSON text -> the 43 ride columns.
+def parse_rides(df: DataFrame, payload: str = "rides", keep: list[str] | None = None, schema=RIDES) -> DataFrame:
+    """T1 + T2: JSON text -> the 43 ride columns (or those of another event ``schema``).
 
     Permissive: malformed JSON gives a row of NULLs, a NULL payload gives a
     NULL struct (flattened to NULLs), missing fields are NULL, extra fields are
     ignored.  ``keep`` carries source columns (e.g. Kafka offsets) along.
     """
-    parsed = df.withColumn("__ride", F.from_json(F.col(payload), RIDES))
+    parsed = df.withColumn("__ride", F.from_json(F.col(payload), schema))
     return parsed.select(*(keep or []), "__ride.*")
 
 
@@ -70,42 +70,43 @@ def build_stg(*sources: DataFrame, dedup: bool = True) -> DataFrame:
     return dedup_rides(out) if dedup else out
 
 
-def _ordered_struct(cols: list[str]) -> Column:
-    return F.struct(*[F.col(c) for c in cols])
+def _smallest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key in ``order``: one shuffle on the key, one sort, one pass.
+
+    A running count (not a rank) marks the first row, so the planner adds no second,
+    local sort in front of the shuffle: it would sort every row and drop hardly any.
+    """
+    first = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("__nth", F.count(F.lit(1)).over(first)).where("__nth = 1").drop("__nth")
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[str] | None = None,
-                  drop_null_keys: bool = True) -> DataFrame:
-    """One row per key, deterministically: the smallest ``order`` tuple wins.
+def first_per_key(df: DataFrame, keys: list[str], drop_null_keys: bool = True, near_unique: bool = False) -> DataFrame:
+    """One row per key, deterministically: the smallest tuple of the other columns (ascending,
+    NULLs first) wins, so the choice never depends on partitioning.
 
-    ``order`` defaults to all non-key columns (ascending, NULLs first), so the
-    choice never depends on partitioning.  Implemented as a hash aggregate of
-    ``min(struct)``: it combines map-side, so a key that holds a third of all
-    rows is reduced inside each input task and never lands whole in one task.
+    Keys that repeat a lot (drivers, passengers): equal rows are first combined by a hash
+    aggregate, map-side, so a key that holds a third of all rows is reduced inside each
+    input task; the few different rows of a key are then sorted.  ``near_unique`` keys
+    (rides) have nothing to combine and go straight to the sort.
     """
     values = [c for c in df.columns if c not in keys]
-    order = order or values
     src = df
     if drop_null_keys:
         for k in keys:
             src = src.where(F.col(k).isNotNull())
     if not values:
         return src.select(*keys).distinct()
-    if list(order) == values:  # order by the values themselves: one struct is enough
-        agg = src.groupBy(*keys).agg(F.min(_ordered_struct(values)).alias("__first"))
-        picked = [F.col(f"__first.{c}").alias(c) for c in values]
-    else:
-        agg = src.groupBy(*keys).agg(
-            F.min(F.struct(_ordered_struct(order).alias("o"), _ordered_struct(values).alias("v")))
-            .alias("__first"))
-        picked = [F.col(f"__first.v.{c}").alias(c) for c in values]
-    return agg.select(*keys, *picked).select(*df.columns)
+    if not near_unique:
+        src = src.distinct()
+    return _smallest(src, keys, [F.col(c).asc_nulls_first() for c in values]).select(*df.columns)
 
 
 def dedup_rides(df: DataFrame) -> DataFrame:
-    """T5 (batch): one row per ``ride_id``; copies of a ride are identical in
-    practice, and the min-struct rule makes the pick deterministic otherwise."""
-    return first_per_key(df, ["ride_id"], drop_null_keys=False)
+    """T5 (batch): one row per ``ride_id``; copies of a ride are identical in practice, and the
+    smallest-tuple rule makes the pick deterministic otherwise.  Rides without an id can't be
+    told apart from their copies: all of them pass (gold leaves them out, counted as rejects)."""
+    keyed = first_per_key(df, ["ride_id"], near_unique=True)
+    return keyed.unionByName(df.where(F.col("ride_id").isNull()))
 
 
 def dedup_rides_stream(df: DataFrame, arrival_delay: str = "10 minutes",
@@ -114,13 +115,14 @@ def dedup_rides_stream(df: DataFrame, arrival_delay: str = "10 minutes",
 
     Watermarking on ``booking_timestamp`` would drop most of the bulk history
     (rides are up to 30 days old), so state is bounded on processing time
-    instead.  Replays older than the delay are handled downstream by the
-    keyed upsert (ties keep the stored row).
+    instead.  Rides without an id pass, as in ``dedup_rides``.  Replays older than the
+    delay are removed against the stored rides (``flows.unseen``).
     """
-    return (df.withColumn(arrival_col, F.current_timestamp())
-            .withWatermark(arrival_col, arrival_delay)
-            .dropDuplicatesWithinWatermark(["ride_id"])
-            .drop(arrival_col))
+    keyed = (df.where(F.col("ride_id").isNotNull()).withColumn(arrival_col, F.current_timestamp())
+             .withWatermark(arrival_col, arrival_delay)
+             .dropDuplicatesWithinWatermark(["ride_id"])
+             .drop(arrival_col))
+    return keyed.unionByName(df.where(F.col("ride_id").isNull()))
 
 
 def with_event_time(df: DataFrame, delay: str = "3 minutes",
@@ -136,14 +138,13 @@ def city_versions(cities: DataFrame) -> DataFrame:
     with one row per city behaves exactly like a plain equi-join lookup.
     The map is tiny, so the window runs on a handful of rows.
     """
-    from pyspark.sql.window import Window
     w = Window.partitionBy("city_id").orderBy("updated_at")
     return (cities.withColumn("__valid_to", F.lead("updated_at").over(w))
             .withColumn("__first", F.row_number().over(w) == 1))
 
 
 def build_obt(stg: DataFrame, maps: dict[str, DataFrame],
-              event_time: str = "booking_timestamp") -> DataFrame:
+              event_time: str = "booking_timestamp", city_mode: str = "temporal") -> DataFrame:
     """T6 + T8: the one-big-table: six LEFT lookups, unmatched rides kept.
 
     Lookups are broadcast (bounded size, checked), so the ride side is never
@@ -151,8 +152,11 @@ def build_obt(stg: DataFrame, maps: dict[str, DataFrame],
     a streaming ``stg``.  The city lookup is temporal: a ride sees the city
     version that was current at its event time (NULL event time -> the
     current version), which is what a stream that re-reads the static map per
-    micro-batch produces.
+    micro-batch produces (``city_mode="temporal"``).  ``city_mode="literal"`` is the plain
+    equi-join on the city id: a city with two versions doubles its rides.
     """
+    if city_mode not in ("temporal", "literal"):
+        raise ValueError(f"unknown city mode {city_mode!r}")
     out = stg
     for name, cols in OBT_LOOKUP_COLUMNS:
         m = maps[name]
@@ -169,7 +173,8 @@ def build_obt(stg: DataFrame, maps: dict[str, DataFrame],
             ).otherwise(
                 (F.col("__valid_to").isNull() | (ts < F.col("__valid_to")))
                 & (F.col("__first") | (ts >= F.col("__from"))))
-            out = (out.join(cv, (F.col("pickup_city_id") == F.col("__cid")) & in_version, "left")
+            on = F.col("pickup_city_id") == F.col("__cid")
+            out = (out.join(cv, on & in_version if city_mode == "temporal" else on, "left")
                    .drop("__cid", "__valid_to", "__first", "__from"))
         else:
             key = cols and _lookup_key(name)
