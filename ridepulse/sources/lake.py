@@ -16,8 +16,11 @@ import posixpath
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 MANIFEST = "_manifest.json"
+#: One file for the manifests of the tables that a streaming batch changes together.
+TOGETHER = "_tables.json"
 
 
 class Lake:
@@ -29,7 +32,7 @@ class Lake:
     def path(self, layer: str, table: str) -> str:
         return posixpath.join(self.root, layer, table)
 
-    # -- Hadoop file system (works for local, HDFS and object stores alike) ----
+    # -- Hadoop file system --------------------------------------------------------
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -60,8 +63,9 @@ class Lake:
             out.write(bytearray(text.encode("utf-8")))
         finally:
             out.close()
-        # Replace in one step (atomic on HDFS and local file systems); a crash leaves
-        # either the old or the new manifest, never none.
+        # Replace in one step.  That is atomic on HDFS and local file systems: a crash leaves
+        # the old or the new manifest.  An object store's rename copies and deletes, so there a
+        # manifest needs a catalog commit (``MergeTable``) instead.
         ctx = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
             p.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         gateway = self.spark.sparkContext._gateway
@@ -76,9 +80,33 @@ class Lake:
         fs, p = self._fs(path)
         return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
 
+    def make_dir(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.mkdirs(p)
+
     def manifest(self, layer: str, table: str) -> dict | None:
         txt = self.read_text(posixpath.join(self.path(layer, table), MANIFEST))
-        return json.loads(txt) if txt else None
+        if txt:
+            return json.loads(txt)
+        return self._together().get(f"{layer}/{table}")
+
+    def _together(self) -> dict:
+        txt = self.read_text(posixpath.join(self.root, TOGETHER))
+        return json.loads(txt) if txt else {}
+
+    def publish(self, manifests: dict[tuple[str, str], dict]) -> None:
+        """Make the new versions of one or more keyed tables live in one step: a reader sees a
+        batch in all of them or in none."""
+        new = {f"{layer}/{table}": m for (layer, table), m in manifests.items()}
+        self.write_text_atomic(posixpath.join(self.root, TOGETHER), json.dumps(self._together() | new, sort_keys=True))
+
+    def write_rejects(self, rows: DataFrame, table: str, batch: str) -> int:
+        """Keep the rows that a table can't take, once per batch; returns their number."""
+        if rows.isEmpty():
+            return 0
+        path = posixpath.join(self.root, "rejects", table, f"batch={batch}")
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path).count()
 
     # -- whole-table batch I/O --------------------------------------------------
     def write_overwrite(self, df: DataFrame, layer: str, table: str,
@@ -109,14 +137,20 @@ class Lake:
             return self.spark.read.parquet(posixpath.join(base, "append"))
         if m["kind"] == "table":
             return self.spark.read.parquet(posixpath.join(base, m["version"]))
-        # keyed upsert table: every live part of every bucket
-        from ridepulse.streaming.upsert import BUCKET, _schema
-        paths = [posixpath.join(base, v, f"{BUCKET}={b}") for b, parts in sorted(m["buckets"].items())
-                 for v in parts]
-        schema = _schema(m["schema"]) if "schema" in m else None
+        df = self.read_keyed(layer, table, m)
+        if df is None or m.get("scd", 1) == 1:
+            return df
+        from ridepulse.operators.scd import with_end_at
+        return with_end_at(df, m["keys"], m["sequence_by"])
+
+    def read_keyed(self, layer: str, table: str, m: dict, buckets=None) -> DataFrame | None:
+        """The live rows of a keyed table (of some buckets), without end dates; None if there are none."""
+        from ridepulse.streaming.upsert import BUCKET
+        paths = [posixpath.join(self.path(layer, table), v, f"{BUCKET}={b}") for b, parts in sorted(m["buckets"].items())
+                 if buckets is None or b in buckets for v in parts]
         if not paths:
-            return self.spark.createDataFrame([], schema) if schema else None
-        return self.spark.read.schema(schema).parquet(*paths) if schema else self.spark.read.parquet(*paths)
+            return None
+        return self.spark.read.schema(StructType.fromJson(json.loads(m["schema"]))).parquet(*paths)
 
     # -- housekeeping -------------------------------------------------------------
     def live_versions(self, layer: str, table: str) -> set[str]:

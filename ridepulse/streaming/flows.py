@@ -1,20 +1,22 @@
 """The streaming medallion pipeline on Structured Streaming (S5-S7, T1-T12 on streams).
 
-Flows (each one streaming query with its own checkpoint):
-
 * ``archive``: raw JSON events -> parsed rides appended to
   ``bronze/streaming_rides_archive`` (S6): a copy that outlives the broker.
-* ``stg``: bulk history + live events + archive -> ``silver/stg_rides``
-  (T4), one query over a union: never two writers on one sink.
-* ``obt``: ``stg_rides`` -> six broadcast stream-static lookups ->
-  ``silver/silver_obt`` (T6).  Stateless, so no watermark is needed (D2).
-* ``gold``: ``silver_obt`` -> one ``foreachBatch`` (the S7 tap): the batch is
-  persisted once, reduced to one row per ride, and fanned out into the keyed
-  upsert tables of the star schema (T9-T12).
-
-``run_update`` runs the flows in order with ``availableNow`` triggers, the
-analogue of one triggered pipeline update.  Checkpoints live under the
-lake root (shared storage).
+* ``ingest``, one query per source (bulk history, live events, archive), each with a
+  checkpoint of its own, so a source may be added at any time.  Every micro-batch keeps the
+  rides that ``silver/stg_rides`` does not hold yet (T4, T5: exact, whatever the time between
+  two copies of a ride), enriches them (T6, stateless: no watermark is needed, D2), appends
+  both silver tables and merges the dimensions (T9-T12).  One manifest makes all tables of a
+  batch live at once.
+
+Both silver ride tables are bucketed by booking month: a batch looks for its ride ids only in
+the months it holds.  The enriched table is the base of the star: the fact and
+``dim_booking`` are projections of it, so a query that needs both scans it once and joins
+nothing.  ``dedup=False`` (the literal append) keeps copies in silver and a keyed
+``gold_base`` beside it.
+
+``run_update`` runs the flows in order with ``availableNow`` triggers, the analogue of one
+triggered pipeline update.  Checkpoints live under the lake root (shared storage).
 """
 
 from __future__ import annotations
@@ -25,22 +27,21 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ridepulse.functions.dates import BOOKING_MONTH, booking_month
 from ridepulse.operators.gold import Star
-from ridepulse.operators.silver import (
-    build_obt,
-    conform,
-    dedup_rides_stream,
-    normalise_ts,
-    parse_rides,
-)
-from ridepulse.schemas import DIM_COLUMNS, DIM_KEYS, FACT_COLUMNS, RIDES
+from ridepulse.operators.silver import build_obt, conform, normalise_ts, parse_rides
+from ridepulse.schemas import DIM_COLUMNS, DIM_KEYS, FACT_COLUMNS, MAP_SCHEMAS, OBT_LOOKUP_COLUMNS, RIDES
 from ridepulse.sources.lake import Lake
-from ridepulse.streaming.upsert import KeyedTable
+from ridepulse.streaming.upsert import BUCKET, KeyedTable
 
 ARCHIVE = ("bronze", "streaming_rides_archive")
-STG = ("silver", "stg_rides")
-OBT = ("silver", "silver_obt")
+DIMENSIONS = ["dim_passenger", "dim_driver", "dim_vehicle", "dim_payment"]
+
+#: Columns of the enriched table.
+OBT_SCHEMA = StructType(RIDES.fields + [StructField(out, MAP_SCHEMAS[name][src].dataType)
+                                        for name, cols in OBT_LOOKUP_COLUMNS for src, out in cols])
 
 
 def _sink_path(lake: Lake, table: tuple[str, str]) -> str:
@@ -51,18 +52,18 @@ def _checkpoint(lake: Lake, flow: str) -> str:
     return posixpath.join(lake.root, "_checkpoints", flow)
 
 
-def _append(df: DataFrame, lake: Lake, table: tuple[str, str], flow: str, available_now: bool = True):
-    w = (df.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", _checkpoint(lake, flow))
-         .option("path", _sink_path(lake, table)))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.queryName(flow).start()
+def _started(writer, available_now: bool):
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
 
 
-def read_appended(spark: SparkSession, lake: Lake, table: tuple[str, str],
+def read_appended(spark: SparkSession, lake: Lake, table: tuple[str, str], schema: StructType = RIDES,
                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream an append table written by a file sink (its metadata log keeps reads exact)."""
-    r = spark.readStream.schema(spark.read.parquet(_sink_path(lake, table)).schema)
+    """Stream an append table written by a file sink (its metadata log keeps reads exact).
+
+    The schema is declared, so a table without any file yet is an empty stream.
+    """
+    lake.make_dir(_sink_path(lake, table))
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.parquet(_sink_path(lake, table))
@@ -75,37 +76,21 @@ def parsed_events(raw: DataFrame) -> DataFrame:
 
 def archive_flow(raw: DataFrame, lake: Lake, available_now: bool = True):
     """Persist every parsed event, independent of broker retention."""
-    return _append(parsed_events(raw), lake, ARCHIVE, "archive", available_now)
-
-
-def stg_flow(sources: list[DataFrame], lake: Lake, dedup: bool = True,
-             arrival_delay: str = "10 minutes", available_now: bool = True):
-    """T4 (+T5): one query appending the union of all ride sources to ``stg_rides``.
-
-    ``dedup`` drops repeated rides within an arrival-time watermark (bounded
-    state); older replays are absorbed by the keyed gold tables.
-    """
-    parts = [normalise_ts(conform(s)) for s in sources]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    if dedup:
-        u = dedup_rides_stream(u, arrival_delay)
-    return _append(u, lake, STG, "stg", available_now)
-
-
-def obt_flow(stg: DataFrame, maps: dict[str, DataFrame], lake: Lake, available_now: bool = True):
-    """Stream-static enrichment of ``stg_rides`` into ``silver_obt``."""
-    return _append(build_obt(stg, maps), lake, OBT, "obt", available_now)
-
-
-def gold_tables(lake: Lake, buckets: int = 16) -> dict[str, KeyedTable]:
-    """The star schema as keyed upsert tables (sequence = key: first stored row wins)."""
-    t = {name: KeyedTable(lake, "gold", name, DIM_KEYS[name], 1, None, buckets=buckets)
-         for name in ["dim_passenger", "dim_driver", "dim_vehicle", "dim_payment", "dim_booking"]}
-    t["dim_location"] = KeyedTable(lake, "gold", "dim_location", ["pickup_city_id"], 2,
-                                   "city_updated_at", buckets=buckets)
-    t["fact"] = KeyedTable(lake, "gold", "fact", ["ride_id"], 1, None, buckets=buckets)
+    return _started(parsed_events(raw).writeStream.format("parquet").outputMode("append").queryName("archive")
+                    .option("checkpointLocation", _checkpoint(lake, "archive"))
+                    .option("path", _sink_path(lake, ARCHIVE)), available_now)
+
+
+def tables(lake: Lake, buckets: int = 16, dedup: bool = True) -> dict[str, KeyedTable]:
+    """The tables an ingest batch changes.  ``buckets`` (of the dimensions) should give buckets of some 100 MB."""
+    month = {"bucket_by": booking_month()}
+    t = {"stg_rides": KeyedTable(lake, "silver", "stg_rides", ["ride_id"], keep_null_keys=True, **month),
+         "silver_obt": KeyedTable(lake, "silver", "silver_obt", ["ride_id"], keep_null_keys=True, **month)}
+    if not dedup:
+        t["gold_base"] = KeyedTable(lake, "gold", "gold_base", ["ride_id"], **month)
+    for name in DIMENSIONS:  # sequence = key: the first stored row wins
+        t[name] = KeyedTable(lake, "gold", name, DIM_KEYS[name], buckets=buckets)
+    t["dim_location"] = KeyedTable(lake, "gold", "dim_location", ["pickup_city_id"], 2, "city_updated_at", buckets=buckets)
     return t
 
 
@@ -115,74 +100,104 @@ def _query_id(lake: Lake, flow: str) -> str:
     return json.loads(txt.splitlines()[0])["id"] if txt else flow
 
 
-def gold_batch(lake: Lake, tables: dict[str, KeyedTable], flow: str = "gold"):
-    """The ``foreachBatch`` function of the gold flow (S7 tap + T9-T12).
+def unseen(batch: DataFrame, stg: KeyedTable) -> DataFrame:
+    """T5 on a stream: one row per ride of the batch that is not stored yet; rides without an id pass."""
+    keyed = stg._resolve(None, batch.where(F.col("ride_id").isNotNull()))
+    months = [r[0] for r in keyed.select(stg._bucket()).distinct().collect()]
+    stored = stg.stored(buckets=months)
+    if stored is not None:
+        keyed = keyed.join(stored.select("ride_id"), "ride_id", "left_anti").select(*batch.columns)
+    return keyed.unionByName(batch.where(F.col("ride_id").isNull()))
 
-    Fact and booking resolve repeated rides independently with the same
-    deterministic rule, so identical copies give identical rows in both.
-    """
+
+def ingest_batch(lake: Lake, maps: dict[str, DataFrame], flow: str, buckets: int = 16, dedup: bool = True):
+    """The ``foreachBatch`` function of an ingest flow (T4-T6, S7 tap, T9-T12)."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        qid = _query_id(lake, flow)
-        # Each keyed table resolves repeated keys of the batch on its own (narrow)
-        # projection, so the wide batch is only filtered and cached here.
-        base = batch.where(F.col("ride_id").isNotNull()).persist()
+        t, qid = tables(lake, buckets, dedup), _query_id(lake, flow)
+        if t["stg_rides"].done(batch_id, qid):
+            return
+        rides = normalise_ts(conform(batch))
+        new = (unseen(rides, t["stg_rides"]) if dedup else rides).persist()
+        obt = build_obt(new, maps).persist()
         try:
-            work = {"fact": base.select(*FACT_COLUMNS)}
-            for name in ["dim_passenger", "dim_driver", "dim_vehicle", "dim_payment", "dim_booking"]:
-                work[name] = base.select(*DIM_COLUMNS[name])
-            work["dim_location"] = base.select(*DIM_COLUMNS["dim_location"]).where(
-                F.col("pickup_city_id").isNotNull() & F.col("city_updated_at").isNotNull())
-            # The seven tables are independent (one writer each): submit their jobs
-            # concurrently so small upserts share the cluster instead of queueing.
+            rows = obt.where(F.col("ride_id").isNotNull())
+            work = {"stg_rides": (new, True, True), "silver_obt": (obt, True, True)}
+            if not dedup:
+                work["gold_base"] = (obt, False, False)
+            for name in [*DIMENSIONS, "dim_location"]:
+                work[name] = (rows.select(*DIM_COLUMNS[name]), False, False)
+            # The tables are independent: their jobs share the cluster instead of queueing.
             with ThreadPoolExecutor(max_workers=len(work)) as pool:
-                futures = [pool.submit(tables[n].apply, df, batch_id, qid) for n, df in work.items()]
-                for f in futures:
-                    f.result()
+                made = {n: pool.submit(t[n].prepare, df, batch_id, qid, unique, fresh)
+                        for n, (df, unique, fresh) in work.items()}
+                lake.publish({(t[n].layer, n): m for n, f in made.items() if (m := f.result()) is not None})
         finally:
-            base.unpersist()
+            obt.unpersist()
+            new.unpersist()
     return run
 
 
-def gold_flow(obt: DataFrame, lake: Lake, buckets: int = 16, available_now: bool = True):
-    tables = gold_tables(lake, buckets)
-    w = (obt.writeStream.foreachBatch(gold_batch(lake, tables))
-         .option("checkpointLocation", _checkpoint(lake, "gold")))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.queryName("gold").start()
+def ingest_flow(rides: DataFrame, maps: dict[str, DataFrame], lake: Lake, source: str, buckets: int = 16,
+                dedup: bool = True, available_now: bool = True):
+    """One source of rides into silver and gold.  Run one ingest flow at a time: they share the tables."""
+    flow = f"ingest-{source}"
+    return _started(rides.writeStream.queryName(flow).foreachBatch(ingest_batch(lake, maps, flow, buckets, dedup))
+                    .option("checkpointLocation", _checkpoint(lake, flow)), available_now)
+
+
+def _read(table: KeyedTable, schema: StructType) -> DataFrame:
+    df = table.read()
+    return table.spark.createDataFrame([], schema) if df is None else df
+
+
+def read_obt(lake: Lake) -> DataFrame:
+    """The enriched rides, with their month as a partition column (a scan skips other months)."""
+    t = tables(lake)["silver_obt"]
+    m = t.manifest()
+    paths = [posixpath.join(t.base, v, f"{BUCKET}={b}") for b, parts in sorted(m["buckets"].items()) for v in parts]
+    if not paths:
+        return lake.spark.createDataFrame([], OBT_SCHEMA).withColumn(BOOKING_MONTH, F.lit(None).cast("date"))
+    stored = lake.spark.read.option("basePath", t.base).schema(StructType(
+        OBT_SCHEMA.fields + [StructField(BUCKET, StringType())])).parquet(*paths)
+    month = F.col(BUCKET).try_cast("date").alias(BOOKING_MONTH)  # rides without a booking time: NULL
+    return stored.select(*OBT_SCHEMA.fieldNames(), month)
 
 
 def read_star(lake: Lake, buckets: int = 16) -> Star:
-    """The star schema as maintained by the gold flow."""
-    t = gold_tables(lake, buckets)
-    r = {name: tbl.read() for name, tbl in t.items()}
-    return Star(fact=r["fact"], dim_passenger=r["dim_passenger"], dim_driver=r["dim_driver"],
-                dim_vehicle=r["dim_vehicle"], dim_payment=r["dim_payment"],
-                dim_booking=r["dim_booking"], dim_location=r["dim_location"])
+    """The star schema as maintained by the ingest flows; fact and booking are projections of one base."""
+    literal = tables(lake, buckets, dedup=False)["gold_base"]
+    base = (literal.read() if literal.manifest()["buckets"] else read_obt(lake)).where(F.col("ride_id").isNotNull())
+    t = tables(lake, buckets)
+    types = {f.name: f for f in OBT_SCHEMA.fields}
+    dims = {n: _read(t[n], StructType([types[c] for c in DIM_COLUMNS[n]])) for n in DIMENSIONS}
+    loc = t["dim_location"].read()
+    if loc is None:
+        from ridepulse.operators.scd import with_end_at
+        loc = with_end_at(_read(t["dim_location"], StructType([types[c] for c in DIM_COLUMNS["dim_location"]])),
+                          ["pickup_city_id"], "city_updated_at")
+    return Star(fact=base.select(*FACT_COLUMNS), dim_booking=base.select(*DIM_COLUMNS["dim_booking"]),
+                dim_location=loc, base=base, **dims)
 
 
 def run_update(spark: SparkSession, lake: Lake, maps: dict[str, DataFrame], raw_events: DataFrame | None,
                bulk: DataFrame | None = None, dedup: bool = True, buckets: int = 16) -> Star:
-    """One triggered pipeline update: archive -> stg -> obt -> gold, each to completion.
+    """One triggered pipeline update: archive, then every source into silver and gold, each to completion.
 
-    ``raw_events`` is a stream of JSON text (column ``rides``, e.g.
-    ``kafka_rides`` or ``raw_event_files``, rate-limited there); ``bulk`` a
-    stream of ride rows.
+    ``raw_events`` is a stream of JSON text (column ``rides``, e.g. ``kafka_rides`` or
+    ``raw_event_files``, rate-limited there); ``bulk`` a stream of ride rows.  Empty sources and
+    sources that join later are fine.
     """
-    sources = []
+    sources = {}
+    if bulk is not None:
+        sources["bulk"] = bulk
     if raw_events is not None:
         archive_flow(raw_events, lake).awaitTermination()
-        sources.append(parsed_events(raw_events))
-        if lake.exists(_sink_path(lake, ARCHIVE)):
-            sources.append(read_appended(spark, lake, ARCHIVE))
-    if bulk is not None:
-        sources.append(bulk)
-    # The rate limit belongs to ingestion (the raw source); internal layers take
-    # whatever the previous flow committed.
-    stg_flow(sources, lake, dedup).awaitTermination()
-    obt_flow(read_appended(spark, lake, STG), maps, lake).awaitTermination()
-    gold_flow(read_appended(spark, lake, OBT), lake, buckets).awaitTermination()
+        sources["live"] = parsed_events(raw_events)
+    sources["archive"] = read_appended(spark, lake, ARCHIVE)
+    for name, rides in sources.items():
+        ingest_flow(rides, maps, lake, name, buckets, dedup).awaitTermination()
     return read_star(lake, buckets)
 
 
-__all__ = ["archive_flow", "stg_flow", "obt_flow", "gold_flow", "gold_batch", "gold_tables",
-           "read_star", "run_update", "read_appended", "parsed_events", "RIDES"]
+__all__ = ["archive_flow", "ingest_flow", "ingest_batch", "tables", "unseen", "read_star", "read_obt", "run_update",
+           "read_appended", "parsed_events"]

@@ -1,27 +1,28 @@
-"""Keyed upsert tables for ``foreachBatch`` sinks (T11/T12 on streams).
-
-Plain Parquet has no MERGE, so a keyed gold table is stored as hash buckets
-(``pmod(xxhash64(keys), buckets)``), each bucket a list of immutable part
-directories, and a small manifest naming the live parts plus the last batch
-applied per streaming query.  A micro-batch:
-
-1. returns at once if its ``batch_id`` is already recorded for the query
-   (replay after a crash between publish and checkpoint commit);
-2. resolves duplicates inside the batch (first-per-key rule);
-3. finds which of its keys already exist, reading only the key columns of
-   the buckets the batch touches, joined to the (rate-limited, size-checked)
-   batch keys;
-4. appends brand-new keys as a new part of their bucket; rewrites a bucket
-   only when stored rows must change (SCD-1 with a real ``sequence_by``) or
-   when the bucket has too many parts (compaction);
-5. publishes the new manifest by atomic rename.
-
-With ``sequence_by`` equal to the key (the pipeline's dimensions) and for
-SCD-2 (versions are only added, ``__END_AT`` is derived on read) existing keys
-never change, so those tables only ever append.  Files are never modified in
-place, so readers always see a complete version.
-
-With a MERGE-capable table format, ``DataFrame.mergeInto`` replaces steps 3-5.
+"""Keyed tables for ``foreachBatch`` sinks (T5, T11, T12 on streams).
+
+Plain Parquet has no MERGE, so a keyed table is a set of buckets, each a list of
+immutable part directories, and a manifest that names the live parts and the last batch
+applied per streaming query.  Buckets are hashes of the key, or, for tables of rides,
+the booking month (``bucket_by``): copies of a ride are identical, so a batch has to look
+for its keys in the months it holds and nowhere else.  A micro-batch:
+
+1. returns at once if its ``batch_id`` is already recorded for the query (replay after a
+   crash between publish and checkpoint commit);
+2. sets rows without a key or sequence aside as rejects, counted in the manifest
+   (``keep_null_keys`` keeps rows without a key instead);
+3. resolves repeated keys inside the batch;
+4. finds which keys are stored already, from the key columns of the touched buckets;
+5. appends new keys as a new part of their bucket; rewrites a bucket only when stored rows
+   must change (SCD-1 with a real ``sequence_by``) or when it has too many parts.  Buckets
+   reach that limit at different batches, and a bucket's rows are written by as many
+   tasks as ``rows_per_file`` asks for;
+6. returns the new manifest; the caller publishes it, alone or with other tables' in one
+   step.
+
+With ``sequence_by`` equal to the key and for SCD-2 (versions are only added,
+``__END_AT`` is derived on read) stored rows never change, so those tables only append.
+Files are never modified in place.  Where the session's catalog has a table format with
+MERGE, ``MergeTable`` does the same with ``DataFrame.mergeInto``.
 """
 
 from __future__ import annotations
@@ -29,28 +30,29 @@ from __future__ import annotations
 import json
 import posixpath
 import uuid
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridepulse.functions.joins import small_lookup
-from ridepulse.operators.scd import _TAG, scd1, with_end_at
+from ridepulse.operators.scd import scd1, scd2_versions, with_end_at
 from ridepulse.schemas import END_AT, START_AT
-from ridepulse.sources.lake import MANIFEST, Lake
+from ridepulse.sources.lake import Lake
 
 BUCKET = "rp_bucket"
 
 
 class KeyedTable:
     def __init__(self, lake: Lake, layer: str, name: str, keys: list[str], scd: int = 1,
-                 sequence_by: str | None = None, tiebreak: list[str] | None = None,
-                 buckets: int = 16, max_parts: int = 32, batch_key_bound: int = 1_000_000):
+                 sequence_by: str | None = None, tiebreak: list[str] | None = None, buckets: int = 16,
+                 bucket_by: Column | None = None, max_parts: int = 32, rows_per_file: int = 1_000_000,
+                 keep_null_keys: bool = False):
         if scd == 2 and not sequence_by:
             raise ValueError("SCD-2 needs sequence_by")
         self.lake, self.layer, self.name = lake, layer, name
-        self.keys, self.scd, self.sequence_by = list(keys), scd, sequence_by
-        self.tiebreak = tiebreak
-        self.buckets, self.max_parts, self.batch_key_bound = buckets, max_parts, batch_key_bound
+        self.keys, self.scd, self.sequence_by, self.tiebreak = list(keys), scd, sequence_by, tiebreak
+        self.buckets, self.bucket_by = buckets, bucket_by
+        self.max_parts, self.rows_per_file, self.keep_null_keys = max_parts, rows_per_file, keep_null_keys
 
     # -- storage -----------------------------------------------------------------
     @property
@@ -62,107 +64,138 @@ class KeyedTable:
         return self.lake.spark
 
     def manifest(self) -> dict:
-        return self.lake.manifest(self.layer, self.name) or {"kind": "keyed", "buckets": {}, "done": {}}
+        return self.lake.manifest(self.layer, self.name) or {
+            "kind": "keyed", "keys": self.keys, "scd": self.scd, "sequence_by": self.sequence_by,
+            "buckets": {}, "done": {}, "rejected": 0}
 
-    def _publish(self, m: dict) -> None:
-        self.lake.write_text_atomic(posixpath.join(self.base, MANIFEST), json.dumps(m, sort_keys=True))
+    def publish(self, m: dict) -> None:
+        self.lake.publish({(self.layer, self.name): m})
 
-    def _paths(self, m: dict, buckets=None) -> list[str]:
-        sel = m["buckets"] if buckets is None else {str(b): m["buckets"][str(b)]
-                                                    for b in buckets if str(b) in m["buckets"]}
-        return [posixpath.join(self.base, v, f"{BUCKET}={b}") for b, parts in sorted(sel.items())
-                for v in parts]
-
-    def stored(self, buckets=None) -> DataFrame | None:
+    def stored(self, m: dict | None = None, buckets=None) -> DataFrame | None:
         """Stored rows (of some buckets), or None when there are none."""
-        m = self.manifest()
-        paths = self._paths(m, buckets)
-        if not paths:
-            return None
-        return self.spark.read.schema(_schema(m["schema"])).parquet(*paths)
+        return self.lake.read_keyed(self.layer, self.name, m or self.manifest(), buckets)
 
     def read(self) -> DataFrame | None:
         """The table as readers see it (SCD-2: with ``__START_AT``/``__END_AT``)."""
         df = self.stored()
-        if df is None or self.scd == 1:
-            return df
-        return with_end_at(df, self.keys, self.sequence_by)
+        return df if df is None or self.scd == 1 else with_end_at(df, self.keys, self.sequence_by)
 
     # -- one micro-batch -----------------------------------------------------------
-    def _bucket(self) -> F.Column:
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
+    def _bucket(self) -> Column:
+        if self.bucket_by is not None:
+            return F.coalesce(self.bucket_by.cast("string"), F.lit("none"))
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("string")
 
     def _resolve(self, current: DataFrame | None, updates: DataFrame) -> DataFrame:
         """Merge ``updates`` into ``current`` rows by the table's SCD rule (no end dates)."""
         if self.scd == 1:
             return scd1(current, updates, self.keys, self.sequence_by, self.tiebreak)
-        ks = self.keys + [self.sequence_by]
-        values = [c for c in updates.columns if c not in ks]
-        new = updates.withColumn(_TAG, F.lit(1))
-        both = new if current is None else current.select(*updates.columns) \
-            .withColumn(_TAG, F.lit(0)).unionByName(new)
-        pick = both.where(F.col(self.sequence_by).isNotNull()).groupBy(*ks).agg(
-            F.min(F.struct(F.struct(F.col(_TAG), *[F.col(c) for c in values]).alias("o"),
-                           F.struct(*[F.col(c) for c in values]).alias("v"))).alias("__w"))
-        return pick.select(*ks, *[F.col(f"__w.v.{c}").alias(c) for c in values]) \
-            .select(*updates.columns)
+        return scd2_versions(current, updates, self.keys, self.sequence_by)
 
     def apply(self, updates: DataFrame, batch_id: int, query_id: str, unique: bool = False) -> str:
-        """Upsert one micro-batch.  ``unique=True`` promises one row per key already
-        (the within-batch resolution, one aggregate, is then skipped)."""
-        m = self.manifest()
-        if m["done"].get(query_id, -1) >= batch_id:
+        """Upsert one micro-batch and publish it.  ``unique`` promises one row per key."""
+        m = self.prepare(updates, batch_id, query_id, unique)
+        if m is None:
             return "skipped"
+        self.publish(m)
+        return "applied"
+
+    def done(self, batch_id: int, query_id: str) -> bool:
+        return self.manifest()["done"].get(query_id, -1) >= batch_id
+
+    def prepare(self, updates: DataFrame, batch_id: int, query_id: str, unique: bool = False,
+                new: bool = False) -> dict | None:
+        """Write one micro-batch and return the manifest that makes it live (None: applied before).
+
+        ``new`` promises that no key of the batch is stored yet.
+        """
+        if self.done(batch_id, query_id):
+            return None
+        m = self.manifest()
         updates = updates.drop(START_AT, END_AT)
-        for k in self.keys:
-            updates = updates.where(F.col(k).isNotNull())
-        resolved = updates if unique else self._resolve(None, updates)
-        batch = resolved.withColumn(BUCKET, self._bucket()).persist()
+        has_key = F.lit(True)
+        for k in self.keys + ([self.sequence_by] if self.scd == 2 else []):
+            has_key = has_key & F.col(k).isNotNull()
+        keyed = updates.where(has_key)
+        batch = keyed if unique else self._resolve(None, keyed)
+        if self.keep_null_keys:
+            batch = batch.unionByName(updates.where(~has_key))
+        else:
+            m["rejected"] = m.get("rejected", 0) + self.lake.write_rejects(
+                updates.where(~has_key), self.name, f"{query_id}-{batch_id}")
+        batch = batch.withColumn(BUCKET, self._bucket()).persist()
         try:
-            touched = sorted(r[0] for r in batch.select(BUCKET).distinct().collect())
-            if touched:
-                self._write(m, batch, touched, batch_id)
+            sizes = {r[0]: r[1] for r in batch.groupBy(BUCKET).agg(F.count(F.lit(1))).collect()}
+            if sizes:
+                self._write(m, batch, sizes, batch_id, new)
             m["done"][query_id] = batch_id
-            self._publish(m)
-            return "applied"
+            return m
         finally:
             batch.unpersist()
 
-    def _write(self, m: dict, batch: DataFrame, touched: list[int], batch_id: int) -> None:
-        match_cols = self.keys + ([self.sequence_by] if self.scd == 2 else [])
-        if "schema" not in m:
-            m["schema"] = batch.drop(BUCKET).schema.json()
-        old = self.stored(touched)
-        rewrite = {b for b in touched if len(m["buckets"].get(str(b), [])) >= self.max_parts}
-        if old is None:
-            inserts = batch
-        else:
-            keys = small_lookup(batch.select(*match_cols).distinct(), self.batch_key_bound)
-            matched = old.select(*match_cols).join(keys, match_cols, "left_semi")
-            inserts = batch.join(matched, match_cols, "left_anti")
+    def _full(self, m: dict, bucket: str) -> bool:
+        """Whether a bucket is due for compaction; buckets get there after different numbers of parts."""
+        early = zlib.crc32(bucket.encode()) % max(1, self.max_parts // 2)
+        return len(m["buckets"].get(bucket, [])) >= self.max_parts - early
+
+    def _write(self, m: dict, batch: DataFrame, sizes: dict[str, int], batch_id: int, new: bool) -> None:
+        match = self.keys + ([self.sequence_by] if self.scd == 2 else [])
+        m.setdefault("schema", batch.drop(BUCKET).schema.json())
+        rewrite = {b for b in sizes if self._full(m, b)}
+        old = None if new else self.stored(m, sizes)
+        inserts = batch
+        if old is not None:
+            stored = old.select(*match).join(batch.select(*match).distinct(), match, "left_semi")
+            inserts = batch.join(stored, match, "left_anti")
             if self.scd == 1 and self.sequence_by and self.sequence_by not in self.keys:
-                changed = batch.join(matched, match_cols, "left_semi")
+                changed = batch.join(stored, match, "left_semi")
                 rewrite |= {r[0] for r in changed.select(BUCKET).distinct().collect()}
-        parts = [inserts.where(~F.col(BUCKET).isin(*rewrite)) if rewrite else inserts]
+        out = inserts.where(~F.col(BUCKET).isin(*rewrite)) if rewrite else inserts
         if rewrite:
-            stored = self.stored(sorted(rewrite))
-            upd = batch.where(F.col(BUCKET).isin(*rewrite)).drop(BUCKET)
-            parts.append(self._resolve(stored, upd).withColumn(BUCKET, self._bucket()))
-        out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            fresh = batch.where(F.col(BUCKET).isin(*rewrite)).drop(BUCKET)
+            out = out.unionByName(self._merged(self.stored(m, rewrite), fresh).withColumn(BUCKET, self._bucket()))
         version = f"v={batch_id}-{uuid.uuid4().hex[:8]}"
-        # cluster by bucket first: one task (one file) per bucket instead of every task
-        # writing a small file into every bucket
-        out.repartition(BUCKET).write.partitionBy(BUCKET).parquet(posixpath.join(self.base, version))
+        # a bucket's rows go to as many tasks (files) as its part of the batch needs
+        files = max(1, -(-max(sizes.values()) // self.rows_per_file))
+        if rewrite and self.stored(m, rewrite) is not None:
+            files = max(files, -(-self.stored(m, rewrite).count() // len(rewrite) // self.rows_per_file))
+        part = F.pmod(F.xxhash64(*[F.col(k) for k in self.keys], F.lit(7)), F.lit(files))
+        out.repartition(max(1, files * len(sizes)), F.col(BUCKET), part).write.partitionBy(BUCKET).parquet(
+            posixpath.join(self.base, version))
         for name in self.lake.list_dirs(posixpath.join(self.base, version)):
-            if not name.startswith(f"{BUCKET}="):
-                continue
-            b = name.split("=", 1)[1]
-            if int(b) in rewrite:
-                m["buckets"][b] = [version]
-            else:
-                m["buckets"].setdefault(b, []).append(version)
-
-
-def _schema(js: str):
-    from pyspark.sql.types import StructType
-    return StructType.fromJson(json.loads(js))
+            if name.startswith(f"{BUCKET}="):
+                b = name.split("=", 1)[1]
+                m["buckets"][b] = [version] if b in rewrite else m["buckets"].get(b, []) + [version]
+
+    def _merged(self, stored: DataFrame | None, fresh: DataFrame) -> DataFrame:
+        if not self.keep_null_keys:
+            return self._resolve(stored, fresh)
+        null = F.lit(False)
+        for k in self.keys:
+            null = null | F.col(k).isNull()
+        merged = self._resolve(stored if stored is None else stored.where(~null), fresh.where(~null))
+        rest = fresh.where(null) if stored is None else fresh.where(null).unionByName(stored.where(null).select(*fresh.columns))
+        return merged.unionByName(rest)
+
+
+class MergeTable:
+    """The same upserts on a catalog table whose format supports MERGE.  A replayed batch merges to nothing new."""
+
+    def __init__(self, table: str, keys: list[str], scd: int = 1, sequence_by: str | None = None):
+        self.table, self.keys, self.scd, self.sequence_by = table, list(keys), scd, sequence_by
+
+    def apply(self, updates: DataFrame, batch_id: int, query_id: str, unique: bool = False) -> str:
+        match = self.keys + ([self.sequence_by] if self.scd == 2 else [])
+        rows = updates.drop(START_AT, END_AT).dropna(subset=match)
+        if not unique:
+            rows = (scd1(None, rows, self.keys, self.sequence_by) if self.scd == 1
+                    else scd2_versions(None, rows, self.keys, self.sequence_by))
+        same = F.lit(True)
+        for c in match:
+            same = same & (F.col(f"new.{c}") == F.col(f"{self.table}.{c}"))
+        merge = rows.alias("new").mergeInto(self.table, same)
+        if self.scd == 1 and self.sequence_by and self.sequence_by not in self.keys:
+            later = F.col(f"new.{self.sequence_by}") > F.col(f"{self.table}.{self.sequence_by}")
+            merge = merge.whenMatched(later).updateAll()
+        merge.whenNotMatched().insertAll().merge()
+        return "applied"
