@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ridepulse.functions.joins import literal_lookup, small_lookup
 from ridepulse.functions.numeric import hundredths, rnd
+from ridepulse.sources.markets import CITY_WEIGHTS
 
 
 def _summary(df: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -92,7 +93,7 @@ def fare_violations(rides: DataFrame) -> DataFrame:
 def boxes_by_rule(cities: DataFrame, lat0: float = 20.0, lon0: float = -100.0,
                   size: float = 0.5) -> DataFrame:
     """City boxes for the test binding: city n covers [lat0+n, lat0+n+size] x
-    [lon0-n, lon0-n+size].  Real deployments pass measured boxes instead."""
+    [lon0-n, lon0-n+size].  ``markets.city_boxes`` has the ride model's own boxes."""
     cid = F.col("city_id").cast("double")
     return cities.select("city_id").distinct().select(
         "city_id",
@@ -266,6 +267,7 @@ EXPECTED_WEIGHTS = {
     "vehicle_type_id": [(1, 45), (2, 20), (3, 20), (4, 10), (5, 5)],
     "payment_method_id": [(1, 38), (2, 28), (3, 25), (4, 9)],
     "vehicle_make_id": [(1, 28), (2, 22), (3, 18), (4, 14), (5, 10), (6, 5), (7, 3)],
+    "pickup_city_id": CITY_WEIGHTS,
 }
 
 

@@ -8,13 +8,21 @@ tools use by default, unless noted.
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ridepulse.functions.dates import BOOKING_MONTH
 from ridepulse.operators import star as Q
+from ridepulse.functions.params import validate_city, validate_hour_range, validate_limit
+from ridepulse.plans import oracle_values as V
 from ridepulse.plans.lakehouse import Lakehouse, materialized
-from ridepulse.plans.oracle import AVG2, CNT_IF, H, PCT, RND, SUM2, _q
+from ridepulse.plans.oracle import AVG2, CNT_IF, H, PCT, RND, SUM2, _obt_select, _q
+from ridepulse.session import checkpoint_dir
+from ridepulse.sources.lake import Lake
+from ridepulse.sources.markets import CITY_BOXES, CITY_WEIGHTS, city_boxes
 
 Spark = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Spark, str | None]] = {}
@@ -44,18 +52,18 @@ def q1(spark, sf_dir):
     return Q.kpis(lake(spark, sf_dir).star)
 
 
+# The newest rides first, then one lookup per label.
 _FEED_SQL = """
-SELECT f.ride_id, b.booking_timestamp, p.passenger_name, d.driver_name, d.driver_rating,
-  v.vehicle_type, l.pickup_city, f.total_fare, f.distance_miles, f.duration_minutes,
-  f.surge_multiplier, f.rating
-FROM fact f
-LEFT JOIN dim_passenger p ON f.passenger_id = p.passenger_id
-LEFT JOIN dim_driver d ON f.driver_id = d.driver_id
-LEFT JOIN dim_vehicle v ON f.vehicle_id = v.vehicle_id
-LEFT JOIN dim_booking b ON f.ride_id = b.ride_id
-LEFT JOIN {loc} l ON f.pickup_city_id = l.pickup_city_id
-ORDER BY b.booking_timestamp DESC NULLS LAST, f.ride_id ASC NULLS LAST
-LIMIT {limit}"""
+SELECT newest.ride_id, newest.booking_timestamp,
+  (SELECT passenger_name FROM dim_passenger p WHERE p.passenger_id = newest.passenger_id) AS passenger_name,
+  dr.driver_name, dr.driver_rating,
+  (SELECT vehicle_type FROM dim_vehicle ve WHERE ve.vehicle_id = newest.vehicle_id) AS vehicle_type,
+  place.pickup_city, newest.total_fare, newest.distance_miles, newest.duration_minutes,
+  newest.surge_multiplier, newest.rating
+FROM (SELECT * FROM base WHERE ride_id IS NOT NULL
+      QUALIFY ROW_NUMBER() OVER (ORDER BY booking_timestamp DESC NULLS LAST, ride_id) <= {limit}) newest
+LEFT JOIN dim_driver dr USING (driver_id)
+LEFT JOIN {loc} place ON place.pickup_city_id = newest.pickup_city_id"""
 
 
 @register("Q2_live_feed", _q(_FEED_SQL.format(loc="loc_cur", limit=10)))
@@ -106,7 +114,7 @@ def q6(spark, sf_dir):
 @register("Q7_top_drivers", _q(f"""
 SELECT d.driver_name, {RND(AVG2('d.driver_rating'))} AS driver_rating, COUNT(*) AS total_rides,
   {SUM2('COALESCE(f.total_fare, 0)')} AS total_revenue,
-  {RND(f"SUM({H('COALESCE(f.tip_amount, 0)')}) / COUNT(*) / CAST(100 AS DOUBLE)")} AS avg_tip
+  {RND(AVG2('COALESCE(f.tip_amount, 0)'))} AS avg_tip
 FROM fact f LEFT JOIN dim_driver d ON f.driver_id = d.driver_id
 WHERE d.driver_name IS NOT NULL
 GROUP BY d.driver_name ORDER BY total_rides DESC, d.driver_name ASC LIMIT 5"""))
@@ -135,11 +143,9 @@ def q8_name(spark, sf_dir):
 
 
 @register("Q9_pickup_locations", _q("""
-SELECT b.pickup_latitude, b.pickup_longitude, b.pickup_address, f.total_fare
-FROM fact f LEFT JOIN dim_booking b ON f.ride_id = b.ride_id
-WHERE b.pickup_latitude IS NOT NULL AND b.pickup_longitude IS NOT NULL
-  AND b.pickup_latitude BETWEEN -90 AND 90 AND b.pickup_longitude BETWEEN -180 AND 180
-ORDER BY f.ride_id LIMIT 200"""))
+SELECT pickup_latitude, pickup_longitude, pickup_address, total_fare FROM base
+WHERE ABS(pickup_latitude) <= 90 AND ABS(pickup_longitude) <= 180 AND ride_id IS NOT NULL
+QUALIFY ROW_NUMBER() OVER (ORDER BY ride_id) <= 200"""))
 def q9(spark, sf_dir):
     return Q.pickup_locations(lake(spark, sf_dir).star, 200)
 
@@ -198,14 +204,14 @@ def a4(spark, sf_dir):
 
 
 @register("A5_demand_by_city", _q(f"""
-SELECT l.pickup_city AS city, COUNT(*) AS total_rides,
-  {CNT_IF('b.ride_status_id = 2')} AS cancelled_rides,
-  {CNT_IF('b.ride_status_id != 2 OR b.ride_status_id IS NULL')} AS non_cancelled_rides,
-  {PCT(CNT_IF('b.ride_status_id = 2'), 'COUNT(*)')} AS cancellation_rate,
-  {RND(AVG2(_S1))} AS avg_surge
-FROM fact f LEFT JOIN loc_cur l ON f.pickup_city_id = l.pickup_city_id
-LEFT JOIN dim_booking b ON f.ride_id = b.ride_id
-WHERE lower(l.pickup_city) = lower('NATION_3') GROUP BY l.pickup_city"""))
+SELECT city, CAST(SUM(n) AS BIGINT) AS total_rides, CAST(COALESCE(SUM(n) FILTER (cancelled), 0) AS BIGINT) AS cancelled_rides,
+  CAST(COALESCE(SUM(n) FILTER (NOT cancelled), 0) AS BIGINT) AS non_cancelled_rides,
+  {PCT('COALESCE(SUM(n) FILTER (cancelled), 0)', 'SUM(n)')} AS cancellation_rate,
+  {RND('CAST(SUM(surge) AS DOUBLE) / SUM(n)')} AS avg_surge
+FROM (SELECT place.pickup_city AS city, COALESCE(base.ride_status_id, 0) = 2 AS cancelled, COUNT(*) AS n,
+    SUM(CAST(COALESCE(base.surge_multiplier, 1) AS DECIMAL(18, 6))) AS surge
+  FROM base JOIN loc_cur place USING (pickup_city_id) WHERE UPPER(place.pickup_city) = 'NATION_3' GROUP BY 1, 2)
+GROUP BY city"""))
 def a5(spark, sf_dir):
     return A.demand_by_city(lake(spark, sf_dir).star, "NATION_3")
 
@@ -233,7 +239,8 @@ SELECT pickup_city AS city, state, region, COUNT(*) AS total_rides, {SUM2(_OF0)}
 FROM obt WHERE lower(pickup_city) = 'nation_3' GROUP BY pickup_city, state, region"""))
 def a7a(spark, sf_dir):
     """Both cities named NATION_3 are returned (one row per city, state, region)."""
-    return A.silver_city_overview(lake(spark, sf_dir).obt, "NATION_3")
+    lh = lake(spark, sf_dir)
+    return A.silver_city_overview(lh.obt, "NATION_3", cities=lh.maps["map_cities"])
 
 
 @register("A7b_silver_vehicle_mix", _q(f"""
@@ -241,7 +248,8 @@ SELECT vehicle_type, COUNT(*) AS rides, {RND(AVG2(_OF0))} AS avg_fare, {RND(AVG2
 FROM obt WHERE lower(pickup_city) = 'nation_3' AND vehicle_type IS NOT NULL
 GROUP BY vehicle_type ORDER BY rides DESC, vehicle_type ASC LIMIT 8"""))
 def a7b(spark, sf_dir):
-    return A.silver_vehicle_mix(lake(spark, sf_dir).obt, "NATION_3")
+    lh = lake(spark, sf_dir)
+    return A.silver_vehicle_mix(lh.obt, "NATION_3", cities=lh.maps["map_cities"])
 
 
 @register("A7c_silver_payment_mix", _q("""
@@ -249,7 +257,8 @@ SELECT payment_method, COUNT(*) AS rides
 FROM obt WHERE lower(pickup_city) = 'nation_3' AND payment_method IS NOT NULL
 GROUP BY payment_method ORDER BY rides DESC, payment_method ASC LIMIT 8"""))
 def a7c(spark, sf_dir):
-    return A.silver_payment_mix(lake(spark, sf_dir).obt, "NATION_3")
+    lh = lake(spark, sf_dir)
+    return A.silver_payment_mix(lh.obt, "NATION_3", cities=lh.maps["map_cities"])
 
 
 @register("A7d_silver_status_mix", _q("""
@@ -258,7 +267,8 @@ SELECT COALESCE(ride_status, 'Unknown') AS ride_status,
 FROM obt WHERE lower(pickup_city) = 'nation_3'
 GROUP BY 1, 2 ORDER BY rides DESC, ride_status ASC, cancellation_reason ASC LIMIT 8"""))
 def a7d(spark, sf_dir):
-    return A.silver_status_mix(lake(spark, sf_dir).obt, "NATION_3")
+    lh = lake(spark, sf_dir)
+    return A.silver_status_mix(lh.obt, "NATION_3", cities=lh.maps["map_cities"])
 
 
 @register("A8_recent_signals", _q(f"""
@@ -313,7 +323,8 @@ _ALL = (f"(SELECT c.city_id, c.city, COALESCE(w.rides_last_6h, 0) AS rides_last_
 
 @register("A9_predict_city_demand", _q(_demand_sql(_ONE, "'NATION_5' AS city")))
 def a9(spark, sf_dir):
-    return FC.predict_city_demand(lake(spark, sf_dir).obt, "NATION_5", HORIZON, AS_OF, WINDOW_H)
+    lh = lake(spark, sf_dir)
+    return FC.predict_city_demand(lh.obt, "NATION_5", HORIZON, AS_OF, WINDOW_H, lh.maps["map_cities"])
 
 
 @register("A9b_predict_demand_all_cities", _q(_demand_sql(_ALL, "city_id, city")))
@@ -324,7 +335,8 @@ def a9b(spark, sf_dir):
 
 @register("A10_predict_surge_pressure", _q(_pressure_sql(_ONE, "'NATION_5' AS city")))
 def a10(spark, sf_dir):
-    return FC.predict_surge_pressure(lake(spark, sf_dir).obt, "NATION_5", AS_OF, WINDOW_H)
+    lh = lake(spark, sf_dir)
+    return FC.predict_surge_pressure(lh.obt, "NATION_5", AS_OF, WINDOW_H, lh.maps["map_cities"])
 
 
 @register("A10b_predict_pressure_all_cities", _q(_pressure_sql(_ALL, "city_id, city")))
@@ -334,8 +346,8 @@ def a10b(spark, sf_dir):
 
 
 def _a11_sql() -> str:
-    arch = ", ".join(f"({_lit(c)}, {_lit(a)})" for c, a in A.ARCHETYPES)
-    sig = ", ".join(f"({_lit(c)}, {_lit(' | '.join(s))})" for c, s in A.SIGNALS)
+    arch = ", ".join(f"({_lit(c)}, {_lit(a)})" for c, a in V.ARCHETYPES)
+    sig = ", ".join(f"({_lit(c)}, {_lit(t)})" for c, t in V.SIGNALS)
     return _q(f"""
 SELECT c.city, c.state, c.region,
   COALESCE(a.market_archetype, COALESCE(c.region, 'general') || ' regional market') AS market_archetype,
@@ -354,6 +366,30 @@ def a11(spark, sf_dir):
     return out.withColumn("context_signals", F.array_join("context_signals", " | "))
 
 
+@register("A11_market_context_one_city", f"SELECT * FROM ({_a11_sql()}) WHERE UPPER(city) = 'NATION_3'")
+def a11_one(spark, sf_dir):
+    """Both cities of that name, in any case."""
+    from pyspark.sql import functions as F
+    out = A.market_context(spark, lake(spark, sf_dir).cities, " nation_3 ")
+    return out.withColumn("context_signals", F.array_join("context_signals", " | "))
+
+
+_NOW = f"(SELECT {_FEATURES.replace(D(WINDOW_H), D(6))} FROM obt WHERE lower(pickup_city) = 'nation_5' AND booking_timestamp >= NOW() - INTERVAL 6 HOUR)"
+
+
+@register("A9_predict_city_demand_now", _q(_demand_sql(_NOW, "'NATION_5' AS city")))
+def a9_now(spark, sf_dir):
+    """The default window: the last six hours, without an upper bound."""
+    lh = lake(spark, sf_dir)
+    return FC.predict_city_demand(lh.obt, "NATION_5", HORIZON, cities=lh.maps["map_cities"])
+
+
+@register("A10_predict_surge_pressure_now", _q(_pressure_sql(_NOW, "'NATION_5' AS city")))
+def a10_now(spark, sf_dir):
+    lh = lake(spark, sf_dir)
+    return FC.predict_surge_pressure(lh.obt, "NATION_5", cities=lh.maps["map_cities"])
+
+
 # ---------------------------------------------------------------- P1-P9 (shaping)
 
 from pyspark.sql import functions as F  # noqa: E402
@@ -362,16 +398,22 @@ from ridepulse.operators import shaping as P  # noqa: E402
 
 
 def _dashboard_slices(lh: Lakehouse):
+    """Slices of the dashboard snapshot: one scan of the rides for all aggregates (written, since
+    seven reports read it), one for the newest rides."""
     st = lh.star
-    by_city = Q._by_city(st, "current")  # one per-city pre-aggregation for two slices
+    scratch = Lake(st.fact.sparkSession, posixpath.join(checkpoint_dir(st.fact.sparkSession), "ridepulse-snapshot", uuid.uuid4().hex))
+    scratch.write_overwrite(Q.summaries(st), "gold", "summaries")
+    done = scratch.read("gold", "summaries")
+    pre = {k: done.where(F.col("by") == k) for k in Q.SUMMARY_KEYS}
+    by_city = pre["pickup_city_id"].drop("vehicle_id", "driver_id").join(st.location_lookup(), "pickup_city_id", "left")
     slices = {
-        "kpis": Q.kpis(st),
+        "kpis": Q.kpis(st, done.where(F.col("by").isNull())),
         "rides_by_city": Q.rides_by_city(st, by_city=by_city),
-        "rides_by_vehicle_type": Q.rides_by_vehicle_type(st),
-        "rides_by_payment_method": Q.rides_by_payment(st),
-        "surge_distribution": Q.surge_distribution(st),
+        "rides_by_vehicle_type": Q.rides_by_vehicle_type(st, pre["vehicle_id"]),
+        "rides_by_payment_method": Q.rides_by_payment(st, pre["payment_method_id"]),
+        "surge_distribution": Q.surge_distribution(st, pre["surge_bucket"]),
         "revenue_by_region": Q.revenue_by_region(st, lh.maps["map_cities"], by_city=by_city),
-        "top_drivers": Q.top_drivers(st, 10),
+        "top_drivers": Q.top_drivers(st, 10, pre["driver_id"]),
         "recent_rides": Q.live_feed(st, 15),
     }
     orders = {
@@ -386,13 +428,41 @@ def _dashboard_slices(lh: Lakehouse):
     return slices, orders
 
 
-@register("P1_dashboard_snapshot", None)
-def p1(spark, sf_dir):
-    """Bounded (slice, pos, json) snapshot; JSON text is engine-specific, so rows-only."""
-    return P.snapshot(*_dashboard_slices(lake(spark, sf_dir)))
+_ISO = ("CASE WHEN epoch_us(booking_timestamp) % 1000000 = 0 "
+        "THEN strftime(booking_timestamp, '%Y-%m-%dT%H:%M:%S') "
+        "ELSE strftime(booking_timestamp, '%Y-%m-%dT%H:%M:%S.%f') END")
 
 
-_ALLOWED = ", ".join(P.ALLOWED_RIDE_COLUMNS)
+def _snapshot_sql() -> str:
+    def body(name: str) -> str:
+        return REGISTRY[name][1].removeprefix(_q(""))
+
+    slices = [  # name, rows, order, number fields, text fields
+        ("kpis", body("Q1_kpis"), "1", ["total_rides", "total_revenue", "avg_fare", "avg_surge", "avg_rating",
+                                        "avg_distance", "cancellation_rate"], {}),
+        ("rides_by_city", body("Q3_rides_by_city"), "total_rides DESC, city NULLS FIRST", ["total_rides", "total_revenue"], {"city": "city"}),
+        ("rides_by_vehicle_type", body("Q4_rides_by_vehicle_type"), "total_rides DESC, vehicle_type NULLS FIRST",
+         ["total_rides", "avg_fare"], {"vehicle_type": "vehicle_type"}),
+        ("rides_by_payment_method", body("Q5_rides_by_payment"), "total_rides DESC, payment_method NULLS FIRST",
+         ["total_rides"], {"payment_method": "payment_method"}),
+        ("surge_distribution", body("Q6_surge_distribution"), "surge_bucket", ["surge_bucket", "ride_count"], {}),
+        ("revenue_by_region", body("Q8_revenue_by_region"), "total_revenue DESC, region", ["total_rides", "total_revenue"], {"region": "region"}),
+        ("top_drivers", _DRIVERS10, "total_rides DESC, driver_name", ["driver_rating", "total_rides", "total_revenue", "avg_tip"], {}),
+        ("recent_rides", _FEED_SQL.format(loc="loc_cur", limit=15), "booking_timestamp DESC, ride_id",
+         [c for c in V.SHOWN if c not in ("booking_timestamp", "vehicle_type", "pickup_city")],
+         {"booking_timestamp": _ISO, "vehicle_type": "vehicle_type", "pickup_city": "pickup_city"}),
+    ]
+    most = {"kpis": 1, "rides_by_city": 25, "recent_rides": 25, "surge_distribution": 20}
+    parts = []
+    for name, rows, order, numbers, texts in slices:
+        cells = [f"('{c}', CAST({c} AS DOUBLE), CAST(NULL AS VARCHAR))" for c in numbers]
+        cells += [f"('{c}', CAST(NULL AS DOUBLE), CAST({e} AS VARCHAR))" for c, e in texts.items()]
+        parts.append(f"SELECT '{name}' AS slice, pos, field, number, text FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {order}) AS pos "
+                     f"FROM ({rows}) QUALIFY pos <= {most.get(name, 15)}) r, LATERAL (VALUES {', '.join(cells)}) AS c(field, number, text)")
+    return _q("\nUNION ALL ".join(parts))
+
+
+_ALLOWED = ", ".join(V.SHOWN)
 
 
 @register("P2_sanitized_recent_rides", _q(f"SELECT {_ALLOWED} FROM ({_FEED_SQL.format(loc='loc_cur', limit=15)})"))
@@ -400,11 +470,6 @@ def p2(spark, sf_dir):
     return P.sanitize(Q.live_feed(lake(spark, sf_dir).star, 15))
 
 
-_ISO = ("CASE WHEN epoch_us(booking_timestamp) % 1000000 = 0 "
-        "THEN strftime(booking_timestamp, '%Y-%m-%dT%H:%M:%S') "
-        "ELSE strftime(booking_timestamp, '%Y-%m-%dT%H:%M:%S.%f') END")
-
-
 @register("P3_clean_values", _q(f"""
 SELECT {_ISO} AS booking_timestamp, pickup_city, state, region, vehicle_type, ride_status,
   cancellation_reason, {RND(_OF0)} AS total_fare, {RND('COALESCE(distance_miles, 0)')} AS distance_miles,
@@ -435,12 +500,18 @@ def p4(spark, sf_dir):
 _DRIVERS10 = f"""
 SELECT d.driver_name, {RND(AVG2('d.driver_rating'))} AS driver_rating, COUNT(*) AS total_rides,
   {SUM2('COALESCE(f.total_fare, 0)')} AS total_revenue,
-  {RND(f"SUM({H('COALESCE(f.tip_amount, 0)')}) / COUNT(*) / CAST(100 AS DOUBLE)")} AS avg_tip
+  {RND(AVG2('COALESCE(f.tip_amount, 0)'))} AS avg_tip
 FROM fact f LEFT JOIN dim_driver d ON f.driver_id = d.driver_id
 WHERE d.driver_name IS NOT NULL
 GROUP BY d.driver_name ORDER BY total_rides DESC, d.driver_name ASC LIMIT 10"""
 
 
+@register("P1_dashboard_snapshot", _snapshot_sql())
+def p1(spark, sf_dir):
+    """Bounded snapshot in long form: one row per slice, position and field."""
+    return P.snapshot_fields(*_dashboard_slices(lake(spark, sf_dir)))
+
+
 @register("P5_driver_leaderboard", _q(f"""
 SELECT '#' || CAST(ROW_NUMBER() OVER (ORDER BY total_rides DESC, driver_name ASC) AS VARCHAR) AS "Rank",
   driver_name AS "Driver", driver_rating AS "Rating", total_rides AS "Rides",
@@ -469,8 +540,8 @@ def p6(spark, sf_dir):
     """Per-city rides, revenue and average fare as compact display text."""
     st = lake(spark, sf_dir).star
     g = Q._by_city(st, "current").groupBy(F.col("pickup_city").alias("city")).agg(
-        F.sum("n").alias("total_rides"), (F.sum("fare_h") / F.lit(100.0)).alias("total_revenue"),
-        Q.rnd(F.sum("fare_h") / F.sum("fare_n") / F.lit(100.0)).alias("avg_fare"))
+        F.sum("n").alias("total_rides"), (F.sum("fare_h") / F.lit(Q.MICRO)).alias("total_revenue"),
+        Q.rnd(F.sum("fare_h") / F.lit(Q.MICRO) / F.sum("fare_n")).alias("avg_fare"))
     return g.select("city", *[P.compact_number(F.col(c)).alias(c)
                               for c in ["total_rides", "total_revenue", "avg_fare"]])
 
@@ -549,6 +620,22 @@ def g1(spark, sf_dir):
     return G.fare_audit(lake(spark, sf_dir).obt)
 
 
+def _rows_sql(src: str, rules: dict[str, tuple[str, str]], key: str = "ride_id") -> str:
+    """The rides that fail a rule, with the rules they fail."""
+    failed = ", ".join(f"CASE WHEN ({c}) AND ({b}) THEN '{n}' END" for n, (c, b) in rules.items())
+    return _q(f"SELECT ride_id, failed_rules FROM (SELECT {key} AS ride_id, CONCAT_WS(',', {failed}) AS failed_rules FROM {src}) "
+              "WHERE failed_rules <> ''")
+
+
+def _failed(df: DataFrame) -> DataFrame:
+    return df.select("ride_id", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+@register("G1_fare_violations", _rows_sql("obt", _FARE_RULES))
+def g1_rows(spark, sf_dir):
+    return _failed(G.fare_violations(lake(spark, sf_dir).obt))
+
+
 _BOXES = (f"(SELECT DISTINCT city_id, {D(20)} + CAST(city_id AS DOUBLE) AS lat_min, "
           f"{D(20)} + CAST(city_id AS DOUBLE) + {D(0.5)} AS lat_max, "
           f"{D(-100)} - CAST(city_id AS DOUBLE) AS lon_min, "
@@ -580,6 +667,22 @@ def g2(spark, sf_dir):
     return G.coordinate_check(lh.obt, G.boxes_by_rule(lh.maps["map_cities"]))
 
 
+@register("G2_coordinate_violations", _rows_sql(_WITH_BOXES, _COORD_RULES, "o.ride_id"))
+def g2_rows(spark, sf_dir):
+    lh = lake(spark, sf_dir)
+    return _failed(G.coordinate_violations(lh.obt, G.boxes_by_rule(lh.maps["map_cities"])))
+
+
+_REAL = "(SELECT * FROM (VALUES " + ", ".join(
+    f"({b[0]}, {', '.join(D(x) for x in b[1:])})" for b in CITY_BOXES) + ") AS t(city_id, lat_min, lat_max, lon_min, lon_max))"
+
+
+@register("G2_coordinate_check_model_boxes", _q(_summary_sql(_WITH_BOXES.replace(_BOXES, _REAL), _COORD_RULES)))
+def g2_model(spark, sf_dir):
+    """The ride model's own 57 boxes."""
+    return G.coordinate_check(lake(spark, sf_dir).obt, city_boxes(spark))
+
+
 @register("G2b_locate_pickup_city", _q(f"""
 SELECT o.pickup_city_id, b.city_id AS located_city_id, COUNT(*) AS rides
 FROM obt o LEFT JOIN {_BOXES} b
@@ -614,6 +717,11 @@ def g3(spark, sf_dir):
     return G.time_order_check(lake(spark, sf_dir).obt)
 
 
+@register("G3_time_order_violations", _rows_sql("obt", _TIME_RULES))
+def g3_rows(spark, sf_dir):
+    return _failed(G.time_order_violations(lake(spark, sf_dir).obt))
+
+
 _STATUS_RULES = {
     "status_known": ("TRUE", "ride_status_id IS NULL OR ride_status_id NOT IN (1, 2)"),
     "cancelled_has_reason_1_to_3": ("ride_status_id = 2", "cancellation_reason_id IS NULL OR "
@@ -630,25 +738,34 @@ def g4(spark, sf_dir):
     return G.status_check(lake(spark, sf_dir).obt)
 
 
-def _keys_sql() -> str:
-    joins, rules = [], {}
-    for i, (col, name, key) in enumerate(G.FOREIGN_KEYS):
-        joins.append(f"LEFT JOIN (SELECT DISTINCT {key} AS k{i} FROM {name}) m{i} ON o.{col} = m{i}.k{i}")
-        rules[col] = (f"o.{col} IS NOT NULL", f"m{i}.k{i} IS NULL")
-    return _q(_summary_sql("(obt o " + " ".join(joins) + ")", rules))
+@register("G4_status_violations", _rows_sql("obt", _STATUS_RULES))
+def g4_rows(spark, sf_dir):
+    return _failed(G.status_violations(lake(spark, sf_dir).obt))
 
 
-@register("G5_key_integrity", _keys_sql())
+_KEY_JOINS = " ".join(f"LEFT JOIN (SELECT DISTINCT {key} AS k{i} FROM {name}) m{i} ON o.{col} = m{i}.k{i}"
+                      for i, (col, name, key) in enumerate(V.KEYS))
+_KEY_RULES = {col: (f"o.{col} IS NOT NULL", f"m{i}.k{i} IS NULL") for i, (col, _, _) in enumerate(V.KEYS)}
+
+
+@register("G5_key_integrity", _q(_summary_sql(f"(obt o {_KEY_JOINS})", _KEY_RULES)))
 def g5(spark, sf_dir):
     lh = lake(spark, sf_dir)
     return G.key_integrity(lh.obt, lh.maps)
 
 
+@register("G5_key_violations", _rows_sql(f"(obt o {_KEY_JOINS})", _KEY_RULES, "o.ride_id"))
+def g5_rows(spark, sf_dir):
+    lh = lake(spark, sf_dir)
+    return _failed(G.key_violations(lh.obt, lh.maps))
+
+
 def _share_sql() -> str:
+    weights = V.WEIGHTS | {"pickup_city_id": CITY_WEIGHTS}
     obs = " UNION ALL ".join(
         f"SELECT '{d}' AS dimension, CAST({d} AS BIGINT) AS category_id, COUNT(*) AS observed_rides "
-        f"FROM obt GROUP BY 2" for d in G.EXPECTED_WEIGHTS)
-    vals = ", ".join(f"('{d}', {i}, {float(w)})" for d, ws in G.EXPECTED_WEIGHTS.items() for i, w in ws)
+        f"FROM obt GROUP BY 2" for d in weights)
+    vals = ", ".join(f"('{d}', {i}, {float(w)})" for d, ws in weights.items() for i, w in ws)
     return _q(f"""
 SELECT COALESCE(o.dimension, e.dimension) AS dimension, COALESCE(o.category_id, e.category_id) AS category_id,
   COALESCE(o.observed_rides, 0) AS observed_rides, COALESCE(o.observed_share, {D(0)}) AS observed_share,
@@ -669,14 +786,14 @@ def g6(spark, sf_dir):
 
 def _bands_sql() -> str:
     sel = []
-    for m, (edges, _) in G.BANDS.items():
+    for m, (edges, _) in V.BANDS.items():
         last = len(edges) - 2
         whens = " ".join(
             f"WHEN {m} >= {D(edges[i])} AND {m} {'<=' if i == last else '<'} {D(edges[i + 1])} THEN {i}"
             for i in range(len(edges) - 1))
         sel.append(f"SELECT '{m}' AS measure, CASE WHEN {m} IS NULL THEN NULL {whens} ELSE -1 END AS band FROM obt")
     vals = []
-    for m, (edges, ws) in G.BANDS.items():
+    for m, (edges, ws) in V.BANDS.items():
         tot = float(sum(ws))
         vals += [f"('{m}', {i}, {float(edges[i])}, {float(edges[i + 1])}, {w / tot!r})" for i, w in enumerate(ws)]
     return _q(f"""
@@ -700,9 +817,11 @@ def g7(spark, sf_dir):
 
 from ridepulse.operators import scd as SCD  # noqa: E402
 from ridepulse.operators import silver as SV  # noqa: E402
-from ridepulse.schemas import DIM_COLUMNS, RIDE_COLUMNS  # noqa: E402
+from ridepulse.schemas import DIM_COLUMNS, RIDE_COLUMNS, RIDES  # noqa: E402
 from ridepulse.sources import events as EV  # noqa: E402
 from ridepulse.sources.binding import read_table  # noqa: E402
+from ridepulse.sources.lookups import load_map  # noqa: E402
+from ridepulse.streaming.upsert import KeyedTable  # noqa: E402
 
 _RIDES = ", ".join(RIDE_COLUMNS)
 
@@ -714,8 +833,8 @@ SELECT event_type, COUNT(*) AS events,
 FROM events GROUP BY event_type""")
 def t1_props(spark, sf_dir):
     """T1 on the events table: JSON text column -> typed struct field."""
-    ev = read_table(spark, sf_dir, "events")
-    k = F.from_json("props", "k BIGINT").getField("k")
+    ev = SV.parse_rides(read_table(spark, sf_dir, "events"), "props", keep=["event_type"], schema="k BIGINT")
+    k = F.col("k")
     return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"),
                                         F.sum(k).alias("sum_k"), F.count(k).alias("parsed"))
 
@@ -764,7 +883,14 @@ def t5(spark, sf_dir):
 
 @register("T6_silver_obt", _q("SELECT * FROM obt"))
 def t6(spark, sf_dir):
-    return lake(spark, sf_dir).obt
+    return lake(spark, sf_dir).obt.drop(BOOKING_MONTH)
+
+
+@register("T6_silver_obt_literal_city", _q(_obt_select("rides", "r.pickup_city_id = cv.city_id")))
+def t6_literal(spark, sf_dir):
+    """Plain equi-join on the city id: a city with two versions doubles its rides."""
+    lh = lake(spark, sf_dir)
+    return SV.build_obt(lh.stg, lh.maps, city_mode="literal")
 
 
 _GOLD_SQL = {
@@ -836,7 +962,98 @@ def t13(spark, sf_dir):
     return j.groupBy("pickup_city_id", "pickup_city").agg(F.count(F.lit(1)).alias("rides"))
 
 
-@register("S8_ride_events", None)
+def _scratch(spark, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return posixpath.join(checkpoint_dir(spark), "ridepulse-rows", f"{name}-{uuid.uuid4().hex}")
+
+
+@register("S8_ride_events", _q("""
+SELECT ride_id AS key, CAST(43 AS INTEGER) AS n_fields, total_fare, duration_minutes, passenger_name,
+  strftime(booking_timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS booking_timestamp, rating IS NULL AS rating_is_null
+FROM rides"""))
 def s8(spark, sf_dir):
-    """Every ride as a (key, JSON value) event, ready for a Kafka or file sink."""
-    return EV.ride_events(lake(spark, sf_dir).stg)
+    """Every ride as a (key, JSON value) event; the payload is read back field by field."""
+    events = EV.ride_events(lake(spark, sf_dir).stg)
+    field = lambda f: F.get_json_object("value", f"$.{f}")
+    return events.select("key", F.size(F.json_object_keys("value")).alias("n_fields"), field("total_fare").cast("double").alias("total_fare"),
+                         field("duration_minutes").cast("long").alias("duration_minutes"), field("passenger_name").alias("passenger_name"),
+                         field("booking_timestamp").alias("booking_timestamp"), field("rating").isNull().alias("rating_is_null"))
+
+
+@register("S2_payload_text", _q(f"SELECT {_RIDES} FROM rides"))
+def s2(spark, sf_dir):
+    """Binary broker values -> text -> rides."""
+    broker = EV.ride_events(lake(spark, sf_dir).stg).select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    return SV.normalise_ts(SV.parse_rides(EV.with_payload(broker)))
+
+
+@register("S3_city_map", _q("SELECT city_id, city, state, region, updated_at FROM map_cities"))
+def s3(spark, sf_dir):
+    """The city map written as one JSON array, as lookup files are, and loaded with its schema."""
+    path = _scratch(spark, "map")
+    rows = lake(spark, sf_dir).maps["map_cities"].withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
+    rows.agg(F.to_json(F.collect_list(F.struct("city_id", "city", "state", "region", "updated_at"))).alias("value")).write.text(path)
+    return load_map(spark, "map_cities", path)
+
+
+def _bulk_files(spark, sf_dir) -> str:
+    path = _scratch(spark, "bulk")
+    lake(spark, sf_dir).stg.withColumn("booking_timestamp", F.date_format("booking_timestamp", "yyyy-MM-dd'T'HH:mm:ss")).write.parquet(path)
+    return path
+
+
+@register("S5_bulk_rides", _q(f"SELECT {_RIDES} FROM rides"))
+def s5(spark, sf_dir):
+    """Bulk history with its booking time as text, picked up as a stream and normalised."""
+    out = _scratch(spark, "bulk-read")
+    (EV.bulk_source(spark, _bulk_files(spark, sf_dir), fmt="parquet").writeStream.format("parquet").trigger(availableNow=True)
+     .option("checkpointLocation", out + "-checkpoint").start(out).awaitTermination())
+    return spark.read.schema(RIDES).parquet(out)
+
+
+def _keyed_in_batches(spark, updates: DataFrame, **options) -> DataFrame:
+    """A keyed table fed with three micro-batches, the second one delivered twice."""
+    table = KeyedTable(Lake(spark, _scratch(spark, "keyed")), "gold", "t", **options)
+    part = F.pmod(F.xxhash64(*updates.columns), F.lit(3))
+    for number in (0, 1, 1, 2):
+        table.apply(updates.where(part == number), number, "q")
+    return table.read()
+
+
+@register("T11_stream_scd1", REGISTRY["T11_scd1_latest_driver"][1])
+def t11_stream(spark, sf_dir):
+    return _keyed_in_batches(spark, lake(spark, sf_dir).obt.select(*_DRIVER_SEQ), keys=["driver_id"], sequence_by="booking_timestamp")
+
+
+@register("T12_stream_scd2", _q("SELECT * FROM dim_location"))
+def t12_stream(spark, sf_dir):
+    loc = lake(spark, sf_dir).obt.select(*DIM_COLUMNS["dim_location"])
+    return _keyed_in_batches(spark, loc, keys=["pickup_city_id"], scd=2, sequence_by="city_updated_at", buckets=4)
+
+
+_GUARDED = [("NATION_3", 5, 20, 4), ("  nation_5 ", 25, 0, 23), ("x", 5, 1, 2), ("NATION_1", 26, 1, 2), ("NATION_1", 5, -1, 2)]
+
+
+@register("V1_V4_guarded_calls", _q(f"""
+SELECT CAST(0 AS INTEGER) AS call, l.pickup_city AS city, COUNT(*) AS rides FROM fact f JOIN loc_cur l USING (pickup_city_id)
+  JOIN dim_booking b USING (ride_id) WHERE l.pickup_city = 'NATION_3' AND hour(b.booking_timestamp) BETWEEN 4 AND 20 GROUP BY 2
+UNION ALL SELECT 1, l.pickup_city, COUNT(*) FROM fact f JOIN loc_cur l USING (pickup_city_id)
+  JOIN dim_booking b USING (ride_id) WHERE l.pickup_city = 'NATION_5' AND b.booking_timestamp IS NOT NULL GROUP BY 2
+UNION ALL SELECT 2, 'rejected', 0 UNION ALL SELECT 3, 'rejected', 0 UNION ALL SELECT 4, 'rejected', 0"""))
+def guarded(spark, sf_dir):
+    """Rides of a city in an hour range; each call's city, limit and hours are guarded, and bad ones are rejected."""
+    st, parts = lake(spark, sf_dir).star, []
+    for call, (city, limit, first, last) in enumerate(_GUARDED):
+        try:
+            name, most, (low, high) = validate_city(city), validate_limit(limit), validate_hour_range(first, last)
+        except ValueError:
+            parts.append(spark.createDataFrame([(call, "rejected", 0)], "call int, city string, rides long"))
+            continue
+        rides = st.fact_with_booking(["pickup_city_id"], ["booking_timestamp"]).join(st.location_lookup(), "pickup_city_id")
+        rides = rides.where((F.lower("pickup_city") == F.lit(name.lower())) & F.hour("booking_timestamp").between(low, high))
+        parts.append(rides.groupBy(F.col("pickup_city").alias("city")).agg(F.count(F.lit(1)).alias("rides")).limit(most)
+                     .select(F.lit(call).alias("call"), "city", "rides"))
+    out = parts[0]
+    for q in parts[1:]:
+        out = out.unionByName(q)
+    return out

@@ -21,11 +21,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ridepulse.functions.dates import BOOKING_MONTH, by_month
 from ridepulse.operators.gold import Star, build_star, gold_base
 from ridepulse.operators.scd import with_end_at
 from ridepulse.operators.silver import build_obt, build_stg
 from ridepulse.session import checkpoint_dir
-from ridepulse.sources.binding import maps_from_tables, read_table, rides_from_tables
+from ridepulse.sources.binding import TABLES, maps_from_tables, read_table, rides_from_tables
 from ridepulse.sources.lake import Lake
 from ridepulse.sources.lookups import current_cities
 
@@ -82,7 +83,8 @@ class Lakehouse:
         """
         lake.write_overwrite(build_stg(*self.sources, dedup=self.dedup), "silver", "stg_rides")
         stg = lake.read("silver", "stg_rides")
-        lake.write_overwrite(build_obt(stg, self.maps), "silver", "silver_obt")
+        # by booking month: trailing-window queries open the files of a month or two
+        lake.write_overwrite(by_month(build_obt(stg, self.maps)), "silver", "silver_obt", [BOOKING_MONTH])
         obt = lake.read("silver", "silver_obt")
         # With a deduplicated stg the OBT is already one row per ride (its lookups are
         # unique per key and the temporal city join matches one version), so the gold
@@ -91,7 +93,7 @@ class Lakehouse:
         if self.dedup:
             base = obt.where("ride_id IS NOT NULL")
         else:
-            lake.write_overwrite(gold_base(obt), "gold", "gold_base")
+            lake.write_overwrite(gold_base(obt.drop(BOOKING_MONTH)), "gold", "gold_base")
             base = lake.read("gold", "gold_base")
         star = build_star(base, already_unique=True)
         for name in GOLD:
@@ -104,17 +106,23 @@ class Lakehouse:
 
 _MEMO: dict[tuple, Lakehouse] = {}
 _LOCK = threading.Lock()
-_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 _DONE = "_LATEST"
 
 
 def _fingerprint(lake: Lake, sf_dir: str, dedup: bool) -> str:
-    """Identity of a build: the input files (size, mtime), the settings and the library code."""
+    """Identity of a build: every input file (path, size, mtime), the settings and the library code."""
     h = hashlib.sha1(f"{sf_dir.rstrip('/')}|{dedup}".encode())
-    for t in _TABLES:
+    for t in TABLES:
         fs, p = lake._fs(f"{sf_dir.rstrip('/')}/{t}.parquet")
-        st = fs.getFileStatus(p)
-        h.update(f"{t}:{st.getLen()}:{st.getModificationTime()}".encode())
+        if not fs.exists(p):
+            continue
+        files = [fs.getFileStatus(p)]
+        if files[0].isDirectory():  # a directory's own length and time do not show what is inside
+            found, files = fs.listFiles(p, True), []
+            while found.hasNext():
+                files.append(found.next())
+        for f in sorted(f"{t}:{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files):
+            h.update(f.encode())
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for d, _, files in sorted(os.walk(pkg)):
         for f in sorted(files):

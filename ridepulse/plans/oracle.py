@@ -1,29 +1,14 @@
 """SQL oracle: the same lakehouse and queries in plain SQL (DuckDB dialect).
 
-The prelude rebuilds the ride binding, lookups, OBT and star schema as CTEs
-over the raw test tables; each query then reads those CTEs.  The SQL spells
-out the library's numeric rules (half-up rounding as ``FLOOR(x*10^n+0.5)``,
-two-decimal measures summed in integer hundredths) so both engines produce
-identical doubles.
+The prelude rebuilds the ride binding, lookups, OBT and star schema as CTEs over the raw
+test tables; each query then reads those CTEs.  Measures are summed as exact decimals and
+rounded once, half-up (``FLOOR(x*10^n+0.5)``), after the aggregate.  Lookup rows, layouts
+and rules are stated in ``oracle_values``, not taken from the library.
 """
 
 from __future__ import annotations
 
-from ridepulse.schemas import DIM_COLUMNS, FACT_COLUMNS, RIDE_COLUMNS
-from ridepulse.sources.binding import (
-    FIRST_VERSION_FROM,
-    RENAMED_NATION,
-    RENAMED_TO_NATION,
-    SECOND_VERSION_FROM,
-    SECOND_VERSION_NATIONS,
-)
-from ridepulse.sources.lookups import (
-    CANCELLATION_REASONS,
-    PAYMENT_METHODS,
-    RIDE_STATUSES,
-    VEHICLE_MAKES,
-    VEHICLE_TYPES,
-)
+from ridepulse.plans import oracle_values as V
 
 
 def D(v) -> str:
@@ -41,11 +26,11 @@ def RND(x: str, n: int = 2) -> str:
 
 
 def SUM2(x: str) -> str:
-    return f"(SUM({H(x)}) / {D(100)})"
+    return f"CAST(SUM(CAST({x} AS DECIMAL(18, 6))) AS DOUBLE)"
 
 
 def AVG2(x: str) -> str:
-    return f"(SUM({H(x)}) / COUNT({x}) / {D(100)})"
+    return f"({SUM2(x)} / COUNT({x}))"
 
 
 def CNT_IF(cond: str) -> str:
@@ -146,10 +131,13 @@ def _ride_select() -> str:
         "total_fare": f"CASE WHEN {k} % 53 = 0 THEN NULL ELSE {D(total_c)} / {D(100)} END",
         "rating": f"CASE WHEN o_orderstatus = 'P' THEN NULL ELSE {D(f'10 + {k} % 41')} / {D(10)} END",
     }
-    return ",\n  ".join(f"{exprs[c]} AS {c}" for c in RIDE_COLUMNS)
+    return ",\n  ".join(f"{e} AS {c}" for c, e in exprs.items())
 
 
-def _obt_select(src: str) -> str:
+def _obt_select(src: str, city_on: str = """r.pickup_city_id = cv.city_id AND (CASE
+  WHEN r.booking_timestamp IS NULL THEN cv.valid_to IS NULL
+  ELSE (cv.valid_to IS NULL OR r.booking_timestamp < cv.valid_to)
+   AND (cv.is_first OR r.booking_timestamp >= cv.updated_at) END)""") -> str:
     return f"""SELECT r.*, mk.vehicle_make, vt.vehicle_type, vt.description, vt.base_rate, vt.per_mile,
   vt.per_minute, rs.ride_status, pm.payment_method, pm.is_card, pm.requires_auth,
   cv.city AS pickup_city, cv.state, cv.region, cv.updated_at AS city_updated_at,
@@ -159,10 +147,7 @@ LEFT JOIN map_vehicle_makes mk ON r.vehicle_make_id = mk.vehicle_make_id
 LEFT JOIN map_vehicle_types vt ON r.vehicle_type_id = vt.vehicle_type_id
 LEFT JOIN map_ride_statuses rs ON r.ride_status_id = rs.ride_status_id
 LEFT JOIN map_payment_methods pm ON r.payment_method_id = pm.payment_method_id
-LEFT JOIN city_versions cv ON r.pickup_city_id = cv.city_id AND (CASE
-  WHEN r.booking_timestamp IS NULL THEN cv.valid_to IS NULL
-  ELSE (cv.valid_to IS NULL OR r.booking_timestamp < cv.valid_to)
-   AND (cv.is_first OR r.booking_timestamp >= cv.updated_at) END)
+LEFT JOIN city_versions cv ON {city_on}
 LEFT JOIN map_cancellation_reasons cr ON r.cancellation_reason_id = cr.cancellation_reason_id"""
 
 
@@ -172,14 +157,14 @@ def prelude() -> str:
     ctes = [
         _values("map_vehicle_types", [("vehicle_type_id", B), ("vehicle_type", S_),
                                       ("description", S_), ("base_rate", Dd),
-                                      ("per_mile", Dd), ("per_minute", Dd)], VEHICLE_TYPES),
-        _values("map_vehicle_makes", [("vehicle_make_id", B), ("vehicle_make", S_)], VEHICLE_MAKES),
+                                      ("per_mile", Dd), ("per_minute", Dd)], V.VEHICLE_TYPES),
+        _values("map_vehicle_makes", [("vehicle_make_id", B), ("vehicle_make", S_)], V.VEHICLE_MAKES),
         _values("map_payment_methods", [("payment_method_id", B), ("payment_method", S_),
-                                        ("is_card", Bo), ("requires_auth", Bo)], PAYMENT_METHODS),
+                                        ("is_card", Bo), ("requires_auth", Bo)], V.PAYMENT_METHODS),
         _values("map_ride_statuses", [("ride_status_id", B), ("ride_status", S_),
-                                      ("is_completed", Bo)], RIDE_STATUSES),
+                                      ("is_completed", Bo)], V.RIDE_STATUSES),
         _values("map_cancellation_reasons", [("cancellation_reason_id", B),
-                                             ("cancellation_reason", S_)], CANCELLATION_REASONS),
+                                             ("cancellation_reason", S_)], V.CANCELLATION_REASONS),
         f"""li AS (SELECT l_orderkey, MIN(l_suppkey) AS drv, MIN(l_partkey) AS veh,
   CAST(SUM(l_quantity) AS BIGINT) AS qty,
   MAX(FLOOR(l_discount * {D(100)} + {D(0.5)})) AS disc FROM lineitem GROUP BY l_orderkey)""",
@@ -196,29 +181,28 @@ def prelude() -> str:
         f"rides AS (SELECT\n  {_ride_select()}\nFROM bound_rates)",
         f"""map_cities AS (
   SELECT CAST(n_nationkey AS BIGINT) AS city_id,
-    CASE WHEN n_nationkey = {RENAMED_NATION} THEN 'NATION_{RENAMED_TO_NATION}' ELSE n_name END AS city,
+    CASE WHEN n_nationkey = {V.RENAMED_NATION} THEN 'NATION_{V.RENAMED_TO_NATION}' ELSE n_name END AS city,
     'ST' || CAST(n_nationkey AS VARCHAR) AS state, r_name AS region,
-    TIMESTAMP '{FIRST_VERSION_FROM}' AS updated_at
+    TIMESTAMP '{V.FIRST_VERSION_FROM}' AS updated_at
   FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL
   SELECT CAST(n_nationkey AS BIGINT), n_name || ' METRO', 'ST' || CAST(n_nationkey AS VARCHAR),
-    r_name, TIMESTAMP '{SECOND_VERSION_FROM}'
+    r_name, TIMESTAMP '{V.SECOND_VERSION_FROM}'
   FROM nation JOIN region ON n_regionkey = r_regionkey
-  WHERE n_nationkey IN ({', '.join(str(n) for n in SECOND_VERSION_NATIONS)}))""",
+  WHERE n_nationkey IN ({', '.join(str(n) for n in V.SECOND_VERSION_NATIONS)}))""",
         """city_versions AS (SELECT *, LEAD(updated_at) OVER (PARTITION BY city_id ORDER BY updated_at) AS valid_to,
   ROW_NUMBER() OVER (PARTITION BY city_id ORDER BY updated_at) = 1 AS is_first FROM map_cities)""",
         "cur_cities AS (SELECT city_id, city, state, region, updated_at FROM city_versions WHERE valid_to IS NULL)",
         f"obt AS ({_obt_select('rides')})",
         "base AS (SELECT * FROM obt)",
-        f"fact AS (SELECT {', '.join(FACT_COLUMNS)} FROM base)",
+        f"fact AS (SELECT {', '.join(V.FACT)} FROM base)",
     ]
-    for name in ["dim_passenger", "dim_driver", "dim_vehicle", "dim_payment"]:
-        from ridepulse.schemas import DIM_KEYS
-        ctes.append(f"{name} AS ({first_sql('base', DIM_KEYS[name], DIM_COLUMNS[name])})")
-    ctes.append(f"dim_booking AS (SELECT {', '.join(DIM_COLUMNS['dim_booking'])} FROM base WHERE ride_id IS NOT NULL)")
+    for name, (key, columns) in V.DIMENSIONS.items():
+        ctes.append(f"{name} AS ({first_sql('base', [key], columns)})")
+    ctes.append(f"dim_booking AS (SELECT {', '.join(V.BOOKING)} FROM base WHERE ride_id IS NOT NULL)")
     ctes.append(f"""loc_versions AS ({first_sql(
         "(SELECT * FROM base WHERE pickup_city_id IS NOT NULL AND city_updated_at IS NOT NULL)",
-        ['pickup_city_id', 'city_updated_at'], DIM_COLUMNS['dim_location'])})""")
+        ['pickup_city_id', 'city_updated_at'], V.LOCATION)})""")
     ctes.append("""dim_location AS (SELECT *, city_updated_at AS __START_AT,
   LEAD(city_updated_at) OVER (PARTITION BY pickup_city_id ORDER BY city_updated_at) AS __END_AT
   FROM loc_versions)""")

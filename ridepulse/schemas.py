@@ -39,7 +39,7 @@ RIDE_FIELDS = [
 RIDES = StructType([StructField(n, t, True) for n, t in RIDE_FIELDS])
 RIDE_COLUMNS = [n for n, _ in RIDE_FIELDS]
 
-# Lookup ("map") tables.
+# Lookup ("map") tables.
 MAP_SCHEMAS = {
     "map_vehicle_makes": StructType([
         StructField("vehicle_make_id", L), StructField("vehicle_make", S)]),
@@ -60,7 +60,7 @@ MAP_SCHEMAS = {
         StructField("cancellation_reason_id", L), StructField("cancellation_reason", S)]),
 }
 
-# Columns the enrichment adds, in OBT order (lookup, [(source column, output name)]).
+# Columns the enrichment adds, in OBT order (lookup, [(source column, output name)]).
 OBT_LOOKUP_COLUMNS = [
     ("map_vehicle_makes", [("vehicle_make", "vehicle_make")]),
     ("map_vehicle_types", [("vehicle_type", "vehicle_type"), ("description", "description"),
