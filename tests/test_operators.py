@@ -56,6 +56,53 @@ def test_dedup_modes(spark):
     assert SV.build_stg(live, archive, dedup=True).count() == 2
 
 
+def test_dedup_keeps_rides_without_an_id(spark):
+    rows = [ride(ride_id=None, total_fare=float(i)) for i in range(5)] + [ride(ride_id="a")] * 2
+    assert SV.build_stg(rides_df(spark, rows)).count() == 6
+
+
+def test_small_amounts_are_rounded_after_the_sum(spark):
+    _, st = star_of(spark, [ride(ride_id=f"r{i}", total_fare=0.004) for i in range(1000)])
+    assert Q.kpis(st).first().total_revenue == 4.0
+    assert A.kpi_dashboard(st).first().total_revenue == 4.0
+
+
+def test_literal_city_lookup_doubles_a_two_version_city(spark):
+    cities = single_version_cities(spark, CITY_ROWS + [(1, "New York City", "NY", "Northeast", "2026-03-01T00:00:00+00:00")])
+    maps = small_maps(spark) | {"map_cities": cities}
+    rows = rides_df(spark, [ride(ride_id="a"), ride(ride_id="b", pickup_city_id=2)])
+    assert SV.build_obt(rows, maps).count() == 2
+    assert SV.build_obt(rows, maps, city_mode="literal").count() == 3
+    with pytest.raises(ValueError):
+        SV.build_obt(rows, maps, city_mode="x")
+
+
+def test_live_feed_limit_is_guarded(spark):
+    _, st = star_of(spark, [ride()])
+    with pytest.raises(ValueError):
+        Q.live_feed(st, 26)
+
+
+def test_scd1_null_sequences_lose_and_ties_keep_the_stored_row(spark):
+    cur = spark.createDataFrame([("k", "old", 1), ("m", "only", None)], "k string, v string, s int")
+    upd = spark.createDataFrame([("k", "null", None), ("k", "tie", 1), ("n", "b", None), ("n", "a", None)], "k string, v string, s int")
+    assert {r.k: r.v for r in SCD.scd1(cur, upd, ["k"], "s").collect()} == {"k": "old", "m": "only", "n": "a"}
+
+
+def test_scd2_counts_what_it_cannot_version(spark):
+    upd = spark.createDataFrame([(1, "a", None), (1, "b", datetime(2024, 1, 1))], "k int, name string, ts timestamp")
+    assert SCD.scd2(None, upd, ["k"], "ts").count() == 1
+    assert SCD.scd2_rejects(upd, "ts").first().rejected == 1
+
+
+def test_open_window_without_as_of(spark):
+    """A ride stamped in the future (a clock that runs ahead) is still inside the default window."""
+    soon = datetime.utcnow() + timedelta(hours=2)
+    obt, _ = star_of(spark, [ride(ride_id="a", booking_timestamp=soon)])
+    assert FC.predict_city_demand(obt, "New York").first().rides_last_6h == 1
+    assert FC.predict_city_demand(obt, "New York", as_of=soon - timedelta(hours=1)).first().rides_last_6h == 0
+
+
 def test_location_modes_and_region_join(spark):
     # city 1 gets a second version; Portland exists twice (ME and OR)
     cities = single_version_cities(spark, CITY_ROWS + [(1, "New York City", "NY", "Northeast",
@@ -272,3 +319,14 @@ def test_build_fingerprint_is_stable_and_setting_sensitive(spark, tmpdir_fresh):
     lake = Lake(spark, tmpdir_fresh)
     a, b = _fingerprint(lake, SF_SMALL, True), _fingerprint(lake, SF_SMALL + "/", True)
     assert a == b and a != _fingerprint(lake, SF_SMALL, False)
+
+
+def test_fingerprint_sees_inside_a_directory_table(spark, tmpdir_fresh):
+    from ridepulse.plans.lakehouse import _fingerprint
+    from ridepulse.sources.lake import Lake
+    lake = Lake(spark, tmpdir_fresh)
+    spark.range(10).selectExpr("id as o_orderkey", "id % 2 as p").write.partitionBy("p").parquet(f"{tmpdir_fresh}/orders.parquet")
+    before = _fingerprint(lake, tmpdir_fresh, True)
+    assert before == _fingerprint(lake, tmpdir_fresh, True)
+    spark.range(5).selectExpr("id as o_orderkey", "0 as p").write.mode("append").partitionBy("p").parquet(f"{tmpdir_fresh}/orders.parquet")
+    assert before != _fingerprint(lake, tmpdir_fresh, True)

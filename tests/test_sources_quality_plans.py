@@ -136,6 +136,67 @@ def test_join_elimination_and_single_fact_scan(spark):
     assert "Join" not in p and p.count("FileScan parquet") == 1  # fact x booking skipped
     feed = REGISTRY["Q2_live_feed"][0](spark, SF_SMALL)
     feed.write.format("noop").mode("overwrite").save()
-    # the top-k is checkpointed once; the plan reads it plus each dimension once
-    assert "booking_timestamp" not in " ".join(
-        s for s in _plan(feed).split("\n") if "FileScan parquet" in s)
+    scans = [x for x in _plan(feed).split("\n") if "FileScan parquet" in x]
+    assert "booking_timestamp" not in " ".join(scans)  # the newest rides are literal rows by now
+    assert any("In(driver_id" in x for x in scans) and "SortMergeJoin" not in _plan(feed)
+
+
+def test_trailing_windows_prune_months_and_cities_reach_the_scan(spark):
+    for name in ["A8_recent_signals", "A9_predict_city_demand", "A9b_predict_demand_all_cities", "A10_predict_surge_pressure",
+                 "A10b_predict_pressure_all_cities"]:
+        plan = _plan(REGISTRY[name][0](spark, SF_SMALL))
+        assert any("PartitionFilters: [" in x and "booking_month" in x.split("PartitionFilters: [")[1].split("]")[0]
+                   for x in plan.split("\n")), name
+    for name in ["A7a_silver_city_overview", "A7b_silver_vehicle_mix", "A7c_silver_payment_mix", "A7d_silver_status_mix",
+                 "A9_predict_city_demand", "A10_predict_surge_pressure"]:
+        plan = _plan(REGISTRY[name][0](spark, SF_SMALL))
+        assert any("PushedFilters" in x and "pickup_city_id" in x.split("PushedFilters")[1] for x in plan.split("\n")), name
+
+
+def test_snapshot_scans_the_rides_once_for_all_reports(spark):
+    from ridepulse.plans.catalog import lake
+    plan = Q.summaries(lake(spark, SF_SMALL).star)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Expand") == 1
+
+
+def test_first_per_key_plans(spark):
+    from ridepulse.operators import scd as SCD
+    df = spark.createDataFrame([("a", 1, "x")], "k string, n int, v string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        near, many, seq = (_plan(SV.first_per_key(df, ["k"], near_unique=True)), _plan(SV.first_per_key(df, ["k"])),
+                           _plan(SCD.scd1(None, df, ["k"], "n")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert near.count("Sort [") == 1 and near.count("hashpartitioning") == 1 and "SortAggregate" not in near
+    assert "HashAggregate" in many and "SortAggregate" not in many and many.count("Sort [") == 1
+    assert "HashAggregate" in seq and "SortAggregate" not in seq
+
+
+def test_checkpoint_folder_rules(spark):
+    from types import SimpleNamespace
+
+    from ridepulse.session import checkpoint_dir
+
+    def session(conf=None, held=None, master="local[2]"):
+        made = []
+        option = SimpleNamespace(isDefined=lambda: held is not None, get=lambda: held)
+        sc = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: option)), master=master,
+                             applicationId=f"app-{conf}-{held}-{master}", setCheckpointDir=made.append)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf), sparkContext=sc)
+
+    assert checkpoint_dir(session("hdfs://x/c")) == "hdfs://x/c"
+    assert checkpoint_dir(session(held="hdfs://x/held", master="yarn")) == "hdfs://x/held"
+    assert checkpoint_dir(session()).startswith("/")
+    import pytest
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            checkpoint_dir(session(master=master))
+
+
+def test_model_boxes_and_weights(spark):
+    from ridepulse.sources.markets import CITY_BOXES, CITY_WEIGHTS, city_boxes
+    assert [b[0] for b in CITY_BOXES] == [c for c, _ in CITY_WEIGHTS] == list(range(1, 58))
+    assert all(b[1] < b[2] and b[3] < b[4] for b in CITY_BOXES)
+    pts = spark.createDataFrame([(40.7, -74.0), (47.6, -122.3), (0.0, 0.0)], "pickup_latitude double, pickup_longitude double")
+    assert {r.located_city_id for r in G.locate_city(pts, city_boxes(spark)).collect()} == {1, 54, None}

@@ -29,7 +29,7 @@ def _write_events(spark, rides, path, chunks):
         ev.where(digit == i).select("value").coalesce(1).write.text(f"{path}/part{i}")
 
 
-@pytest.mark.parametrize("chunks,files_per_trigger", [(3, 1)])
+@pytest.mark.parametrize("chunks,files_per_trigger", [(1, 1), (3, 1), (10, 1)])
 def test_stream_equals_batch(spark, tmpdir_fresh, chunks, files_per_trigger):
     rides = rides_from_tables(spark, SF_SMALL)
     _write_events(spark, rides, f"{tmpdir_fresh}/events", chunks)
@@ -147,3 +147,164 @@ def test_vacuum_lists_only_superseded_versions(spark, tmpdir_fresh):
     assert lake.vacuum("gold", "t", retain_hours=0.0) == [first]  # dry run: nothing deleted
     assert lake.vacuum("gold", "t", retain_hours=1.0) == []  # still inside the retention
     assert lake.read("gold", "t").count() == 1
+
+
+def _events(tmp, name, rides):
+    import json
+    import os
+    d = os.path.join(tmp, name)
+    os.makedirs(d, exist_ok=True)
+    if rides:
+        with open(os.path.join(d, f"{len(os.listdir(d))}.txt"), "w") as f:
+            f.write("\n".join(json.dumps(r) for r in rides) + "\n")
+    return d
+
+
+def _ride(i, at="2024-01-01T00:00:00", **kw):
+    return {"ride_id": i, "pickup_city_id": 1, "passenger_id": "p", "booking_timestamp": at, "total_fare": 1.0, **kw}
+
+
+def test_first_update_of_an_empty_topic(spark, tmpdir_fresh):
+    from tests.conftest import small_maps
+    lake = Lake(spark, f"{tmpdir_fresh}/lake")
+    events = _events(tmpdir_fresh, "ev", [])
+    star = flows.run_update(spark, lake, small_maps(spark), raw_event_files(spark, events))
+    assert star.fact.count() == 0 and star.dim_driver.count() == 0 and star.dim_location.count() == 0
+    _events(tmpdir_fresh, "ev", [_ride("a")])
+    star = flows.run_update(spark, lake, small_maps(spark), raw_event_files(spark, events))
+    assert star.fact.count() == 1 and star.dim_location.count() == 1
+
+
+def test_source_added_later_and_late_archive_copies(spark, tmpdir_fresh):
+    """Bulk first, live events later; the archive delivers every live ride again."""
+    import json
+    import os
+
+    from ridepulse.sources.events import bulk_source
+    from tests.conftest import small_maps
+    lake = Lake(spark, f"{tmpdir_fresh}/lake")
+    bulk = os.path.join(tmpdir_fresh, "bulk")
+    os.makedirs(bulk)
+    with open(os.path.join(bulk, "b.json"), "w") as f:
+        json.dump([_ride("a"), _ride("b", "2023-05-01T00:00:00")], f)
+    maps = small_maps(spark)
+    assert flows.run_update(spark, lake, maps, None, bulk=bulk_source(spark, bulk)).fact.count() == 2
+    events = _events(tmpdir_fresh, "ev", [_ride("b", "2023-05-01T00:00:00"), _ride("c"), _ride(None), _ride(None, total_fare=2.0)])
+    star = flows.run_update(spark, lake, maps, raw_event_files(spark, events), bulk=bulk_source(spark, bulk))
+    assert sorted(r.ride_id for r in star.fact.collect()) == ["a", "b", "c"]
+    obt = flows.read_obt(lake)
+    assert obt.where("ride_id IS NOT NULL").count() == 3  # silver holds no copy either
+    assert obt.where("ride_id IS NULL AND total_fare = 2.0").count() >= 1
+
+
+def test_restart_in_the_middle(spark, tmpdir_fresh):
+    """A batch that was published but not committed to the checkpoint is skipped when it comes again."""
+    from tests.conftest import small_maps
+    lake, maps = Lake(spark, f"{tmpdir_fresh}/lake"), small_maps(spark)
+    rides = spark.createDataFrame([(f"r{i}", 1, f"2024-0{1 + i % 3}-01 00:00:00") for i in range(9)],
+                                  "ride_id string, pickup_city_id long, booking_timestamp string")
+    run = flows.ingest_batch(lake, maps, "ingest-x")
+    run(rides.limit(5), 0)
+    before = lake.manifest("silver", "silver_obt")
+    run(rides.limit(5), 0)
+    assert lake.manifest("silver", "silver_obt") == before
+    run(rides, 1)
+    assert flows.read_star(lake).fact.count() == 9
+
+
+def test_literal_append_keeps_copies_in_silver_only(spark, tmpdir_fresh):
+    from tests.conftest import small_maps
+    lake = Lake(spark, f"{tmpdir_fresh}/lake")
+    events = _events(tmpdir_fresh, "ev", [_ride("a"), _ride("b")])
+    star = flows.run_update(spark, lake, small_maps(spark), raw_event_files(spark, events), dedup=False)
+    assert flows.read_obt(lake).count() == 4  # live and archive
+    assert star.fact.count() == 2
+
+
+def test_bucket_is_written_by_several_tasks(spark, tmpdir_fresh):
+    import glob
+    t = KeyedTable(Lake(spark, f"{tmpdir_fresh}/lake"), "gold", "t", ["k"], buckets=1, rows_per_file=100)
+    t.apply(spark.range(1000).selectExpr("cast(id as string) as k", "id as v"), 0, "q")
+    assert len(glob.glob(f"{tmpdir_fresh}/lake/gold/t/v=*/rp_bucket=0/part-*.parquet")) > 4
+    assert t.read().count() == 1000
+
+
+def test_batch_reads_only_the_months_it_holds(spark, tmpdir_fresh):
+    from ridepulse.functions.dates import booking_month
+    t = KeyedTable(Lake(spark, f"{tmpdir_fresh}/lake"), "silver", "t", ["k"], bucket_by=booking_month())
+    df = spark.createDataFrame([("a", "2024-01-05 00:00:00"), ("b", "2024-02-05 00:00:00"), ("c", None)], "k string, at string")
+    df = df.select("k", F.col("at").cast("timestamp").alias("booking_timestamp"))
+    t.apply(df, 0, "q")
+    assert sorted(t.manifest()["buckets"]) == ["2024-01-01", "2024-02-01", "none"]
+    seen = []
+    read = t.lake.read_keyed
+    t.lake.read_keyed = lambda layer, name, m, buckets=None: (seen.append(sorted(buckets)), read(layer, name, m, buckets))[1]
+    t.apply(df.where("k = 'b'"), 1, "q")
+    assert seen == [["2024-02-01"]]
+    t.lake.read_keyed = read
+    assert t.read().count() == 3
+
+
+def test_buckets_are_not_compacted_all_at_once(spark, tmpdir_fresh):
+    t = KeyedTable(Lake(spark, f"{tmpdir_fresh}/lake"), "gold", "t", ["k"], max_parts=32)
+    due = {b: next(n for n in range(40) if t._full({"buckets": {b: ["v"] * n}}, b)) for b in map(str, range(16))}
+    assert len(set(due.values())) > 4 and max(due.values()) <= 32 and min(due.values()) >= 16
+
+
+def test_rejects_are_counted_and_kept(spark, tmpdir_fresh):
+    from datetime import datetime
+    lake = Lake(spark, f"{tmpdir_fresh}/lake")
+    t = KeyedTable(lake, "gold", "loc", ["id"], 2, "ts", buckets=2)
+    rows = spark.createDataFrame([(1, datetime(2024, 1, 5)), (None, datetime(2024, 1, 5)), (2, None)], "id int, ts timestamp")
+    for _ in range(2):  # a replay does not count twice
+        t.apply(rows, 0, "q")
+    assert t.read().count() == 1 and t.manifest()["rejected"] == 2
+    assert spark.read.parquet(f"{tmpdir_fresh}/lake/rejects/loc").count() == 2
+
+
+def test_lake_reads_keyed_history_with_end_dates(spark, tmpdir_fresh):
+    from datetime import datetime
+    lake = Lake(spark, f"{tmpdir_fresh}/lake")
+    t = KeyedTable(lake, "gold", "loc", ["id"], 2, "ts", buckets=2)
+    t.apply(spark.createDataFrame([(1, datetime(2024, 1, 5)), (1, datetime(2024, 2, 5))], "id int, ts timestamp"), 0, "q")
+    assert _same(lake.read("gold", "loc"), t.read()) and "__END_AT" in lake.read("gold", "loc").columns
+
+
+def test_streaming_star_queries_do_not_shuffle_rides(spark, tmpdir_fresh):
+    from ridepulse.operators import curated as A
+    from ridepulse.operators import shaping as P
+    from ridepulse.operators import star as Q
+    from tests.conftest import small_maps
+    lake = Lake(spark, f"{tmpdir_fresh}/lake")
+    events = _events(tmpdir_fresh, "ev", [_ride(f"r{i}", f"2024-0{1 + i % 5}-01T00:00:00", pickup_latitude=1.0, pickup_longitude=2.0)
+                                          for i in range(20)])
+    st = flows.run_update(spark, lake, small_maps(spark), raw_event_files(spark, events))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        density = P.pickup_density(st.fact_with_booking(["total_fare"], ["pickup_latitude", "pickup_longitude"]))
+        for df in (Q.kpis(st), A.surge_patterns(st), A.demand_by_city(st, "New York"), A.kpi_dashboard(st), Q.pickup_locations(st), density):
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        feed = Q.live_feed(st, 3)
+        assert [r.booking_timestamp.month for r in feed.collect()] == [5, 5, 5]  # newest first without any broadcast
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_quality_checks_inside_foreach_batch(spark, tmpdir_fresh):
+    from ridepulse.operators import quality as G
+    from ridepulse.operators import silver as SV
+    from tests.conftest import small_maps
+    events = _events(tmpdir_fresh, "ev", [_ride("a", ride_status_id=2, cancellation_reason_id=4), _ride("b", duration_minutes=1)])
+    got, maps = {}, small_maps(spark)
+
+    def check(batch, number):
+        obt = SV.build_obt(SV.conform(batch), maps)
+        for summary in (G.fare_audit(obt), G.status_check(obt), G.time_order_check(obt), G.key_integrity(obt, maps)):
+            for r in summary.collect():
+                got[r.rule] = got.get(r.rule, 0) + r.violations
+    (flows.parsed_events(raw_event_files(spark, events)).writeStream.foreachBatch(check).trigger(availableNow=True)
+     .option("checkpointLocation", f"{tmpdir_fresh}/ck").start().awaitTermination())
+    assert got["cancelled_has_reason_1_to_3"] == 1 and got["duration_at_least_4_min"] == 1
