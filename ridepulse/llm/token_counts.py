@@ -8,7 +8,9 @@ with one token kept per prefix.  Across words the recurrence is a sum, because t
 tokenizer never joins words.  ``prefix_counts`` gives the whole table of a text,
 one exact count per prefix; ``token_counts`` runs the recurrence over every
 document, word by word, and answers the budget question (the longest prefix within
-a limit) from it without encoding any prefix again.
+a limit) from it without encoding any prefix again.  Chunks with characters that only the
+library handles (see ``tokens``) are counted exactly as a whole; inside one that is longer
+than ``SLOW`` characters, prefixes are counted in parts.
 
 A null text counts as empty (0 tokens); repeated rows, null ids and extra columns
 are kept apart by row; an empty table gives an empty result.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from ridepulse.llm.tokens import _OTHER, PIECES, WordTokenizer, tokenizer
 
 END = "</w>"
+SLOW = 400
 
 
 class PrefixCounts:
@@ -40,7 +43,8 @@ class PrefixCounts:
         self.vocab = model["vocab"]
         self.longest = max(map(len, self.vocab))
         self.stable = lru_cache(500_000)(self._stable)
-        self.word = lru_cache(100_000)(self._word)
+        self.reached = lru_cache(100_000)(lambda t: self.merge(self.symbols(t)) == [t])
+        self.word = lru_cache(20_000)(self._word)
 
     @staticmethod
     def symbols(token: str) -> list[str]:
@@ -67,7 +71,7 @@ class PrefixCounts:
             for kind in ("", END):
                 for i in range(max(0, j - self.longest), j):
                     t = letters[i:j] + kind
-                    if t in self.vocab and self.merge(self.symbols(t)) == [t] and (i == 0 or self.stable(last[i], t)):
+                    if t in self.vocab and self.reached(t) and (i == 0 or self.stable(last[i], t)):
                         break
                 else:
                     raise ValueError(f"no token ends at {j} of {letters!r}")
@@ -81,17 +85,30 @@ class PrefixCounts:
 
     def chunk(self, chunk: str) -> list[int]:
         """Counts of every prefix of a chunk without blanks."""
-        if _OTHER.search(chunk) or "<|" in chunk:  # characters that only the library handles: encode each prefix
-            return [len(self.words.encode(chunk[:j])) // 4 for j in range(len(chunk) + 1)]
-        low, out = chunk.lower(), [0]
-        for j in range(1, len(low) + 1):
-            *whole, rest = PIECES.findall(low[:j])
-            out.append(sum(len(self.words.piece(p)) // 4 for p in whole) + self._at(rest))
+        if _OTHER.search(chunk) or "<|" in chunk:
+            return self._by_library(chunk)
+        out = [0]
+        for piece in PIECES.findall(chunk.lower()):
+            out += [out[-1] + n for n in self.piece(piece)[1:]]
         return out
 
-    def _at(self, piece: str) -> int:
-        """The count of a prefix of a piece: the last entry of the recurrence up to there."""
-        return self.word(self.words.letters(piece))[-1]
+    def piece(self, piece: str) -> list[int]:
+        """Counts of every prefix of a pre-token: one pass of the recurrence."""
+        if piece[0] == "'" and piece[1:].isalpha():  # cut short, a contraction falls apart
+            return [0] + [sum(self.word(self.words.letters(x))[-1] for x in PIECES.findall(piece[:j])) for j in range(1, len(piece) + 1)]
+        counts = self.word(self.words.letters(piece))
+        return counts if piece.isascii() else [counts[i] for i in accumulate((len(c.encode()) for c in piece), initial=0)]
+
+    def _by_library(self, chunk: str) -> list[int]:
+        """For characters that only the library handles: the library on each prefix, or, in a chunk that is longer than
+        ``SLOW``, on each prefix of its parts of that length (exact at the parts' ends if the tokens end there too)."""
+        out, base = [0], 0
+        for at in range(0, len(chunk), SLOW):
+            part = chunk[at:at + SLOW]
+            out += [base + len(self.words.encode(part[:j])) // 4 for j in range(1, len(part) + 1)]
+            base = len(self.words.encode(chunk[:at + SLOW])) // 4 if at + SLOW < len(chunk) else base
+        out[-1] = len(self.words.encode(chunk)) // 4
+        return out
 
 
 _TABLES: dict[str, PrefixCounts] = {}
