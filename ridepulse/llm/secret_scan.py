@@ -62,14 +62,17 @@ def _matches(text: Column, number: int, pattern: str, kind) -> Column:
 
 
 def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__row, __id, kind, start, end) of every strong or weak part; a row without parts has one line of nulls."""
+    """(__row, __id, kind, start, end) of every strong or weak part, and one line with nulls for every row."""
     own = rows(docs, id_col, text_col)
-    hits = F.concat(*[_matches(F.col("__text"), i, p, k) for i, (p, k) in enumerate(_found(F.col("__text")))])
-    flat = own.select("__row", "__id", F.explode_outer(hits).alias("m")).select("__row", "__id", "m.*")
+    head = F.array(F.struct(*[F.lit(v).cast("int").alias(c) for c, v in
+                              (("pattern", None), ("nth", 0), ("gap", 0), ("size", 0), ("kind", None))]))
+    hits = F.concat(head, *[_matches(F.col("__text"), i, p, k) for i, (p, k) in enumerate(_found(F.col("__text")))])
+    flat = own.select("__row", "__id", F.explode(hits).alias("m")).select("__row", "__id", "m.*")
     so_far = Window.partitionBy("__row", "pattern").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(so_far)
-    return flat.withColumn("end", end).select("__row", "__id", "kind", (F.col("end") - F.col("size")).alias("start"), "end",
-                                              F.col("pattern").isNull().alias("none")).where("none OR kind IS NOT NULL").drop("none")
+    placed = flat.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
+    return placed.where("pattern IS NULL OR kind IS NOT NULL").select(
+        "__row", "__id", "kind", *[F.when(F.col("kind").isNotNull(), F.col(c)).alias(c) for c in ("start", "end")])
 
 
 def link(found: DataFrame, scope: int = 400) -> DataFrame:
