@@ -7,7 +7,8 @@ not labelled at all, count as unlabelled.  With class prior p the risk of a scor
 
 whose second part estimates the risk on clean text; when it would go below zero
 (overfitting) the step climbs it instead of descending.  g is linear in the presence
-of a text's words and word beginnings (4 and 5 bytes), trained by Adam in numpy.
+of a text's words and word beginnings (4 and 5 bytes), of those that clearly more positive
+than unlabelled texts have, and is trained by Adam in numpy.
 
 Training reads a bounded sample: rows whose id hashes below a cut-off chosen from the
 row counts, about ``max_unlabelled`` unlabelled and ``max_positive`` positive texts.
@@ -59,13 +60,18 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: np.ndarray, found: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float,
-          steps: int = 200, rate: float = 0.05, decay: float = 1e-5, least: int = 4) -> Model:
+          steps: int = 300, rate: float = 0.05, decay: float = 3e-4, least: int = 4, excess: float = 5.0) -> Model:
     """nnPU on presence features: (docs[i], found[i]) pairs without repeats, and two masks over texts.
 
-    Features in fewer than ``least`` texts are left out.
+    A feature is used if it is in ``least`` texts and in more positive texts than its share of the unlabelled ones
+    explains, by ``excess`` standard deviations; the ten thousands of others would only fit single texts.
     """
     keys, at, seen = np.unique(found, return_inverse=True, return_counts=True)
-    often = seen >= least
+    in_pos = np.bincount(at[positive[docs]], minlength=len(keys))
+    in_unl = np.bincount(at[unlabelled[docs]], minlength=len(keys))
+    share = (in_unl + 1) / (unlabelled.sum() + 1)
+    expected = share * positive.sum()
+    often = (seen >= least) & (in_pos - expected > excess * np.sqrt(expected * (1 - share) + 1e-9))
     place = np.cumsum(often) - 1
     on = often[at]
     docs, cols, keys = docs[on], place[at[on]], keys[often]
@@ -129,8 +135,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int =
             texts = b["__text"].tolist()
             for lo, hi in blocks(texts):
                 docs, found = features(texts[lo:hi])
+                order = np.argsort(docs, kind="stable")
+                ends = np.searchsorted(docs[order], np.arange(hi - lo + 1))
+                found = found[order]
                 yield pd.DataFrame({"positive": b["positive"][lo:hi], "unlabelled": b["unlabelled"][lo:hi],
-                                    "features": [np.unique(found[docs == i]).tobytes() for i in range(hi - lo)]})
+                                    "features": [np.unique(found[i:j]).tobytes() for i, j in zip(ends, ends[1:])]})
 
     got = near.select("positive", "unlabelled", "__text").mapInPandas(
         extract, "positive boolean, unlabelled boolean, features binary").toPandas()
