@@ -14,11 +14,14 @@ of the required similarity can drift, so it loses nothing.  Similarity is
 common / (n1 + n2 - common), the Jaccard similarity of shingles that agree in order.
 
 Groups without all pairs: texts with the same words are one class, and only its first
-row (the representative) goes on.  In a bucket (texts with an equal sketch entry) every
-member is compared with one centre, the member with the most neighbours over all
-buckets.  After the components of these links are known, members of a bucket that are
-not in its largest component are compared with every member of another component, so a
-link between different texts is only left out where its ends are linked already.
+row (the representative) goes on.  In a bucket (texts with an equal sketch entry) the
+members are compared with its ``CENTRES`` centres, those with the most neighbours over
+all buckets; in buckets of up to ``FEW`` members with each other.  After the components
+of these links are known, members that are not connected to a bucket's further centres
+are compared with twice as many, and so on for as long as a round connects any: no number
+of partners is set, and the work stays proportional to the entries.  A link that every
+round leaves out is one between members of a large bucket that neither any centre nor a
+smaller bucket connects.
 
 Rows with null or empty texts (no words) form one class.  Repeated rows are copies.
 Null ids are smallest.  An empty table gives no rows; other columns are not looked at.
@@ -32,7 +35,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridepulse.llm.common import Words, blocks, gram_hashes, mix, rows, written
@@ -44,6 +47,7 @@ SIMILARITY = 0.8
 LONG = (64, 8, 24, None)
 SHORT = (16, 2, 0, 30)
 _ELEMENTS = 1 << 20
+CENTRES, FEW = 3, 16
 
 
 def labelled_shingles(words: np.ndarray, k: int = K) -> np.ndarray:
@@ -167,33 +171,34 @@ def links(docs: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMIL
     entries = one.select("__row", "n", F.explode("entries").alias("bucket"))
     sizes = written(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
     shared = written(entries.join(sizes, "bucket"), "shared")
-    known = written(shared.groupBy("__row").agg(F.sum("size").alias("pop")), "popular")
-    centres = written(shared.join(known, "__row").groupBy("bucket").agg(
-        F.max(F.struct("pop", F.col("__row").alias("centre"), F.col("n").alias("n_centre"))).alias("c"))
-        .select("bucket", "c.centre", "c.n_centre"), "centres")
+    popular = written(shared.groupBy("__row").agg(F.sum("size").alias("pop")), "popular")
+    shared = written(shared.join(popular, "__row"), "shared")
     own = rows(docs, id_col, text_col).select("__row", "__text")
-    texts = written(own.join(known.select("__row"), "__row", "left_semi"), "texts")
-
-    def pairs(found: DataFrame, a: str, b: str, n_a: str, n_b: str) -> DataFrame:
-        near = F.least(n_a, n_b) >= F.greatest(n_a, n_b) * similarity - 1e-9  # a shorter one can't be similar
-        return found.where(near).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-    around = written(pairs(shared.join(centres, "bucket").where("__row <> centre"), "__row", "centre", "n", "n_centre"), "pairs")
-    first = written(_verify(around, texts, k, similarity), "links")
-
-    # the rest: members outside their bucket's largest component, against every member of another one
-    comp = components(first)
-    placed = written(shared.join(comp, shared["__row"] == comp["node"], "left").select(
-        "bucket", "__row", "n", F.coalesce("comp", "__row").alias("comp")), "placed")
-    largest = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(
-        F.max(F.struct("size", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1") \
-        .select("bucket", F.col("most.comp").alias("main"))
-    largest = written(largest, "largest")
-    outside = placed.join(largest, "bucket").where("comp <> main").select(
-        "bucket", F.col("__row").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("comp_x"))
-    left = pairs(written(outside, "outside").join(placed, "bucket").where("comp <> comp_x"), "x", "__row", "n_x", "n")
-    left = written(left.join(around, ["a", "b"], "left_anti"), "pairs")
-    return first.unionByName(written(_verify(left, texts, k, similarity), "links"))
+    texts = written(own.join(popular.select("__row"), "__row", "left_semi"), "texts")
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("pop"), F.desc("__row")))
+
+    def around(members: DataFrame, above: int, upto: int, few: int) -> DataFrame:
+        """Pairs of a bucket's centres (its members number ``above`` + 1 to ``upto``) with all less popular members;
+        up to ``few`` members, all are centres."""
+        centres = members.withColumn("nth", nth).where(F.col("nth") <= max(upto, few)) \
+            .where((F.col("nth") > above) & ((F.col("nth") <= upto) | (F.col("size") <= few))) \
+            .select("bucket", F.col("__row").alias("centre"), F.col("n").alias("n_c"), F.col("pop").alias("pop_c"), F.col("comp").alias("comp_c"))
+        less = (F.col("pop") < F.col("pop_c")) | (F.col("pop") == F.col("pop_c")) & (F.col("__row") < F.col("centre"))
+        near = F.least("n", "n_c") >= F.greatest("n", "n_c") * similarity - 1e-9  # a shorter one can't be similar
+        met = members.join(written(centres, "centres"), "bucket").where(less & near & (F.col("comp") != F.col("comp_c")))
+        return met.select(F.least("__row", "centre").alias("a"), F.greatest("__row", "centre").alias("b")).distinct()
+
+    alone = shared.withColumn("comp", F.col("__row"))
+    found = written(_verify(written(around(alone, 0, CENTRES, FEW), "pairs"), texts, k, similarity), "links")
+    upto = CENTRES
+    while True:  # more centres for the members that are not connected yet, as long as that connects any
+        comp = components(found)
+        placed = written(shared.where(F.col("size") > max(upto, FEW)).join(comp, shared["__row"] == comp["node"], "left").select(
+            *shared.columns, F.coalesce("comp", "__row").alias("comp")), "placed")
+        more = written(_verify(written(around(placed, upto, 2 * upto, 0), "pairs"), texts, k, similarity), "links")
+        if more.isEmpty():
+            return found
+        found, upto = written(found.unionByName(more), "links"), 2 * upto
 
 
 def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, id_col: str = "doc_id",
