@@ -34,6 +34,7 @@ from ridepulse.llm.common import Words, blocks, mix, rows
 
 _BEGINNINGS = (4, 5)
 _CELLS = 1 << 30
+_CLEAREST = 20
 
 
 @dataclass
@@ -59,19 +60,27 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(found)
 
 
-def train(docs: np.ndarray, found: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float,
+def train(docs: np.ndarray, found: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None,
           steps: int = 300, rate: float = 0.05, decay: float = 3e-4, least: int = 4, excess: float = 5.0) -> Model:
     """nnPU on presence features: (docs[i], found[i]) pairs without repeats, and two masks over texts.
 
     A feature is used if it is in ``least`` texts and in more positive texts than its share of the unlabelled ones
-    explains, by ``excess`` standard deviations; the ten thousands of others would only fit single texts.
+    explains, by ``excess`` standard deviations; the ten thousands of others would only fit single texts.  Without
+    a given ``prior``, it is read off the ``_CLEAREST`` features: one that only toxic texts have is in the unlabelled ones
+    p times as often as in the positives.  (Labelled rows need not have the corpus's share of toxic ones, and a prior
+    that is too large makes everything toxic.)
     """
     keys, at, seen = np.unique(found, return_inverse=True, return_counts=True)
     in_pos = np.bincount(at[positive[docs]], minlength=len(keys))
     in_unl = np.bincount(at[unlabelled[docs]], minlength=len(keys))
     share = (in_unl + 1) / (unlabelled.sum() + 1)
     expected = share * positive.sum()
-    often = (seen >= least) & (in_pos - expected > excess * np.sqrt(expected * (1 - share) + 1e-9))
+    clear = (in_pos - expected) / np.sqrt(expected * (1 - share) + 1e-9)
+    often = (seen >= least) & (clear > excess)
+    if prior is None:
+        best = np.flatnonzero(often)[np.argsort(-clear[often], kind="stable")[:_CLEAREST]]
+        prior = float(np.median(in_unl[best] / unlabelled.sum() / (in_pos[best] / positive.sum()))) if len(best) else 0.0
+    prior = min(max(prior, 1e-4), 0.9)
     place = np.cumsum(often) - 1
     on = often[at]
     docs, cols, keys = docs[on], place[at[on]], keys[often]
@@ -120,10 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int =
     known = labels.select(F.col(id_col).alias("__id"), F.col("toxic").alias("__toxic")).where(
         F.col("__toxic").isNotNull() & F.col("__id").isNotNull() & ~held_out(F.col("__id"), folds)) \
         .groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
-    n, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("__toxic"), F.lit(0))).first()
+    n_toxic = known.agg(F.coalesce(F.sum("__toxic"), F.lit(0))).first()[0]
     if not n_toxic:
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0)
-    prior = min(max(prior if prior is not None else n_toxic / n, 1e-4), 0.9)
     share = F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     few = known.where("__toxic = 1").where(share < max_positive / n_toxic).select("__id").limit(2 * max_positive)
     near = own.where(F.col("__id").isNotNull()).join(F.broadcast(few.withColumn("positive", F.lit(True))), "__id", "left") \
