@@ -13,7 +13,7 @@ from ridepulse.session import checkpoint_dir
 
 #: Words are maximal runs of these characters after lower-casing A-Z (ASCII letters, digits, all non-ASCII).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_CHUNK_BYTES = 4 << 20
+_CHUNK_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -24,7 +24,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: Any character outside the set for which lower-casing and splitting here are sure to equal the library's.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]")
 _BLANKS = re.compile("[ \t\n\r\f\v]+")
-MEMO = 600_000
+MEMO = 200_000
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:

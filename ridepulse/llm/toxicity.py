@@ -84,6 +84,7 @@ def train(docs: np.ndarray, found: np.ndarray, positive: np.ndarray, unlabelled:
     place = np.cumsum(often) - 1
     on = often[at]
     docs, cols, keys = docs[on], place[at[on]], keys[often]
+    del at, seen, on
     n, d = len(positive), len(keys)
     w, b = np.zeros(d), 0.0
     m, v, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
@@ -122,7 +123,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int = 2000, max_unlabelled: int = 6000,
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int = 1500, max_unlabelled: int = 5000,
         prior: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of the training folds of ``docs`` and ``labels`` (id, toxic)."""
     own = rows(docs, id_col, text_col).where(~held_out(F.col("__id"), folds))
@@ -154,8 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int =
     positive, unlabelled = got["positive"].to_numpy(dtype=bool), got["unlabelled"].to_numpy(dtype=bool)
     if not positive.any() or not unlabelled.any():
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0)
-    parts = [np.frombuffer(f, dtype=np.uint64) for f in got["features"]]
-    return train(np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts), positive, unlabelled, prior)
+    docs_of = np.repeat(np.arange(len(got), dtype=np.int32), [len(f) // 8 for f in got["features"]])
+    found = np.frombuffer(b"".join(got.pop("features")), dtype=np.uint64)
+    return train(docs_of, found, positive, unlabelled, prior)
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
