@@ -1,6 +1,6 @@
 """Unit tests on hand-made rides: NULLs, unmatched lookups, ties, literal-vs-corrected modes."""
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,7 +97,7 @@ def test_scd2_counts_what_it_cannot_version(spark):
 
 def test_open_window_without_as_of(spark):
     """A ride stamped in the future (a clock that runs ahead) is still inside the default window."""
-    soon = datetime.utcnow() + timedelta(hours=2)
+    soon = datetime.now(timezone.utc).replace(tzinfo=None) + timedelta(hours=2)
     obt, _ = star_of(spark, [ride(ride_id="a", booking_timestamp=soon)])
     assert FC.predict_city_demand(obt, "New York").first().rides_last_6h == 1
     assert FC.predict_city_demand(obt, "New York", as_of=soon - timedelta(hours=1)).first().rides_last_6h == 0
