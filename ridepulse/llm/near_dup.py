@@ -166,8 +166,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> Da
 
 
 def links(docs: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILARITY, id_col: str = "doc_id",
-          text_col: str = "text") -> DataFrame:
-    """Verified links (a, b) between representatives, the rows of ``one`` (__row, n, entries); enough to connect every group."""
+          text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between representatives, the rows of ``one`` (__row, n, entries), enough to connect every
+    group; and the components (node, comp) that they make."""
     entries = one.select("__row", "n", F.explode("entries").alias("bucket"))
     sizes = written(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
     shared = written(entries.join(sizes, "bucket"), "shared")
@@ -197,7 +198,7 @@ def links(docs: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMIL
             *shared.columns, F.coalesce("comp", "__row").alias("comp")), "placed")
         more = written(_verify(written(around(placed, upto, 2 * upto, 0), "pairs"), texts, k, similarity), "links")
         if more.isEmpty():
-            return found
+            return found, comp
         found, upto = written(found.unionByName(more), "links"), 2 * upto
 
 
@@ -211,10 +212,9 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     copies = written(found.groupBy("digest").agg(F.min("__row").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "copies")
     member = written(found.select("__row", "__id", "digest").join(copies, "digest").drop("digest"), "members")
     one = found.join(copies.select(F.col("rep").alias("__row")), "__row", "left_semi").select("__row", "n", "entries")
-    verified = written(links(docs, one, k, similarity, id_col, text_col), "verified")
+    verified, comp = links(docs, one, k, similarity, id_col, text_col)
     degree = verified.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    comp = components(verified).withColumnRenamed("node", "rep")
-    of_rep = written(copies.select("rep").join(comp, "rep", "left").join(degree, "rep", "left").select(
+    of_rep = written(copies.select("rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select(
         "rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "of-rep")
     placed = written(member.join(of_rep, "rep").drop("rep"), "placed")
     classes = written(placed.groupBy("comp").agg(F.min(F.struct("__id", "__row")).alias("first"),
