@@ -18,10 +18,15 @@ row (the representative) goes on.  In a bucket (texts with an equal sketch entry
 members are compared with its ``CENTRES`` centres, those with the most neighbours over
 all buckets; in buckets of up to ``FEW`` members with each other.  After the components
 of these links are known, members that are not connected to a bucket's further centres
-are compared with twice as many, and so on for as long as a round connects any: no number
-of partners is set, and the work stays proportional to the entries.  A link that every
-round leaves out is one between members of a large bucket that neither any centre nor a
-smaller bucket connects.
+are compared with twice as many, and so on for as long as a round connects any.
+
+What is still open then, the buckets whose members are not all compared and not all in
+one component (a common header, say), is finished exactly.  The texts of open buckets are
+dealt anew by their rarest shingles: similar texts of n shingles have ``SIMILARITY`` * n in
+common, so they share one of the n - ceil(SIMILARITY * n) + 1 rarest of each, and the place
+of the first shared one bounds their lengths.  Those smaller buckets go through the same
+rounds until every two members are compared or connected, empty rounds or not.  So any two
+similar texts that share a sketch entry end in one class.
 
 Rows with null or empty texts (no words) form one class.  Repeated rows are copies.
 Null ids are smallest.  An empty table gives no rows; other columns are not looked at.
@@ -165,41 +170,106 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> Da
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def _shared(entries: DataFrame) -> DataFrame:
+    """The rows of ``entries`` (__row, bucket, ...) in buckets of two and more, with the bucket's ``size`` and the row's ``pop``."""
+    sizes = written(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
+    shared = written(entries.join(sizes, "bucket"), "shared")
+    popular = written(shared.groupBy("__row").agg(F.sum("size").alias("pop")), "popular")
+    return written(shared.join(popular, "__row"), "shared")
+
+
+def _rarest(texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(__row, n, bucket, upto) of the rarest shingles of ``texts``, so many that two similar texts share one.
+
+    ``at`` is the shingle's place in its text, rarest first (one order for all texts).  If it is the first that two texts
+    share, they have at most n - at + 1 in common, which lets the other one have at most ``upto`` shingles.  Shingles that
+    only one text has come first and make no bucket.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo, hi in blocks(b["__text"].tolist()):
+                w = Words(b["__text"][lo:hi].tolist())
+                found = [labelled_shingles(w.of(d), k).view(np.int64) for d in range(hi - lo)]
+                yield pd.DataFrame({"__row": b["__row"][lo:hi].to_numpy(), "n": [len(f) for f in found], "shingles": found})
+
+    own = written(texts.mapInPandas(run, "__row long, n long, shingles array<long>"), "shingles")
+    each = own.select("__row", "n", F.explode("shingles").alias("bucket"))
+    often = written(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    common = written(each.join(often, "bucket"), "common")
+    of_text = Window.partitionBy("__row")
+    nth = F.row_number().over(of_text.orderBy("often", "bucket"))
+    need = F.ceil(F.col("n") * similarity - 1e-6)
+    rare = common.withColumn("at", F.col("n") - F.count(F.lit(1)).over(of_text) + nth).where(F.col("at") <= F.col("n") - need + 1) \
+        .select("__row", "n", "bucket", F.least(F.col("n") / similarity, (F.col("n") - F.col("at") + 1) * ((1 + similarity) / similarity)
+                                                - F.col("n")).alias("upto"))
+    rare = written(rare.withColumn("upto", F.col("upto") + 1e-6), "rare")
+    least = written(rare.groupBy("bucket").agg(F.min("n").alias("least")), "least")
+    return written(rare.join(least, "bucket").where("upto >= least").drop("least"), "rare")  # others have no partner there
+
+
 def links(docs: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILARITY, id_col: str = "doc_id",
           text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between representatives, the rows of ``one`` (__row, n, entries), enough to connect every
     group; and the components (node, comp) that they make."""
-    entries = one.select("__row", "n", F.explode("entries").alias("bucket"))
-    sizes = written(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
-    shared = written(entries.join(sizes, "bucket"), "shared")
-    popular = written(shared.groupBy("__row").agg(F.sum("size").alias("pop")), "popular")
-    shared = written(shared.join(popular, "__row"), "shared")
+    shared = _shared(one.select("__row", "n", F.explode("entries").alias("bucket")))
     own = rows(docs, id_col, text_col).select("__row", "__text")
-    texts = written(own.join(popular.select("__row"), "__row", "left_semi"), "texts")
+    texts = written(own.join(shared.select("__row").distinct(), "__row", "left_semi"), "texts")
     nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("pop"), F.desc("__row")))
 
     def around(members: DataFrame, above: int, upto: int, few: int) -> DataFrame:
         """Pairs of a bucket's centres (its members number ``above`` + 1 to ``upto``) with all less popular members;
         up to ``few`` members, all are centres."""
+        if "upto" not in members.columns:
+            members = members.withColumn("upto", (F.col("n") + 1e-9) / similarity)  # a longer one can't be similar
         centres = members.withColumn("nth", nth).where(F.col("nth") <= max(upto, few)) \
             .where((F.col("nth") > above) & ((F.col("nth") <= upto) | (F.col("size") <= few))) \
-            .select("bucket", F.col("__row").alias("centre"), F.col("n").alias("n_c"), F.col("pop").alias("pop_c"), F.col("comp").alias("comp_c"))
+            .select("bucket", F.col("__row").alias("centre"), F.col("n").alias("n_c"), F.col("upto").alias("upto_c"),
+                    F.col("pop").alias("pop_c"), F.col("comp").alias("comp_c"))
         less = (F.col("pop") < F.col("pop_c")) | (F.col("pop") == F.col("pop_c")) & (F.col("__row") < F.col("centre"))
-        near = F.least("n", "n_c") >= F.greatest("n", "n_c") * similarity - 1e-9  # a shorter one can't be similar
+        near = (F.col("n") <= F.col("upto_c")) & (F.col("n_c") <= F.col("upto"))
         met = members.join(written(centres, "centres"), "bucket").where(less & near & (F.col("comp") != F.col("comp_c")))
         return met.select(F.least("__row", "centre").alias("a"), F.greatest("__row", "centre").alias("b")).distinct()
 
-    alone = shared.withColumn("comp", F.col("__row"))
-    found = written(_verify(written(around(alone, 0, CENTRES, FEW), "pairs"), texts, k, similarity), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        return written(_verify(written(pairs, "pairs"), texts, k, similarity), "links")
+
+    def with_comp(members: DataFrame, comp: DataFrame) -> DataFrame:
+        return written(members.join(comp, members["__row"] == comp["node"], "left").select(
+            *members.columns, F.coalesce("comp", "__row").alias("comp")), "placed")
+
+    def unfinished(members: DataFrame, done: int) -> DataFrame:
+        """The buckets of more than ``done`` members that are not all in one component."""
+        return written(members.where(F.col("size") > done).groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+                       .where("low < high").select("bucket"), "open")
+
+    found = verified(around(shared.withColumn("comp", F.col("__row")), 0, CENTRES, FEW))
     upto = CENTRES
     while True:  # more centres for the members that are not connected yet, as long as that connects any
         comp = components(found)
-        placed = written(shared.where(F.col("size") > max(upto, FEW)).join(comp, shared["__row"] == comp["node"], "left").select(
-            *shared.columns, F.coalesce("comp", "__row").alias("comp")), "placed")
-        more = written(_verify(written(around(placed, upto, 2 * upto, 0), "pairs"), texts, k, similarity), "links")
+        placed = with_comp(shared.where(F.col("size") > max(upto, FEW)), comp)
+        more = verified(around(placed, upto, 2 * upto, 0))
+        upto *= 2
         if more.isEmpty():
+            break
+        found = written(found.unionByName(more), "links")
+
+    left = written(placed.join(unfinished(placed, max(upto, FEW)), "bucket").select("__row").distinct(), "left")
+    if left.isEmpty():
+        return found, comp
+    shared = _shared(_rarest(texts.join(left, "__row", "left_semi"), k, similarity))
+    above, upto = 0, CENTRES
+    while True:  # until every two members of a bucket are compared or connected
+        placed = with_comp(shared, comp)
+        todo = unfinished(placed, max(above, FEW) if above else 1)
+        if todo.isEmpty():
             return found, comp
-        found, upto = written(found.unionByName(more), "links"), 2 * upto
+        placed = written(placed.join(todo, "bucket"), "placed")
+        more = verified(around(placed, above, upto, 0 if above else FEW))
+        if not more.isEmpty():
+            found = written(found.unionByName(more), "links")
+            comp = components(found)
+        shared, above, upto = placed.drop("comp"), upto, 2 * upto
 
 
 def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, id_col: str = "doc_id",

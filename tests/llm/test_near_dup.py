@@ -110,6 +110,21 @@ def test_classes_equal_all_pairs(spark, texts):
     assert sum(r.kept for r in got) == len(by_class)
 
 
+def test_a_hot_header_hides_no_pair(spark):
+    """Pairs that mostly meet in large buckets of a common header, where no centre is like them."""
+    rng = random.Random(8)
+    header, pairs = words(rng, 20, 10**6), []
+    for i in range(80):
+        own = words(rng, 2, 10**6)
+        pairs += [(2 * i, f"{header} {own} {words(rng, 2, 10**6)}"), (2 * i + 1, f"{header} {own} {words(rng, 2, 10**6)}")]
+    want = classes(pairs)
+    assert len(want) == 80
+    by_class = defaultdict(set)
+    for r in near_duplicates(written(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3), "test")).collect():
+        by_class[r.class_id].add(r.doc_id)
+    assert {frozenset(g) for g in by_class.values()} == want
+
+
 def test_odd_rows(spark, odd, none):
     df, pairs = odd
     got = near_duplicates(df).collect()
