@@ -12,6 +12,8 @@ than unlabelled texts have, and is trained by Adam in numpy.
 
 Training reads a bounded sample: rows whose id hashes below a cut-off chosen from the
 row counts, about ``max_unlabelled`` unlabelled and ``max_positive`` positive texts.
+What the corpus decides, the document frequencies that choose the features and the class
+prior, is counted over all training rows for the features of the sample.
 Scoring reads every whole text.  Rows whose crc32(id as text) mod ``folds`` is 0 are
 held out: neither their labels nor their texts are trained on.  A null id is held out.
 
@@ -22,7 +24,7 @@ Repeated rows are scored row by row; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +37,7 @@ from ridepulse.llm.common import Words, blocks, mix, rows
 _BEGINNINGS = (4, 5)
 _CELLS = 1 << 30
 _CLEAREST = 20
+_COMMON = 0.02
 
 
 @dataclass
@@ -60,31 +63,73 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(found)
 
 
+def _known(keys: np.ndarray, docs: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and place of the key, of the pairs (docs[i], found[i]) that have one of the sorted ``keys``."""
+    if not len(keys):
+        return docs[:0], np.zeros(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+    known = keys[at] == found
+    return docs[known], at[known]
+
+
+def frequencies(texts: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of ``texts`` (__text) have each of the sorted feature ``keys``, and how many texts there are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(len(keys) + 1, dtype=np.int64)
+        for b in batches:
+            texts = b["__text"].tolist()
+            for lo, hi in blocks(texts):
+                docs, at = _known(keys, *features(texts[lo:hi]))
+                n[:-1] += np.bincount(np.unique(docs * np.int64(_CELLS) + at) % _CELLS, minlength=len(keys))
+                n[-1] += hi - lo
+        place = np.flatnonzero(n)
+        yield pd.DataFrame({"place": place, "n": n[place]})
+
+    got = texts.select("__text").mapInPandas(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(keys) + 1, dtype=np.int64)
+    out[got["place"].to_numpy(dtype=np.int64)] = got["n"]
+    return out[:-1], int(out[-1])
+
+
 def train(docs: np.ndarray, found: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None,
-          steps: int = 300, rate: float = 0.05, decay: float = 3e-4, least: int = 4, excess: float = 5.0) -> Model:
+          steps: int = 300, rate: float = 0.05, decay: float = 3e-4, least: int = 4, excess: float = 5.0,
+          count: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None) -> Model:
     """nnPU on presence features: (docs[i], found[i]) pairs without repeats, and two masks over texts.
 
     A feature is used if it is in ``least`` texts and in more positive texts than its share of the unlabelled ones
     explains, by ``excess`` standard deviations; the ten thousands of others would only fit single texts.  Without
     a given ``prior``, it is read off the ``_CLEAREST`` features: one that only toxic texts have is in the unlabelled ones
     p times as often as in the positives.  (Labelled rows need not have the corpus's share of toxic ones, and a prior
-    that is too large makes everything toxic.)
+    that is too large makes everything toxic.)  ``count`` gives the unlabelled texts of the whole corpus that have each
+    of some features, and the number of all of them; without it, the given texts are the corpus.  The weight decay falls
+    with a small prior, as positives weigh only ``prior``.
     """
-    keys, at, seen = np.unique(found, return_inverse=True, return_counts=True)
-    in_pos = np.bincount(at[positive[docs]], minlength=len(keys))
-    in_unl = np.bincount(at[unlabelled[docs]], minlength=len(keys))
-    share = (in_unl + 1) / (unlabelled.sum() + 1)
+    keys, seen = np.unique(found, return_counts=True)
+    keys = keys[seen >= least]
+    docs, cols = _known(keys, docs, found)
+    del found, seen
+    in_pos = np.bincount(cols[positive[docs]], minlength=len(keys))
+    if count:
+        maybe = in_pos > 0
+        keys, in_pos = keys[maybe], in_pos[maybe]
+        docs, cols = docs[maybe[cols]], (np.cumsum(maybe) - 1)[cols[maybe[cols]]]
+        in_unl, of_unl = count(keys)
+    else:
+        in_unl, of_unl = np.bincount(cols[unlabelled[docs]], minlength=len(keys)), int(unlabelled.sum())
+    share = (in_unl + 1) / (of_unl + 1)
     expected = share * positive.sum()
     clear = (in_pos - expected) / np.sqrt(expected * (1 - share) + 1e-9)
-    often = (seen >= least) & (clear > excess)
+    often = clear > excess
     if prior is None:
         best = np.flatnonzero(often)[np.argsort(-clear[often], kind="stable")[:_CLEAREST]]
-        prior = float(np.median(in_unl[best] / unlabelled.sum() / (in_pos[best] / positive.sum()))) if len(best) else 0.0
-    prior = min(max(prior, 1e-4), 0.9)
+        prior = float(np.median(in_unl[best] / of_unl / (in_pos[best] / positive.sum()))) if len(best) else 0.0
+    prior = min(max(prior, 1 / (of_unl + 1)), 0.9)
+    decay *= min(1.0, prior / _COMMON)
     place = np.cumsum(often) - 1
-    on = often[at]
-    docs, cols, keys = docs[on], place[at[on]], keys[often]
-    del at, seen, on
+    on = often[cols]
+    docs, cols, keys = docs[on], place[cols[on]], keys[often]
+    del on
     n, d = len(positive), len(keys)
     w, b = np.zeros(d), 0.0
     m, v, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
@@ -123,7 +168,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int = 1500, max_unlabelled: int = 5000,
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int = 2000, max_unlabelled: int = 6000,
         prior: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of the training folds of ``docs`` and ``labels`` (id, toxic)."""
     own = rows(docs, id_col, text_col).where(~held_out(F.col("__id"), folds))
@@ -157,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_positive: int =
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), 0.0)
     docs_of = np.repeat(np.arange(len(got), dtype=np.int32), [len(f) // 8 for f in got["features"]])
     found = np.frombuffer(b"".join(got.pop("features")), dtype=np.uint64)
-    return train(docs_of, found, positive, unlabelled, prior)
+    return train(docs_of, found, positive, unlabelled, prior, count=lambda keys: frequencies(own, keys))
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -71,6 +71,33 @@ def test_risk_estimator_by_brute_force():
     assert all(np.sign(zero.weights[i]) == -np.sign(s) for i, s in enumerate(slope) if abs(s) > 1e-4)
 
 
+def test_rare_toxic_texts_are_counted_in_the_whole_corpus(spark):
+    """0.2 % toxic, about one of them in the unlabelled sample."""
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(10_000):
+        w = words(rng, 30, 3000).split()
+        if i % 500 < 1:
+            for _ in range(6):
+                w.insert(rng.randrange(len(w)), rng.choice(["vilord", "vilum", "grubby", "grubful", "sniv"]))
+            labels.append((i, 1))
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), max_unlabelled=500)
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}
+    assert sum(got[i] for i, _ in labels) >= 0.9 * len(labels)
+    assert sum(got.values()) <= 1.1 * len(labels)
+
+
+def test_frequencies_equal_a_plain_count(spark):
+    texts = ["viley grubby viley", "grubby", "", "other words"]
+    keys = np.unique(toxicity.features(["viley grubby absent"])[1])
+    df = spark.createDataFrame([(t,) for t in texts], "__text string").repartition(3)
+    n, total = toxicity.frequencies(df, keys)
+    assert total == 4
+    assert n.tolist() == [sum(k in toxicity.features([t])[1] for t in texts) for k in keys]
+
+
 def test_odd_rows(spark, odd, none):
     df, pairs = odd
     docs, labels = corpus(400)
