@@ -9,8 +9,8 @@ tokenizer never joins words.  ``prefix_counts`` gives the whole table of a text,
 one exact count per prefix; ``token_counts`` runs the recurrence over every
 document, word by word, and answers the budget question (the longest prefix within
 a limit) from it without encoding any prefix again.  Chunks with characters that only the
-library handles (see ``tokens``) are counted exactly as a whole; inside one that is longer
-than ``SLOW`` characters, prefixes are counted in parts.
+library handles (see ``tokens``) are normalised and split by the library once, and the
+recurrence runs inside each of the pieces.
 
 A null text counts as empty (0 tokens); repeated rows, null ids and extra columns
 are kept apart by row; an empty table gives an empty result.
@@ -19,6 +19,9 @@ are kept apart by row; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -30,7 +33,6 @@ from pyspark.sql import functions as F
 from ridepulse.llm.tokens import _OTHER, PIECES, WordTokenizer, tokenizer
 
 END = "</w>"
-SLOW = 400
 
 
 class PrefixCounts:
@@ -45,6 +47,9 @@ class PrefixCounts:
         self.stable = lru_cache(500_000)(self._stable)
         self.reached = lru_cache(100_000)(lambda t: self.merge(self.symbols(t)) == [t])
         self.word = lru_cache(20_000)(self._word)
+        self.normal = lru_cache(20_000)(words.library.normalizer.normalize_str)
+        self.split = words.library.pre_tokenizer.pre_tokenize_str
+        self.special = re.compile("|".join(re.escape(t.content) for t in words.library.get_added_tokens_decoder().values()) or "(?!)")
 
     @staticmethod
     def symbols(token: str) -> list[str]:
@@ -86,7 +91,7 @@ class PrefixCounts:
     def chunk(self, chunk: str) -> list[int]:
         """Counts of every prefix of a chunk without blanks."""
         if _OTHER.search(chunk) or "<|" in chunk:
-            return self._by_library(chunk)
+            return self._any(chunk)
         out = [0]
         for piece in PIECES.findall(chunk.lower()):
             out += [out[-1] + n for n in self.piece(piece)[1:]]
@@ -99,17 +104,54 @@ class PrefixCounts:
         counts = self.word(self.words.letters(piece))
         return counts if piece.isascii() else [counts[i] for i in accumulate((len(c.encode()) for c in piece), initial=0)]
 
-    def _by_library(self, chunk: str) -> list[int]:
-        """For characters that only the library handles: the library on each prefix, or, in a chunk that is longer than
-        ``SLOW``, on each prefix of its parts of that length (exact at the parts' ends if the tokens end there too)."""
-        out, base = [0], 0
-        for at in range(0, len(chunk), SLOW):
-            part = chunk[at:at + SLOW]
-            out += [base + len(self.words.encode(part[:j])) // 4 for j in range(1, len(part) + 1)]
-            base = len(self.words.encode(chunk[:at + SLOW])) // 4 if at + SLOW < len(chunk) else base
-        out[-1] = len(self.words.encode(chunk)) // 4
+    def _any(self, chunk: str) -> list[int]:
+        """Counts of every prefix of any text: special tokens count from their last character on, the rest is plain."""
+        out, base, at = [0], 0, 0
+        for m in self.special.finditer(chunk):
+            counts = self._plain(chunk[at:m.end() - 1])
+            out += [base + n for n in counts[1:]]
+            base, at = base + counts[m.start() - at] + 1, m.end()
+            out.append(base)
+        return out + [base + n for n in self._plain(chunk[at:])[1:]]
+
+    def _plain(self, text: str) -> list[int]:
+        """Counts of every prefix of a text without special tokens.
+
+        Normalising works on clusters, a character and the marks behind it, one by one.  The library's pieces of the
+        normalised text end where they do whatever follows, so a prefix has the pieces before its last one, and a part of that.
+        """
+        starts = [i for i, c in enumerate(text) if not i or _starts(c)] + [len(text)]
+        normal = [self.normal(text[i:j]) for i, j in zip(starts, starts[1:])]
+        whole, ends = "".join(normal), [*accumulate(map(len, normal), initial=0)]
+        counts, firsts = [0], []
+        for letters, (a, b) in self.split(whole):
+            counts += [counts[-1]] * (a + 1 - len(counts))
+            if whole[a] == "'" and whole[a + 1:b].isalpha():  # cut short, a contraction falls apart
+                inside = [self._whole(whole[a:q]) for q in range(a + 1, b + 1)]
+            else:
+                table = self.word(letters)
+                inside = [table[i] for i in accumulate(len(c.encode()) for c in whole[a:b])]
+            firsts.append(a)
+            counts += [counts[a] + n for n in inside]
+        counts += [counts[-1]] * (len(whole) + 1 - len(counts))
+        out = [0]
+        for i, j, at, end in zip(starts, starts[1:], ends, ends[1:]):
+            for cut in range(i + 1, j):
+                last = firsts[bisect_left(firsts, at) - 1] if firsts and firsts[0] < at else 0
+                out.append(counts[last] + self._whole(whole[last:at] + self.normal(text[i:cut])))
+            out += [counts[end]] * (j > i)
         return out
 
+    def _whole(self, normalised: str) -> int:
+        return sum(self.word(letters)[-1] for letters, _ in self.split(normalised))
+
+
+@lru_cache(100_000)
+def _starts(c: str) -> bool:
+    """Whether normalising never joins or reorders a character with those before it."""
+    return unicodedata.category(c)[0] != "M" and unicodedata.category(c) != "Cn" and unicodedata.is_normalized("NFC", c) \
+        and not "\u1160" <= c <= "\u11ff"
+
 
 _TABLES: dict[str, PrefixCounts] = {}
 

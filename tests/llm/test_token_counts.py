@@ -36,6 +36,16 @@ def test_every_prefix_and_every_limit():
             assert fit(t, limit) == (want[-1], max(i for i, n in enumerate(want) if n <= limit)), (t, limit)
 
 
+@pytest.mark.parametrize("alphabet", ["日本語中文の東京大学人", "the nation\u00a0of don't\u3000", "กาที่นี่ไม่สวัส", "ée\u0301ñ한\u1112\u1161\u11abİΣ'res!1<|"])
+def test_long_chunks_only_the_library_handles(alphabet):
+    rng = random.Random(9)
+    t = "".join(rng.choice(alphabet) for _ in range(1000)) + "<|endoftext|>" + alphabet
+    want = [len(library(t[:i])) for i in range(len(t) + 1)]
+    assert prefix_counts(t) == want
+    for limit in (150, 433, 600):
+        assert fit(t, limit) == (want[-1], max(i for i, n in enumerate(want) if n <= limit))
+
+
 def test_counts_of_a_table(odd, none):
     df, pairs = odd
     got = sorted(map(tuple, token_counts(df, limit=50).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()), key=str)
