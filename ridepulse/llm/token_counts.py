@@ -6,9 +6,9 @@ a token u such that (u, t) is *stable*, that is, merging the characters of u
 followed by those of t gives just u and t again.  So count[j] = count[j - |t|] + 1,
 with one token kept per prefix.  Across words the recurrence is a sum, because the
 tokenizer never joins words.  ``prefix_counts`` gives the whole table of a text,
-one exact count per prefix; ``token_counts`` runs the recurrence over every
-document, word by word, and answers the budget question (the longest prefix within
-a limit) from it without encoding any prefix again.  Chunks with characters that only the
+one exact count per prefix; ``token_counts`` sums the library's counts of
+the words and runs the recurrence in the word where the budget (the longest prefix within
+a limit) ends, without encoding any prefix again.  Chunks with characters that only the
 library handles (see ``tokens``) are normalised and split by the library once, and the
 recurrence runs inside each of the pieces.
 
