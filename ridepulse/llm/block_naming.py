@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridepulse.llm.common import rows, written
+from ridepulse.llm.common import numbered, rows, written
 
 BLOCK = 8192
 
@@ -46,11 +46,11 @@ def _unite(named: DataFrame, *keys: str) -> DataFrame:
 
 
 def named_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK,
-                hot: int | None = None, salts: int | None = None) -> DataFrame:
+                hot: int | None = None, salts: int | None = None, row_col: str | None = None) -> DataFrame:
     """(__row, __id, __sha, n, name): equal texts have equal (n, name), different ones do not."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot, salts = hot or max(1024, 4 * parts), salts or max(16, parts)
-    own = rows(docs, id_col, text_col)
+    own = rows(docs, id_col, text_col, row_col)
     cut = F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
 
     spread = own.select(F.explode(F.transform(cut, lambda b: F.xxhash64(b))).alias("hot")) \
@@ -96,5 +96,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select("__row")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    own, row = numbered(docs)
+    kept = exact_dedup(own, id_col, text_col, row_col=row).where("kept").select(F.col("__row").alias(row))
+    return own.join(kept, row, "left_semi").drop(row)

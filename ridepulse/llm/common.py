@@ -17,16 +17,16 @@ _CHUNK_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(__row, __id, __text): one row per input row, a null text as ''.
 
-    ``__row`` tells repeated rows and null ids apart.  It is the row's place in
-    its input partition, so ``df`` has to be a table read (or another plan that
-    gives the same partitions each time); a retried task then gives the same
-    numbers again.
+    ``__row`` tells repeated rows and null ids apart.  It is ``row_col`` where the input has row numbers, else the
+    row's place in its input partition.  Such a place holds within one job only: another scan of the same table may be
+    split in another way (executors come and go).  So it is used once, and what needs the rows again writes them with
+    their numbers first (``numbered``).
     """
-    return df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")) \
-        .withColumn("__row", F.monotonically_increasing_id())
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    return df.select(number.alias("__row"), F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """All of ``df`` written once with a row number in a column of a free name, and that name."""
+    name, taken = "__row", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 # --- words and their hashes, vectorised over a block of texts -------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -22,9 +22,9 @@ are compared with twice as many, and so on for as long as a round connects any.
 
 What is still open then, the buckets whose members are not all compared and not all in
 one component (a common header, say), is finished exactly.  The texts of open buckets are
-dealt anew by their rarest shingles: similar texts of n shingles have ``SIMILARITY`` * n in
-common, so they share one of the n - ceil(SIMILARITY * n) + 1 rarest of each, and the place
-of the first shared one bounds their lengths.  Those smaller buckets go through the same
+dealt anew by their first shingles in one fixed order with the frequent ones last: similar texts of n
+shingles have ``SIMILARITY`` * n in common, so they share one of the n - ceil(SIMILARITY * n) + 1 first
+of each, and the place of the first shared one bounds their lengths.  Those smaller buckets go through the same
 rounds until every two members are compared or connected, empty rounds or not.  So any two
 similar texts that share a sketch entry end in one class.
 
@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridepulse.llm.common import Words, blocks, gram_hashes, mix, rows, written
+from ridepulse.llm.common import Words, blocks, gram_hashes, mix, numbered, rows, written
 from ridepulse.llm.graph import components
 
 K = 5
@@ -53,6 +53,8 @@ LONG = (64, 8, 24, None)
 SHORT = (16, 2, 0, 30)
 _ELEMENTS = 1 << 20
 CENTRES, FEW = 3, 16
+#: So many frequent shingles are put last: a fixed bound of what is sent to every task.
+HEAVY = 1 << 16
 
 
 def labelled_shingles(words: np.ndarray, k: int = K) -> np.ndarray:
@@ -125,8 +127,8 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> boo
     return common >= similarity * (len(x) + len(y) - common) - 1e-9 and common > 0
 
 
-def sketches(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__row, __id, digest of the words, n shingles, entries) of every row."""
+def sketches(own: DataFrame, k: int = K) -> DataFrame:
+    """(__row, __id, digest of the words, n shingles, entries) of every row of ``own`` (__row, __id, __text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -143,7 +145,6 @@ def sketches(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str
                 yield pd.DataFrame({"__row": b["__row"][lo:hi].to_numpy(), "__id": b["__id"].array[lo:hi], "digest": digest,
                                     "n": size, "entries": entries})
 
-    own = rows(docs, id_col, text_col).select("__row", "__id", "__text")
     return own.mapInPandas(run, f"__row long, __id {own.schema['__id'].dataType.simpleString()}, digest binary, n long, "
                                 "entries array<long>")
 
@@ -178,43 +179,67 @@ def _shared(entries: DataFrame) -> DataFrame:
     return written(shared.join(popular, "__row"), "shared")
 
 
-def _rarest(texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(__row, n, bucket, upto) of the rarest shingles of ``texts``, so many that two similar texts share one.
+def _heavy(texts: DataFrame, k: int, most: int) -> list[int]:
+    """The ``most`` most frequent shingles or fewer, the most frequent one last.
 
-    ``at`` is the shingle's place in its text, rarest first (one order for all texts).  If it is the first that two texts
-    share, they have at most n - at + 1 in common, which lets the other one have at most ``upto`` shingles.  Shingles that
-    only one text has come first and make no bucket.
+    They only set an order, so shingles that occur once in a block of texts need not be counted.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo, hi in blocks(b["__text"].tolist()):
                 w = Words(b["__text"][lo:hi].tolist())
-                found = [labelled_shingles(w.of(d), k).view(np.int64) for d in range(hi - lo)]
-                yield pd.DataFrame({"__row": b["__row"][lo:hi].to_numpy(), "n": [len(f) for f in found], "shingles": found})
-
-    own = written(texts.mapInPandas(run, "__row long, n long, shingles array<long>"), "shingles")
-    each = own.select("__row", "n", F.explode("shingles").alias("bucket"))
-    often = written(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
-    common = written(each.join(often, "bucket"), "common")
-    of_text = Window.partitionBy("__row")
-    nth = F.row_number().over(of_text.orderBy("often", "bucket"))
-    need = F.ceil(F.col("n") * similarity - 1e-6)
-    rare = common.withColumn("at", F.col("n") - F.count(F.lit(1)).over(of_text) + nth).where(F.col("at") <= F.col("n") - need + 1) \
-        .select("__row", "n", "bucket", F.least(F.col("n") / similarity, (F.col("n") - F.col("at") + 1) * ((1 + similarity) / similarity)
-                                                - F.col("n")).alias("upto"))
-    rare = written(rare.withColumn("upto", F.col("upto") + 1e-6), "rare")
-    least = written(rare.groupBy("bucket").agg(F.min("n").alias("least")), "least")
-    return written(rare.join(least, "bucket").where("upto >= least").drop("least"), "rare")  # others have no partner there
-
-
-def links(docs: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILARITY, id_col: str = "doc_id",
-          text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+                found = [labelled_shingles(w.of(d), k) for d in range(hi - lo)]
+                value, often = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *found]), return_counts=True)
+                yield pd.DataFrame({"bucket": value[often > 1].view(np.int64), "often": often[often > 1]})
+
+    top = texts.mapInPandas(run, "bucket long, often long").groupBy("bucket").agg(F.sum("often").alias("often")) \
+        .orderBy(F.desc("often"), "bucket").limit(most)
+    return [r.bucket for r in top.collect()][::-1]
+
+
+def _prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(__row, n, bucket, upto): the first shingles of every text in one order for all texts, so many that two similar
+    texts share one.  The ``HEAVY`` most frequent shingles come last, the others in the order of their hashes.
+
+    ``at`` is the shingle's place in its text.  If it is the first that two texts share, they have at most n - at + 1 in
+    common, which lets the other one have at most ``upto`` shingles.
+    """
+    heavy = np.array(_heavy(texts, k, HEAVY), dtype=np.int64)
+    place = np.argsort(heavy)
+    known = heavy[place]
+
+    def first(shingles: np.ndarray) -> np.ndarray:
+        n = len(shingles)
+        rank = np.zeros(n, dtype=np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+            rank = np.where(known[at] == shingles, place[at] + 1, 0)
+        return shingles[np.lexsort((shingles, rank))[:n - int(np.ceil(n * similarity - 1e-6)) + 1]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo, hi in blocks(b["__text"].tolist()):
+                w = Words(b["__text"][lo:hi].tolist())
+                own = [labelled_shingles(w.of(d), k).view(np.int64) for d in range(hi - lo)]
+                taken = [first(s) for s in own]
+                many = [len(t) for t in taken]
+                n = np.repeat([len(s) for s in own], many)
+                at = np.concatenate([np.arange(1, m + 1) for m in many])
+                upto = np.minimum(n / similarity, (n - at + 1) * ((1 + similarity) / similarity) - n) + 1e-6
+                yield pd.DataFrame({"__row": np.repeat(b["__row"][lo:hi].to_numpy(), many), "n": n,
+                                    "bucket": np.concatenate(taken), "upto": upto})
+
+    each = written(texts.mapInPandas(run, "__row long, n long, bucket long, upto double"), "prefixes")
+    least = written(each.groupBy("bucket").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1"), "least")
+    return written(each.join(least, "bucket").where("upto >= least").drop("least", "size"), "rare")  # others have no partner there
+
+
+def links(own: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between representatives, the rows of ``one`` (__row, n, entries), enough to connect every
-    group; and the components (node, comp) that they make."""
+    group; and the components (node, comp) that they make.  ``own`` is the written table of (__row, __text)."""
     shared = _shared(one.select("__row", "n", F.explode("entries").alias("bucket")))
-    own = rows(docs, id_col, text_col).select("__row", "__text")
-    texts = written(own.join(shared.select("__row").distinct(), "__row", "left_semi"), "texts")
+    texts = written(own.select("__row", "__text").join(shared.select("__row").distinct(), "__row", "left_semi"), "texts")
     nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("pop"), F.desc("__row")))
 
     def around(members: DataFrame, above: int, upto: int, few: int) -> DataFrame:
@@ -257,7 +282,7 @@ def links(docs: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMIL
     left = written(placed.join(unfinished(placed, max(upto, FEW)), "bucket").select("__row").distinct(), "left")
     if left.isEmpty():
         return found, comp
-    shared = _shared(_rarest(texts.join(left, "__row", "left_semi"), k, similarity))
+    shared = _shared(_prefixes(texts.join(left, "__row", "left_semi"), k, similarity))
     above, upto = 0, CENTRES
     while True:  # until every two members of a bucket are compared or connected
         placed = with_comp(shared, comp)
@@ -273,16 +298,18 @@ def links(docs: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMIL
 
 
 def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per row: __row, id, class_id (smallest id), class_size, kept (the row with that id), n_links and n_copies.
 
     ``n_links`` counts the verified links of the row's text, ``n_copies`` the rows with the same words.
     """
-    found = written(sketches(docs, k, id_col, text_col), "sketches")
+    own = rows(docs, id_col, text_col, row_col)
+    own = own if row_col else written(own, "own-rows")  # the texts are read again by their numbers
+    found = written(sketches(own, k), "sketches")
     copies = written(found.groupBy("digest").agg(F.min("__row").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "copies")
     member = written(found.select("__row", "__id", "digest").join(copies, "digest").drop("digest"), "members")
     one = found.join(copies.select(F.col("rep").alias("__row")), "__row", "left_semi").select("__row", "n", "entries")
-    verified, comp = links(docs, one, k, similarity, id_col, text_col)
+    verified, comp = links(own, one, k, similarity)
     degree = verified.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     of_rep = written(copies.select("rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select(
         "rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "of-rep")
@@ -296,5 +323,6 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select("__row")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    own, row = numbered(docs)
+    kept = near_duplicates(own, id_col=id_col, text_col=text_col, row_col=row, **options).where("kept").select(F.col("__row").alias(row))
+    return own.join(kept, row, "left_semi").drop(row)

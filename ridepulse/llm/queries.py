@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridepulse.llm import block_naming, decontaminate, near_dup, toxicity
+from ridepulse.llm import block_naming, decontaminate, merkle, near_dup, private_data, toxicity
 from ridepulse.llm.license_scan import license_scan
 from ridepulse.llm.packing import pack
+from ridepulse.llm.periodic_runs import periodic_runs
 from ridepulse.llm.secret_scan import secret_scan, span_text
 from ridepulse.llm.sharding import place
 from ridepulse.llm.token_counts import token_counts
@@ -82,9 +83,29 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, text_words(pages))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what tampering does to the root."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic word runs of every document."""
+    return periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+
+
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the words beside it that give it away."""
+    found = private_data.private_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < private_data.GENERALISE)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    text = private_data.span_text
+    return found.select("doc_id", count(0).alias("n_email"), count(1).alias("n_ip"), count(2).alias("n_card"), count(3).alias("n_phone"),
+                        F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_token_counts, op3_decontaminate, op4_exact_dedup, op5_toxicity, op6_sharding, op7_secret_scan,
-    op8_near_duplicates, op9_packing, op10_url_filter)}
+    op8_near_duplicates, op9_packing, op10_url_filter, op11_merkle_manifest, op12_periodic_runs, op13_private_data)}
 
 SQL: dict[str, str] = {
     "op4_exact_dedup": """
