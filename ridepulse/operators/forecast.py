@@ -127,3 +127,19 @@ def predict_pressure_all_cities(obt: DataFrame, cities: DataFrame, as_of=None,
     return out.select(F.col("pickup_city_id").alias("city_id"), "city", "rides_last_6h",
                       "avg_surge_last_6h", "peak_surge_last_6h", "cancellation_rate_last_6h",
                       "pressure_score", "pressure_band")
+
+
+_BOUND_DEMAND = """
+SELECT :city AS city, :horizon AS horizon_hours, COUNT(*) AS rides,
+  floor(COUNT(*) / CAST(:hours AS DOUBLE) * CAST(:horizon AS DOUBLE) * 10 + 0.5D) / 10D AS predicted_rides
+FROM {rides}
+WHERE lower(pickup_city) = lower(:city) AND booking_timestamp < CAST(:end AS TIMESTAMP)
+  AND booking_timestamp >= CAST(:end AS TIMESTAMP) - make_dt_interval(0, :hours)"""
+
+
+def bound_city_demand(obt: DataFrame, city: str, horizon_hours, as_of, window_hours: int = 6) -> DataFrame:
+    """A9's rate as a fixed SQL text with named parameter markers (V6): values are bound, never pasted, so no city name
+    can change the statement.  The guards (V1, V5) reject bad values first."""
+    args = {"city": validate_city(city), "horizon": validate_horizon(horizon_hours), "hours": int(window_hours), "end": str(as_of)}
+    out = obt.sparkSession.sql(_BOUND_DEMAND, args=args, rides=obt)
+    return out.select("city", F.col("horizon_hours").cast("long").alias("horizon_hours"), "rides", "predicted_rides")

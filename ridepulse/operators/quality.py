@@ -5,7 +5,7 @@ one row per rule: ``(rule, checked, violations)``.  Summaries are single-scan
 jobs: every rule becomes a pair of conditional counts in one aggregate (or a
 one-pass ``explode`` of the measures), so adding rules adds no scans and no
 shuffles beyond one tiny partial aggregate.  They run unchanged on a
-streaming DataFrame inside ``foreachBatch``.
+streaming DataFrame inside ``foreachBatch``; pipeline updates count them on the way (``observe``).
 """
 
 from __future__ import annotations
@@ -19,12 +19,19 @@ from ridepulse.functions.numeric import hundredths, rnd
 from ridepulse.sources.markets import CITY_WEIGHTS
 
 
-def _summary(df: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """One aggregate over ``df``: per rule, rows checked and rows violating."""
+def counters(rules: dict[str, tuple[Column, Column]]) -> list[Column]:
+    """Two aggregates per rule, ``<rule>__c`` (rows checked) and ``<rule>__v`` (rows violating): for ``agg``, and for
+    ``observe`` inside a write or a stream, where they cost no scan."""
     aggs = []
     for name, (checked, bad) in rules.items():
         aggs.append(F.sum(F.when(checked, 1).otherwise(0)).cast("long").alias(f"{name}__c"))
         aggs.append(F.sum(F.when(checked & bad, 1).otherwise(0)).cast("long").alias(f"{name}__v"))
+    return aggs
+
+
+def _summary(df: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """One aggregate over ``df``: per rule, rows checked and rows violating."""
+    aggs = counters(rules)
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(n).alias("rule"), F.coalesce(F.col(f"{n}__c"), F.lit(0)).alias("checked"),
                      F.coalesce(F.col(f"{n}__v"), F.lit(0)).alias("violations")) for n in rules]
@@ -51,7 +58,7 @@ def _cents_off(actual: Column, expected: Column) -> Column:
     return F.abs(hundredths(actual) - hundredths(expected)) > 1
 
 
-def fare_rules(rides: DataFrame) -> dict[str, tuple[Column, Column]]:
+def fare_rules(rides: DataFrame | None = None) -> dict[str, tuple[Column, Column]]:
     """Rules of the fare arithmetic; rates are ``base_rate/per_mile/per_minute``
     columns on the rows (the OBT carries the vehicle type's rates)."""
     c = F.col

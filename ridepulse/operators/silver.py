@@ -1,7 +1,7 @@
 """Silver layer: parse, merge, deduplicate and enrich ride events.
 
 All operators are DataFrame -> DataFrame and work on batch and streaming
-frames alike (``dedup_rides`` has a separate streaming form).
+frames alike (the streaming form of ``dedup_rides`` is ``streaming.flows.unique_rides``).
 """
 
 from __future__ import annotations
@@ -109,22 +109,6 @@ def dedup_rides(df: DataFrame) -> DataFrame:
     return keyed.unionByName(df.where(F.col("ride_id").isNull()))
 
 
-def dedup_rides_stream(df: DataFrame, arrival_delay: str = "10 minutes",
-                       arrival_col: str = "__arrival") -> DataFrame:
-    """T5 (stream): drop repeated ``ride_id`` within a watermark on *arrival* time.
-
-    Watermarking on ``booking_timestamp`` would drop most of the bulk history
-    (rides are up to 30 days old), so state is bounded on processing time
-    instead.  Rides without an id pass, as in ``dedup_rides``.  Replays older than the
-    delay are removed against the stored rides (``flows.unseen``).
-    """
-    keyed = (df.where(F.col("ride_id").isNotNull()).withColumn(arrival_col, F.current_timestamp())
-             .withWatermark(arrival_col, arrival_delay)
-             .dropDuplicatesWithinWatermark(["ride_id"])
-             .drop(arrival_col))
-    return keyed.unionByName(df.where(F.col("ride_id").isNull()))
-
-
 def with_event_time(df: DataFrame, delay: str = "3 minutes",
                     column: str = "booking_timestamp") -> DataFrame:
     """Declare event time with a lateness bound (used before stateful steps)."""

@@ -821,7 +821,7 @@ from ridepulse.schemas import DIM_COLUMNS, RIDE_COLUMNS, RIDES  # noqa: E402
 from ridepulse.sources import events as EV  # noqa: E402
 from ridepulse.sources.binding import read_table  # noqa: E402
 from ridepulse.sources.lookups import load_map  # noqa: E402
-from ridepulse.streaming.upsert import KeyedTable  # noqa: E402
+from ridepulse.streaming import dimensions, flows, windows  # noqa: E402
 
 _RIDES = ", ".join(RIDE_COLUMNS)
 
@@ -1011,24 +1011,170 @@ def s5(spark, sf_dir):
     return spark.read.schema(RIDES).parquet(out)
 
 
-def _keyed_in_batches(spark, updates: DataFrame, **options) -> DataFrame:
-    """A keyed table fed with three micro-batches, the second one delivered twice."""
-    table = KeyedTable(Lake(spark, _scratch(spark, "keyed")), "gold", "t", **options)
-    part = F.pmod(F.xxhash64(*updates.columns), F.lit(3))
-    for number in (0, 1, 1, 2):
-        table.apply(updates.where(part == number), number, "q")
-    return table.read()
+def _in_three_triggers(spark, parts: list[DataFrame], name: str, start) -> None:
+    """Feed ``parts`` to a streaming query file by file: two triggers, then a restart from the checkpoint with the third
+    part and the first one again.  ``start(stream, checkpoint)`` starts the query."""
+    path = _scratch(spark, name)
+    for part in [parts[0], parts[1], [parts[2], parts[0]]]:
+        new = part if isinstance(part, list) else [part]
+        for p in new:
+            p.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        if part is not parts[0]:
+            stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+            start(stream, f"{path}/checkpoint").awaitTermination()
 
 
 @register("T11_stream_scd1", REGISTRY["T11_scd1_latest_driver"][1])
 def t11_stream(spark, sf_dir):
-    return _keyed_in_batches(spark, lake(spark, sf_dir).obt.select(*_DRIVER_SEQ), keys=["driver_id"], sequence_by="booking_timestamp")
+    """Drivers' latest rows from a streaming aggregate, merged into a table partition by partition."""
+    rows = lake(spark, sf_dir).obt.select(*_DRIVER_SEQ)
+    out = Lake(spark, _scratch(spark, "scd1"))
+    put = dimensions.replace_keys(out, "gold", "t", ["driver_id"], rows.schema, buckets=8)
+    part = F.pmod(F.xxhash64(*_DRIVER_SEQ), F.lit(3))
+    _in_three_triggers(spark, [rows.where(part == i) for i in range(3)], "scd1-in", lambda stream, checkpoint: (
+        dimensions.latest(stream, ["driver_id"], "booking_timestamp").writeStream.outputMode("update").foreachBatch(put)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()))
+    return out.read("gold", "t").drop(dimensions.BUCKET)
 
 
 @register("T12_stream_scd2", _q("SELECT * FROM dim_location"))
 def t12_stream(spark, sf_dir):
-    loc = lake(spark, sf_dir).obt.select(*DIM_COLUMNS["dim_location"])
-    return _keyed_in_batches(spark, loc, keys=["pickup_city_id"], scd=2, sequence_by="city_updated_at", buckets=4)
+    """City versions from streaming dedup state; newer versions arrive first, older ones late, some twice."""
+    rows = lake(spark, sf_dir).obt.select(*DIM_COLUMNS["dim_location"])
+    late = F.col("city_updated_at") < F.lit("1998-01-01 00:00:00").cast("timestamp")
+    half = F.pmod(F.xxhash64(*rows.columns), F.lit(2)) == 0
+    out = _scratch(spark, "scd2")
+    keys = ["pickup_city_id", "city_updated_at"]
+    _in_three_triggers(spark, [rows.where(~late & half), rows.where(~late & ~half), rows.where(late)], "scd2-in", lambda stream, checkpoint: (
+        dimensions.first_seen(stream, keys).writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start(out)))
+    return SCD.with_end_at(spark.read.schema(rows.schema).parquet(out), ["pickup_city_id"], "city_updated_at")
+
+
+_UPDATES: dict[tuple, tuple] = {}
+
+
+def streamed(spark, sf_dir) -> tuple[Lake, dict]:
+    """Two streaming updates over the rides as JSON events, run once per session: rides with an even id, then the others
+    with copies of the first ones that carry another booking time or none.  The lake and the updates' quality counts."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _UPDATES:
+        lh, out, counts = lake(spark, sf_dir), Lake(spark, _scratch(spark, "stream")), {}
+        rides = lh.stg.select(*RIDE_COLUMNS)
+        even = F.col("ride_id").cast("long") % 2 == 0
+        moved = F.when(F.col("ride_id").cast("long") % 4 == 0, F.col("booking_timestamp") + F.make_dt_interval(F.lit(40)))
+        for number, new in enumerate([rides.where(even), rides.where(~even).unionByName(rides.where(even).withColumn("booking_timestamp", moved))]):
+            EV.publish_rides_files(new, f"{out.root}/events/{number}")
+            found: dict = {}
+            flows.run_update(spark, out, lh.maps, EV.raw_event_files(spark, f"{out.root}/events/*"), quality=found)
+            counts = {k: (c + counts.get(k, (0, 0))[0], v + counts.get(k, (0, 0))[1]) for k, (c, v) in found.items()}
+        _UPDATES[key] = out, counts
+    return _UPDATES[key]
+
+
+_MOVED = """SELECT * REPLACE (CASE WHEN CAST(ride_id AS BIGINT) % 4 = 0 THEN booking_timestamp + INTERVAL 40 DAY END AS booking_timestamp)
+  FROM rides WHERE CAST(ride_id AS BIGINT) % 2 = 0"""
+
+
+@register("S6_stream_archive", _q(f"SELECT {_RIDES} FROM rides UNION ALL SELECT {_RIDES} FROM ({_MOVED})"))
+def s6_stream(spark, sf_dir):
+    """Every event that came, copies too, in the parsed archive."""
+    return streamed(spark, sf_dir)[0].read(*flows.ARCHIVE, RIDES)
+
+
+@register("T5_stream_dedup", _q(f"SELECT {_RIDES} FROM rides"))
+def t5_stream(spark, sf_dir):
+    """Silver rides of the streaming updates: copies are dropped whatever their booking time says."""
+    return flows.read_obt(streamed(spark, sf_dir)[0]).select(*RIDE_COLUMNS)
+
+
+@register("S7_stream_fact", REGISTRY["T9g_fact"][1])
+def s7_fact(spark, sf_dir):
+    return flows.read_star(streamed(spark, sf_dir)[0]).fact
+
+
+@register("S7_stream_dim_driver", REGISTRY["T9b_dim_driver"][1])
+def s7_driver(spark, sf_dir):
+    return flows.read_star(streamed(spark, sf_dir)[0]).dim_driver
+
+
+@register("S9_stream_dim_location", REGISTRY["T12_stream_scd2"][1])
+def s9_location(spark, sf_dir):
+    return flows.read_star(streamed(spark, sf_dir)[0]).dim_location
+
+
+@register("S9_stream_revenue_by_city", REGISTRY["Q3_rides_by_city"][1])
+def s9_city(spark, sf_dir):
+    """A dashboard query on the tables that the streams keep."""
+    return Q.rides_by_city(flows.read_star(streamed(spark, sf_dir)[0]))
+
+
+@register("G1_G4_stream_metrics", " UNION ALL ".join(f"SELECT * FROM ({REGISTRY[k][1]})" for k in (
+    "G1_fare_audit", "G3_time_order_check", "G4_status_check")))
+def g_stream(spark, sf_dir):
+    """Rule counts that the streaming updates observed on the way, without a scan."""
+    found = streamed(spark, sf_dir)[1]
+    rows = [(k, c, v) for k, (c, v) in found.items() if k != "has_ride_id"]
+    return spark.createDataFrame(rows, "rule string, checked long, violations long")
+
+
+@register("T7_stream_demand_windows", _q(f"""
+SELECT w.as_of, w.pickup_city_id, w.rides_last_6h, w.avg_rides_per_hour, w.avg_surge_last_6h, w.cancellation_rate_last_6h,
+  {RND(f"COALESCE(avg_rides_per_hour, 0) * {D(1)}", 1)} AS predicted_rides FROM (
+  SELECT as_of, pickup_city_id, {_FEATURES.replace(D(WINDOW_H), D(6))} FROM (
+    SELECT *, date_trunc('hour', booking_timestamp) + to_hours(n) AS as_of FROM obt, (SELECT UNNEST(range(1, 7)) AS n)
+    WHERE booking_timestamp IS NOT NULL AND pickup_city_id IS NOT NULL)
+  GROUP BY as_of, pickup_city_id) w
+WHERE w.as_of <= (SELECT MAX(booking_timestamp) - INTERVAL 3 MINUTE FROM obt WHERE pickup_city_id IS NOT NULL)"""))
+def t7_stream(spark, sf_dir):
+    """A9 for every window that has closed, from a stream in booking order (three triggers and the one that closes windows)."""
+    rows = lake(spark, sf_dir).obt.select("booking_timestamp", "pickup_city_id", "surge_multiplier", "ride_status_id")
+    path = _scratch(spark, "windows")
+    for low, high in ((None, "1994-01-01"), ("1994-01-01", "1996-01-01"), ("1996-01-01", None)):
+        part = rows.where(F.col("booking_timestamp") >= F.lit(low).cast("timestamp")) if low else rows
+        part = part.where(F.col("booking_timestamp") < F.lit(high).cast("timestamp")) if high else part
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    (windows.demand_windows(stream, horizon_hours=1).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+     .trigger(availableNow=True).start(f"{path}/out").awaitTermination())
+    return spark.read.parquet(f"{path}/out").select("as_of", "pickup_city_id", "rides_last_6h", "avg_rides_per_hour", "avg_surge_last_6h",
+                                                     "cancellation_rate_last_6h", "predicted_rides")
+
+
+_VERSIONS = """SELECT driver_id, date_trunc('day', booking_timestamp) AS start_at, MAX(driver_rating) AS driver_rating FROM obt
+  WHERE driver_id IS NOT NULL AND booking_timestamp IS NOT NULL GROUP BY 1, 2"""
+
+
+@register("T13_as_of_many_versions", _q(f"""
+SELECT * FROM (WITH v AS ({_VERSIONS}), f AS (SELECT ride_id, driver_id, booking_timestamp - INTERVAL 36 HOUR AS at FROM obt WHERE ride_id IS NOT NULL),
+  first_v AS (SELECT driver_id, MIN(start_at) AS start_at, arg_min(driver_rating, start_at) AS driver_rating FROM v GROUP BY 1),
+  many AS (SELECT driver_id FROM v GROUP BY 1 HAVING COUNT(*) > 1)
+SELECT f.ride_id, CASE WHEN f.at IS NULL AND m.driver_id IS NOT NULL THEN NULL ELSE COALESCE(v.start_at, o.start_at) END AS version_start,
+  CASE WHEN f.at IS NULL AND m.driver_id IS NOT NULL THEN NULL WHEN v.start_at IS NOT NULL THEN v.driver_rating ELSE o.driver_rating END AS rating
+FROM f ASOF LEFT JOIN v ON f.driver_id = v.driver_id AND f.at >= v.start_at
+LEFT JOIN first_v o ON f.driver_id = o.driver_id LEFT JOIN many m ON f.driver_id = m.driver_id)"""))
+def t13_many(spark, sf_dir):
+    """Each ride with its driver's daily version 36 hours before booking: a history of many versions per key."""
+    obt = lake(spark, sf_dir).obt
+    versions = obt.where("driver_id IS NOT NULL AND booking_timestamp IS NOT NULL").groupBy(
+        "driver_id", F.date_trunc("day", "booking_timestamp").alias("seen")).agg(F.max("driver_rating").alias("rating"))
+    history = SCD.with_end_at(versions, ["driver_id"], "seen")
+    facts = obt.where("ride_id IS NOT NULL").select("ride_id", "driver_id", (F.col("booking_timestamp") - F.make_dt_interval(
+        F.lit(0), F.lit(36))).alias("at"))
+    return SCD.as_of_sorted(facts, history, "driver_id", "driver_id", "at").select("ride_id", F.col("seen").alias("version_start"), "rating")
+
+
+@register("S4_manifest_load", _q("SELECT city_id, city, state, region, updated_at FROM map_cities"))
+def s4(spark, sf_dir):
+    """The city map and the bulk rides loaded by a manifest; the city map as it lies in the lake."""
+    path, lh = _scratch(spark, "manifest"), lake(spark, sf_dir)
+    cities = lh.maps["map_cities"].withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
+    as_array = lambda df: df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))  # noqa: E731  a fixed map's rows
+    as_array(cities.select("city_id", "city", "state", "region", "updated_at")).write.text(f"{path}/map_cities.json")
+    spark.createDataFrame([("map_cities",)], "file string").coalesce(1).write.json(f"{path}/files.json")
+    out = Lake(spark, f"{path}/lake")
+    EV.load_manifest(spark, f"{path}/files.json", path, out)
+    return out.read("bronze", "map_cities")
 
 
 _GUARDED = [("NATION_3", 5, 20, 4), ("  nation_5 ", 25, 0, 23), ("x", 5, 1, 2), ("NATION_1", 26, 1, 2), ("NATION_1", 5, -1, 2)]
@@ -1057,3 +1203,30 @@ def guarded(spark, sf_dir):
     for q in parts[1:]:
         out = out.unionByName(q)
     return out
+
+
+_BOUND = [("NATION_5", 3), (" nation_1 ", 1), ("x' OR '1'='1", 2), ("NATION_5'; DROP TABLE rides; --", 24), ("NATION_5", 0), ("NATION_5", 25),
+          ("NATION_5", None), ("NATION_5", "1 OR 1=1"), ("", 1)]
+
+
+def _bound_sql(call: int, city: str, horizon: int) -> str:
+    return (f"SELECT CAST({call} AS INTEGER) AS call, {_lit(city)} AS city, CAST({horizon} AS BIGINT) AS horizon_hours, COUNT(*) AS rides, "
+            f"{RND(f'COUNT(*) / {D(WINDOW_H)} * {D(horizon)}', 1)} AS predicted_rides FROM obt WHERE lower(pickup_city) = lower({_lit(city)}) AND {_WIN}")
+
+
+@register("V5_V6_bound_parameters", _q(" UNION ALL ".join(
+    [_bound_sql(i, c.strip(), h) for i, (c, h) in enumerate(_BOUND[:4])]
+    + [f"SELECT {i}, 'rejected', NULL, NULL, NULL" for i in range(4, len(_BOUND))])))
+def bound(spark, sf_dir):
+    """A9's window as SQL text with named parameters: good, bad and injecting values."""
+    obt, parts = lake(spark, sf_dir).obt, []
+    columns = "call int, city string, horizon_hours long, rides long, predicted_rides double"
+    for call, (city, horizon) in enumerate(_BOUND):
+        try:
+            parts.append(FC.bound_city_demand(obt, city, horizon, AS_OF, WINDOW_H).select(F.lit(call).alias("call"), "*"))
+        except ValueError:
+            parts.append(spark.createDataFrame([(call, "rejected", None, None, None)], columns))
+    out = parts[0]
+    for q in parts[1:]:
+        out = out.unionByName(q)
+    return out

@@ -19,10 +19,11 @@ import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from ridepulse.functions.dates import BOOKING_MONTH, by_month
 from ridepulse.operators.gold import Star, build_star, gold_base
+from ridepulse.operators.quality import counters, fare_rules, status_rules, time_rules
 from ridepulse.operators.scd import with_end_at
 from ridepulse.operators.silver import build_obt, build_stg
 from ridepulse.session import checkpoint_dir
@@ -40,6 +41,8 @@ class Lakehouse:
     maps: dict[str, DataFrame]
     dedup: bool = True
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    #: rule -> (rows checked, violations), counted by ``materialize``
+    quality: dict[str, tuple[int, int]] = field(default_factory=dict)
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str, dedup: bool = True) -> "Lakehouse":
@@ -83,8 +86,13 @@ class Lakehouse:
         """
         lake.write_overwrite(build_stg(*self.sources, dedup=self.dedup), "silver", "stg_rides")
         stg = lake.read("silver", "stg_rides")
-        # by booking month: trailing-window queries open the files of a month or two
-        lake.write_overwrite(by_month(build_obt(stg, self.maps)), "silver", "silver_obt", [BOOKING_MONTH])
+        # by booking month: trailing-window queries open the files of a month or two.  The quality rules are counted
+        # while the table is written.
+        seen = Observation("quality")
+        obt = build_obt(stg, self.maps).observe(seen, *counters({**fare_rules(), **time_rules(), **status_rules()}))
+        lake.write_overwrite(by_month(obt), "silver", "silver_obt", [BOOKING_MONTH])
+        found = seen.get
+        self.quality = {k[:-3]: (found[k] or 0, found[f"{k[:-3]}__v"] or 0) for k in found if k.endswith("__c")}
         obt = lake.read("silver", "silver_obt")
         # With a deduplicated stg the OBT is already one row per ride (its lookups are
         # unique per key and the temporal city join matches one version), so the gold
@@ -100,8 +108,7 @@ class Lakehouse:
             lake.write_overwrite(getattr(star, name), "gold", name)
         versions = star.dim_location.drop("__START_AT", "__END_AT")
         lake.write_overwrite(versions, "gold", "dim_location_versions")
-        return _attach(Lakehouse(self.spark, self.sources, self.maps, self.dedup, dict(self.tables)),
-                       lake)
+        return _attach(Lakehouse(self.spark, self.sources, self.maps, self.dedup, dict(self.tables), self.quality), lake)
 
 
 _MEMO: dict[tuple, Lakehouse] = {}
@@ -137,7 +144,7 @@ def _attach(out: Lakehouse, lake: Lake) -> Lakehouse:
     for layer, name in [("silver", "stg_rides"), ("silver", "silver_obt"),
                         ("gold", "dim_location_versions")] + [("gold", g) for g in GOLD]:
         out.tables[name] = lake.read(layer, name)
-    if lake.manifest("gold", "gold_base") is not None:
+    if lake.exists(lake.path("gold", "gold_base")):
         out.tables["gold_base"] = lake.read("gold", "gold_base")
     else:  # deduplicated build: the OBT is the gold base
         out.tables["gold_base"] = out.tables["silver_obt"].where("ride_id IS NOT NULL")
@@ -174,7 +181,7 @@ def materialized(spark: SparkSession, sf_dir: str, dedup: bool = True, reuse: bo
             build = uuid.uuid4().hex[:12]
             root = posixpath.join(base.root, fp, build)
             Lakehouse.from_tables(spark, sf_dir, dedup).materialize(Lake(spark, root))
-            base.write_text_atomic(pointer, build)
+            base.write_text(pointer, build)
             lh = _read_built(spark, sf_dir, dedup, root)
         _MEMO[key] = lh
         return lh

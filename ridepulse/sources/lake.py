@@ -1,9 +1,7 @@
-"""Layered table store (bronze / silver / gold) on a shared file system.
+"""Layered tables (bronze / silver / gold) as plain Parquet on a shared file system.
 
-``Lake(root)`` maps ``(layer, table)`` to ``<root>/<layer>/<table>`` and reads
-and writes Parquet.  Batch writes are whole-table; streaming gold tables use
-the versioned keyed upsert in ``ridepulse.streaming.upsert``, whose readers
-go through ``Lake.read`` as well.
+``Lake(root)`` maps ``(layer, table)`` to ``<root>/<layer>/<table>``.  Batch writes replace a table;
+streams append through Spark's file sink, whose own log makes readers see whole batches only.
 
 The root must be on storage every executor sees (the cluster's
 ``spark.checkpoint.dir`` or a lake bucket), never a machine-local folder.
@@ -11,24 +9,18 @@ The root must be on storage every executor sees (the cluster's
 
 from __future__ import annotations
 
-import json
 import posixpath
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-MANIFEST = "_manifest.json"
-#: One file for the manifests of the tables that a streaming batch changes together.
-TOGETHER = "_tables.json"
-
 
 class Lake:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    # -- paths -----------------------------------------------------------------
     def path(self, layer: str, table: str) -> str:
         return posixpath.join(self.root, layer, table)
 
@@ -42,148 +34,40 @@ class Lake:
         fs, p = self._fs(path)
         return fs.exists(p)
 
+    def make_dir(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.mkdirs(p)
+
     def read_text(self, path: str) -> str | None:
         if not self.exists(path):
             return None
         fs, p = self._fs(path)
         stream = fs.open(p)
         try:
-            jvm = self.spark.sparkContext._jvm
-            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
-    def write_text_atomic(self, path: str, text: str) -> None:
-        """Write to a unique temp name, then rename over ``path`` (publish step)."""
+    def write_text(self, path: str, text: str) -> None:
+        """A small file in one step: written under another name, then renamed (the first one to do so wins)."""
         fs, p = self._fs(path)
-        jvm = self.spark.sparkContext._jvm
-        tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+        tmp = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
         out = fs.create(tmp, True)
         try:
             out.write(bytearray(text.encode("utf-8")))
         finally:
             out.close()
-        # Replace in one step.  That is atomic on HDFS and local file systems: a crash leaves
-        # the old or the new manifest.  An object store's rename copies and deletes, so there a
-        # manifest needs a catalog commit (``MergeTable``) instead.
-        ctx = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            p.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        gateway = self.spark.sparkContext._gateway
-        opts = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        ctx.rename(tmp, p, opts)
-
-    def list_dirs(self, path: str) -> list[str]:
-        """Names of the sub-directories of ``path`` (empty when it does not exist)."""
-        if not self.exists(path):
-            return []
-        fs, p = self._fs(path)
-        return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
-
-    def make_dir(self, path: str) -> None:
-        fs, p = self._fs(path)
-        fs.mkdirs(p)
-
-    def manifest(self, layer: str, table: str) -> dict | None:
-        txt = self.read_text(posixpath.join(self.path(layer, table), MANIFEST))
-        if txt:
-            return json.loads(txt)
-        return self._together().get(f"{layer}/{table}")
-
-    def _together(self) -> dict:
-        txt = self.read_text(posixpath.join(self.root, TOGETHER))
-        return json.loads(txt) if txt else {}
-
-    def publish(self, manifests: dict[tuple[str, str], dict]) -> None:
-        """Make the new versions of one or more keyed tables live in one step: a reader sees a
-        batch in all of them or in none."""
-        new = {f"{layer}/{table}": m for (layer, table), m in manifests.items()}
-        self.write_text_atomic(posixpath.join(self.root, TOGETHER), json.dumps(self._together() | new, sort_keys=True))
-
-    def write_rejects(self, rows: DataFrame, table: str, batch: str) -> int:
-        """Keep the rows that a table can't take, once per batch; returns their number."""
-        if rows.isEmpty():
-            return 0
-        path = posixpath.join(self.root, "rejects", table, f"batch={batch}")
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path).count()
-
-    # -- whole-table batch I/O --------------------------------------------------
-    def write_overwrite(self, df: DataFrame, layer: str, table: str,
-                        partition_by: list[str] | None = None) -> str:
-        """Write a new version directory and publish it in the manifest.
-
-        Readers never see a half-written table: the manifest names the
-        previous version until the new one is complete.
-        """
-        base = self.path(layer, table)
-        version = f"v={uuid.uuid4().hex[:12]}"
-        w = df.write.mode("error")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(posixpath.join(base, version))
-        self.write_text_atomic(posixpath.join(base, MANIFEST),
-                               json.dumps({"kind": "table", "version": version}))
-        return version
-
-    def write_append(self, df: DataFrame, layer: str, table: str) -> None:
-        """Append files to an append-only table (no manifest: all files are live)."""
-        df.write.mode("append").parquet(posixpath.join(self.path(layer, table), "append"))
-
-    def read(self, layer: str, table: str) -> DataFrame:
-        base = self.path(layer, table)
-        m = self.manifest(layer, table)
-        if m is None:
-            return self.spark.read.parquet(posixpath.join(base, "append"))
-        if m["kind"] == "table":
-            return self.spark.read.parquet(posixpath.join(base, m["version"]))
-        df = self.read_keyed(layer, table, m)
-        if df is None or m.get("scd", 1) == 1:
-            return df
-        from ridepulse.operators.scd import with_end_at
-        return with_end_at(df, m["keys"], m["sequence_by"])
-
-    def read_keyed(self, layer: str, table: str, m: dict, buckets=None) -> DataFrame | None:
-        """The live rows of a keyed table (of some buckets), without end dates; None if there are none."""
-        from ridepulse.streaming.upsert import BUCKET
-        paths = [posixpath.join(self.path(layer, table), v, f"{BUCKET}={b}") for b, parts in sorted(m["buckets"].items())
-                 if buckets is None or b in buckets for v in parts]
-        if not paths:
-            return None
-        return self.spark.read.schema(StructType.fromJson(json.loads(m["schema"]))).parquet(*paths)
-
-    # -- housekeeping -------------------------------------------------------------
-    def live_versions(self, layer: str, table: str) -> set[str]:
-        """Version directories the current manifest references."""
-        m = self.manifest(layer, table)
-        if m is None:
-            return set()
-        if m["kind"] == "table":
-            return {m["version"]}
-        return {v for parts in m["buckets"].values() for v in parts}
-
-    def vacuum(self, layer: str, table: str, retain_hours: float = 168.0,
-               dry_run: bool = True) -> list[str]:
-        """Version directories no longer referenced and older than ``retain_hours``.
-
-        A superseded version may still be read by a query that planned before
-        the manifest moved on, hence the retention.  With ``dry_run=False`` the
-        listed directories are deleted; the live version is never touched.
-        """
-        import time
-        base = self.path(layer, table)
-        live = self.live_versions(layer, table)
-        if not live:
-            return []
-        fs, p = self._fs(base)
-        cutoff_ms = (time.time() - retain_hours * 3600.0) * 1000.0
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith("v=") and name not in live \
-                    and st.getModificationTime() < cutoff_ms:
-                out.append(name)
-                if not dry_run:
-                    fs.delete(st.getPath(), True)
-        return sorted(out)
-
+        fs.rename(tmp, p)
+
+    # -- tables ------------------------------------------------------------------------
+    def write_overwrite(self, df: DataFrame, layer: str, table: str, partition_by: list[str] | None = None) -> None:
+        """Replace a table (with ``partition_by``: by Hive-style partitions)."""
+        w = df.write.mode("overwrite")
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(self.path(layer, table))
+
+    def read(self, layer: str, table: str, schema: StructType | None = None) -> DataFrame:
+        """A table; with a schema, one that a stream has not written to yet is empty."""
+        if schema is None:
+            return self.spark.read.parquet(self.path(layer, table))
+        self.make_dir(self.path(layer, table))
+        return self.spark.read.schema(schema).parquet(self.path(layer, table))

@@ -1,72 +1,83 @@
 """The streaming medallion pipeline on Structured Streaming (S5-S7, T1-T12 on streams).
 
-* ``archive``: raw JSON events -> parsed rides appended to
-  ``bronze/streaming_rides_archive`` (S6): a copy that outlives the broker.
-* ``ingest``, one query per source (bulk history, live events, archive), each with a
-  checkpoint of its own, so a source may be added at any time.  Every micro-batch keeps the
-  rides that ``silver/stg_rides`` does not hold yet (T4, T5: exact, whatever the time between
-  two copies of a ride), enriches them (T6, stateless: no watermark is needed, D2), appends
-  both silver tables and merges the dimensions (T9-T12).  One manifest makes all tables of a
-  batch live at once.
-
-Both silver ride tables are bucketed by booking month: a batch looks for its ride ids only in
-the months it holds.  The enriched table is the base of the star: the fact and
-``dim_booking`` are projections of it, so a query that needs both scans it once and joins
-nothing.  ``dedup=False`` (the literal append) keeps copies in silver and a keyed
-``gold_base`` beside it.
-
-``run_update`` runs the flows in order with ``availableNow`` triggers, the analogue of one
-triggered pipeline update.  Checkpoints live under the lake root (shared storage).
+Native streaming queries joined by tables; every one has its own checkpoint, and every table is
+written by Spark's file sink, so each row arrives exactly once and a restart goes on where it stopped:
+
+1. ``bronze``: raw JSON events -> parsed rides in ``streaming_rides_archive`` (S6, a copy that outlives the
+   broker), bulk history -> ``bulk_rides_stream`` (S5).  A source may be added at any time.
+2. ``silver``: all bronze rides (T4) -> one row per ride id (T5) -> lookups (T6, stateless: no watermark is
+   needed, D2) -> ``silver_obt``, partitioned by booking month.  T5 is a key state over the whole history: a copy of a ride is
+   dropped whenever it comes and whatever its booking time says.  Live rides come through the archive, where
+   they are parsed once.  The quality rules (G1, G3, G4) are counted on the way (``observe``), without a scan.
+3. ``gold``: one consumer per dimension on the silver table, each reading its own columns (S7, T9-T12).
+
+The enriched table is the base of the star: the fact and ``dim_booking`` are projections of it, so a
+query that needs both scans it once and joins nothing.  ``dedup=False`` (the literal append) keeps copies in
+silver (the live rides and their archive copies) and a keyed ``gold_base`` beside it.
+
+``run_update`` runs the flows in order with ``availableNow`` triggers, the analogue of one triggered pipeline
+update.  Checkpoints live under the lake root (shared storage).
 """
 
 from __future__ import annotations
 
-import json
 import posixpath
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, StructField, StructType
 
 from ridepulse.functions.dates import BOOKING_MONTH, booking_month
 from ridepulse.operators.gold import Star
+from ridepulse.operators.quality import counters, fare_rules, status_rules, time_rules
+from ridepulse.operators.scd import with_end_at
 from ridepulse.operators.silver import build_obt, conform, normalise_ts, parse_rides
 from ridepulse.schemas import DIM_COLUMNS, DIM_KEYS, FACT_COLUMNS, MAP_SCHEMAS, OBT_LOOKUP_COLUMNS, RIDES
 from ridepulse.sources.lake import Lake
-from ridepulse.streaming.upsert import BUCKET, KeyedTable
+from ridepulse.streaming.dimensions import first_seen
 
 ARCHIVE = ("bronze", "streaming_rides_archive")
-DIMENSIONS = ["dim_passenger", "dim_driver", "dim_vehicle", "dim_payment"]
+BULK = ("bronze", "bulk_rides_stream")
+OBT = ("silver", "silver_obt")
+GOLD_BASE = ("gold", "gold_base")
+DIMENSIONS = ["dim_passenger", "dim_driver", "dim_vehicle", "dim_payment", "dim_location"]
+METRICS = "quality"
 
-#: Columns of the enriched table.
+#: Columns of the enriched table; stored with its month as the partition column.
 OBT_SCHEMA = StructType(RIDES.fields + [StructField(out, MAP_SCHEMAS[name][src].dataType)
                                         for name, cols in OBT_LOOKUP_COLUMNS for src, out in cols])
+STORED_OBT = StructType(OBT_SCHEMA.fields + [StructField(BOOKING_MONTH, DateType())])
 
 
-def _sink_path(lake: Lake, table: tuple[str, str]) -> str:
-    return posixpath.join(lake.path(*table), "append")
+def _schema(name: str) -> StructType:
+    return StructType([OBT_SCHEMA[c] for c in DIM_COLUMNS[name]])
 
 
-def _checkpoint(lake: Lake, flow: str) -> str:
+def checkpoint(lake: Lake, flow: str) -> str:
     return posixpath.join(lake.root, "_checkpoints", flow)
 
 
-def _started(writer, available_now: bool):
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
+def _into(rows: DataFrame, lake: Lake, table: tuple[str, str], flow: str, available_now: bool = True,
+          partition_by: str | None = None) -> StreamingQuery:
+    """Append a stream to a table by the file sink."""
+    w = rows.writeStream.format("parquet").outputMode("append").queryName(flow) \
+        .option("checkpointLocation", checkpoint(lake, flow)).option("path", lake.path(*table))
+    w = w.partitionBy(partition_by) if partition_by else w
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
 
 
 def read_appended(spark: SparkSession, lake: Lake, table: tuple[str, str], schema: StructType = RIDES,
                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream an append table written by a file sink (its metadata log keeps reads exact).
+    """Stream a table written by a file sink (its log keeps reads exact).
 
     The schema is declared, so a table without any file yet is an empty stream.
     """
-    lake.make_dir(_sink_path(lake, table))
+    lake.make_dir(lake.path(*table))
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(_sink_path(lake, table))
+    return r.parquet(lake.path(*table))
 
 
 def parsed_events(raw: DataFrame) -> DataFrame:
@@ -74,130 +85,89 @@ def parsed_events(raw: DataFrame) -> DataFrame:
     return normalise_ts(parse_rides(raw))
 
 
-def archive_flow(raw: DataFrame, lake: Lake, available_now: bool = True):
+def archive_flow(raw: DataFrame, lake: Lake, available_now: bool = True) -> StreamingQuery:
     """Persist every parsed event, independent of broker retention."""
-    return _started(parsed_events(raw).writeStream.format("parquet").outputMode("append").queryName("archive")
-                    .option("checkpointLocation", _checkpoint(lake, "archive"))
-                    .option("path", _sink_path(lake, ARCHIVE)), available_now)
-
-
-def tables(lake: Lake, buckets: int = 16, dedup: bool = True) -> dict[str, KeyedTable]:
-    """The tables an ingest batch changes.  ``buckets`` (of the dimensions) should give buckets of some 100 MB."""
-    month = {"bucket_by": booking_month()}
-    t = {"stg_rides": KeyedTable(lake, "silver", "stg_rides", ["ride_id"], keep_null_keys=True, **month),
-         "silver_obt": KeyedTable(lake, "silver", "silver_obt", ["ride_id"], keep_null_keys=True, **month)}
-    if not dedup:
-        t["gold_base"] = KeyedTable(lake, "gold", "gold_base", ["ride_id"], **month)
-    for name in DIMENSIONS:  # sequence = key: the first stored row wins
-        t[name] = KeyedTable(lake, "gold", name, DIM_KEYS[name], buckets=buckets)
-    t["dim_location"] = KeyedTable(lake, "gold", "dim_location", ["pickup_city_id"], 2, "city_updated_at", buckets=buckets)
-    return t
-
-
-def _query_id(lake: Lake, flow: str) -> str:
-    """The id stored in the query's checkpoint (stable across restarts, new for a new checkpoint)."""
-    txt = lake.read_text(posixpath.join(_checkpoint(lake, flow), "metadata"))
-    return json.loads(txt.splitlines()[0])["id"] if txt else flow
-
-
-def unseen(batch: DataFrame, stg: KeyedTable) -> DataFrame:
-    """T5 on a stream: one row per ride of the batch that is not stored yet; rides without an id pass."""
-    keyed = stg._resolve(None, batch.where(F.col("ride_id").isNotNull()))
-    months = [r[0] for r in keyed.select(stg._bucket()).distinct().collect()]
-    stored = stg.stored(buckets=months)
-    if stored is not None:
-        keyed = keyed.join(stored.select("ride_id"), "ride_id", "left_anti").select(*batch.columns)
-    return keyed.unionByName(batch.where(F.col("ride_id").isNull()))
-
-
-def ingest_batch(lake: Lake, maps: dict[str, DataFrame], flow: str, buckets: int = 16, dedup: bool = True):
-    """The ``foreachBatch`` function of an ingest flow (T4-T6, S7 tap, T9-T12)."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        t, qid = tables(lake, buckets, dedup), _query_id(lake, flow)
-        if t["stg_rides"].done(batch_id, qid):
-            return
-        rides = normalise_ts(conform(batch))
-        new = (unseen(rides, t["stg_rides"]) if dedup else rides).persist()
-        obt = build_obt(new, maps).persist()
-        try:
-            rows = obt.where(F.col("ride_id").isNotNull())
-            work = {"stg_rides": (new, True, True), "silver_obt": (obt, True, True)}
-            if not dedup:
-                work["gold_base"] = (obt, False, False)
-            for name in [*DIMENSIONS, "dim_location"]:
-                work[name] = (rows.select(*DIM_COLUMNS[name]), False, False)
-            # The tables are independent: their jobs share the cluster instead of queueing.
-            with ThreadPoolExecutor(max_workers=len(work)) as pool:
-                made = {n: pool.submit(t[n].prepare, df, batch_id, qid, unique, fresh)
-                        for n, (df, unique, fresh) in work.items()}
-                lake.publish({(t[n].layer, n): m for n, f in made.items() if (m := f.result()) is not None})
-        finally:
-            obt.unpersist()
-            new.unpersist()
-    return run
-
-
-def ingest_flow(rides: DataFrame, maps: dict[str, DataFrame], lake: Lake, source: str, buckets: int = 16,
-                dedup: bool = True, available_now: bool = True):
-    """One source of rides into silver and gold.  Run one ingest flow at a time: they share the tables."""
-    flow = f"ingest-{source}"
-    return _started(rides.writeStream.queryName(flow).foreachBatch(ingest_batch(lake, maps, flow, buckets, dedup))
-                    .option("checkpointLocation", _checkpoint(lake, flow)), available_now)
-
-
-def _read(table: KeyedTable, schema: StructType) -> DataFrame:
-    df = table.read()
-    return table.spark.createDataFrame([], schema) if df is None else df
+    return _into(parsed_events(raw), lake, ARCHIVE, "archive", available_now)
+
+
+def bulk_flow(bulk: DataFrame, lake: Lake, available_now: bool = True) -> StreamingQuery:
+    """The bulk history, picked up file by file."""
+    return _into(normalise_ts(conform(bulk)), lake, BULK, "bulk", available_now)
+
+
+def unique_rides(rides: DataFrame) -> DataFrame:
+    """T5 on a stream, exact over all months: the first row of every ride id that ever arrives; rides without an id
+    can't be told apart from their copies, so all of them pass (as in ``dedup_rides``)."""
+    return first_seen(rides, ["ride_id"]).unionByName(rides.where(F.col("ride_id").isNull()))
+
+
+def silver_flow(spark: SparkSession, lake: Lake, maps: dict[str, DataFrame], dedup: bool = True, available_now: bool = True,
+                max_files_per_trigger: int | None = None, files_per_month: int = 1) -> StreamingQuery:
+    """Bronze rides -> ``silver_obt``.  ``files_per_month``: files that a batch adds to a month."""
+    tables = [BULK, ARCHIVE] if dedup else [BULK, ARCHIVE, ARCHIVE]
+    rides = None
+    for t in tables:
+        part = read_appended(spark, lake, t, max_files_per_trigger=max_files_per_trigger)
+        rides = part if rides is None else rides.unionByName(part)
+    obt = build_obt(unique_rides(rides) if dedup else rides, maps).observe(METRICS, *counters(
+        {**fare_rules(None), **time_rules(), **status_rules(), "has_ride_id": (F.lit(True), F.col("ride_id").isNull())}))
+    obt = obt.select(*OBT_SCHEMA.fieldNames()).withColumn(BOOKING_MONTH, booking_month())
+    spread = F.pmod(F.xxhash64("ride_id"), F.lit(files_per_month))
+    return _into(obt.repartition(F.col(BOOKING_MONTH), spread), lake, OBT, "silver" if dedup else "silver-literal", available_now, BOOKING_MONTH)
+
+
+def gold_flow(spark: SparkSession, lake: Lake, name: str, available_now: bool = True) -> StreamingQuery:
+    """One consumer of the silver table; reads the dimension's own columns of rides that have an id."""
+    rides = read_appended(spark, lake, OBT, STORED_OBT).where(F.col("ride_id").isNotNull())
+    if name == "gold_base":
+        return _into(first_seen(rides, ["ride_id"]), lake, GOLD_BASE, name, available_now, BOOKING_MONTH)
+    return _into(first_seen(rides.select(*DIM_COLUMNS[name]), DIM_KEYS[name]), lake, ("gold", name), name, available_now)
+
+
+def metrics(*queries: StreamingQuery) -> dict[str, tuple[int, int]]:
+    """The quality counts of the queries' batches in this run: rule -> (checked, violations)."""
+    out: dict[str, tuple[int, int]] = {}
+    for q in queries:
+        for p in q.recentProgress:
+            row = (p["observedMetrics"] or {}).get(METRICS)
+            for k in (row.asDict() if row is not None else {}):
+                if k.endswith("__c"):
+                    c, v = out.get(k[:-3], (0, 0))
+                    out[k[:-3]] = (c + (row[k] or 0), v + (row[k[:-1] + "v"] or 0))
+    return out
 
 
 def read_obt(lake: Lake) -> DataFrame:
     """The enriched rides, with their month as a partition column (a scan skips other months)."""
-    t = tables(lake)["silver_obt"]
-    m = t.manifest()
-    paths = [posixpath.join(t.base, v, f"{BUCKET}={b}") for b, parts in sorted(m["buckets"].items()) for v in parts]
-    if not paths:
-        return lake.spark.createDataFrame([], OBT_SCHEMA).withColumn(BOOKING_MONTH, F.lit(None).cast("date"))
-    stored = lake.spark.read.option("basePath", t.base).schema(StructType(
-        OBT_SCHEMA.fields + [StructField(BUCKET, StringType())])).parquet(*paths)
-    month = F.col(BUCKET).try_cast("date").alias(BOOKING_MONTH)  # rides without a booking time: NULL
-    return stored.select(*OBT_SCHEMA.fieldNames(), month)
-
-
-def read_star(lake: Lake, buckets: int = 16) -> Star:
-    """The star schema as maintained by the ingest flows; fact and booking are projections of one base."""
-    literal = tables(lake, buckets, dedup=False)["gold_base"]
-    base = (literal.read() if literal.manifest()["buckets"] else read_obt(lake)).where(F.col("ride_id").isNotNull())
-    t = tables(lake, buckets)
-    types = {f.name: f for f in OBT_SCHEMA.fields}
-    dims = {n: _read(t[n], StructType([types[c] for c in DIM_COLUMNS[n]])) for n in DIMENSIONS}
-    loc = t["dim_location"].read()
-    if loc is None:
-        from ridepulse.operators.scd import with_end_at
-        loc = with_end_at(_read(t["dim_location"], StructType([types[c] for c in DIM_COLUMNS["dim_location"]])),
-                          ["pickup_city_id"], "city_updated_at")
-    return Star(fact=base.select(*FACT_COLUMNS), dim_booking=base.select(*DIM_COLUMNS["dim_booking"]),
-                dim_location=loc, base=base, **dims)
+    return lake.read(*OBT, STORED_OBT)
+
+
+def read_star(lake: Lake) -> Star:
+    """The star schema as maintained by the flows; fact and booking are projections of one base."""
+    literal = lake.exists(lake.path(*GOLD_BASE))
+    base = (lake.read(*GOLD_BASE, STORED_OBT) if literal else read_obt(lake)).where(F.col("ride_id").isNotNull())
+    dims = {n: lake.read("gold", n, _schema(n)) for n in DIMENSIONS}
+    dims["dim_location"] = with_end_at(dims["dim_location"], ["pickup_city_id"], "city_updated_at")
+    return Star(fact=base.select(*FACT_COLUMNS), dim_booking=base.select(*DIM_COLUMNS["dim_booking"]), base=base, **dims)
 
 
 def run_update(spark: SparkSession, lake: Lake, maps: dict[str, DataFrame], raw_events: DataFrame | None,
-               bulk: DataFrame | None = None, dedup: bool = True, buckets: int = 16) -> Star:
-    """One triggered pipeline update: archive, then every source into silver and gold, each to completion.
+               bulk: DataFrame | None = None, dedup: bool = True, quality: dict | None = None) -> Star:
+    """One triggered pipeline update: bronze, silver, gold, each to completion.
 
     ``raw_events`` is a stream of JSON text (column ``rides``, e.g. ``kafka_rides`` or
     ``raw_event_files``, rate-limited there); ``bulk`` a stream of ride rows.  Empty sources and
-    sources that join later are fine.
+    sources that join later are fine.  ``quality`` is filled with the update's rule counts.
     """
-    sources = {}
-    if bulk is not None:
-        sources["bulk"] = bulk
-    if raw_events is not None:
-        archive_flow(raw_events, lake).awaitTermination()
-        sources["live"] = parsed_events(raw_events)
-    sources["archive"] = read_appended(spark, lake, ARCHIVE)
-    for name, rides in sources.items():
-        ingest_flow(rides, maps, lake, name, buckets, dedup).awaitTermination()
-    return read_star(lake, buckets)
-
-
-__all__ = ["archive_flow", "ingest_flow", "ingest_batch", "tables", "unseen", "read_star", "read_obt", "run_update",
-           "read_appended", "parsed_events"]
+    bronze = [archive_flow(raw_events, lake)] if raw_events is not None else []
+    bronze += [bulk_flow(bulk, lake)] if bulk is not None else []
+    for q in bronze:
+        q.awaitTermination()
+    silver = silver_flow(spark, lake, maps, dedup)
+    silver.awaitTermination()
+    if quality is not None:
+        quality.update(metrics(silver))
+    gold = [gold_flow(spark, lake, name) for name in (DIMENSIONS if dedup else [*DIMENSIONS, "gold_base"])]
+    for q in gold:  # the consumers are independent: their jobs share the cluster
+        q.awaitTermination()
+    return read_star(lake)

@@ -1,16 +1,24 @@
 """Batch = stream: rides pushed as JSON event files through the streaming pipeline
 give the same star schema as the batch build; replays and restarts change nothing."""
 
+import glob
+import json
+import os
+import shutil
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
+from ridepulse.operators import forecast as FC
+from ridepulse.operators import quality as G
+from ridepulse.operators import scd as SCD
 from ridepulse.plans.lakehouse import Lakehouse
 from ridepulse.sources.binding import maps_from_tables, rides_from_tables
-from ridepulse.sources.events import raw_event_files, ride_events
+from ridepulse.sources.events import bulk_source, raw_event_files, ride_events
 from ridepulse.sources.lake import Lake
-from ridepulse.streaming import flows
-from ridepulse.streaming.upsert import KeyedTable
-from tests.conftest import SF_SMALL
+from ridepulse.streaming import dimensions, flows, windows
+from tests.conftest import SF_SMALL, small_maps
 
 TABLES = ["fact", "dim_passenger", "dim_driver", "dim_vehicle", "dim_payment", "dim_booking",
           "dim_location"]
@@ -29,76 +37,68 @@ def _write_events(spark, rides, path, chunks):
         ev.where(digit == i).select("value").coalesce(1).write.text(f"{path}/part{i}")
 
 
-@pytest.mark.parametrize("chunks,files_per_trigger", [(1, 1), (3, 1), (10, 1)])
-def test_stream_equals_batch(spark, tmpdir_fresh, chunks, files_per_trigger):
+@pytest.mark.parametrize("chunks", [1, 3])
+def test_stream_equals_batch(spark, tmpdir_fresh, chunks):
     rides = rides_from_tables(spark, SF_SMALL)
-    if chunks > 1:  # every batch writes to every month it holds: a few months will do
-        rides = rides.where(F.col("booking_timestamp") < F.lit("1992-05-01").cast("timestamp"))
     _write_events(spark, rides, f"{tmpdir_fresh}/events", chunks)
     lake = Lake(spark, f"{tmpdir_fresh}/lake")
-    maps = maps_from_tables(spark, SF_SMALL)
-    raw = raw_event_files(spark, f"{tmpdir_fresh}/events/*", files_per_trigger)
-    star = flows.run_update(spark, lake, maps, raw)
-    batch = Lakehouse(spark, [rides], maps).star
+    maps, seen = maps_from_tables(spark, SF_SMALL), {}
+    star = flows.run_update(spark, lake, maps, raw_event_files(spark, f"{tmpdir_fresh}/events/*", 1), quality=seen)
+    lh = Lakehouse(spark, [rides], maps)
     for t in TABLES:
-        assert _same(getattr(star, t), getattr(batch, t)), t
+        assert _same(getattr(star, t), getattr(lh.star, t)), t
+    # G rules are counted inside the update: the same numbers as a scan
+    want = {r.rule: (r.checked, r.violations) for f in (G.fare_audit, G.time_order_check, G.status_check) for r in f(lh.obt).collect()}
+    assert {k: v for k, v in seen.items() if k != "has_ride_id"} == want and seen["has_ride_id"] == (rides.count(), 0)
     # a second update (restart from the checkpoints, nothing new) changes nothing
-    star2 = flows.run_update(spark, lake, maps, raw_event_files(spark, f"{tmpdir_fresh}/events/*"))
-    assert _same(star2.fact, batch.fact)
+    again: dict = {}
+    star = flows.run_update(spark, lake, maps, raw_event_files(spark, f"{tmpdir_fresh}/events/*"), quality=again)
+    assert _same(star.fact, lh.star.fact) and not any(c for c, _ in again.values())
 
 
-def test_replayed_batch_is_skipped(spark, tmpdir_fresh):
-    lake = Lake(spark, f"{tmpdir_fresh}/lake")
-    t = KeyedTable(lake, "gold", "t", ["k"], buckets=4)
-    b0 = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
-    assert t.apply(b0, 0, "q1") == "applied"
-    assert t.apply(spark.createDataFrame([("a", 9)], "k string, v int"), 0, "q1") == "skipped"
-    assert {r.k: r.v for r in t.read().collect()} == {"a": 1, "b": 2}
-    # a new query id (fresh checkpoint) restarting at batch 0 is applied; ties keep stored rows
-    assert t.apply(spark.createDataFrame([("a", 9), ("c", 3)], "k string, v int"), 0, "q2") == "applied"
-    assert {r.k: r.v for r in t.read().collect()} == {"a": 1, "b": 2, "c": 3}
+def test_batch_update_counts_the_rules_on_the_way(spark, tmpdir_fresh):
+    lh = Lakehouse.from_tables(spark, SF_SMALL).materialize(Lake(spark, f"{tmpdir_fresh}/lake"))
+    want = {r.rule: (r.checked, r.violations) for f in (G.fare_audit, G.time_order_check, G.status_check) for r in f(lh.obt).collect()}
+    assert lh.quality == want
 
 
-def test_keyed_scd1_with_sequence_rewrites_only_changed_buckets(spark, tmpdir_fresh):
-    lake = Lake(spark, f"{tmpdir_fresh}/lake")
-    t = KeyedTable(lake, "gold", "t", ["k"], 1, "s", buckets=4)
-    t.apply(spark.createDataFrame([(f"k{i}", 1, "v1") for i in range(20)], "k string, s int, v string"), 0, "q")
-    t.apply(spark.createDataFrame([("k3", 2, "v2"), ("k4", 0, "old")], "k string, s int, v string"), 1, "q")
-    got = {r.k: r.v for r in t.read().collect()}
-    assert len(got) == 20 and got["k3"] == "v2" and got["k4"] == "v1"
+def _events(tmp, name, rides):
+    d = os.path.join(tmp, name)
+    os.makedirs(d, exist_ok=True)
+    if rides:
+        with open(os.path.join(d, f"{len(os.listdir(d)):03d}.txt"), "w") as f:
+            f.write("\n".join(json.dumps(r) for r in rides) + "\n")
+    return d
 
 
-def test_keyed_scd2_appends_versions_out_of_order(spark, tmpdir_fresh):
-    from datetime import datetime
-    lake = Lake(spark, f"{tmpdir_fresh}/lake")
-    t = KeyedTable(lake, "gold", "loc", ["id"], 2, "ts", buckets=2)
-    t.apply(spark.createDataFrame([(1, datetime(2024, 1, 5), "new")], "id int, ts timestamp, n string"), 0, "q")
-    t.apply(spark.createDataFrame([(1, datetime(2024, 1, 1), "old")], "id int, ts timestamp, n string"), 1, "q")
-    hist = t.read().orderBy("ts").collect()
-    assert [r.n for r in hist] == ["old", "new"]
-    assert hist[0]["__END_AT"] == datetime(2024, 1, 5) and hist[1]["__END_AT"] is None
+def _ride(i, at="2024-01-01T00:00:00", **kw):
+    return {"ride_id": i, "pickup_city_id": 1, "passenger_id": "p", "booking_timestamp": at, "total_fare": 1.0, **kw}
 
 
-def test_compaction_keeps_content(spark, tmpdir_fresh):
-    lake = Lake(spark, f"{tmpdir_fresh}/lake")
-    t = KeyedTable(lake, "gold", "t", ["k"], buckets=1, max_parts=2)
-    for i in range(4):
-        t.apply(spark.createDataFrame([(f"k{i}", i)], "k string, v int"), i, "q")
-    m = t.manifest()
-    assert all(len(parts) <= 2 for parts in m["buckets"].values())
-    assert sorted(r.k for r in t.read().collect()) == ["k0", "k1", "k2", "k3"]
+@pytest.mark.parametrize("triggers", [1, 3, 10])
+def test_dedup_is_exact_over_all_months(spark, tmpdir_fresh, triggers):
+    """A copy with another or no booking time is dropped, however many triggers lie between the two."""
+    files = [[_ride(f"r{i}") for i in range(6)], [_ride(f"r{i}", "2019-07-01T00:00:00") for i in range(3)],
+             [_ride("r4", None), _ride("r5", "garbage"), _ride("new", "2024-03-01T00:00:00")]]
+    files += [[_ride("r0", f"2024-0{m}-01T00:00:00"), _ride(f"m{m}", f"2024-0{m}-01T00:00:00")] for m in range(1, 8)]
+    per_trigger = -(-len(files) // triggers)
+    lake, rides = Lake(spark, f"{tmpdir_fresh}/lake"), None
+    for i in range(0, len(files), per_trigger):
+        rides = _events(tmpdir_fresh, "ev", [r for f in files[i:i + per_trigger] for r in f])
+    flows.archive_flow(raw_event_files(spark, rides, 1), lake).awaitTermination()
+    flows.silver_flow(spark, lake, small_maps(spark), max_files_per_trigger=1).awaitTermination()
+    got = {r.ride_id: r for r in flows.read_obt(lake).collect()}
+    assert sorted(got) == sorted([f"r{i}" for i in range(6)] + ["new"] + [f"m{m}" for m in range(1, 8)])
+    assert flows.read_obt(lake).count() == len(got)
+    if triggers == 10:  # the first to come stays
+        assert all(got[f"r{i}"].booking_timestamp == datetime(2024, 1, 1) for i in range(6))
 
 
 def test_watermark_on_stateless_enrichment_drops_nothing(spark, tmpdir_fresh):
     """A 3-minute event-time watermark before the stateless lookups keeps
     late (30-day-old) rides; only stateful steps would drop them."""
-    import json
-    import os
-    from datetime import datetime, timedelta
-
     from ridepulse.operators.silver import build_obt, with_event_time
     from ridepulse.sources.events import RAW_RIDES
-    from tests.conftest import small_maps
     d = os.path.join(tmpdir_fresh, "in")
     os.makedirs(d)
     now = datetime(2024, 2, 1, 12)
@@ -115,59 +115,50 @@ def test_watermark_on_stateless_enrichment_drops_nothing(spark, tmpdir_fresh):
     assert sorted(r.ride_id for r in spark.table("wm_obt").collect()) == ["r0", "r1", "r2"]
 
 
+def test_windows_close_late_rides_are_counted_and_the_last_equals_batch(spark, tmpdir_fresh):
+    """T7 with A9 / A10: the closed window that ends at ``as_of`` is the batch forecast's row."""
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(minutes=17 * i), 1 + i % 2, 1.0 + i % 4 / 4, 1 + i % 3) for i in range(60)]
+    late = [(start + timedelta(hours=1), 1, 9.0, 2)]
+    last = [(start + timedelta(hours=30), 1, 1.0, 1)]
+    schema = "booking_timestamp timestamp, pickup_city_id long, surge_multiplier double, ride_status_id long"
+    for part in (rows[:30], rows[30:], last, late):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmpdir_fresh}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmpdir_fresh}/in")
+    got, late_seen = {}, []
+    for name, make in (("demand", windows.demand_windows), ("pressure", windows.pressure_windows)):
+        q = make(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmpdir_fresh}/{name}-ck") \
+            .trigger(availableNow=True).start(f"{tmpdir_fresh}/{name}")
+        q.awaitTermination()
+        late_seen.append(windows.late_rows(q))
+        got[name] = {(r.as_of, r.pickup_city_id): r for r in spark.read.parquet(f"{tmpdir_fresh}/{name}").collect()}
+    assert late_seen == [6, 6]  # one ride, six windows, all closed
+    cities = spark.createDataFrame([(1, "One"), (2, "Two")], "city_id long, city string")
+    obt = spark.createDataFrame(rows + last, schema)
+    for as_of in (start + timedelta(hours=6), start + timedelta(hours=17)):
+        for r in FC.predict_demand_all_cities(obt, cities, 1, as_of).collect():
+            w = got["demand"][as_of, r.city_id]
+            assert all(w[c] == r[c] for c in ("rides_last_6h", "avg_rides_per_hour", "avg_surge_last_6h", "predicted_rides", "confidence"))
+        for r in FC.predict_pressure_all_cities(obt, cities, as_of).collect():
+            w = got["pressure"][as_of, r.city_id]
+            assert all(w[c] == r[c] for c in ("peak_surge_last_6h", "cancellation_rate_last_6h", "pressure_score", "pressure_band"))
+    assert max(a for a, _ in got["demand"]) <= start + timedelta(hours=30)  # later windows are still open
+
+
 def test_run_update_with_bulk_stream(spark, tmpdir_fresh):
     """S5 through the pipeline: bulk files + live events overlapping on one ride."""
-    import json
-    import os
-
-    from ridepulse.sources.events import bulk_source
-    from tests.conftest import small_maps
-    bulk_dir, ev_dir = os.path.join(tmpdir_fresh, "bulk"), os.path.join(tmpdir_fresh, "ev")
+    bulk_dir = os.path.join(tmpdir_fresh, "bulk")
     os.makedirs(bulk_dir)
-    os.makedirs(ev_dir)
     with open(os.path.join(bulk_dir, "b.json"), "w") as f:
-        json.dump([{"ride_id": "a", "pickup_city_id": 1, "booking_timestamp": "2024-01-01T00:00:00",
-                    "passenger_id": "p", "total_fare": 10.0},
-                   {"ride_id": "b", "pickup_city_id": 2, "booking_timestamp": "2024-01-01T01:00:00",
-                    "passenger_id": "p", "total_fare": 5.0}], f)
-    with open(os.path.join(ev_dir, "e.txt"), "w") as f:
-        f.write(json.dumps({"ride_id": "b", "pickup_city_id": 2, "passenger_id": "p",
-                            "booking_timestamp": "2024-01-01T01:00:00", "total_fare": 5.0}) + "\n")
+        json.dump([_ride("a", total_fare=10.0), _ride("b", "2024-01-01T01:00:00", pickup_city_id=2)], f)
+    events = _events(tmpdir_fresh, "ev", [_ride("b", "2024-01-01T01:00:00", pickup_city_id=2)])
     lake = Lake(spark, os.path.join(tmpdir_fresh, "lake"))
-    star = flows.run_update(spark, lake, small_maps(spark), raw_event_files(spark, ev_dir),
-                            bulk=bulk_source(spark, bulk_dir))
+    star = flows.run_update(spark, lake, small_maps(spark), raw_event_files(spark, events), bulk=bulk_source(spark, bulk_dir))
     assert sorted(r.ride_id for r in star.fact.collect()) == ["a", "b"]
     assert star.dim_passenger.count() == 1
 
 
-def test_vacuum_lists_only_superseded_versions(spark, tmpdir_fresh):
-    lake = Lake(spark, f"{tmpdir_fresh}/lake")
-    df = spark.createDataFrame([(1,)], "x int")
-    first = lake.write_overwrite(df, "gold", "t")
-    second = lake.write_overwrite(df, "gold", "t")
-    assert lake.live_versions("gold", "t") == {second}
-    assert lake.vacuum("gold", "t", retain_hours=0.0) == [first]  # dry run: nothing deleted
-    assert lake.vacuum("gold", "t", retain_hours=1.0) == []  # still inside the retention
-    assert lake.read("gold", "t").count() == 1
-
-
-def _events(tmp, name, rides):
-    import json
-    import os
-    d = os.path.join(tmp, name)
-    os.makedirs(d, exist_ok=True)
-    if rides:
-        with open(os.path.join(d, f"{len(os.listdir(d))}.txt"), "w") as f:
-            f.write("\n".join(json.dumps(r) for r in rides) + "\n")
-    return d
-
-
-def _ride(i, at="2024-01-01T00:00:00", **kw):
-    return {"ride_id": i, "pickup_city_id": 1, "passenger_id": "p", "booking_timestamp": at, "total_fare": 1.0, **kw}
-
-
 def test_first_update_of_an_empty_topic(spark, tmpdir_fresh):
-    from tests.conftest import small_maps
     lake = Lake(spark, f"{tmpdir_fresh}/lake")
     events = _events(tmpdir_fresh, "ev", [])
     star = flows.run_update(spark, lake, small_maps(spark), raw_event_files(spark, events))
@@ -177,45 +168,44 @@ def test_first_update_of_an_empty_topic(spark, tmpdir_fresh):
     assert star.fact.count() == 1 and star.dim_location.count() == 1
 
 
-def test_source_added_later_and_late_archive_copies(spark, tmpdir_fresh):
-    """Bulk first, live events later; the archive delivers every live ride again."""
-    import json
-    import os
-
-    from ridepulse.sources.events import bulk_source
-    from tests.conftest import small_maps
+def test_source_added_later_and_rides_without_an_id(spark, tmpdir_fresh):
+    """Bulk first, live events later; rides without an id all pass silver, gold leaves them out."""
     lake = Lake(spark, f"{tmpdir_fresh}/lake")
     bulk = os.path.join(tmpdir_fresh, "bulk")
     os.makedirs(bulk)
     with open(os.path.join(bulk, "b.json"), "w") as f:
         json.dump([_ride("a"), _ride("b", "2023-05-01T00:00:00")], f)
-    maps = small_maps(spark)
+    maps, seen = small_maps(spark), {}
     assert flows.run_update(spark, lake, maps, None, bulk=bulk_source(spark, bulk)).fact.count() == 2
     events = _events(tmpdir_fresh, "ev", [_ride("b", "2023-05-01T00:00:00"), _ride("c"), _ride(None), _ride(None, total_fare=2.0)])
-    star = flows.run_update(spark, lake, maps, raw_event_files(spark, events), bulk=bulk_source(spark, bulk))
+    star = flows.run_update(spark, lake, maps, raw_event_files(spark, events), bulk=bulk_source(spark, bulk), quality=seen)
     assert sorted(r.ride_id for r in star.fact.collect()) == ["a", "b", "c"]
     obt = flows.read_obt(lake)
-    assert obt.where("ride_id IS NOT NULL").count() == 3  # silver holds no copy either
-    assert obt.where("ride_id IS NULL AND total_fare = 2.0").count() >= 1
+    assert obt.where("ride_id IS NOT NULL").count() == 3 and obt.where("ride_id IS NULL").count() == 2
+    assert seen["has_ride_id"] == (3, 2)  # rejects of the star are counted
 
 
 def test_restart_in_the_middle(spark, tmpdir_fresh):
-    """A batch that was published but not committed to the checkpoint is skipped when it comes again."""
-    from tests.conftest import small_maps
-    lake, maps = Lake(spark, f"{tmpdir_fresh}/lake"), small_maps(spark)
-    rides = spark.createDataFrame([(f"r{i}", 1, f"2024-0{1 + i % 3}-01 00:00:00") for i in range(9)],
-                                  "ride_id string, pickup_city_id long, booking_timestamp string")
-    run = flows.ingest_batch(lake, maps, "ingest-x")
-    run(rides.limit(5), 0)
-    before = lake.manifest("silver", "silver_obt")
-    run(rides.limit(5), 0)
-    assert lake.manifest("silver", "silver_obt") == before
-    run(rides, 1)
-    assert flows.read_star(lake).fact.count() == 9
+    """A batch whose rows were written but whose commit was lost comes again, and nothing is written twice."""
+    maps, lake = small_maps(spark), Lake(spark, f"{tmpdir_fresh}/lake")
+    events = _events(tmpdir_fresh, "ev", [_ride(f"r{i}", f"2024-0{1 + i % 3}-01T00:00:00") for i in range(9)])
+    flows.run_update(spark, lake, maps, raw_event_files(spark, events))
+    before = {t: flows.read_star(lake).__getattribute__(t).count() for t in TABLES}
+    whole = f"{tmpdir_fresh}/lake/_checkpoints"
+    shutil.copytree(whole, f"{tmpdir_fresh}/cut", ignore=lambda d, names: names if os.path.basename(d) == "commits" else [])
+    real = flows.checkpoint
+    flows.checkpoint = lambda lake, flow: f"{tmpdir_fresh}/cut/{flow}"
+    try:
+        star = flows.run_update(spark, lake, maps, raw_event_files(spark, events))
+        _events(tmpdir_fresh, "ev", [_ride("r0"), _ride("r99")])
+        more = flows.run_update(spark, lake, maps, raw_event_files(spark, events))
+    finally:
+        flows.checkpoint = real
+    assert {t: star.__getattribute__(t).count() for t in TABLES} == before
+    assert more.fact.count() == before["fact"] + 1
 
 
 def test_literal_append_keeps_copies_in_silver_only(spark, tmpdir_fresh):
-    from tests.conftest import small_maps
     lake = Lake(spark, f"{tmpdir_fresh}/lake")
     events = _events(tmpdir_fresh, "ev", [_ride("a"), _ride("b")])
     star = flows.run_update(spark, lake, small_maps(spark), raw_event_files(spark, events), dedup=False)
@@ -223,60 +213,96 @@ def test_literal_append_keeps_copies_in_silver_only(spark, tmpdir_fresh):
     assert star.fact.count() == 2
 
 
-def test_bucket_is_written_by_several_tasks(spark, tmpdir_fresh):
-    import glob
-    t = KeyedTable(Lake(spark, f"{tmpdir_fresh}/lake"), "gold", "t", ["k"], buckets=1, rows_per_file=100)
-    t.apply(spark.range(1000).selectExpr("cast(id as string) as k", "id as v"), 0, "q")
-    assert len(glob.glob(f"{tmpdir_fresh}/lake/gold/t/v=*/rp_bucket=0/part-*.parquet")) > 4
-    assert t.read().count() == 1000
-
-
-def test_batch_reads_only_the_months_it_holds(spark, tmpdir_fresh):
-    from ridepulse.functions.dates import booking_month
-    t = KeyedTable(Lake(spark, f"{tmpdir_fresh}/lake"), "silver", "t", ["k"], bucket_by=booking_month())
-    df = spark.createDataFrame([("a", "2024-01-05 00:00:00"), ("b", "2024-02-05 00:00:00"), ("c", None)], "k string, at string")
-    df = df.select("k", F.col("at").cast("timestamp").alias("booking_timestamp"))
-    t.apply(df, 0, "q")
-    assert sorted(t.manifest()["buckets"]) == ["2024-01-01", "2024-02-01", "none"]
-    seen = []
-    read = t.lake.read_keyed
-    t.lake.read_keyed = lambda layer, name, m, buckets=None: (seen.append(sorted(buckets)), read(layer, name, m, buckets))[1]
-    t.apply(df.where("k = 'b'"), 1, "q")
-    assert seen == [["2024-02-01"]]
-    t.lake.read_keyed = read
-    assert t.read().count() == 3
-
-
-def test_buckets_are_not_compacted_all_at_once(spark, tmpdir_fresh):
-    t = KeyedTable(Lake(spark, f"{tmpdir_fresh}/lake"), "gold", "t", ["k"], max_parts=32)
-    due = {b: next(n for n in range(40) if t._full({"buckets": {b: ["v"] * n}}, b)) for b in map(str, range(16))}
-    assert len(set(due.values())) > 4 and max(due.values()) <= 32 and min(due.values()) >= 16
+def _feed(spark, tmp, schema, parts, start):
+    """Each part is a file and a trigger; the query restarts from its checkpoint after every part but the first."""
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp}/in")
+        if i:
+            start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp}/in")).awaitTermination()
+
+
+def test_scd1_on_a_stream_replaces_changed_keys_only(spark, tmpdir_fresh):
+    """Late and tied rows, rows without key or sequence, an untouched partition; RocksDB state."""
+    old = {k: spark.conf.get(k, None) for k in dimensions.STATE}
+    for k, v in dimensions.STATE.items():
+        spark.conf.set(k, v)
+    schema = "k string, s timestamp, v string"
+    at = lambda d: datetime(2024, 1, d)
+    parts = [[(f"k{i}", at(2), "b") for i in range(40)] + [(None, at(9), "x")],
+             [("k3", at(3), "c"), ("k3", at(3), None), ("k4", at(1), "old"), ("k5", at(2), "a"), ("k6", None, "none"), ("n", None, "q")],
+             [("k3", at(3), "c"), ("n", None, "p"), ("z", at(1), "z")]]
+    lake = Lake(spark, f"{tmpdir_fresh}/lake")
+    rows = spark.createDataFrame([r for p in parts for r in p], schema)
+    put = dimensions.replace_keys(lake, "gold", "t", ["k"], rows.schema, buckets=16, files=2)
+    try:
+        _feed(spark, tmpdir_fresh, schema, parts, lambda stream: dimensions.latest(stream, ["k"], "s").writeStream.outputMode("update")
+              .foreachBatch(put).option("checkpointLocation", f"{tmpdir_fresh}/ck").trigger(availableNow=True).start())
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = lake.read("gold", "t").drop(dimensions.BUCKET)
+    assert _same(got, SCD.scd1(None, rows, ["k"], "s"))
+    assert {r.k: r.v for r in got.collect()}["k3"] is None and got.count() == 42
 
 
-def test_rejects_are_counted_and_kept(spark, tmpdir_fresh):
-    from datetime import datetime
+def test_scd1_batch_that_comes_again_writes_the_same(spark, tmpdir_fresh):
     lake = Lake(spark, f"{tmpdir_fresh}/lake")
-    t = KeyedTable(lake, "gold", "loc", ["id"], 2, "ts", buckets=2)
-    rows = spark.createDataFrame([(1, datetime(2024, 1, 5)), (None, datetime(2024, 1, 5)), (2, None)], "id int, ts timestamp")
-    for _ in range(2):  # a replay does not count twice
-        t.apply(rows, 0, "q")
-    assert t.read().count() == 1 and t.manifest()["rejected"] == 2
-    assert spark.read.parquet(f"{tmpdir_fresh}/lake/rejects/loc").count() == 2
+    schema = spark.createDataFrame([("a", 1)], "k string, v int").schema
+    put = dimensions.replace_keys(lake, "gold", "t", ["k"], schema, buckets=2)
+    put(spark.createDataFrame([(f"k{i}", 1) for i in range(9)], schema), 0)
+    for _ in range(2):
+        put(spark.createDataFrame([("k1", 2), ("new", 3)], schema), 1)
+    put(spark.createDataFrame([], schema), 2)
+    assert {r.k: r.v for r in lake.read("gold", "t").collect()} == {**{f"k{i}": 1 for i in range(9)}, "k1": 2, "new": 3}
 
 
-def test_lake_reads_keyed_history_with_end_dates(spark, tmpdir_fresh):
-    from datetime import datetime
+def test_scd1_rewrites_only_the_batch_s_partitions(spark, tmpdir_fresh):
     lake = Lake(spark, f"{tmpdir_fresh}/lake")
-    t = KeyedTable(lake, "gold", "loc", ["id"], 2, "ts", buckets=2)
-    t.apply(spark.createDataFrame([(1, datetime(2024, 1, 5)), (1, datetime(2024, 2, 5))], "id int, ts timestamp"), 0, "q")
-    assert _same(lake.read("gold", "loc"), t.read()) and "__END_AT" in lake.read("gold", "loc").columns
+    df = spark.createDataFrame([(f"k{i}", 1) for i in range(50)], "k string, v int")
+    put = dimensions.replace_keys(lake, "gold", "t", ["k"], df.schema, buckets=8, files=3)
+    put(df, 0)
+    before = set(glob.glob(f"{tmpdir_fresh}/lake/gold/t/key_bucket=*/part-*"))
+    assert len(before) > 16  # a partition is written by several tasks
+    put(spark.createDataFrame([("k7", 2)], df.schema), 1)
+    gone = {os.path.dirname(f) for f in before - set(glob.glob(f"{tmpdir_fresh}/lake/gold/t/key_bucket=*/part-*"))}
+    assert len(gone) == 1 and lake.read("gold", "t").where("v = 2").count() == 1 and lake.read("gold", "t").count() == 50
+
+
+def test_scd1_needs_an_ordered_sequence(spark):
+    with pytest.raises(TypeError, match="cannot order"):
+        dimensions.latest(spark.createDataFrame([("a", "x")], "k string, s string"), ["k"], "s")
+
+
+def test_scd2_on_a_stream_takes_late_versions_and_replays(spark, tmpdir_fresh):
+    schema = "id int, ts timestamp, name string"
+    parts = [[(1, datetime(2024, 1, 5), "new"), (2, datetime(2024, 1, 1), "x"), (None, datetime(2024, 1, 1), "no"), (3, None, "no")],
+             [(1, datetime(2024, 1, 1), "old"), (1, datetime(2024, 1, 5), "new")], [(1, datetime(2024, 1, 5), "new"), (2, datetime(2024, 2, 1), "y")]]
+    keys = ["id", "ts"]
+    _feed(spark, tmpdir_fresh, schema, parts, lambda stream: dimensions.first_seen(stream, keys).writeStream.format("parquet")
+          .option("checkpointLocation", f"{tmpdir_fresh}/ck").trigger(availableNow=True).start(f"{tmpdir_fresh}/out"))
+    got = SCD.with_end_at(spark.read.parquet(f"{tmpdir_fresh}/out"), ["id"], "ts")
+    rows = spark.createDataFrame([r for p in parts for r in p], schema).where("id IS NOT NULL")
+    assert _same(got, SCD.scd2(None, rows, ["id"], "ts")) and got.count() == 4
+
+
+@pytest.mark.parametrize("salts", [1, 4])
+def test_as_of_by_one_sort_equals_the_join(spark, salts):
+    at = lambda d: datetime(2024, 1, d) if d else None
+    dim = SCD.with_end_at(spark.createDataFrame([(k, at(d), f"{k}{d}") for k in (1, 2) for d in range(5, 25, 3)] + [(3, at(9), "only")],
+                                                "id int, ts timestamp, name string"), ["id"], "ts").withColumnRenamed("id", "k")
+    facts = spark.createDataFrame([(i, [1, 1, 1, 2, 3, 4, None][i % 7], at(i % 29)) for i in range(120)], "fact int, id int, at timestamp")
+    facts = facts.unionAll(facts.limit(5))
+    want = SCD.as_of_join(facts, dim, "id", "k", "at").select("fact", "id", "at", "k", "ts", "name", "__START_AT", "__END_AT")
+    got = SCD.as_of_sorted(facts, dim, "id", "k", "at", salts=salts)
+    assert _same(got, want) and got.count() == 125
+    same_key = dim.withColumnRenamed("k", "id")
+    assert _same(SCD.as_of_sorted(facts, same_key, "id", "id", "at", salts=salts), SCD.as_of_join(facts, same_key, "id", "id", "at"))
 
 
 def test_streaming_star_queries_do_not_shuffle_rides(spark, tmpdir_fresh):
     from ridepulse.operators import curated as A
     from ridepulse.operators import shaping as P
     from ridepulse.operators import star as Q
-    from tests.conftest import small_maps
     lake = Lake(spark, f"{tmpdir_fresh}/lake")
     events = _events(tmpdir_fresh, "ev", [_ride(f"r{i}", f"2024-0{1 + i % 5}-01T00:00:00", pickup_latitude=1.0, pickup_longitude=2.0)
                                           for i in range(20)])
@@ -296,9 +322,7 @@ def test_streaming_star_queries_do_not_shuffle_rides(spark, tmpdir_fresh):
 
 
 def test_quality_checks_inside_foreach_batch(spark, tmpdir_fresh):
-    from ridepulse.operators import quality as G
     from ridepulse.operators import silver as SV
-    from tests.conftest import small_maps
     events = _events(tmpdir_fresh, "ev", [_ride("a", ride_status_id=2, cancellation_reason_id=4), _ride("b", duration_minutes=1)])
     got, maps = {}, small_maps(spark)
 
