@@ -4,7 +4,8 @@ Aggregating doubles makes the last bits depend on summation order, i.e. on
 partitioning.  Measures are summed as integer millionths instead: a ``LongType``
 sum is exact, stays inside whole-stage codegen, combines map-side, and gives the
 same answer on 8 or 8,000 partitions.  Results are rounded once, after the
-aggregate.  Six decimals are kept per value, and a sum may reach 9.2e12.
+aggregate.  Six decimals are kept per value.  A sum is kept in two longs, the low ``LOW_BITS`` bits of every
+value and the rest, so it can't overflow: values may reach 9.2e12, sums 9e18, over 8e12 rows.
 
 Rounding is half-up, ``floor(x * 10^n + 0.5) / 10^n``.
 """
@@ -39,9 +40,38 @@ def hundredths(c) -> Column:
     return F.floor(col(c) * F.lit(100.0) + F.lit(0.5))
 
 
+LOW_BITS = 20
+
+
+def _limbs(high: Column, low: Column) -> Column:
+    """Two sums as one struct, the low one's carry moved to the high one."""
+    return F.struct((high + F.shiftright(low, LOW_BITS)).alias("high"), low.bitwiseAND((1 << LOW_BITS) - 1).alias("low"))
+
+
+def exact_sum_long(m: Column) -> Column:
+    """SUM of a long column that can't overflow, as (high, low)."""
+    return _limbs(F.sum(F.shiftright(m, LOW_BITS)), F.sum(m.bitwiseAND((1 << LOW_BITS) - 1)))
+
+
+def exact_sum(c) -> Column:
+    """SUM of a measure in millionths as (high, low): to be summed again by ``sum_again``."""
+    return exact_sum_long(micros(c))
+
+
+def sum_again(total: str) -> Column:
+    """SUM of a column of (high, low) sums."""
+    return _limbs(F.sum(F.col(total)["high"]), F.sum(F.col(total)["low"]))
+
+
+def value(total) -> Column:
+    """The amount of a (high, low) sum as double; NULL when every input was NULL."""
+    t = col(total)
+    return (t["high"].cast("double") * F.lit(float(1 << LOW_BITS)) + t["low"].cast("double")) / F.lit(MICRO)
+
+
 def sum2(c) -> Column:
     """SUM of a measure, exact; NULL when every input is NULL."""
-    return F.sum(micros(c)) / F.lit(MICRO)
+    return value(exact_sum(c))
 
 
 def avg2(c) -> Column:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ridepulse.functions.dates import newest
-from ridepulse.functions.joins import literal_lookup
-from ridepulse.functions.numeric import MICRO, avg2, avg_long, count_if, pct, rnd, sum2
+from ridepulse.functions.joins import literal_lookup, small_lookup
+from ridepulse.functions.numeric import avg2, avg_long, count_if, pct, rnd, sum2, sum_again, value
 from ridepulse.functions.params import (
     validate_city,
     validate_city_list,
@@ -73,10 +73,10 @@ def top_cities_by_revenue(star: Star, limit: int = 10, location_mode: str = "cur
     g = (_by_city(star, location_mode).where(F.col("pickup_city").isNotNull())
          .groupBy(F.col("pickup_city").alias("city")).agg(
              F.sum("n").alias("total_rides"),
-             (F.sum("fare0_h") / F.lit(MICRO)).alias("total_revenue"),
-             rnd(F.sum("fare0_h") / F.lit(MICRO) / F.sum("n")).alias("avg_fare"),
-             rnd(F.sum("surge1_h") / F.lit(MICRO) / F.sum("n")).alias("avg_surge"),
-             rnd(F.sum("rating_h") / F.lit(MICRO) / F.sum("rating_n")).alias("avg_rating")))
+             value(sum_again("fare0_h")).alias("total_revenue"),
+             rnd(value(sum_again("fare0_h")) / F.sum("n")).alias("avg_fare"),
+             rnd(value(sum_again("surge1_h")) / F.sum("n")).alias("avg_surge"),
+             rnd(value(sum_again("rating_h")) / F.sum("rating_n")).alias("avg_rating")))
     order = [F.col("total_revenue").desc(), F.col("city").asc()]
     top = g.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")) \
@@ -142,14 +142,14 @@ def kpi_dashboard(star: Star) -> DataFrame:
 def rides_of_city(obt: DataFrame, city: str, cities: DataFrame | None = None) -> DataFrame:
     """Rides picked up in a city by (case-insensitive) name.
 
-    With the city map, the name is resolved to ids first (every version of the map counts),
-    and the ids reach the Parquet scan; a comparison with ``lower(name)`` alone cannot.
+    With the city map, other cities' rides are dropped by id before their names are compared (every version of
+    the map counts); the map's few rows are a broadcast, so nothing runs while the plan is built.
     """
-    name = validate_city(city).lower()
+    name = F.lit(validate_city(city).lower())
     if cities is not None:
-        ids = [r[0] for r in cities.where(F.lower("city") == F.lit(name)).select("city_id").distinct().collect()]
-        obt = obt.where(F.col("pickup_city_id").isin(*ids)) if ids else obt.where(F.lit(False))
-    return obt.where(F.lower("pickup_city") == F.lit(name))
+        ids = small_lookup(cities.where(F.lower("city") == name).select(F.col("city_id").alias("pickup_city_id")))
+        obt = obt.join(ids, "pickup_city_id", "left_semi")
+    return obt.where(F.lower("pickup_city") == name)
 
 
 def silver_city_overview(obt: DataFrame, city: str, cities: DataFrame | None = None) -> DataFrame:

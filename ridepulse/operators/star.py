@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridepulse.functions.joins import small_lookup
-from ridepulse.functions.numeric import MICRO, count_if, micros, pct, rnd
+from ridepulse.functions.numeric import count_if, exact_sum, exact_sum_long, micros, pct, rnd, sum_again, value
 from ridepulse.functions.params import validate_limit
 from ridepulse.operators.gold import Star
 from ridepulse.sources.lookups import current_cities
@@ -29,10 +29,10 @@ def _measures() -> dict:
     fare0 = F.coalesce("total_fare", F.lit(0.0))
     surge1 = F.coalesce("surge_multiplier", F.lit(1.0))
     return {
-        "n": F.count(F.lit(1)), "fare_h": _hsum("total_fare"), "fare_n": _nn("total_fare"), "fare0_h": F.sum(_h(fare0)),
-        "tip0_h": F.sum(_h(F.coalesce("tip_amount", F.lit(0.0)))), "surge_h": _hsum("surge_multiplier"),
-        "surge_n": _nn("surge_multiplier"), "surge1_h": F.sum(_h(surge1)), "surge1_max": F.max(surge1),
-        "rating_h": _hsum("rating"), "rating_n": _nn("rating"), "miles_h": _hsum("distance_miles"),
+        "n": F.count(F.lit(1)), "fare_h": exact_sum("total_fare"), "fare_n": _nn("total_fare"), "fare0_h": exact_sum(fare0),
+        "tip0_h": exact_sum(F.coalesce("tip_amount", F.lit(0.0))), "surge_h": exact_sum("surge_multiplier"),
+        "surge_n": _nn("surge_multiplier"), "surge1_h": exact_sum(surge1), "surge1_max": F.max(surge1),
+        "rating_h": exact_sum("rating"), "rating_n": _nn("rating"), "miles_h": exact_sum("distance_miles"),
         "miles_n": _nn("distance_miles"), "cancelled": count_if(F.col("ride_status_id") == 2)}
 
 
@@ -59,24 +59,12 @@ def _partial(fact: DataFrame, key: str, measures: dict) -> DataFrame:
     return fact.groupBy(key).agg(*[c.alias(n) for n, c in measures.items()])
 
 
-def _h(c):
-    return micros(c)
-
-
-def _hsum(c):
-    return F.sum(_h(c))
-
-
 def _nn(c):
     return F.count(F.col(c) if isinstance(c, str) else c)
 
 
-def _div(num, den):
-    return num / F.lit(MICRO) / den
-
-
 def _mean(total: str, n: str):
-    return _div(F.col(total), F.nullif(F.col(n), F.lit(0)))
+    return value(total) / F.nullif(F.col(n), F.lit(0))
 
 
 def kpis(star: Star, pre: DataFrame | None = None) -> DataFrame:
@@ -88,7 +76,7 @@ def kpis(star: Star, pre: DataFrame | None = None) -> DataFrame:
         fb = star.fact_with_booking(["total_fare", "tip_amount", "surge_multiplier", "rating", "distance_miles"], ["ride_status_id"])
         pre = fb.agg(*[c.alias(n) for n, c in _measures().items()])
     return pre.select(
-        F.col("n").alias("total_rides"), (F.col("fare_h") / F.lit(MICRO)).alias("total_revenue"),
+        F.col("n").alias("total_rides"), value("fare_h").alias("total_revenue"),
         rnd(_mean("fare_h", "fare_n")).alias("avg_fare"), rnd(_mean("surge_h", "surge_n")).alias("avg_surge"),
         rnd(_mean("rating_h", "rating_n")).alias("avg_rating"), rnd(_mean("miles_h", "miles_n")).alias("avg_distance"),
         pct(F.col("cancelled"), F.nullif(F.col("n"), F.lit(0))).alias("cancellation_rate"))
@@ -102,21 +90,19 @@ FEED_COLUMNS = ["ride_id", "booking_timestamp", "passenger_name", "driver_name",
 def live_feed(star: Star, limit: int = 10, location_mode: str = "current") -> DataFrame:
     """Q2: newest rides with names and labels (12 columns), newest first, ties by ``ride_id``.
 
-    The top-k of fact x booking reads only the newest months.  It runs when this is called,
-    and its at most ``MAX_LIMIT`` rows become literal rows: their ids then reach the scans of
-    the ride-sized dimensions as literals, and no dimension is shuffled.
+    The top-k of fact x booking opens the newest months only.  Its at most ``MAX_LIMIT`` rows are broadcast
+    against the ride-sized dimensions, whose few matching rows are then broadcast back: no dimension is
+    shuffled, and nothing runs before the result is asked for.
     """
     limit = validate_limit(limit)
     fb = star.fact_with_booking(["passenger_id", "driver_id", "vehicle_id", "pickup_city_id",
                                  "total_fare", "distance_miles", "duration_minutes",
                                  "surge_multiplier", "rating"], ["booking_timestamp"], newest_rows=limit)
-    rows = (fb.orderBy(F.col("booking_timestamp").desc_nulls_last(), F.col("ride_id").asc_nulls_last())
-            .limit(limit).collect())
-    top = fb.sparkSession.createDataFrame(rows, fb.schema)
+    top = fb.orderBy(F.col("booking_timestamp").desc_nulls_last(), F.col("ride_id").asc_nulls_last()).limit(limit)
 
     def wanted(dim: DataFrame, key: str, *columns: str) -> DataFrame:
-        ids = sorted({r[key] for r in rows if r[key] is not None})
-        return F.broadcast(dim.where(F.col(key).isin(*ids)).select(key, *columns))  # one row per id
+        rows = dim.select(key, *columns).join(F.broadcast(top.select(key)), key, "left_semi")
+        return F.broadcast(rows)  # one row per id, at most MAX_LIMIT ids
 
     out = (top.join(wanted(star.dim_passenger, "passenger_id", "passenger_name"), "passenger_id", "left")
            .join(wanted(star.dim_driver, "driver_id", "driver_name", "driver_rating"), "driver_id", "left")
@@ -129,12 +115,12 @@ def _by_city(star: Star, location_mode: str) -> DataFrame:
     """Fact pre-aggregated per pickup city id, joined to the (tiny) location dim."""
     pre = _partial(star.fact, "pickup_city_id", {
         "n": F.count(F.lit(1)),
-        "fare_h": _hsum("total_fare"),
+        "fare_h": exact_sum("total_fare"),
         "fare_n": _nn("total_fare"),
-        "fare0_h": F.sum(_h(F.coalesce("total_fare", F.lit(0.0)))),
-        "surge1_h": F.sum(_h(F.coalesce("surge_multiplier", F.lit(1.0)))),
+        "fare0_h": exact_sum(F.coalesce("total_fare", F.lit(0.0))),
+        "surge1_h": exact_sum(F.coalesce("surge_multiplier", F.lit(1.0))),
         "surge1_max": F.max(F.coalesce("surge_multiplier", F.lit(1.0))),
-        "rating_h": _hsum("rating"),
+        "rating_h": exact_sum("rating"),
         "rating_n": _nn("rating"),
     })
     return pre.join(star.location_lookup(location_mode), "pickup_city_id", "left")
@@ -149,18 +135,18 @@ def rides_by_city(star: Star, limit: int = 10, location_mode: str = "current",
     pre = by_city if by_city is not None else _by_city(star, location_mode)
     g = pre.groupBy(F.col("pickup_city").alias("city")).agg(
         F.sum("n").alias("total_rides"),
-        (F.sum("fare_h") / F.lit(MICRO)).alias("total_revenue"))
+        value(sum_again("fare_h")).alias("total_revenue"))
     return g.orderBy(F.col("total_rides").desc(), F.col("city").asc_nulls_first()).limit(limit)
 
 
 def rides_by_vehicle_type(star: Star, pre: DataFrame | None = None) -> DataFrame:
     """Q4: rides and average fare per vehicle type (NULL type is a group)."""
     pre = pre if pre is not None else _partial(star.fact, "vehicle_id", {
-        "n": F.count(F.lit(1)), "fare_h": _hsum("total_fare"), "fare_n": _nn("total_fare")})
+        "n": F.count(F.lit(1)), "fare_h": exact_sum("total_fare"), "fare_n": _nn("total_fare")})
     j = pre.join(star.dim_vehicle.select("vehicle_id", "vehicle_type"), "vehicle_id", "left")
     return (j.groupBy("vehicle_type").agg(
         F.sum("n").alias("total_rides"),
-        rnd(_div(F.sum("fare_h"), F.sum("fare_n"))).alias("avg_fare"))
+        rnd(value(sum_again("fare_h")) / F.sum("fare_n")).alias("avg_fare"))
         .orderBy(F.col("total_rides").desc(), F.col("vehicle_type").asc_nulls_first()))
 
 
@@ -185,17 +171,17 @@ def top_drivers(star: Star, limit: int = 5, pre: DataFrame | None = None) -> Dat
     """Q7: leaderboard by driver *name* (homonyms merge), NULL names dropped."""
     pre = pre if pre is not None else _partial(star.fact, "driver_id", {
         "n": F.count(F.lit(1)),
-        "fare0_h": F.sum(_h(F.coalesce("total_fare", F.lit(0.0)))),
-        "tip0_h": F.sum(_h(F.coalesce("tip_amount", F.lit(0.0))))})
+        "fare0_h": exact_sum(F.coalesce("total_fare", F.lit(0.0))),
+        "tip0_h": exact_sum(F.coalesce("tip_amount", F.lit(0.0)))})
     d = star.dim_driver.where(F.col("driver_name").isNotNull()) \
         .select("driver_id", "driver_name", "driver_rating")
     j = pre.join(d, "driver_id", "inner")
     g = j.groupBy("driver_name").agg(
-        rnd(_div(F.sum(_h("driver_rating") * F.col("n")),
-                 F.sum(F.when(F.col("driver_rating").isNotNull(), F.col("n"))))).alias("driver_rating"),
+        rnd(value(exact_sum_long(micros("driver_rating") * F.col("n")))
+            / F.sum(F.when(F.col("driver_rating").isNotNull(), F.col("n")))).alias("driver_rating"),
         F.sum("n").alias("total_rides"),
-        (F.sum("fare0_h") / F.lit(MICRO)).alias("total_revenue"),
-        rnd(_div(F.sum("tip0_h"), F.sum("n"))).alias("avg_tip"))
+        value(sum_again("fare0_h")).alias("total_revenue"),
+        rnd(value(sum_again("tip0_h")) / F.sum("n")).alias("avg_tip"))
     return g.orderBy(F.col("total_rides").desc(), F.col("driver_name").asc()).limit(limit)
 
 
@@ -221,7 +207,7 @@ def revenue_by_region(star: Star, cities: DataFrame, join_on: str = "id",
     return (j.where(F.col("mc_region").isNotNull())
             .groupBy(F.col("mc_region").alias("region"))
             .agg(F.sum("n").alias("total_rides"),
-                 (F.sum("fare0_h") / F.lit(MICRO)).alias("total_revenue"))
+                 value(sum_again("fare0_h")).alias("total_revenue"))
             .orderBy(F.col("total_revenue").desc(), F.col("region").asc()))
 
 

@@ -540,8 +540,8 @@ def p6(spark, sf_dir):
     """Per-city rides, revenue and average fare as compact display text."""
     st = lake(spark, sf_dir).star
     g = Q._by_city(st, "current").groupBy(F.col("pickup_city").alias("city")).agg(
-        F.sum("n").alias("total_rides"), (F.sum("fare_h") / F.lit(Q.MICRO)).alias("total_revenue"),
-        Q.rnd(F.sum("fare_h") / F.lit(Q.MICRO) / F.sum("fare_n")).alias("avg_fare"))
+        F.sum("n").alias("total_rides"), Q.value(Q.sum_again("fare_h")).alias("total_revenue"),
+        Q.rnd(Q.value(Q.sum_again("fare_h")) / F.sum("fare_n")).alias("avg_fare"))
     return g.select("city", *[P.compact_number(F.col(c)).alias(c)
                               for c in ["total_rides", "total_revenue", "avg_fare"]])
 
