@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ridepulse.functions.dates import newest
-from ridepulse.functions.joins import literal_lookup, small_lookup
+from ridepulse.functions.joins import literal_lookup
 from ridepulse.functions.numeric import avg2, avg_long, count_if, pct, rnd, sum2, sum_again, value
 from ridepulse.functions.params import (
     validate_city,
@@ -139,22 +139,14 @@ def kpi_dashboard(star: Star) -> DataFrame:
 
 # ---------------------------------------------------------------- silver (OBT)
 
-def rides_of_city(obt: DataFrame, city: str, cities: DataFrame | None = None) -> DataFrame:
-    """Rides picked up in a city by (case-insensitive) name.
-
-    With the city map, other cities' rides are dropped by id before their names are compared (every version of
-    the map counts); the map's few rows are a broadcast, so nothing runs while the plan is built.
-    """
-    name = F.lit(validate_city(city).lower())
-    if cities is not None:
-        ids = small_lookup(cities.where(F.lower("city") == name).select(F.col("city_id").alias("pickup_city_id")))
-        obt = obt.join(ids, "pickup_city_id", "left_semi")
-    return obt.where(F.lower("pickup_city") == name)
+def rides_of_city(obt: DataFrame, city: str) -> DataFrame:
+    """Rides picked up in a city by (case-insensitive) name."""
+    return obt.where(F.lower("pickup_city") == F.lit(validate_city(city).lower()))
 
 
-def silver_city_overview(obt: DataFrame, city: str, cities: DataFrame | None = None) -> DataFrame:
+def silver_city_overview(obt: DataFrame, city: str) -> DataFrame:
     """Per (city, state, region) of the matching name; every group is returned."""
-    return rides_of_city(obt, city, cities).groupBy(
+    return rides_of_city(obt, city).groupBy(
         F.col("pickup_city").alias("city"), "state", "region").agg(
         F.count(F.lit(1)).alias("total_rides"),
         sum2(_fare0()).alias("total_revenue"),
@@ -166,9 +158,9 @@ def silver_city_overview(obt: DataFrame, city: str, cities: DataFrame | None = N
         rnd(avg2(F.col("driver_rating"))).alias("avg_driver_rating"))
 
 
-def silver_vehicle_mix(obt: DataFrame, city: str, limit: int = 8, cities: DataFrame | None = None) -> DataFrame:
+def silver_vehicle_mix(obt: DataFrame, city: str, limit: int = 8) -> DataFrame:
     """Vehicle types of a city: rides, average fare and surge; top 8 by rides."""
-    return (rides_of_city(obt, city, cities).where(F.col("vehicle_type").isNotNull())
+    return (rides_of_city(obt, city).where(F.col("vehicle_type").isNotNull())
             .groupBy("vehicle_type").agg(
                 F.count(F.lit(1)).alias("rides"),
                 rnd(avg2(_fare0())).alias("avg_fare"),
@@ -176,18 +168,18 @@ def silver_vehicle_mix(obt: DataFrame, city: str, limit: int = 8, cities: DataFr
             .orderBy(F.col("rides").desc(), F.col("vehicle_type").asc()).limit(limit))
 
 
-def silver_payment_mix(obt: DataFrame, city: str, limit: int = 8, cities: DataFrame | None = None) -> DataFrame:
+def silver_payment_mix(obt: DataFrame, city: str, limit: int = 8) -> DataFrame:
     """Payment methods of a city, top 8 by rides."""
-    return (rides_of_city(obt, city, cities).where(F.col("payment_method").isNotNull())
+    return (rides_of_city(obt, city).where(F.col("payment_method").isNotNull())
             .groupBy("payment_method").agg(F.count(F.lit(1)).alias("rides"))
             .orderBy(F.col("rides").desc(), F.col("payment_method").asc()).limit(limit))
 
 
-def silver_status_mix(obt: DataFrame, city: str, limit: int = 8, cities: DataFrame | None = None) -> DataFrame:
+def silver_status_mix(obt: DataFrame, city: str, limit: int = 8) -> DataFrame:
     """A7d: status x cancellation reason of a city (NULLs as 'Unknown' / 'None'), top 8."""
     st = F.coalesce(F.col("ride_status"), F.lit("Unknown"))
     rs = F.coalesce(F.col("cancellation_reason"), F.lit("None"))
-    return (rides_of_city(obt, city, cities).groupBy(st.alias("ride_status"), rs.alias("cancellation_reason"))
+    return (rides_of_city(obt, city).groupBy(st.alias("ride_status"), rs.alias("cancellation_reason"))
             .agg(F.count(F.lit(1)).alias("rides"))
             .orderBy(F.col("rides").desc(), F.col("ride_status").asc(),
                      F.col("cancellation_reason").asc()).limit(limit))

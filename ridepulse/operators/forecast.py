@@ -74,26 +74,25 @@ def _pressure(df: DataFrame) -> DataFrame:
                         .otherwise(F.lit("low"))))
 
 
-def _one_city(obt: DataFrame, city: str, as_of, window_hours: int, cities: DataFrame | None) -> DataFrame:
-    w = rides_of_city(_window(obt, as_of, window_hours), city, cities)
+def _one_city(obt: DataFrame, city: str, as_of, window_hours: int) -> DataFrame:
+    w = rides_of_city(_window(obt, as_of, window_hours), city)
     return w.agg(*_features(window_hours)).withColumn("city", F.lit(city))
 
 
 def predict_city_demand(obt: DataFrame, city: str, horizon_hours: int = 1, as_of=None,
-                        window_hours: int = 6, cities: DataFrame | None = None) -> DataFrame:
+                        window_hours: int = 6) -> DataFrame:
     """Trailing rides per hour x horizon; confidence low when the rate is 0."""
     city, h = validate_city(city), validate_horizon(horizon_hours)
-    out = _demand(_one_city(obt, city, as_of, window_hours, cities), h)
+    out = _demand(_one_city(obt, city, as_of, window_hours), h)
     return out.select("city", "horizon_hours", "rides_last_6h", "avg_rides_per_hour",
                       "avg_surge_last_6h", "cancellation_rate_last_6h", "predicted_rides",
                       "confidence")
 
 
-def predict_surge_pressure(obt: DataFrame, city: str, as_of=None, window_hours: int = 6,
-                           cities: DataFrame | None = None) -> DataFrame:
+def predict_surge_pressure(obt: DataFrame, city: str, as_of=None, window_hours: int = 6) -> DataFrame:
     """A10: weighted score of surge, peak surge and cancellations, banded."""
     city = validate_city(city)
-    out = _pressure(_one_city(obt, city, as_of, window_hours, cities))
+    out = _pressure(_one_city(obt, city, as_of, window_hours))
     return out.select("city", "rides_last_6h", "avg_surge_last_6h", "peak_surge_last_6h",
                       "cancellation_rate_last_6h", "pressure_score", "pressure_band")
 

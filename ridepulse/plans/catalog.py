@@ -240,7 +240,7 @@ FROM obt WHERE lower(pickup_city) = 'nation_3' GROUP BY pickup_city, state, regi
 def a7a(spark, sf_dir):
     """Both cities named NATION_3 are returned (one row per city, state, region)."""
     lh = lake(spark, sf_dir)
-    return A.silver_city_overview(lh.obt, "NATION_3", cities=lh.maps["map_cities"])
+    return A.silver_city_overview(lh.obt, "NATION_3")
 
 
 @register("A7b_silver_vehicle_mix", _q(f"""
@@ -249,7 +249,7 @@ FROM obt WHERE lower(pickup_city) = 'nation_3' AND vehicle_type IS NOT NULL
 GROUP BY vehicle_type ORDER BY rides DESC, vehicle_type ASC LIMIT 8"""))
 def a7b(spark, sf_dir):
     lh = lake(spark, sf_dir)
-    return A.silver_vehicle_mix(lh.obt, "NATION_3", cities=lh.maps["map_cities"])
+    return A.silver_vehicle_mix(lh.obt, "NATION_3")
 
 
 @register("A7c_silver_payment_mix", _q("""
@@ -258,7 +258,7 @@ FROM obt WHERE lower(pickup_city) = 'nation_3' AND payment_method IS NOT NULL
 GROUP BY payment_method ORDER BY rides DESC, payment_method ASC LIMIT 8"""))
 def a7c(spark, sf_dir):
     lh = lake(spark, sf_dir)
-    return A.silver_payment_mix(lh.obt, "NATION_3", cities=lh.maps["map_cities"])
+    return A.silver_payment_mix(lh.obt, "NATION_3")
 
 
 @register("A7d_silver_status_mix", _q("""
@@ -268,7 +268,7 @@ FROM obt WHERE lower(pickup_city) = 'nation_3'
 GROUP BY 1, 2 ORDER BY rides DESC, ride_status ASC, cancellation_reason ASC LIMIT 8"""))
 def a7d(spark, sf_dir):
     lh = lake(spark, sf_dir)
-    return A.silver_status_mix(lh.obt, "NATION_3", cities=lh.maps["map_cities"])
+    return A.silver_status_mix(lh.obt, "NATION_3")
 
 
 @register("A8_recent_signals", _q(f"""
@@ -324,7 +324,7 @@ _ALL = (f"(SELECT c.city_id, c.city, COALESCE(w.rides_last_6h, 0) AS rides_last_
 @register("A9_predict_city_demand", _q(_demand_sql(_ONE, "'NATION_5' AS city")))
 def a9(spark, sf_dir):
     lh = lake(spark, sf_dir)
-    return FC.predict_city_demand(lh.obt, "NATION_5", HORIZON, AS_OF, WINDOW_H, lh.maps["map_cities"])
+    return FC.predict_city_demand(lh.obt, "NATION_5", HORIZON, AS_OF, WINDOW_H)
 
 
 @register("A9b_predict_demand_all_cities", _q(_demand_sql(_ALL, "city_id, city")))
@@ -336,7 +336,7 @@ def a9b(spark, sf_dir):
 @register("A10_predict_surge_pressure", _q(_pressure_sql(_ONE, "'NATION_5' AS city")))
 def a10(spark, sf_dir):
     lh = lake(spark, sf_dir)
-    return FC.predict_surge_pressure(lh.obt, "NATION_5", AS_OF, WINDOW_H, lh.maps["map_cities"])
+    return FC.predict_surge_pressure(lh.obt, "NATION_5", AS_OF, WINDOW_H)
 
 
 @register("A10b_predict_pressure_all_cities", _q(_pressure_sql(_ALL, "city_id, city")))
@@ -381,13 +381,13 @@ _NOW = f"(SELECT {_FEATURES.replace(D(WINDOW_H), D(6))} FROM obt WHERE lower(pic
 def a9_now(spark, sf_dir):
     """The default window: the last six hours, without an upper bound."""
     lh = lake(spark, sf_dir)
-    return FC.predict_city_demand(lh.obt, "NATION_5", HORIZON, cities=lh.maps["map_cities"])
+    return FC.predict_city_demand(lh.obt, "NATION_5", HORIZON)
 
 
 @register("A10_predict_surge_pressure_now", _q(_pressure_sql(_NOW, "'NATION_5' AS city")))
 def a10_now(spark, sf_dir):
     lh = lake(spark, sf_dir)
-    return FC.predict_surge_pressure(lh.obt, "NATION_5", cities=lh.maps["map_cities"])
+    return FC.predict_surge_pressure(lh.obt, "NATION_5")
 
 
 # ---------------------------------------------------------------- P1-P9 (shaping)
