@@ -3,10 +3,12 @@
 All rolling word k-gram hashes of all texts are joined in Spark to the k-grams of the
 license templates.  A hit at word p of a text and word q of a template votes for the
 diagonal p - q; votes are counted per text, template and diagonal.  Neighbouring
-diagonals (a few words put in or left out) are merged, and a merged span is accepted
-if enough of the template's k-grams stand there.  The join compares the words of a
-gram as well as its hash, so every vote is verified.  Short phrases have to stand in
-one piece: all their k-grams on a single diagonal.
+diagonals (a few words put in or left out) are merged: from each diagonal on, those at most
+``DRIFT`` further.  Merged votes are verified before they make a span: the join compares the words of
+a gram as well as its hash, and the places of the template that they stand for, each counted
+once, have to be enough of its k-grams (a gram that the text repeats proves one place).  Of overlapping
+spans of a template the best one is kept.  Short phrases have to stand in one piece: all their
+k-grams on a single diagonal.
 
 Words are the shared ones (``common.WORD``).  A null or empty text has 0 words, no
 spans and score 0.  Repeated rows and null ids are scanned row by row; an empty table
@@ -111,18 +113,22 @@ def license_spans(docs: DataFrame, templates: Sequence[tuple[str, str, bool]], k
         .where("pos < 0 OR template IS NOT NULL")
     counted = written(votes.groupBy("__row", "template", (F.col("pos") - F.col("q")).alias("diagonal")).agg(
         F.max("__id").alias("__id"), F.max(F.when(F.col("pos") < 0, F.col("hash"))).alias("n_words"),
-        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("start"), (F.max("pos") + k).alias("end")), "votes")
+        F.collect_set("q").alias("places"), F.min("pos").alias("start"), (F.max("pos") + k).alias("end")), "votes")
 
     sizes = spark.createDataFrame([(i, len(Words([t]).grams(k)[1]), bool(exact)) for i, (_, t, exact) in enumerate(templates)],
                                   "template int, grams int, exact boolean")
     along = Window.partitionBy("__row", "template").orderBy("diagonal")
-    apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(along) > drift)
-    spans = counted.where("template IS NOT NULL").join(F.broadcast(sizes), "template") \
-        .withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(along)) \
-        .groupBy("__row", "template", "span").agg(
-            F.min("start").alias("start"), F.max("end").alias("end"),
-            F.least(F.lit(1.0), F.sum("votes") / F.first("grams")).alias("coverage"), F.first("exact").alias("exact")) \
+    near = along.rangeBetween(0, drift)  # at most drift + 1 diagonals of at most a template's places
+    merged = counted.where("template IS NOT NULL").join(F.broadcast(sizes), "template")
+    all_places = F.size(F.array_distinct(F.flatten(F.collect_list("places").over(near))))
+    merged = merged.withColumn("coverage", F.when(F.col("exact"), F.size("places")).otherwise(all_places) / F.col("grams")) \
+        .withColumn("start", F.when(F.col("exact"), F.col("start")).otherwise(F.min("start").over(near))) \
+        .withColumn("end", F.when(F.col("exact"), F.col("end")).otherwise(F.max("end").over(near))) \
         .where(F.col("coverage") >= F.when(F.col("exact"), 1.0).otherwise(cover))
+    apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(along) > drift)
+    spans = merged.withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(along)) \
+        .groupBy("__row", "template", "span").agg(F.max(F.struct("coverage", -F.col("diagonal"), "start", "end")).alias("best")) \
+        .select("__row", "template", "best.start", "best.end", "best.coverage")
     none = counted.where("template IS NULL").select("__row", "__id", "n_words")
     return none.join(spans.select("__row", "template", "start", "end", "coverage"), "__row", "left")
 

@@ -2,16 +2,15 @@
 
 1. Host and path are cut out of the url; the longest fitting rule, if any, decides.
 2. Host names are split into words by unigram Viterbi: every distinct host gives its
-   substrings, a join with the word counts prices the known ones, and the cheapest
-   split of each label wins (an unknown word of n letters costs as much as a word seen
-   10 / 10^n times).
+   substrings of the lengths that counted words have, a join with the word counts prices the known
+   ones, and the cheapest split of each label wins (an unknown word of n letters costs as much as a
+   word seen 10 / 10^n times).  Words and hosts may have any length.
 3. Multinomial naive Bayes over host words and path tokens (numbers by first digit and
    length), learnt from the pages that rules decide, scores every page; it decides
    where no rule fits.  Tokens are hashed into ``FEATURES`` cells, so the model has a
    fixed size whatever the table's.
 
-Null urls and urls without ``://`` have an empty host and path and no tokens.  Hosts of
-more than 253 characters (no valid name) are scored unsplit.  Repeated rows and null
+Null urls and urls without ``://`` have an empty host and path and no tokens.  Repeated rows and null
 ids are judged row by row; with an empty table or no page that a rule decides, the
 model says allow.
 """
@@ -29,8 +28,6 @@ from pyspark.sql import functions as F
 from ridepulse.llm.common import written
 
 FEATURES = 1 << 16
-LONGEST_WORD = 16
-LONGEST_HOST = 253
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,23 +52,27 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
 
 
 def text_words(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """(word, n): how often each word of at most ``LONGEST_WORD`` characters stands in the pages' visible text."""
+    """(word, n): how often each word stands in the pages' visible text."""
     text = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), "<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.translate(text, UPPER, LOWER), _NOT_WORD)).alias("word"))
-    return words.where(F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.where(F.length("word") > 0).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_label(label: str, known: dict[tuple[int, int], int], at: int, total: int) -> list[str]:
     """The most probable words of one label that starts at ``at``; known: counts by (start, length)."""
     log_total = math.log10(max(total, 1))
+    priced: dict[int, list[tuple[int, int]]] = {}
+    for (start, size), n in known.items():
+        if at <= start and start + size <= at + len(label):
+            priced.setdefault(start + size - at, []).append((start - at, n))
     best: list[tuple[float, int]] = [(0.0, 0)]
+    ahead = 0  # where an unknown word that ends here had best begin
     for end in range(1, len(label) + 1):
-        options = []
-        for start in range(max(0, end - LONGEST_WORD), end):
-            n = known.get((at + start, end - start))
-            p = math.log10(n) - log_total if n else 1 - log_total - (end - start)
-            options.append((best[start][0] + p, start))
+        options = [(best[start][0] + math.log10(n) - log_total, start) for start, n in priced.get(end, [])]
+        options.append((best[ahead][0] + 1 - log_total - (end - ahead), ahead))
         best.append(max(options))
+        if best[end][0] + end > best[ahead][0] + ahead:
+            ahead = end
     words, end = [], len(label)
     while end:
         start = best[end][1]
@@ -84,10 +85,13 @@ def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """(host, words) for distinct hosts: each label split by unigram Viterbi over ``counts`` (word, n)."""
     counts = written(counts, "url-words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hosts = written(hosts.where(F.length("host").between(1, LONGEST_HOST)), "url-hosts")
+    hosts = written(hosts.where(F.length("host") > 0), "url-hosts")
+    longest = hosts.select(F.max(F.array_max(F.transform(F.split("host", r"\."), F.length)))).first()[0] or 0
+    # the lengths of counted words that fit in a label: at most as many numbers as the longest label has characters
+    lengths = sorted(r[0] for r in counts.select(F.length("word").alias("size")).where(F.col("size") <= longest).distinct().collect())
     starts = hosts.select("host", F.explode(F.sequence(F.lit(1), F.length("host"))).alias("i"))
-    parts = starts.select("host", "i", F.explode(F.sequence(
-        F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("host") - F.col("i") + 1))).alias("size"))
+    left = F.length("host") - F.col("i") + 1
+    parts = starts.select("host", "i", F.explode(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= left)).alias("size"))
     parts = parts.withColumn("word", F.substring("host", F.col("i"), F.col("size"))).where(~F.col("word").rlike(_NOT_WORD))
     found = parts.join(counts, "word").groupBy("host").agg(
         F.collect_list(F.struct(F.col("i"), F.col("size"), F.col("n"))).alias("found"))

@@ -51,3 +51,24 @@ def test_templates_with_drift(spark):
     assert got[5].base_labels == "cc-by-nc" and got[5].labels == "cc-by-nc,gpl" and got[5].first_word == 2
     spans = license_spans(clash(spark, pairs), [(a, b, False) for a, b in TEMPLATES]).where("__id = 1 AND coverage = 1").collect()
     assert [(s.start, s.end) for s in spans] == [(2, 2 + len(mit.split()))]
+
+
+def verified(text, template, drift=3, cover=0.8):
+    """Whether enough different places of the template stand within ``drift`` diagonals: by trying every first diagonal."""
+    w, t = re.findall(WORD, text.translate(UPPER)), template.split()
+    hits = [(p - q, q) for p in range(len(w) - 2) for q in range(len(t) - 2) if w[p:p + 3] == t[q:q + 3]]
+    return max((len({q for d, q in hits if first <= d <= first + drift}) / (len(t) - 2) for first, _ in hits), default=0.0) >= cover
+
+
+def test_spans_are_verified(spark):
+    repeated = [(1, "gnu general public gnu general public"), (2, "licensed under the licensed under the licensed under the")]
+    assert [r.labels for r in license_scan(clash(spark, repeated)).collect()] == ["", ""]
+    rng = random.Random(5)
+    pieces = [x for _, t in TEMPLATES for x in (t, t[:len(t) // 2], " ".join(t.split()[2:5]), " ".join(t.split()[:4] + ["odd"] + t.split()[4:]))]
+    pairs = [(i, " ".join(rng.choice(pieces + ["word", "the", "license"]) for _ in range(rng.randrange(9)))) for i in range(300)]
+    pairs += [(1000, "licensed under the " * 400 + "apache license")]
+    templates = [(label, t) for label, t in TEMPLATES]
+    got = {r.doc_id: {x for x in r.labels.split(",") if x} for r in license_scan(clash(spark, pairs).repartition(3), base=[]).collect()}
+    for i, t in pairs:
+        assert got[i] == {label for label, template in templates if verified(t, template)}, t
+    assert sum(map(len, got.values())) > 100

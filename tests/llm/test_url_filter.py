@@ -1,7 +1,7 @@
 import itertools
 import math
 
-from ridepulse.llm.url_filter import LONGEST_WORD, RULES, naive_bayes, split_label, text_words, url_filter
+from ridepulse.llm.url_filter import RULES, host_words, naive_bayes, split_label, text_words, url_filter
 from tests_llm import CLASH, CLASHING
 
 URLS = ["https://www.bluefish.example.org/en/1234.html", "http://bluefish.example.org/es/7?x=://y", "https://Red.COM/fr/9#top",
@@ -55,7 +55,7 @@ def test_viterbi_finds_the_best_split():
         return sum(math.log10(counts[p] / total) if p in counts else 1 - math.log10(total) - len(p) for p in parts)
 
     for label in ("bluefish", "ablue", "hhfisblue", "zzz", "fishfish"):
-        known = {(7 + i, n): counts[label[i:i + n]] for i in range(len(label)) for n in range(1, LONGEST_WORD + 1)
+        known = {(7 + i, n): counts[label[i:i + n]] for i in range(len(label)) for n in range(1, len(label) + 1)
                  if label[i:i + n] in counts and i + n <= len(label)}
         got = split_label(label, known, 7, total)
         cuts = itertools.chain.from_iterable(itertools.combinations(range(1, len(label)), r) for r in range(len(label)))
@@ -77,3 +77,17 @@ def test_the_model_decides_where_no_rule_fits(spark):
     df = pages(spark, urls + ["https://ads.other.net/spam/3", "https://news.other.net/story/3"])
     got = {r.host: r.verdict for r in url_filter(df, text_words(df)).collect()}
     assert got["ads.other.net"] == "block" and got["news.other.net"] == "allow"
+
+
+def test_words_and_hosts_of_any_length(spark):
+    """Long words are learnt and tried, and long hosts are split; every host against the best of all splits."""
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    counts = {"internationalization": 200, "inter": 90, "nation": 80, "alization": 1, long: 7, "shop": 30, "a": 5, "my": 9, "www": 40, "com": 50}
+    hosts = ["internationalization.com", f"my{long}shop.com", "www.myshop.com", "zq.com", "myshop" * 60 + ".com", "é.a", "..", "x" * 3000]
+    got = {r.host: r.words for r in host_words(spark.createDataFrame([(h,) for h in hosts + [""]], "host string"),
+                                               spark.createDataFrame(list(counts.items()), "word string, n long")).collect()}
+    assert got["internationalization.com"] == ["internationalization", "com"]
+    assert got[f"my{long}shop.com"] == ["my", long, "shop", "com"] and got["www.myshop.com"] == ["www", "my", "shop", "com"]
+    assert got["myshop" * 60 + ".com"] == ["my", "shop"] * 60 + ["com"]
+    assert got["zq.com"] == ["zq", "com"] and got[".."] == [] and got["x" * 3000] == ["x" * 3000] and set(got) == set(hosts)
+    assert text_words(pages(spark, ["u"] * 2)).where("word = 'fish'").first().n == 2
