@@ -199,8 +199,9 @@ def _heavy(texts: DataFrame, k: int, most: int) -> list[int]:
 
 
 def _prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(__row, n, bucket, upto): the first shingles of every text in one order for all texts, so many that two similar
-    texts share one.  The ``HEAVY`` most frequent shingles come last, the others in the order of their hashes.
+    """(__row, n, bucket, upto): the first shingles of every text (__row, comp, __text) in one order for all texts, so
+    many that two similar texts share one, as far as texts of another component share them too.  The ``HEAVY`` most
+    frequent shingles come last, the others in the order of their hashes.
 
     ``at`` is the shingle's place in its text.  If it is the first that two texts share, they have at most n - at + 1 in
     common, which lets the other one have at most ``upto`` shingles.
@@ -227,12 +228,14 @@ def _prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
                 n = np.repeat([len(s) for s in own], many)
                 at = np.concatenate([np.arange(1, m + 1) for m in many])
                 upto = np.minimum(n / similarity, (n - at + 1) * ((1 + similarity) / similarity) - n) + 1e-6
-                yield pd.DataFrame({"__row": np.repeat(b["__row"][lo:hi].to_numpy(), many), "n": n,
-                                    "bucket": np.concatenate(taken), "upto": upto})
+                yield pd.DataFrame({"__row": np.repeat(b["__row"][lo:hi].to_numpy(), many),
+                                    "comp": np.repeat(b["comp"][lo:hi].to_numpy(), many), "n": n, "bucket": np.concatenate(taken), "upto": upto})
 
-    each = written(texts.mapInPandas(run, "__row long, n long, bucket long, upto double"), "prefixes")
-    least = written(each.groupBy("bucket").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1"), "least")
-    return written(each.join(least, "bucket").where("upto >= least").drop("least", "size"), "rare")  # others have no partner there
+    each = written(texts.mapInPandas(run, "__row long, comp long, n long, bucket long, upto double"), "prefixes")
+    least = written(each.groupBy("bucket").agg(F.min("n").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+                    .where("low < high").select("bucket", "least"), "least")
+    # others have no partner there, or one that they are connected to
+    return written(each.join(least, "bucket").where("upto >= least").drop("least", "comp"), "rare")
 
 
 def links(own: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -279,10 +282,10 @@ def links(own: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILA
             break
         found = written(found.unionByName(more), "links")
 
-    left = written(placed.join(unfinished(placed, max(upto, FEW)), "bucket").select("__row").distinct(), "left")
+    left = written(placed.join(unfinished(placed, max(upto, FEW)), "bucket").select("__row", "comp").distinct(), "left")
     if left.isEmpty():
         return found, comp
-    shared = _shared(_prefixes(texts.join(left, "__row", "left_semi"), k, similarity))
+    shared = _shared(_prefixes(texts.join(left, "__row"), k, similarity))
     above, upto = 0, CENTRES
     while True:  # until every two members of a bucket are compared or connected
         placed = with_comp(shared, comp)
