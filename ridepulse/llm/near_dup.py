@@ -262,9 +262,16 @@ def links(own: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILA
     def verified(pairs: DataFrame) -> DataFrame:
         return written(_verify(written(pairs, "pairs"), texts, k, similarity), "links")
 
-    def with_comp(members: DataFrame, comp: DataFrame) -> DataFrame:
-        return written(members.join(comp, members["__row"] == comp["node"], "left").select(
-            *members.columns, F.coalesce("comp", "__row").alias("comp")), "placed")
+    def packed(members: DataFrame) -> DataFrame:
+        """One row per text with the buckets it is in (as many as its entries)."""
+        inside = [c for c in members.columns if c not in ("__row", "n", "pop", "comp")]
+        return written(members.groupBy("__row", "n", "pop").agg(F.collect_list(F.struct(*inside)).alias("in")), "packed")
+
+    def with_comp(texts_in: DataFrame, comp: DataFrame) -> DataFrame:
+        """The members of ``packed`` with their component: it is joined to texts, not to members."""
+        placed = texts_in.join(comp, texts_in["__row"] == comp["node"], "left").select(
+            "__row", "n", "pop", F.coalesce("comp", "__row").alias("comp"), F.explode("in").alias("in"))
+        return written(placed.select("__row", "n", "pop", "comp", "in.*"), "placed")
 
     def unfinished(members: DataFrame, done: int) -> DataFrame:
         """The buckets of more than ``done`` members that are not all in one component."""
@@ -273,9 +280,10 @@ def links(own: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILA
 
     found = verified(around(shared.withColumn("comp", F.col("__row")), 0, CENTRES, FEW))
     upto = CENTRES
+    large = packed(shared.where(F.col("size") > max(upto, FEW)))
     while True:  # more centres for the members that are not connected yet, as long as that connects any
         comp = components(found)
-        placed = with_comp(shared.where(F.col("size") > max(upto, FEW)), comp)
+        placed = with_comp(large, comp).where(F.col("size") > upto)
         more = verified(around(placed, upto, 2 * upto, 0))
         upto *= 2
         if more.isEmpty():
@@ -288,7 +296,7 @@ def links(own: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILA
     shared = _shared(_prefixes(texts.join(left, "__row"), k, similarity))
     above, upto = 0, CENTRES
     while True:  # until every two members of a bucket are compared or connected
-        placed = with_comp(shared, comp)
+        placed = with_comp(packed(shared), comp)
         todo = unfinished(placed, max(above, FEW) if above else 1)
         if todo.isEmpty():
             return found, comp
