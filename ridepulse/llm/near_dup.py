@@ -269,8 +269,9 @@ def links(own: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILA
 
     def with_comp(texts_in: DataFrame, comp: DataFrame) -> DataFrame:
         """The members of ``packed`` with their component: it is joined to texts, not to members."""
-        placed = texts_in.join(comp, texts_in["__row"] == comp["node"], "left").select(
-            "__row", "n", "pop", F.coalesce("comp", "__row").alias("comp"), F.explode("in").alias("in"))
+        # texts are few and short in files, but many members: dealt evenly before they are spread
+        own = texts_in.join(comp, texts_in["__row"] == comp["node"], "left").withColumn("comp", F.coalesce("comp", "__row"))
+        placed = own.repartition("__row").select("__row", "n", "pop", "comp", F.explode("in").alias("in"))
         return written(placed.select("__row", "n", "pop", "comp", "in.*"), "placed")
 
     def unfinished(members: DataFrame, done: int) -> DataFrame:
