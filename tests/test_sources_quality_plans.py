@@ -161,7 +161,7 @@ def test_newest_rides_open_no_older_month(spark, tmpdir_fresh):
     by_month(spark.createDataFrame(rows, "ride_id string, booking_timestamp timestamp")).write.partitionBy("booking_month").parquet(f"{tmpdir_fresh}/t")
 
     def top(k, keep="true"):
-        df = newest(spark.read.parquet(f"{tmpdir_fresh}/t").where(keep), k)
+        df = newest(spark.read.schema("ride_id string, booking_timestamp timestamp, booking_month date").parquet(f"{tmpdir_fresh}/t").where(keep), k)
         return [r.ride_id for r in df.orderBy(F.col("booking_timestamp").desc_nulls_last(), "ride_id").limit(k).collect()]
 
     want = [r[0] for r in sorted(rows, key=lambda r: r[1] or datetime(1, 1, 1), reverse=True)]
