@@ -43,3 +43,18 @@ def test_one_row_of_each_stays_with_its_columns(spark):
     kept = keep_one(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, "x"), (4, "")]
+
+
+def test_rows_are_told_apart_whatever_the_splits(spark, tmp_path):
+    """Scans that are split differently, and an input that has a column of the row number's name."""
+    pairs = [(i, f"text {i % 40}") for i in range(120)]
+    spark.createDataFrame([(i, t, f"r{i}") for i, t in pairs], "doc_id long, text string, __row string") \
+        .repartition(6).write.parquet(f"{tmp_path}/t")
+    try:
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+        kept = keep_one(spark.read.parquet(f"{tmp_path}/t"))
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "64")
+        assert kept.columns == ["doc_id", "text", "__row"]
+        assert sorted((r.doc_id, r["__row"]) for r in kept.collect()) == [(i, f"r{i}") for i in range(80, 120)]
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
