@@ -55,6 +55,8 @@ _ELEMENTS = 1 << 20
 CENTRES, FEW = 3, 16
 #: So many frequent shingles are put last: a fixed bound of what is sent to every task.
 HEAVY = 1 << 16
+#: Texts whose buckets are looked up together; more of them send fewer rows and hold more.
+SHARD = 256
 
 
 def labelled_shingles(words: np.ndarray, k: int = K) -> np.ndarray:
@@ -238,6 +240,49 @@ def _prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
     return written(each.join(least, "bucket").where("upto >= least").drop("least", "comp"), "rare")
 
 
+def _packed(members: DataFrame) -> DataFrame:
+    """One row per text with arrays of its buckets (as many as its entries), dealt to shards of about ``SHARD`` texts."""
+    inside = [c for c in ("bucket", "size", "upto") if c in members.columns]
+    texts = written(members.groupBy("__row", "n", "pop").agg(F.collect_list(F.struct(*inside)).alias("in")), "packed")
+    shards = texts.count() // SHARD + 1
+    return texts.select(F.pmod(F.xxhash64("__row"), F.lit(shards)).alias("shard"), "__row", "n", "pop",
+                        *[F.col(f"in.{c}").alias(c) for c in inside])
+
+
+def _open(texts: DataFrame, comp: DataFrame, above: int) -> DataFrame:
+    """The members of the buckets of more than ``above`` texts that are not all in one component, with their component.
+
+    ``texts`` (from ``_packed``) of a shard name a bucket once, with the least and the largest component that they have
+    there, however many of them are in it: a large group, which shares its buckets, costs its texts and not its members.
+    """
+    inside = [c for c in ("bucket", "size", "upto") if c in texts.columns]
+    own = written(texts.join(comp, texts["__row"] == comp["node"], "left").drop("node")
+                  .withColumn("comp", F.coalesce("comp", "__row")), "own")
+
+    def spread(b: pd.DataFrame) -> pd.DataFrame:
+        at = np.repeat(np.arange(len(b)), b["bucket"].map(len).to_numpy(dtype=np.int64))
+        parts = {c: np.concatenate(b[c].tolist()) for c in inside}
+        return pd.DataFrame({c: b[c].to_numpy()[at] for c in ("shard", "__row", "n", "pop", "comp")} | parts)
+
+    def named(b: pd.DataFrame) -> pd.DataFrame:
+        m = spread(b)
+        return m[m["size"] > above].groupby(["shard", "bucket"])["comp"].agg(low="min", high="max").reset_index()
+
+    def kept(b: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        if not len(b):
+            return pd.DataFrame(columns=names)
+        m = spread(b)
+        return m.loc[m["bucket"].isin(todo["bucket"]), names]
+
+    names = ["__row", "n", "pop", "comp", *inside]
+    types = {"upto": "double"}
+    seen = written(own.groupBy("shard").applyInPandas(named, "shard long, bucket long, low long, high long"), "seen")
+    mixed = seen.groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("bucket")
+    todo = seen.select("shard", "bucket").join(mixed, "bucket").select("shard", "bucket")
+    return written(own.groupBy("shard").cogroup(todo.groupBy("shard")).applyInPandas(
+        kept, ", ".join(f"{c} {types.get(c, 'long')}" for c in names)), "placed")
+
+
 def links(own: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between representatives, the rows of ``one`` (__row, n, entries), enough to connect every
     group; and the components (node, comp) that they make.  ``own`` is the written table of (__row, __text)."""
@@ -262,46 +307,27 @@ def links(own: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILA
     def verified(pairs: DataFrame) -> DataFrame:
         return written(_verify(written(pairs, "pairs"), texts, k, similarity), "links")
 
-    def packed(members: DataFrame) -> DataFrame:
-        """One row per text with the buckets it is in (as many as its entries)."""
-        inside = [c for c in members.columns if c not in ("__row", "n", "pop", "comp")]
-        return written(members.groupBy("__row", "n", "pop").agg(F.collect_list(F.struct(*inside)).alias("in")), "packed")
-
-    def with_comp(texts_in: DataFrame, comp: DataFrame) -> DataFrame:
-        """The members of ``packed`` with their component: it is joined to texts, not to members."""
-        # texts are few and short in files, but many members: dealt evenly before they are spread
-        own = texts_in.join(comp, texts_in["__row"] == comp["node"], "left").withColumn("comp", F.coalesce("comp", "__row"))
-        placed = own.repartition("__row").select("__row", "n", "pop", "comp", F.explode("in").alias("in"))
-        return written(placed.select("__row", "n", "pop", "comp", "in.*"), "placed")
-
-    def unfinished(members: DataFrame, done: int) -> DataFrame:
-        """The buckets of more than ``done`` members that are not all in one component."""
-        return written(members.where(F.col("size") > done).groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-                       .where("low < high").select("bucket"), "open")
-
     found = verified(around(shared.withColumn("comp", F.col("__row")), 0, CENTRES, FEW))
     upto = CENTRES
-    large = packed(shared.where(F.col("size") > max(upto, FEW)))
+    large = _packed(shared.where(F.col("size") > max(upto, FEW)))
     while True:  # more centres for the members that are not connected yet, as long as that connects any
         comp = components(found)
-        placed = with_comp(large, comp).where(F.col("size") > upto)
+        placed = _open(large, comp, upto)
         more = verified(around(placed, upto, 2 * upto, 0))
         upto *= 2
         if more.isEmpty():
             break
         found = written(found.unionByName(more), "links")
 
-    left = written(placed.join(unfinished(placed, max(upto, FEW)), "bucket").select("__row", "comp").distinct(), "left")
+    left = written(placed.where(F.col("size") > upto).select("__row", "comp").distinct(), "left")
     if left.isEmpty():
         return found, comp
     shared = _shared(_prefixes(texts.join(left, "__row"), k, similarity))
     above, upto = 0, CENTRES
     while True:  # until every two members of a bucket are compared or connected
-        placed = with_comp(packed(shared), comp)
-        todo = unfinished(placed, max(above, FEW) if above else 1)
-        if todo.isEmpty():
+        placed = _open(_packed(shared), comp, max(above, FEW) if above else 1)
+        if placed.isEmpty():
             return found, comp
-        placed = written(placed.join(todo, "bucket"), "placed")
         more = verified(around(placed, above, upto, 0 if above else FEW))
         if not more.isEmpty():
             found = written(found.unionByName(more), "links")
