@@ -7,7 +7,7 @@ import pytest
 
 from ridepulse.llm.common import WORD, Words, written
 from ridepulse.llm.graph import components
-from ridepulse.llm.near_dup import aligned, keep_one, labelled_shingles, near_duplicates, similar, sketch
+from ridepulse.llm.near_dup import _open, _packed, aligned, keep_one, labelled_shingles, near_duplicates, similar, sketch
 from tests_llm import clash, words
 
 
@@ -125,6 +125,27 @@ def test_a_hot_header_hides_no_pair(spark):
     assert {frozenset(g) for g in by_class.values()} == want
 
 
+def test_open_buckets_equal_a_plain_loop(spark):
+    """Buckets of several components are found over many shards; their members come back whole."""
+    rng = random.Random(4)
+    members = {(r, b) for r in range(900) for b in rng.sample(range(40), 3)}
+    members = {(r, b) for r, b in members if b % 4 or r < 450 and r % 3 == b % 3}
+    size = Counter(b for _, b in members)
+    comp = {r: r % 3 for r in range(600)}  # the others have no link yet
+    df = spark.createDataFrame([(r, 10, 5, b, size[b]) for r, b in sorted(members)], "__row long, n long, pop long, bucket long, size long")
+    comps = spark.createDataFrame(list(comp.items()), "node long, comp long")
+    packed = _packed(df)
+    assert packed.select("shard").distinct().count() > 1
+    for above in (1, 60):
+        of = defaultdict(set)
+        for r, b in members:
+            of[b].add(comp.get(r, r))
+        want = {(r, b, comp.get(r, r), size[b]) for r, b in members if size[b] > above and len(of[b]) > 1}
+        got = [(m["__row"], m["bucket"], m["comp"], m["size"]) for m in _open(packed, comps, above).collect()]
+        assert len(got) == len(want) and set(got) == want and len(want) < len(members)
+    assert _open(packed, comps, 10**6).count() == 0 == _open(_packed(df.limit(0)), comps, 1).count()
+
+
 def test_odd_rows(spark, odd, none):
     df, pairs = odd
     got = near_duplicates(df).collect()
