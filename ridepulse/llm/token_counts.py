@@ -5,12 +5,16 @@ prefix ends in the one token t for which the encoding of what is before t ends i
 a token u such that (u, t) is *stable*, that is, merging the characters of u
 followed by those of t gives just u and t again.  So count[j] = count[j - |t|] + 1,
 with one token kept per prefix.  Across words the recurrence is a sum, because the
-tokenizer never joins words.  ``prefix_counts`` gives the whole table of a text,
-one exact count per prefix; ``token_counts`` sums the library's counts of
-the words and runs the recurrence in the word where the budget (the longest prefix within
-a limit) ends, without encoding any prefix again.  Chunks with characters that only the
-library handles (see ``tokens``) are normalised and split by the library once, and the
-recurrence runs inside each of the pieces.
+tokenizer never joins words.  ``token_counts`` takes the last entry of every word's
+table (each distinct word is run once per worker, in a memo of bounded size), adds them
+up to the counts at all word ends, and reads the budget's answer (the longest prefix within
+a limit) from the table of the one word where it ends, so no prefix is encoded again.
+``prefix_counts`` gives the whole table of a text, one exact count per prefix.  Chunks with
+characters that only the library handles (see ``tokens``) are normalised and split by the
+library once, and the recurrence runs inside each of the pieces.  No token is counted by encoding.
+
+Whether a pair is stable is read off the tokens' own merges, backwards in time: the pair at the
+border is merged across it if its merge comes before the ones that take its two sides away.
 
 A null text counts as empty (0 tokens); repeated rows, null ids and extra columns
 are kept apart by row; an empty table gives an empty result.
@@ -22,7 +26,7 @@ import json
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -30,9 +34,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridepulse.llm.tokens import _OTHER, PIECES, WordTokenizer, tokenizer
+from ridepulse.llm.tokens import _OTHER, MEMO, PIECES, WordTokenizer, tokenizer
 
 END = "</w>"
+NEVER = 1 << 60
+#: Longer words are not kept in a memo, so that its size has a bound.
+KEPT = 64
 
 
 class PrefixCounts:
@@ -45,8 +52,9 @@ class PrefixCounts:
         self.vocab = model["vocab"]
         self.longest = max(map(len, self.vocab))
         self.stable = lru_cache(500_000)(self._stable)
-        self.reached = lru_cache(100_000)(lambda t: self.merge(self.symbols(t)) == [t])
-        self.word = lru_cache(20_000)(self._word)
+        self.born: dict[str, tuple[int, str, str] | None] = {}
+        self._new: dict[str, int] = {}
+        self._old: dict[str, int] = {}
         self.normal = lru_cache(20_000)(words.library.normalizer.normalize_str)
         self.split = words.library.pre_tokenizer.pre_tokenize_str
         self.special = re.compile("|".join(re.escape(t.content) for t in words.library.get_added_tokens_decoder().values()) or "(?!)")
@@ -58,36 +66,88 @@ class PrefixCounts:
             return [*body[:-1], body[-1] + END]
         return [*token]
 
-    def merge(self, parts: list[str]) -> list[str]:
+    def last_merge(self, token: str) -> tuple[int, str, str] | None:
+        """(rank, left, right) of the merge that completes a token from its characters, rank -1 for a character alone;
+        None if its characters do not become it."""
+        known = self.born.get(token, 0)
+        if known != 0:
+            return known
+        parts, done = self.symbols(token), (-1, "", "")
         while len(parts) > 1:
-            rank, i = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
+            rank, i = min((self.ranks.get(p, NEVER), i) for i, p in enumerate(zip(parts, parts[1:])))
+            if rank == NEVER:
                 break
+            done = rank, parts[i], parts[i + 1]
             parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2:]]
-        return parts
+        self.born[token] = done if len(parts) == 1 else None
+        return self.born[token]
 
     def _stable(self, u: str, t: str) -> bool:
-        return self.merge(self.symbols(u) + self.symbols(t)) == [u, t]
-
-    def _word(self, letters: str) -> list[int]:
-        """counts[j] for the first j letters (of the byte-level alphabet) standing as a word of their own."""
-        last, inner, counts = [""], [0], [0]
-        for j in range(1, len(letters) + 1):
-            for kind in ("", END):
-                for i in range(max(0, j - self.longest), j):
-                    t = letters[i:j] + kind
-                    if t in self.vocab and self.reached(t) and (i == 0 or self.stable(last[i], t)):
-                        break
-                else:
-                    raise ValueError(f"no token ends at {j} of {letters!r}")
-                if kind:
-                    counts.append(inner[i] + 1)
-                else:
-                    found = t, inner[i] + 1
-            last.append(found[0])
-            inner.append(found[1])
+        gone_u = gone_t = NEVER
+        while True:
+            across = self.ranks.get((u, t), NEVER)
+            if across < gone_u and across <= gone_t and across < NEVER:  # of equal merges the left one goes first
+                return False
+            of_u, of_t = self.last_merge(u), self.last_merge(t)
+            if of_t[0] >= of_u[0]:
+                if of_t[0] < 0:
+                    return True
+                gone_t, t = of_t[0], of_t[1]
+            else:
+                gone_u, u = of_u[0], of_u[2]
+
+    def _ending(self, letters: str, j: int, kind: str, last: list[str]) -> int:
+        """Where the token begins that the encoding of the first j letters ends in."""
+        vocab, stable = self.vocab, self.stable
+        for i in range(max(0, j - self.longest), j):
+            t = letters[i:j] + kind
+            if t in vocab and self.last_merge(t) and (not i or stable(last[i], t)):
+                return i
+        raise ValueError(f"no token ends at {j} of {letters!r}")
+
+    def word(self, letters: str, ends: bool = True) -> list[int]:
+        """counts[j] for the first j letters (of the byte-level alphabet) standing as a word of their own; without
+        ``ends``, only the last of them."""
+        if not ends and self._whole_token(letters):
+            return [1]
+        last, inner, counts, n = [""], [0], [0], len(letters)
+        for j in range(1, n + 1):
+            if ends or j == n:
+                counts.append(inner[self._ending(letters, j, END, last)] + 1)
+            if j < n:
+                i = self._ending(letters, j, "", last)
+                last.append(letters[i:j])
+                inner.append(inner[i] + 1)
         return counts
 
+    def _whole_token(self, letters: str) -> bool:
+        return letters + END in self.vocab and self.last_merge(letters + END) is not None
+
+    def _letters_total(self, letters: str) -> int:
+        return self._kept(letters, lambda x: self.word(x, ends=False)[-1])
+
+    def _kept(self, key: str, count: Callable[[str], int]) -> int:
+        n = self._new.get(key)
+        if n is None:
+            n = self._old.get(key)
+            n = count(key) if n is None else n
+            if len(key) <= KEPT:
+                if len(self._new) >= MEMO:  # what was not used since the last turn goes
+                    self._old, self._new = self._new, {}
+                self._new[key] = n
+        return n
+
+    def totals(self, chunks: list[str]) -> Iterator[int]:
+        """The count of each chunk: the last entry of its table."""
+        for known, chunk in zip(map(self._new.get, chunks), chunks):
+            yield self._kept(chunk, self._total) if known is None else known
+
+    def _total(self, chunk: str) -> int:
+        if _OTHER.search(chunk) or "<|" in chunk:
+            plain = self.special.split(chunk)
+            return len(plain) - 1 + sum(self._whole(self.normal(p)) for p in plain if p)
+        return sum(self._letters_total(self.words.letters(p)) for p in PIECES.findall(chunk.lower()))
+
     def chunk(self, chunk: str) -> list[int]:
         """Counts of every prefix of a chunk without blanks."""
         if _OTHER.search(chunk) or "<|" in chunk:
@@ -100,7 +160,7 @@ class PrefixCounts:
     def piece(self, piece: str) -> list[int]:
         """Counts of every prefix of a pre-token: one pass of the recurrence."""
         if piece[0] == "'" and piece[1:].isalpha():  # cut short, a contraction falls apart
-            return [0] + [sum(self.word(self.words.letters(x))[-1] for x in PIECES.findall(piece[:j])) for j in range(1, len(piece) + 1)]
+            return [0] + [sum(self._letters_total(self.words.letters(x)) for x in PIECES.findall(piece[:j])) for j in range(1, len(piece) + 1)]
         counts = self.word(self.words.letters(piece))
         return counts if piece.isascii() else [counts[i] for i in accumulate((len(c.encode()) for c in piece), initial=0)]
 
@@ -143,7 +203,7 @@ class PrefixCounts:
         return out
 
     def _whole(self, normalised: str) -> int:
-        return sum(self.word(letters)[-1] for letters, _ in self.split(normalised))
+        return sum(self._letters_total(letters) for letters, _ in self.split(normalised))
 
 
 @lru_cache(100_000)
@@ -185,9 +245,9 @@ def _runs(text: str) -> Iterator[tuple[int, str]]:
 
 def fit(text: str, limit: int, path: str | None = None) -> tuple[int, int]:
     """(tokens of the whole text, characters of its longest prefix with at most ``limit`` tokens)."""
-    words = tokenizer(path)
-    chunks = words.chunks(text)
-    total = list(accumulate((len(i) >> 2 for i in words.ids(chunks)), initial=0))
+    table = _prefixes(path)
+    chunks = table.words.chunks(text)
+    total = list(accumulate(table.totals(chunks), initial=0))
     if total[-1] <= limit:
         return total[-1], len(text)
     low, high = 0, len(total) - 1  # the last word end within the limit
@@ -198,7 +258,7 @@ def fit(text: str, limit: int, path: str | None = None) -> tuple[int, int]:
     for c in chunks[:low + 1]:
         start = _find(text, c, at)
         at = start + len(c)
-    inside = _prefixes(path).chunk(text[start:at])
+    inside = table.chunk(text[start:at])
     return total[-1], start + max(j for j, n in enumerate(inside) if total[low] + n <= limit)
 
 

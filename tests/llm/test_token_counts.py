@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 
 from ridepulse.llm.packing import SumOfSquares, pack
-from ridepulse.llm.token_counts import fit, prefix_counts, prefix_tables, token_counts
-from ridepulse.llm.tokens import tokenizer
+from ridepulse.llm.token_counts import _prefixes, fit, prefix_counts, prefix_tables, token_counts
+from ridepulse.llm.tokens import WordTokenizer, tokenizer
 
 TEXTS = ["", " ", "It's A1 12'S don't <|endoftext|> x", "<|ENDOFTEXT|>a", "Thedni onheretionshon, eronouen!!",
          "éa b c\u0085d\x1fe\x0bf", "ΑΣ ΟΔΟΣ 日本 \U0001F600x é İst ﬁ ſtrange", "they'll  \n we're",
@@ -46,6 +46,32 @@ def test_long_chunks_only_the_library_handles(alphabet):
         assert fit(t, limit) == (want[-1], max(i for i, n in enumerate(want) if n <= limit))
 
 
+def test_counts_come_from_the_recurrence(monkeypatch):
+    rng = random.Random(12)
+    texts = TEXTS + [" ".join("".join(rng.choice("aabeinorst'.é") for _ in range(rng.randrange(1, 14))) for _ in range(40)) for _ in range(100)]
+    want = [len(library(t)) for t in texts]
+
+    def never(*_):
+        raise AssertionError("a text was encoded")
+
+    for name in ("ids", "chunk", "piece", "encode"):
+        monkeypatch.setattr(WordTokenizer, name, never)
+    assert [fit(t, 5)[0] for t in texts] == want == [prefix_counts(t)[-1] for t in texts]
+
+
+def test_stable_pairs_equal_merging():
+    table, rng = _prefixes(None), random.Random(13)
+    tokens = [t for t in rng.sample(sorted(table.vocab), 4000) if table.last_merge(t)]
+    first = [t for t in tokens + ["a", "aa", "e", "ee", "the", "in"] if not t.endswith("</w>") and t in table.vocab]
+    for _ in range(20_000):
+        u, t = rng.choice(first), rng.choice(tokens + first)
+        parts = table.symbols(u) + table.symbols(t)
+        while pairs := [(table.ranks[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in table.ranks]:
+            _, i = min(pairs)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        assert table.stable(u, t) == (parts == [u, t]), (u, t)
+
+
 def test_counts_of_a_table(odd, none):
     df, pairs = odd
     got = sorted(map(tuple, token_counts(df, limit=50).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()), key=str)
