@@ -26,7 +26,7 @@ import json
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -34,14 +34,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridepulse.llm.tokens import _OTHER, MEMO, PIECES, WordTokenizer, tokenizer
+from ridepulse.llm.tokens import _OTHER, PIECES, WordTokenizer, tokenizer
 
 END = "</w>"
 NEVER = 1 << 60
+#: Entries of each half of a worker's memos.
+MEMO = 300_000
 #: Longer words are not kept in a memo, so that its size has a bound.
 KEPT = 64
 
 
+class Memo:
+    """Counts by text in two halves of bounded size: when the new one is full, what was not used since its start goes."""
+
+    def __init__(self):
+        self.new: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+
+    def get(self, key: str) -> int | None:
+        n = self.new.get(key)
+        if n is None and (n := self.old.get(key)) is not None:
+            self.keep(key, n)
+        return n
+
+    def keep(self, key: str, n: int) -> None:
+        if len(key) <= KEPT:
+            if len(self.new) >= MEMO:
+                self.old, self.new = self.new, {}
+            self.new[key] = n
+
+
 class PrefixCounts:
     """Token counts of every prefix of a word, by the recurrence above."""
 
@@ -53,8 +75,8 @@ class PrefixCounts:
         self.longest = max(map(len, self.vocab))
         self.stable = lru_cache(500_000)(self._stable)
         self.born: dict[str, tuple[int, str, str] | None] = {}
-        self._new: dict[str, int] = {}
-        self._old: dict[str, int] = {}
+        self.sure: set[str] = set()
+        self.of_chunk, self.of_letters = Memo(), Memo()
         self.normal = lru_cache(20_000)(words.library.normalizer.normalize_str)
         self.split = words.library.pre_tokenizer.pre_tokenize_str
         self.special = re.compile("|".join(re.escape(t.content) for t in words.library.get_added_tokens_decoder().values()) or "(?!)")
@@ -96,56 +118,74 @@ class PrefixCounts:
             else:
                 gone_u, u = of_u[0], of_u[2]
 
-    def _ending(self, letters: str, j: int, kind: str, last: list[str]) -> int:
-        """Where the token begins that the encoding of the first j letters ends in."""
-        vocab, stable = self.vocab, self.stable
-        for i in range(max(0, j - self.longest), j):
-            t = letters[i:j] + kind
-            if t in vocab and self.last_merge(t) and (not i or stable(last[i], t)):
-                return i
-        raise ValueError(f"no token ends at {j} of {letters!r}")
-
-    def word(self, letters: str, ends: bool = True) -> list[int]:
-        """counts[j] for the first j letters (of the byte-level alphabet) standing as a word of their own; without
-        ``ends``, only the last of them."""
-        if not ends and self._whole_token(letters):
-            return [1]
-        last, inner, counts, n = [""], [0], [0], len(letters)
-        for j in range(1, n + 1):
-            if ends or j == n:
-                counts.append(inner[self._ending(letters, j, END, last)] + 1)
-            if j < n:
-                i = self._ending(letters, j, "", last)
-                last.append(letters[i:j])
-                inner.append(inner[i] + 1)
+    def _admit(self, token: str) -> bool:
+        if self.last_merge(token):
+            self.sure.add(token)
+        return token in self.sure
+
+    def word(self, letters: str) -> list[int]:
+        """counts[j] for the first j letters (of the byte-level alphabet) standing as a word of their own."""
+        last, inner, counts = [""], [0], [0]
+        for j in range(1, len(letters) + 1):
+            for kind in (END, ""):
+                for i in range(max(0, j - self.longest), j):
+                    t = letters[i:j] + kind
+                    if t in self.vocab and (t in self.sure or self._admit(t)) and (not i or self.stable(last[i], t)):
+                        break
+                else:
+                    raise ValueError(f"no token ends at {j} of {letters!r}")
+                if kind:
+                    counts.append(inner[i] + 1)
+            last.append(t)
+            inner.append(inner[i] + 1)
         return counts
 
-    def _whole_token(self, letters: str) -> bool:
-        return letters + END in self.vocab and self.last_merge(letters + END) is not None
+    def last_count(self, letters: str) -> int:
+        """``word(letters)[-1]``: the same recurrence from the end, so only the prefixes that it asks for are filled in."""
+        if len(letters) > KEPT:
+            return self.word(letters)[-1]
+        vocab, sure, longest, stable = self.vocab, self.sure, self.longest, self.stable
+        found: dict[int, tuple[str, int]] = {}
+
+        def ending(j: int, kind: str) -> tuple[str, int]:
+            for i in range(max(0, j - longest), j):
+                t = letters[i:j] + kind if kind else letters[i:j]
+                if t in vocab and (t in sure or self._admit(t)):
+                    if not i:
+                        return t, 1
+                    before = found.get(i)
+                    if before is None:
+                        before = found[i] = ending(i, "")
+                    if stable(before[0], t):
+                        return t, before[1] + 1
+            raise ValueError(f"no token ends at {j} of {letters!r}")
+
+        return ending(len(letters), END)[1]
 
     def _letters_total(self, letters: str) -> int:
-        return self._kept(letters, lambda x: self.word(x, ends=False)[-1])
-
-    def _kept(self, key: str, count: Callable[[str], int]) -> int:
-        n = self._new.get(key)
+        n = self.of_letters.get(letters)
         if n is None:
-            n = self._old.get(key)
-            n = count(key) if n is None else n
-            if len(key) <= KEPT:
-                if len(self._new) >= MEMO:  # what was not used since the last turn goes
-                    self._old, self._new = self._new, {}
-                self._new[key] = n
+            self.of_letters.keep(letters, n := self.last_count(letters))
         return n
 
-    def totals(self, chunks: list[str]) -> Iterator[int]:
+    def totals(self, chunks: list[str]) -> list[int]:
         """The count of each chunk: the last entry of its table."""
-        for known, chunk in zip(map(self._new.get, chunks), chunks):
-            yield self._kept(chunk, self._total) if known is None else known
+        out = list(map(self.of_chunk.new.get, chunks))
+        if None in out:
+            for at, n in enumerate(out):
+                if n is None:
+                    n = out[at] = self.of_chunk.get(chunks[at])
+                    if n is None:
+                        n = out[at] = self._total(chunks[at])
+                        self.of_chunk.keep(chunks[at], n)
+        return out
 
     def _total(self, chunk: str) -> int:
         if _OTHER.search(chunk) or "<|" in chunk:
             plain = self.special.split(chunk)
             return len(plain) - 1 + sum(self._whole(self.normal(p)) for p in plain if p)
+        if chunk.isascii() and chunk.isalpha():
+            return self.last_count(chunk.lower())
         return sum(self._letters_total(self.words.letters(p)) for p in PIECES.findall(chunk.lower()))
 
     def chunk(self, chunk: str) -> list[int]:
