@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridepulse.llm.common import Words, blocks, gram_hashes, mix, numbered, rows, written
-from ridepulse.llm.graph import components
+from ridepulse.llm.graph import components, grown
 
 K = 5
 SIMILARITY = 0.8
@@ -308,16 +308,15 @@ def links(own: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILA
         return written(_verify(written(pairs, "pairs"), texts, k, similarity), "links")
 
     found = verified(around(shared.withColumn("comp", F.col("__row")), 0, CENTRES, FEW))
-    upto = CENTRES
+    comp, upto = components(found), CENTRES
     large = _packed(shared.where(F.col("size") > max(upto, FEW)))
     while True:  # more centres for the members that are not connected yet, as long as that connects any
-        comp = components(found)
         placed = _open(large, comp, upto)
         more = verified(around(placed, upto, 2 * upto, 0))
         upto *= 2
         if more.isEmpty():
             break
-        found = written(found.unionByName(more), "links")
+        found, comp = written(found.unionByName(more), "links"), grown(comp, more)
 
     left = written(placed.where(F.col("size") > upto).select("__row", "comp").distinct(), "left")
     if left.isEmpty():
@@ -330,8 +329,7 @@ def links(own: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILA
             return found, comp
         more = verified(around(placed, above, upto, 0 if above else FEW))
         if not more.isEmpty():
-            found = written(found.unionByName(more), "links")
-            comp = components(found)
+            found, comp = written(found.unionByName(more), "links"), grown(comp, more)
         shared, above, upto = placed.drop("comp"), upto, 2 * upto
 
 

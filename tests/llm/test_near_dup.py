@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from ridepulse.llm.common import WORD, Words, written
-from ridepulse.llm.graph import components
+from ridepulse.llm.graph import components, grown
 from ridepulse.llm.near_dup import _open, _packed, aligned, keep_one, labelled_shingles, near_duplicates, similar, sketch
 from tests_llm import clash, words
 
@@ -175,4 +175,7 @@ def test_components(spark):
             changed |= comp[a] != m or comp[b] != m
             comp[a] = comp[b] = m
     assert got == comp
+    for cut in (0, 1, 90, len(edges)):  # the same by adding the rest of the links later
+        first, later = (spark.createDataFrame(part, "a long, b long") for part in (edges[:cut], edges[cut:]))
+        assert {r.node: r.comp for r in grown(components(first), later).collect()} == comp
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
