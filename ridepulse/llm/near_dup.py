@@ -51,7 +51,10 @@ SIMILARITY = 0.8
 #: (entries, shingles in each, fewest and most shingles of a text); the ranges overlap by 1 / SIMILARITY.
 LONG = (64, 8, 24, None)
 SHORT = (16, 2, 0, 30)
-_ELEMENTS = 1 << 20
+#: What is computed at once: hash values of a sketch, characters of texts, shingles kept of texts met before.
+_ELEMENTS = 1 << 18
+_BLOCK = 1 << 18
+_HELD = 1 << 20
 CENTRES, FEW = 3, 16
 #: So many frequent shingles are put last: a fixed bound of what is sent to every task.
 HEAVY = 1 << 16
@@ -135,7 +138,7 @@ def sketches(own: DataFrame, k: int = K) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["__text"].tolist()
-            for lo, hi in blocks(texts):
+            for lo, hi in blocks(texts, _BLOCK):
                 w = Words(texts[lo:hi])
                 digest, size, entries = [], [], []
                 for d in range(hi - lo):
@@ -156,12 +159,17 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}  # a centre meets many members: keep the last few texts' shingles
+        size = 0
 
         def of(row: int, text: str) -> np.ndarray:
+            nonlocal size
             if row not in held:
-                if len(held) >= 64:
+                shingles = labelled_shingles(Words([text]).hash, k)
+                if len(held) >= 64 or size + len(shingles) > _HELD:
                     held.clear()
-                held[row] = labelled_shingles(Words([text]).hash, k)
+                    size = 0
+                held[row] = shingles
+                size += len(shingles)
             return held[row]
 
         for p in batches:
@@ -189,7 +197,7 @@ def _heavy(texts: DataFrame, k: int, most: int) -> list[int]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo, hi in blocks(b["__text"].tolist()):
+            for lo, hi in blocks(b["__text"].tolist(), _BLOCK):
                 w = Words(b["__text"][lo:hi].tolist())
                 found = [labelled_shingles(w.of(d), k) for d in range(hi - lo)]
                 value, often = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *found]), return_counts=True)
@@ -222,7 +230,7 @@ def _prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo, hi in blocks(b["__text"].tolist()):
+            for lo, hi in blocks(b["__text"].tolist(), _BLOCK):
                 w = Words(b["__text"][lo:hi].tolist())
                 own = [labelled_shingles(w.of(d), k).view(np.int64) for d in range(hi - lo)]
                 taken = [first(s) for s in own]
