@@ -15,10 +15,12 @@ from ridepulse.operators import quality as G
 from ridepulse.operators import scd as SCD
 from ridepulse.plans.lakehouse import Lakehouse
 from ridepulse.sources.binding import maps_from_tables, rides_from_tables
+from ridepulse.functions.dates import by_month
+from ridepulse.schemas import RIDE_COLUMNS
 from ridepulse.sources.events import bulk_source, raw_event_files, ride_events
 from ridepulse.sources.lake import Lake
 from ridepulse.streaming import dimensions, flows, windows
-from tests.conftest import SF_SMALL, small_maps
+from tests.conftest import SF_SMALL, ride, rides_df, small_maps
 
 TABLES = ["fact", "dim_passenger", "dim_driver", "dim_vehicle", "dim_payment", "dim_booking",
           "dim_location"]
@@ -56,6 +58,31 @@ def test_stream_equals_batch(spark, tmpdir_fresh, chunks):
     assert _same(star.fact, lh.star.fact) and not any(c for c, _ in again.values())
 
 
+def test_batch_update_sorts_repeated_rides_only(spark, tmpdir_fresh):
+    """Without repeated ids the written rides are not shuffled by id again; with some, one row each stays, the smallest."""
+    rows = [ride(ride_id=f"r{i}", driver_id=f"d{i}") for i in range(20)]
+    odd = [ride(ride_id="r3", driver_id="a"), ride(ride_id="r3", driver_id="d3"), ride(ride_id=None), ride(ride_id=None)]
+    for name, given, repeated in (("once", rows, 0), ("twice", rows + odd, 1)):
+        lake = Lake(spark, f"{tmpdir_fresh}/{name}")
+        lh = Lakehouse(spark, [rides_df(spark, given)], small_maps(spark)).materialize(lake)
+        assert lake.read("silver", "repeated_ids").count() == repeated
+        assert lake.exists(lake.path("silver", "stg_rides_unique")) == bool(repeated)
+        want = Lakehouse(spark, [rides_df(spark, given)], small_maps(spark))
+        for t in ("stg", "obt"):
+            assert _same(getattr(lh, t).drop("booking_month"), getattr(want, t)), (name, t)
+        assert lh.obt.count() == len(rows) + 2 * repeated
+    assert [r.driver_id for r in lh.stg.where("ride_id = 'r3'").collect()] == ["a"]
+
+
+def test_months_are_shuffled_without_the_lookups(spark, tmpdir_fresh, monkeypatch):
+    """Only ride columns are dealt by month, in batch; the lookups' columns come behind the shuffle."""
+    from ridepulse.plans import lakehouse
+    dealt = []
+    monkeypatch.setattr(lakehouse, "by_month", lambda df: dealt.append(df.columns) or by_month(df))
+    lh = Lakehouse(spark, [rides_df(spark, [ride()])], small_maps(spark)).materialize(Lake(spark, f"{tmpdir_fresh}/lake"))
+    assert dealt == [RIDE_COLUMNS] and lh.obt.columns[-1] == "booking_month"
+
+
 def test_batch_update_counts_the_rules_on_the_way(spark, tmpdir_fresh):
     lh = Lakehouse.from_tables(spark, SF_SMALL).materialize(Lake(spark, f"{tmpdir_fresh}/lake"))
     want = {r.rule: (r.checked, r.violations) for f in (G.fare_audit, G.time_order_check, G.status_check) for r in f(lh.obt).collect()}
