@@ -17,7 +17,7 @@ from ridepulse.plans.lakehouse import Lakehouse
 from ridepulse.sources.binding import maps_from_tables, rides_from_tables
 from ridepulse.functions.dates import by_month
 from ridepulse.schemas import RIDE_COLUMNS
-from ridepulse.sources.events import bulk_source, raw_event_files, ride_events
+from ridepulse.sources.events import bulk_source, publish_rides_files, raw_event_files, ride_events
 from ridepulse.sources.lake import Lake
 from ridepulse.streaming import dimensions, flows, windows
 from tests.conftest import SF_SMALL, ride, rides_df, small_maps
@@ -83,6 +83,14 @@ def test_months_are_shuffled_without_the_lookups(spark, tmpdir_fresh, monkeypatc
     assert dealt == [RIDE_COLUMNS] and lh.obt.columns[-1] == "booking_month"
 
 
+def test_published_events_are_compressed_in_bounded_files(spark, tmpdir_fresh):
+    rides = rides_df(spark, [ride(ride_id=f"r{i}") for i in range(25)]).coalesce(1)
+    publish_rides_files(rides, f"{tmpdir_fresh}/events", rows_per_file=10)
+    assert len(glob.glob(f"{tmpdir_fresh}/events/*.txt.gz")) == 3
+    lines = spark.read.text(f"{tmpdir_fresh}/events").withColumnRenamed("value", "rides")
+    assert _same(flows.parsed_events(lines), rides)
+
+
 def test_batch_update_counts_the_rules_on_the_way(spark, tmpdir_fresh):
     lh = Lakehouse.from_tables(spark, SF_SMALL).materialize(Lake(spark, f"{tmpdir_fresh}/lake"))
     want = {r.rule: (r.checked, r.violations) for f in (G.fare_audit, G.time_order_check, G.status_check) for r in f(lh.obt).collect()}
