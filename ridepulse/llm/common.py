@@ -33,7 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in the shared checkpoint folder, read back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

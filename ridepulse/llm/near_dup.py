@@ -60,6 +60,8 @@ CENTRES, FEW = 3, 16
 HEAVY = 1 << 16
 #: Texts whose buckets are looked up together; more of them send fewer rows and hold more.
 SHARD = 256
+#: First shingles of texts that a task looks at together.
+PART = 1 << 17
 
 
 def labelled_shingles(words: np.ndarray, k: int = K) -> np.ndarray:
@@ -209,12 +211,16 @@ def _heavy(texts: DataFrame, k: int, most: int) -> list[int]:
 
 
 def _prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(__row, n, bucket, upto): the first shingles of every text (__row, comp, __text) in one order for all texts, so
+    """(__row, n, bucket, upto): the first shingles of every text (__row, comp, n, __text) in one order for all texts, so
     many that two similar texts share one, as far as texts of another component share them too.  The ``HEAVY`` most
     frequent shingles come last, the others in the order of their hashes.
 
     ``at`` is the shingle's place in its text.  If it is the first that two texts share, they have at most n - at + 1 in
     common, which lets the other one have at most ``upto`` shingles.
+
+    A text is one row with all its first shingles, dealt to shards of about ``PART`` of them.  A shard names each of its
+    shingles once, with its shortest text there and the least and largest component, in one row per part of the
+    shingles' hashes; the parts tell the shards which of them join components.
     """
     heavy = np.array(_heavy(texts, k, HEAVY), dtype=np.int64)
     place = np.argsort(heavy)
@@ -233,19 +239,49 @@ def _prefixes(texts: DataFrame, k: int, similarity: float) -> DataFrame:
             for lo, hi in blocks(b["__text"].tolist(), _BLOCK):
                 w = Words(b["__text"][lo:hi].tolist())
                 own = [labelled_shingles(w.of(d), k).view(np.int64) for d in range(hi - lo)]
-                taken = [first(s) for s in own]
-                many = [len(t) for t in taken]
-                n = np.repeat([len(s) for s in own], many)
-                at = np.concatenate([np.arange(1, m + 1) for m in many])
-                upto = np.minimum(n / similarity, (n - at + 1) * ((1 + similarity) / similarity) - n) + 1e-6
-                yield pd.DataFrame({"__row": np.repeat(b["__row"][lo:hi].to_numpy(), many),
-                                    "comp": np.repeat(b["comp"][lo:hi].to_numpy(), many), "n": n, "bucket": np.concatenate(taken), "upto": upto})
+                yield pd.DataFrame({"shard": b["shard"][lo:hi].to_numpy(), "__row": b["__row"][lo:hi].to_numpy(),
+                                    "comp": b["comp"][lo:hi].to_numpy(), "n": [len(s) for s in own], "bucket": [first(s) for s in own]})
+
+    def spread(b: pd.DataFrame) -> pd.DataFrame:
+        many = b["bucket"].map(len).to_numpy(dtype=np.int64)
+        at = np.concatenate([np.arange(1, m + 1) for m in many])
+        m = b[["__row", "comp", "n"]].loc[b.index.repeat(many)].reset_index(drop=True)
+        n = m["n"].to_numpy()
+        return m.assign(bucket=np.concatenate(b["bucket"].tolist()),
+                        upto=np.minimum(n / similarity, (n - at + 1) * ((1 + similarity) / similarity) - n) + 1e-6)
 
-    each = written(texts.mapInPandas(run, "__row long, comp long, n long, bucket long, upto double"), "prefixes")
-    least = written(each.groupBy("bucket").agg(F.min("n").alias("least"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-                    .where("low < high").select("bucket", "least"), "least")
-    # others have no partner there, or one that they are connected to
-    return written(each.join(least, "bucket").where("upto >= least").drop("least", "comp"), "rare")
+    def named(b: pd.DataFrame) -> pd.DataFrame:
+        each = spread(b).groupby("bucket").agg(least=("n", "min"), low=("comp", "min"), high=("comp", "max")).reset_index()
+        part = (mix(each["bucket"].to_numpy().view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        shard = b["shard"].iloc[0]
+        return pd.DataFrame([(p, shard, *(g[c].to_numpy() for c in ("bucket", "least", "low", "high"))) for p, g in each.groupby(part)],
+                            columns=["part", "shard", "bucket", "least", "low", "high"])
+
+    def joining(b: pd.DataFrame) -> pd.DataFrame:
+        many = b["bucket"].map(len).to_numpy(dtype=np.int64)
+        each = pd.DataFrame({"shard": np.repeat(b["shard"].to_numpy(), many)} | {c: np.concatenate(b[c].tolist()) for c in ("bucket", "least", "low", "high")})
+        whole = each.groupby("bucket").agg(least=("least", "min"), low=("low", "min"), high=("high", "max"))
+        whole = whole.loc[whole["low"] < whole["high"], "least"]  # others have no partner there, or one that they are connected to
+        each = each[["shard", "bucket"]].merge(whole, left_on="bucket", right_index=True)
+        return pd.DataFrame([(s, g["bucket"].to_numpy(), g["least"].to_numpy()) for s, g in each.groupby("shard")],
+                            columns=["shard", "bucket", "least"])
+
+    def kept(b: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        if not len(b) or not len(todo):
+            return pd.DataFrame(columns=["__row", "n", "bucket", "upto"])
+        least = pd.Series(np.concatenate(todo["least"].tolist()), index=np.concatenate(todo["bucket"].tolist()), name="least")
+        m = spread(b).merge(least, left_on="bucket", right_index=True)
+        return m.loc[m["upto"] >= m["least"], ["__row", "n", "bucket", "upto"]]
+
+    entries = F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1
+    parts = (texts.agg(F.sum(entries)).first()[0] or 0) // PART + 1
+    each = written(texts.withColumn("shard", F.pmod(F.xxhash64("__row"), F.lit(parts))).mapInPandas(
+        run, "shard long, __row long, comp long, n long, bucket array<long>"), "prefixes")
+    seen = each.groupBy("shard").applyInPandas(
+        named, "part long, shard long, bucket array<long>, least array<long>, low array<long>, high array<long>")
+    todo = seen.groupBy("part").applyInPandas(joining, "shard long, bucket array<long>, least array<long>")
+    return written(each.groupBy("shard").cogroup(todo.groupBy("shard")).applyInPandas(
+        kept, "__row long, n long, bucket long, upto double"), "rare")
 
 
 def _packed(members: DataFrame) -> DataFrame:
@@ -326,7 +362,7 @@ def links(own: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILA
             break
         found, comp = written(found.unionByName(more), "links"), grown(comp, more)
 
-    left = written(placed.where(F.col("size") > upto).select("__row", "comp").distinct(), "left")
+    left = written(placed.where(F.col("size") > upto).select("__row", "comp", "n").distinct(), "left")
     if left.isEmpty():
         return found, comp
     shared = _shared(_prefixes(texts.join(left, "__row"), k, similarity))

@@ -5,9 +5,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from ridepulse.llm import near_dup
 from ridepulse.llm.common import WORD, Words, written
 from ridepulse.llm.graph import components, grown
-from ridepulse.llm.near_dup import _open, _packed, aligned, keep_one, labelled_shingles, near_duplicates, similar, sketch
+from ridepulse.llm.near_dup import _open, _packed, _prefixes, aligned, keep_one, labelled_shingles, near_duplicates, similar, sketch
 from tests_llm import clash, words
 
 
@@ -146,6 +147,34 @@ def test_open_buckets_equal_a_plain_loop(spark):
     assert _open(packed, comps, 10**6).count() == 0 == _open(_packed(df.limit(0)), comps, 1).count()
 
 
+@pytest.mark.parametrize("part", [1 << 17, 64])
+def test_first_shingles_equal_a_plain_loop(spark, texts, monkeypatch, part):
+    """Shingles that join components, with the lengths that allow it, over one shard and over many; a text is one row until then."""
+    stages = {}
+
+    def kept(df, name):
+        stages[name] = written(df, name)
+        return stages[name]
+
+    monkeypatch.setattr(near_dup, "PART", part)
+    monkeypatch.setattr(near_dup, "written", kept)
+    own = [(i, i % 7, len(shingles(t)), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(own, "__row long, comp long, n long, __text string").repartition(3)
+    got = [(r["__row"], r["n"], r["bucket"], round(r["upto"], 4)) for r in _prefixes(df, 5, 0.8).collect()]
+    hashes = [labelled_shingles(Words([t]).hash).view(np.int64).tolist() for t in texts]
+    known = near_dup._heavy(df, 5, near_dup.HEAVY)
+    rank = {b: i + 1 for i, b in enumerate(known)}
+    each, of = [], defaultdict(list)
+    for (row, comp, n, _), h in zip(own, hashes):
+        for at, b in enumerate(sorted(h, key=lambda b: (rank.get(b, 0), b))[:n - int(np.ceil(n * 0.8 - 1e-6)) + 1], 1):
+            each.append((row, n, b, min(n / 0.8, (n - at + 1) * 2.25 - n) + 1e-6))
+            of[b].append((n, comp))
+    want = {(r, n, b, round(u, 4)) for r, n, b, u in each if len({c for _, c in of[b]}) > 1 and u >= min(of[b])[0]}
+    assert len(got) == len(want) and set(got) == want and 0 < len(want) < len(each)
+    assert stages["prefixes"].count() == len(texts) and (stages["prefixes"].select("shard").distinct().count() > 1) == (part == 64)
+    assert _prefixes(df.limit(0), 5, 0.8).count() == 0
+
+
 def test_odd_rows(spark, odd, none):
     df, pairs = odd
     got = near_duplicates(df).collect()
