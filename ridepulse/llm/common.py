@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridepulse.session import checkpoint_dir
+from ridepulse.session import checkpoint_dir, freed_shuffles
 
 #: Words are maximal runs of these characters after lower-casing A-Z (ASCII letters, digits, all non-ASCII).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -33,7 +33,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in the shared checkpoint folder, read back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,18 +5,22 @@ import glob
 import json
 import os
 import shutil
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from ridepulse import session
+from ridepulse.llm.common import written
 from ridepulse.operators import forecast as FC
 from ridepulse.operators import quality as G
 from ridepulse.operators import scd as SCD
+from ridepulse.plans import catalog
 from ridepulse.plans.lakehouse import Lakehouse
 from ridepulse.sources.binding import maps_from_tables, rides_from_tables
 from ridepulse.functions.dates import by_month
-from ridepulse.schemas import RIDE_COLUMNS
+from ridepulse.schemas import RIDE_COLUMNS, RIDES
 from ridepulse.sources.events import bulk_source, publish_rides_files, raw_event_files, ride_events
 from ridepulse.sources.lake import Lake
 from ridepulse.streaming import dimensions, flows, windows
@@ -91,6 +95,55 @@ def test_published_events_are_compressed_in_bounded_files(spark, tmpdir_fresh):
     assert _same(flows.parsed_events(lines), rides)
 
 
+def test_archived_events_may_go_before_silver_and_gold(spark, tmpdir_fresh):
+    """An update needs its events until they are in the archive; the next one goes on without them."""
+    rides = [ride(ride_id=str(i), driver_id=f"d{i % 7}", booking_timestamp=datetime(2024, 1 + i % 3, 1)) for i in range(60)]
+    lake = Lake(spark, f"{tmpdir_fresh}/lake")
+    for number, part in enumerate([rides[:40], rides[30:]]):
+        publish_rides_files(rides_df(spark, part), f"{lake.root}/events/{number}")
+        star = flows.run_update(spark, lake, small_maps(spark), raw_event_files(spark, f"{lake.root}/events/*"),
+                                archived=lambda: lake.remove(f"{lake.root}/events/{number}"))
+        assert not lake.exists(f"{lake.root}/events/{number}")
+    assert lake.read(*flows.ARCHIVE, RIDES).count() == 70
+    assert _same(star.fact, rides_df(spark, rides).select(*star.fact.columns)) and star.dim_driver.count() == 7
+
+
+def _shuffle_files(spark):
+    """The shuffle files that the session's application holds on this machine."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(len(glob.glob(f"{d}/*/shuffle_*.data")) for d in (f.getPath() for f in folders))
+
+
+def test_builds_and_updates_drop_their_shuffle_files(spark, tmpdir_fresh):
+    """Tables and streams of an update leave no shuffle file behind, and the session keeps its own setting."""
+    lake, setting = Lake(spark, f"{tmpdir_fresh}/lake"), spark.conf.get(session._FREED, None)
+    rides = [ride(ride_id=str(i), driver_id=f"d{i % 7}") for i in range(40)]
+    publish_rides_files(rides_df(spark, rides), f"{lake.root}/events/0")
+
+    def left(run):
+        before = _shuffle_files(spark)
+        run()
+        for _ in range(100):  # files go in the background
+            if _shuffle_files(spark) <= before:
+                return 0
+            time.sleep(0.1)
+        return _shuffle_files(spark) - before
+
+    counted = rides_df(spark, rides).repartition(3, "ride_id").groupBy("driver_id").count()
+    assert left(lambda: lake.write_overwrite(counted, "gold", "t")) == 0 and lake.read("gold", "t").count() == 7
+    assert left(lambda: written(counted, "t")) == 0
+    assert left(lambda: flows.run_update(spark, lake, small_maps(spark), raw_event_files(spark, f"{lake.root}/events/*"))) == 0
+    assert spark.conf.get(session._FREED, None) == setting
+
+
+def test_streamed_queries_keep_no_events(spark, monkeypatch):
+    gone = []
+    monkeypatch.setattr(catalog, "_UPDATES", {})
+    monkeypatch.setattr(Lake, "remove", lambda self, path, remove=Lake.remove: (gone.append(path), remove(self, path)))
+    out, _ = catalog.streamed(spark, SF_SMALL)
+    assert gone == [f"{out.root}/events/0", f"{out.root}/events/1"] and not any(map(out.exists, gone))
+
+
 def test_batch_update_counts_the_rules_on_the_way(spark, tmpdir_fresh):
     lh = Lakehouse.from_tables(spark, SF_SMALL).materialize(Lake(spark, f"{tmpdir_fresh}/lake"))
     want = {r.rule: (r.checked, r.violations) for f in (G.fare_audit, G.time_order_check, G.status_check) for r in f(lh.obt).collect()}
