@@ -62,6 +62,8 @@ HEAVY = 1 << 16
 SHARD = 256
 #: First shingles of texts that a task looks at together.
 PART = 1 << 17
+#: So many row numbers are broadcast at most; more of them are joined by a shuffle of both sides.
+NUMBERS = 1 << 22
 
 
 def labelled_shingles(words: np.ndarray, k: int = K) -> np.ndarray:
@@ -183,6 +185,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> Da
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def _sent(numbers: DataFrame) -> DataFrame:
+    """The row numbers of a written table, marked for broadcast up to a fixed bound: texts and entries, which are many
+    times as large, are then picked where they lie, without a shuffle."""
+    return F.broadcast(numbers) if numbers.limit(NUMBERS + 1).count() <= NUMBERS else numbers
+
+
 def _shared(entries: DataFrame) -> DataFrame:
     """The rows of ``entries`` (__row, bucket, ...) in buckets of two and more, with the bucket's ``size`` and the row's ``pop``."""
     sizes = written(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
@@ -331,7 +339,8 @@ def links(own: DataFrame, one: DataFrame, k: int = K, similarity: float = SIMILA
     """Verified links (a, b) between representatives, the rows of ``one`` (__row, n, entries), enough to connect every
     group; and the components (node, comp) that they make.  ``own`` is the written table of (__row, __text)."""
     shared = _shared(one.select("__row", "n", F.explode("entries").alias("bucket")))
-    texts = written(own.select("__row", "__text").join(shared.select("__row").distinct(), "__row", "left_semi"), "texts")
+    sharing = _sent(written(shared.select("__row").distinct(), "sharing"))
+    texts = written(own.select("__row", "__text").join(sharing, "__row", "left_semi"), "texts")
     nth = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("pop"), F.desc("__row")))
 
     def around(members: DataFrame, above: int, upto: int, few: int) -> DataFrame:
@@ -388,7 +397,8 @@ def near_duplicates(docs: DataFrame, k: int = K, similarity: float = SIMILARITY,
     found = written(sketches(own, k), "sketches")
     copies = written(found.groupBy("digest").agg(F.min("__row").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "copies")
     member = written(found.select("__row", "__id", "digest").join(copies, "digest").drop("digest"), "members")
-    one = found.join(copies.select(F.col("rep").alias("__row")), "__row", "left_semi").select("__row", "n", "entries")
+    others = _sent(member.where("__row <> rep").select("__row"))
+    one = found.join(others, "__row", "left_anti").select("__row", "n", "entries")
     verified, comp = links(own, one, k, similarity)
     degree = verified.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     of_rep = written(copies.select("rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select(

@@ -208,3 +208,27 @@ def test_components(spark):
         first, later = (spark.createDataFrame(part, "a long, b long") for part in (edges[:cut], edges[cut:]))
         assert {r.node: r.comp for r in grown(components(first), later).collect()} == comp
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("numbers, joined", [(near_dup.NUMBERS, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_texts_are_picked_without_a_shuffle(spark, texts, monkeypatch, numbers, joined):
+    """Representatives and texts in shared buckets are picked by broadcast row numbers up to the bound, else by a join of both sides."""
+    plans = {}
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(near_dup, "written", seen)
+    monkeypatch.setattr(near_dup, "NUMBERS", numbers)
+    pairs = list(enumerate(texts[:25] + texts[-20:]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_class = defaultdict(set)
+    for r in got:
+        by_class[r.class_id].add(r.doc_id)
+    assert len(got) == len(pairs) and {frozenset(g) for g in by_class.values()} == classes(pairs)
+    assert joined in plans["texts"] and (joined == "SortMergeJoin") == ("SortMergeJoin" in plans["texts"])
