@@ -136,6 +136,23 @@ def test_builds_and_updates_drop_their_shuffle_files(spark, tmpdir_fresh):
     assert spark.conf.get(session._FREED, None) == setting
 
 
+def test_silver_takes_bronze_in_bounded_batches(spark, tmpdir_fresh, monkeypatch):
+    """Rows and rule counts of an update are whole, however many batches it takes."""
+    rides = [ride(ride_id=str(i % 50), driver_id=f"d{i % 7}", booking_timestamp=datetime(2024, 1 + i % 50 % 3, 1)) for i in range(60)]
+    lake, quality, kept = Lake(spark, f"{tmpdir_fresh}/lake"), {}, "spark.sql.streaming.numRecentProgressUpdates"
+    publish_rides_files(rides_df(spark, rides).coalesce(1), f"{lake.root}/events/0", rows_per_file=20)
+    monkeypatch.setattr(flows, "BATCH_BYTES", 1)
+    spark.conf.set(kept, "1")
+    try:
+        star = flows.run_update(spark, lake, small_maps(spark), raw_event_files(spark, f"{lake.root}/events/*", 1), quality=quality)
+        assert spark.conf.get(kept) == "1"
+    finally:
+        spark.conf.unset(kept)
+    assert len(glob.glob(f"{flows.checkpoint(lake, 'silver')}/commits/[0-9]*")) == 3
+    assert lake.read(*flows.ARCHIVE, RIDES).count() == 60 and quality["has_ride_id"] == (50, 0)
+    assert _same(star.fact.select("ride_id"), rides_df(spark, rides).select("ride_id").distinct()) and star.dim_driver.count() == 7
+
+
 def test_streamed_queries_keep_no_events(spark, monkeypatch):
     gone = []
     monkeypatch.setattr(catalog, "_UPDATES", {})
