@@ -10,6 +10,7 @@ from ridepulse.operators import silver as SV
 from ridepulse.operators.gold import build_star
 from ridepulse.operators import star as Q
 from ridepulse.plans.catalog import REGISTRY
+from ridepulse.plans.lakehouse import materialized
 from ridepulse.sources import events as EV
 from ridepulse.sources.lake import Lake
 from ridepulse.sources.lookups import builtin_map, load_map
@@ -51,6 +52,30 @@ def test_lookup_loader_and_manifest(spark, tmpdir_fresh):
     assert lake.read("bronze", "map_ride_statuses").count() == 1
 
 
+def test_manifest_query_loads_every_map_and_all_bulk_rides(spark, monkeypatch):
+    lakes, load = [], EV.load_manifest
+    monkeypatch.setattr(EV, "load_manifest", lambda *a, **k: lakes.append(a[3]) or load(*a, **k))
+    assert REGISTRY["S4_manifest_load"][0](spark, SF_SMALL).columns == ["city_id", "city", "state", "region", "updated_at"]
+    lh = materialized(spark, SF_SMALL)
+    for name, rows in {**lh.maps, "bulk_rides": lh.stg}.items():
+        got = lakes[0].read("bronze", name).select(*rows.columns)
+        assert rows.count() == got.count() > 0 and rows.exceptAll(got).isEmpty(), name
+
+
+def test_manifest_of_lines_and_bulk_rides_by_line(spark, tmpdir_fresh):
+    """A manifest with an entry per line names all its files, and rides that lie one per line are all loaded."""
+    for name in ("new", "old"):
+        EV.publish_rides_files(rides_df(spark, [ride(ride_id=f"{name}{i}") for i in range(5)]).coalesce(1), f"{tmpdir_fresh}/{name}.json", 2)
+    with open(f"{tmpdir_fresh}/third.json", "w") as f:
+        json.dump([{"ride_id": "x"}, {"ride_id": "y"}], f)
+    with open(f"{tmpdir_fresh}/files.json", "w") as f:
+        f.write('{"file": "new", "lines": true}\n{"file": "old", "lines": true}\n\n{"file": "third"}\n')
+    lake = Lake(spark, f"{tmpdir_fresh}/lake")
+    assert EV.load_manifest(spark, f"{tmpdir_fresh}/files.json", tmpdir_fresh, lake) == ["new", "old", "third"]
+    assert [lake.read("bronze", name).count() for name in ("new", "old", "third")] == [5, 5, 2]
+    assert lake.read("bronze", "old").where("booking_timestamp IS NOT NULL").count() == 5
+
+
 def test_bulk_source_stream_normalises_time(spark, tmpdir_fresh):
     d = os.path.join(tmpdir_fresh, "bulk")
     os.makedirs(d)
