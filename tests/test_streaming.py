@@ -16,7 +16,7 @@ from ridepulse.llm.common import written
 from ridepulse.operators import forecast as FC
 from ridepulse.operators import quality as G
 from ridepulse.operators import scd as SCD
-from ridepulse.plans import catalog
+from ridepulse.plans import catalog, lakehouse
 from ridepulse.plans.lakehouse import Lakehouse
 from ridepulse.sources.binding import maps_from_tables, rides_from_tables
 from ridepulse.functions.dates import by_month
@@ -153,6 +153,38 @@ def test_silver_takes_bronze_in_bounded_batches(spark, tmpdir_fresh, monkeypatch
     assert _same(star.fact.select("ride_id"), rides_df(spark, rides).select("ride_id").distinct()) and star.dim_driver.count() == 7
 
 
+def test_flows_keep_state_on_disk_in_a_bounded_number_of_stores(spark, tmpdir_fresh, monkeypatch):
+    """Keys are held by RocksDB, in no more stores than a batch has use for; the session keeps its own settings."""
+    lake, names = Lake(spark, f"{tmpdir_fresh}/lake"), [*dimensions.STATE, flows.SHUFFLE_PARTITIONS]
+    before = {k: spark.conf.get(k, None) for k in names}
+    monkeypatch.setattr(flows, "BATCH_PARTITIONS", 3)
+    for number, ids in enumerate([range(40), range(30, 50)]):
+        publish_rides_files(rides_df(spark, [ride(ride_id=str(i), driver_id=f"d{i % 7}") for i in ids]), f"{tmpdir_fresh}/events/{number}")
+        star = flows.run_update(spark, lake, small_maps(spark), raw_event_files(spark, f"{tmpdir_fresh}/events/*"))
+    assert star.fact.count() == 50 and star.dim_driver.count() == 7
+    for flow in ("silver", "dim_driver", "dim_location"):
+        stores = [d for d in glob.glob(f"{flows.checkpoint(lake, flow)}/state/0/[0-9]*")]
+        assert len(stores) == 3 and any(glob.glob(f"{d}/*.changelog") for d in stores), flow
+    assert {k: spark.conf.get(k, None) for k in names} == before
+
+
+def test_streams_start_from_rides_that_a_full_build_goes_on_from(spark, tmpdir_fresh, monkeypatch):
+    monkeypatch.setattr(lakehouse, "_MEMO", {})
+    monkeypatch.setattr(lakehouse, "checkpoint_dir", lambda spark: tmpdir_fresh)
+    tables = lambda: sorted(os.path.basename(p) for p in glob.glob(f"{tmpdir_fresh}/ridepulse-lake/*/*/*/*"))
+    rides = lakehouse.staged(spark, SF_SMALL)
+    assert tables() == ["repeated_ids", "stg_rides"] and lakehouse.staged(spark, SF_SMALL) is rides
+    full = lakehouse.materialized(spark, SF_SMALL)
+    assert tables().count("stg_rides") == 1 and {"silver_obt", "fact"} <= set(tables())
+    want = rides_from_tables(spark, SF_SMALL)
+    assert _same(rides.stg, want) and _same(full.stg, want) and full.star.fact.count() == full.obt.count() == want.count()
+    built = tables()
+    monkeypatch.setattr(lakehouse, "_MEMO", {})  # another session
+    assert _same(lakehouse.staged(spark, SF_SMALL).stg, want) and _same(lakehouse.materialized(spark, SF_SMALL).stg, want)
+    assert lakehouse.staged(spark, SF_SMALL) is lakehouse.materialized(spark, SF_SMALL) and tables() == built
+    assert lakehouse.materialized(spark, SF_SMALL, reuse=False).stg.count() == want.count() and tables().count("stg_rides") == 2
+
+
 def test_streamed_queries_keep_no_events(spark, monkeypatch):
     gone = []
     monkeypatch.setattr(catalog, "_UPDATES", {})
